@@ -25,6 +25,7 @@ from surveytab.functions.codes import canonical_code
 from surveytab.functions.frames import literal_rows, percent, require_columns, weight_column
 from surveytab.functions.names import group_name
 from surveytab.operators.tally import (
+    code_of_cell,
     is_base_cell,
     is_code_cell,
     mentioned_slots,
@@ -127,7 +128,7 @@ def _with_total_and_base(cells, keys, variables, mentioned) -> DataFrame:
     code_rows = cells.filter(is_code).join(shares, same, "inner").select(
         *keys,
         "variable",
-        "code",
+        code_of_cell().alias("code"),
         F.lit("code").alias("row_kind"),
         "row_order",
         "n",

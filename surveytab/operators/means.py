@@ -15,7 +15,7 @@ partial results, with the partial means in place of x.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +32,7 @@ from surveytab.operators.tally import explode_slots
 
 NO_ANSWER = (-88, -99)
 
-STATISTICS = (
-    "mean", "mean_weighted", "n", "n_weighted", "sd", "sd_weighted", "error", "error_weighted",
-)
+WEIGHTED_MOMENTS = ("rows_weight", "answers_weight", "mean_weighted", "spread_weighted")
 
 
 def means(
@@ -49,7 +47,10 @@ def means(
     ``n`` and ``n_weighted`` count all rows, those without an answer included, and
     both errors divide by the square root of that ``n``.
     """
-    partial = partial_means(df, variables, weight_column(df, weight, null_weight), na_codes)
+    weights = {"_w": weight_column(df, weight, null_weight)}
+    partial = choose_weight(
+        partial_means(df, variables, weights, na_codes), lambda name: F.col(f"{name}_w")
+    )
     asked = literal_rows(df.sparkSession, {"variable": "string"}, [[v] for v in variables])
     found = asked.join(partial, "variable", "left").na.fill(0, ["rows", "rows_weight"])
     return found.select("variable", *mean_statistics())
@@ -101,44 +102,62 @@ def cross_means(
     )
 
 
-def partial_means(df, variables, weight: Column, na_codes, keys: dict[str, Column] | None = None):
-    """Mergeable moments per key and variable, all variables in one scan."""
+def partial_means(
+    df: DataFrame,
+    variables: Sequence[str],
+    weights: dict[str, Column],
+    na_codes: Sequence,
+    keys: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Mergeable moments per key and variable, all variables and weights in one
+    scan. The weighted moments of each weight carry its name as a suffix."""
     require_columns(df, variables)
     keys = keys or {}
     answers = F.array(*[numeric_answer(df, v, na_codes) for v in variables])
+    x = F.col("value")
     return (
         df.select(
             *[c.alias(k) for k, c in keys.items()],
-            weight.alias("weight"),
+            *[w.alias(name) for name, w in weights.items()],
             answers.alias("answers"),
         )
-        .select(*keys, "weight", explode_slots("answers").alias("slot", "value"))
+        .select(*keys, *weights, explode_slots("answers").alias("slot", "value"))
         .groupBy(*keys, "slot")
-        .agg(*partial_columns(F.col("value"), F.col("weight")))
+        .agg(*_plain_columns(x), *[c for w in weights for c in _weight_columns(x, F.col(w), w)])
         .withColumn("variable", pick(variables, F.col("slot")))
         .drop("slot")
     )
 
 
+def choose_weight(partial: DataFrame, choose: Callable[[str], Column]) -> DataFrame:
+    """Settle which weight's moments to go on with; ``choose`` gets their plain name."""
+    return partial.select("*", *[choose(name).alias(name) for name in WEIGHTED_MOMENTS])
+
+
 def partial_columns(x: Column, w: Column) -> list[Column]:
     """Aggregates that :func:`mean_statistics` and the merge work on.
 
     ``rows`` and their weight count every row; ``answers`` and the moments count
     the rows that hold an answer.
     """
-    mean, spread = _weighted_moments(x, w)
+    return [*_plain_columns(x), *_weight_columns(x, w)]
+
+
+def _plain_columns(x: Column) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("rows"),
-        F.sum(w).alias("rows_weight"),
         F.count(x).alias("answers"),
-        F.sum(F.when(x.isNotNull(), w)).alias("answers_weight"),
         F.avg(x).alias("mean"),
         (F.var_pop(x) * F.count(x)).alias("spread"),
-        mean.alias("mean_weighted"),
-        spread.alias("spread_weighted"),
     ]
 
 
+def _weight_columns(x: Column, w: Column, suffix: str = "") -> list[Column]:
+    mean, spread = _weighted_moments(x, w)
+    moments = [F.sum(w), F.sum(F.when(x.isNotNull(), w)), mean, spread]
+    return [m.alias(name + suffix) for name, m in zip(WEIGHTED_MOMENTS, moments)]
+
+
 def merge_partial_means(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Moments of the union of groups, from the moments of each group."""
     c = F.col

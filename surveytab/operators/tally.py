@@ -140,13 +140,22 @@ def is_base_cell() -> Column:
     return F.col("n") * F.col("counts_base") > 0
 
 
+def code_of_cell() -> Column:
+    """The code of a code cell, never null. It leans on a count, so that a filter
+    or join on it stays above the grouping too."""
+    return F.coalesce(F.when(F.col("n") > 0, F.col("code")), F.lit(""))
+
+
 def _tally_one_form(df, form, slots, weights, keys) -> DataFrame:
     exploded = df.select(
         *[c.alias(name) for name, c in keys.items()],
         *[c.alias(name) for name, c in weights.items()],
         F.array(*[s.code for s in slots]).alias("codes"),
     ).select(*keys, *weights, explode_slots("codes").alias("slot", "native"))
-    counted = exploded.groupBy(*keys, "slot", "native").agg(
+    # The outer explode calls the slot nullable. Saying that it is not keeps Spark
+    # from adding a null test to some uses of the tally and not to others.
+    numbered = exploded.withColumn("slot", F.coalesce("slot", F.lit(0)))
+    counted = numbered.groupBy(*keys, "slot", "native").agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(w).alias(w) for w in weights]
     )
     slot, native = F.col("slot"), F.col("native")
