@@ -10,22 +10,38 @@ from pyspark.sql import functions as F
 from surveytab.functions.codes import column
 
 
+def sql_literal(value, data_type: str | None = None) -> str:
+    """A Python value as SQL text. Long lists of literals reach Spark as one
+    expression this way, instead of one call to the JVM per value."""
+    if value is None:
+        text = "NULL"
+    elif isinstance(value, bool):
+        text = str(value)
+    elif isinstance(value, int):
+        text = f"{value}L" if abs(value) >= 1 << 31 else str(value)
+    elif isinstance(value, float):
+        text = f"double('{value}')"
+    else:
+        escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        text = f"'{escaped}'"
+    return f"cast({text} AS {data_type})" if data_type else text
+
+
 def literal_rows(spark: SparkSession, schema: dict[str, str], rows: Sequence[Sequence]) -> DataFrame:
     """A frame of literals, for lists the caller wrote by hand (specs, names)."""
-    structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(schema.items(), row)])
-        for row in rows
+    names = ", ".join(schema)
+    lines = [
+        "(" + ", ".join(sql_literal(v, t) for t, v in zip(schema.values(), row)) + ")"
+        for row in rows or [[None] * len(schema)]
     ]
-    if not structs:
-        empty = F.array(F.struct(*[F.lit(None).cast(t).alias(n) for n, t in schema.items()]))
-        return spark.range(0, 0, 1, 1).select(F.inline(empty))
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    frame = spark.sql(f"SELECT * FROM VALUES {', '.join(lines)} AS t({names})")
+    return frame if rows else frame.limit(0)
 
 
-def pick(values: Iterable, index: Column, data_type: str | None = None) -> Column:
-    """The literal at a zero-based position."""
-    literals = [F.lit(v).cast(data_type) if data_type else F.lit(v) for v in values]
-    return F.element_at(F.array(*literals), index.cast("int") + 1)
+def pick(values: Iterable, index: str, data_type: str | None = None) -> Column:
+    """The literal at the zero-based position that a column holds."""
+    literals = ", ".join(sql_literal(v, data_type) for v in values)
+    return F.expr(f"element_at(array({literals}), {index} + 1)")
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:

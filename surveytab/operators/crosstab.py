@@ -74,8 +74,8 @@ def _cross(df, options, lines, weight, null_weight) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("n_weighted"))
     )
     coded = counted.select(
-        pick([name for _, name in names], F.col("pair")).alias("row_variable"),
-        pick([col for col, _ in names], F.col("pair")).alias("col_variable"),
+        pick([name for _, name in names], "pair").alias("row_variable"),
+        pick([col for col, _ in names], "pair").alias("col_variable"),
         text_code(F.col("row"), row_kind).alias("row_code"),
         text_code(F.col("col"), col_kind).alias("col_code"),
         "n",

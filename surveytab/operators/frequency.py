@@ -142,38 +142,25 @@ def _with_total_and_base(cells, keys, variables, mentioned) -> DataFrame:
         asked = literal_rows(cells.sparkSession, {"variable": "string"}, [[v] for v in variables])
         totals = asked.join(totals, "variable", "left")
 
-    # Both rows are null when nobody answered or nothing was counted.
-    def filled(value):
-        return F.when(F.col("codes_n") > 0, value)
-
-    def summary(label, kind, order, n, weight, pct, pct_weighted):
-        return F.struct(
-            F.lit(label).alias("code"),
-            F.lit(kind).alias("row_kind"),
-            F.lit(order).alias("row_order"),
-            filled(n).alias("n"),
-            filled(weight).alias("n_weighted"),
-            filled(pct).alias("pct"),
-            filled(pct_weighted).alias("pct_weighted"),
-        )
-
-    c = F.col
-    summary_rows = totals.select(
-        *keys,
-        "variable",
-        F.inline(
-            F.array(
-                summary(
-                    "Total", "total", TOTAL_ORDER, c("codes_n"), c("codes_weight"),
-                    percent(c("codes_n"), c("whole_n")),
-                    percent(c("codes_weight"), c("whole_weight")),
-                ),
-                summary(
-                    "Base", "base", BASE_ORDER, c("base_n"), c("base_weight"),
-                    percent(c("base_n"), c("all_n")),
-                    percent(c("base_weight"), c("all_weight")),
-                ),
-            )
-        ),
+    total = _summary(
+        "Total", TOTAL_ORDER, "codes_n", "codes_weight", "whole_n", "whole_weight"
     )
+    base = _summary("Base", BASE_ORDER, "base_n", "base_weight", "all_n", "all_weight")
+    summary_rows = totals.selectExpr(*keys, "variable", f"inline(array({total}, {base}))")
     return code_rows.unionByName(summary_rows)
+
+
+def _summary(label: str, order: int, n: str, weight: str, of_n: str, of_weight: str) -> str:
+    """SQL for a Total or Base row, all null when nothing was counted."""
+    def filled(value: str) -> str:
+        return f"if(codes_n > 0, {value}, null)"
+
+    def share(part: str, whole: str) -> str:
+        return f"try_divide(100.0D * {part}, cast({whole} AS double))"
+
+    return (
+        f"named_struct('code', '{label}', 'row_kind', '{label.lower()}', 'row_order', {order}, "
+        f"'n', {filled(n)}, 'n_weighted', {filled(weight)}, "
+        f"'pct', {filled(share(n, of_n))}, "
+        f"'pct_weighted', {filled(share(weight, of_weight))})"
+    )

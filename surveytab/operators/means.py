@@ -89,8 +89,8 @@ def cross_means(
     partial = (
         exploded.groupBy("slot", "native")
         .agg(*partial_columns(F.col("value"), F.col("weight")))
-        .withColumn("col_variable", pick([c for c, _ in pairs], F.col("slot")))
-        .withColumn("mean_variable", pick([x for _, x in pairs], F.col("slot")))
+        .withColumn("col_variable", pick([c for c, _ in pairs], "slot"))
+        .withColumn("mean_variable", pick([x for _, x in pairs], "slot"))
         .withColumn("col_code", text_code(F.col("native"), kind))
     )
     placed = with_dictionary_code(partial, options, "col_variable", "col_code", "col_order")
@@ -124,7 +124,7 @@ def partial_means(
         .select(*keys, *weights, explode_slots("answers").alias("slot", "value"))
         .groupBy(*keys, "slot")
         .agg(*_plain_columns(x), *[c for w in weights for c in _weight_columns(x, F.col(w), w)])
-        .withColumn("variable", pick(variables, F.col("slot")))
+        .withColumn("variable", pick(variables, "slot"))
         .drop("slot")
     )
 

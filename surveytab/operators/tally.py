@@ -161,7 +161,7 @@ def _tally_one_form(df, form, slots, weights, keys) -> DataFrame:
     slot, native = F.col("slot"), F.col("native")
     code = text_code(native, form)
     if any(s.option for s in slots):
-        option = pick([s.option for s in slots], slot)
+        option = pick([s.option for s in slots], "slot", "string")
         code = F.when(native.isNotNull(), F.coalesce(option, code))
     if form == TEXT:
         order = F.lit(0)
@@ -171,9 +171,9 @@ def _tally_one_form(df, form, slots, weights, keys) -> DataFrame:
             order = F.when(option.isNull(), order).otherwise(F.lit(0))
     return counted.select(
         *keys,
-        pick([s.variable for s in slots], slot).alias("variable"),
-        pick([int(s.counts_codes) for s in slots], slot).alias("counts_codes"),
-        pick([int(s.counts_base) for s in slots], slot).alias("counts_base"),
+        pick([s.variable for s in slots], "slot").alias("variable"),
+        pick([int(s.counts_codes) for s in slots], "slot").alias("counts_codes"),
+        pick([int(s.counts_base) for s in slots], "slot").alias("counts_base"),
         code.alias("code"),
         F.coalesce(order.cast("int"), F.lit(0)).alias("row_order"),
         "rows",

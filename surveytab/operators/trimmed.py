@@ -19,6 +19,7 @@ times, one column wide, and must give the same rows every time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -27,7 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveytab.functions.codes import column, numeric_answer
-from surveytab.functions.frames import literal_rows, pick, require_columns, weight_column
+from surveytab.functions.frames import (
+    literal_rows,
+    pick,
+    require_columns,
+    sql_literal,
+    weight_column,
+)
 from surveytab.operators.means import NO_ANSWER, mean_statistics, partial_columns
 from surveytab.operators.tally import explode_slots
 
@@ -77,14 +84,7 @@ def trimmed_means(
         .filter(F.col("value").isNotNull())
     )
     order = ["value", *ties]
-    counts = {r["slot"]: r["count"] for r in long.groupBy("slot").count().collect()}
-
-    cuts = []
-    for slot in range(len(variables)):
-        total = counts.get(slot, 0)
-        bottom, top = rows_trimmed(total)
-        cuts.append(_Cut(len(cuts), slot, rank=bottom, size=total))
-        cuts.append(_Cut(len(cuts), slot, rank=total - top, size=total))
+    cuts = _first_look(long, len(variables), accuracy)
     _search(long, order, cuts, sortable, accuracy)
 
     kept = long.filter(
@@ -93,7 +93,7 @@ def trimmed_means(
     partial = (
         kept.groupBy("slot")
         .agg(*partial_columns(F.col("value"), F.col("weight")))
-        .withColumn("variable", pick(variables, F.col("slot")))
+        .withColumn("variable", pick(variables, "slot"))
     )
     asked = literal_rows(df.sparkSession, {"variable": "string"}, [[v] for v in variables])
     found = asked.join(partial, "variable", "left").na.fill(0, ["rows", "rows_weight"])
@@ -115,6 +115,7 @@ class _Cut:
     point: list = field(default_factory=list)
     low: float | int | None = None
     high: float | int | None = None
+    pivots: tuple | None = None
 
     @property
     def nothing(self) -> bool:
@@ -137,6 +138,35 @@ class _Cut:
         self.rank, self.size = self.rank - below, size
 
 
+def _first_look(long: DataFrame, variables: int, accuracy: int) -> list[_Cut]:
+    """Two cuts per variable, from its number of answers, and first pivots for them.
+
+    The same pass gives both: with many answers the shares cut off hardly depend on
+    their number, and pivots that miss a cut only cost a round.
+    """
+    top = _KEPT_TILES / 100
+    shares = (top * _DROPPED_TILES / 100, top)
+    fractions = [f for share in shares for f in _around(share, accuracy)]
+    looked = long.groupBy("slot").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.percentile_approx("value", fractions, accuracy).alias("at"),
+    )
+    seen = {r["slot"]: (r["total"], r["at"]) for r in looked.collect()}
+    cuts = []
+    for slot in range(variables):
+        total, at = seen.get(slot, (0, [None] * 4))
+        bottom, top = rows_trimmed(total)
+        for rank, pivots in ((bottom, at[:2]), (total - top, at[2:])):
+            cuts.append(_Cut(len(cuts), slot, rank, total, pivots=tuple(pivots)))
+    return cuts
+
+
+def _around(share: float, accuracy: int) -> tuple[float, float]:
+    """Shares on both sides, as far off as the sketch may err, twice over."""
+    margin = 2.0 / accuracy
+    return max(0.0, share - margin), min(1.0, share + margin)
+
+
 def _search(long: DataFrame, order: list[str], cuts: list[_Cut], sortable: int, accuracy: int):
     while open_cuts := [c for c in cuts if not c.found]:
         level = min(len(c.point) for c in open_cuts)
@@ -153,15 +183,14 @@ def _search(long: DataFrame, order: list[str], cuts: list[_Cut], sortable: int,
 
 def _rows_in_question(long, order, level, cuts, active) -> DataFrame:
     """The rows an active cut may still fall on, one copy per such cut."""
-    number = F.col("cut")
     both = F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)
     rows = long.withColumn("cut", F.explode_outer(both)).filter(
-        number.isin([c.number for c in active])
+        F.col("cut").isin([c.number for c in active])
     )
     types = dict(long.dtypes)
 
     def of_cut(values, name):
-        return pick(values, number, types[name])
+        return pick(values, "cut", types[name])
 
     for i, name in enumerate(order[:level]):
         points = [c.point[i] if len(c.point) > i else None for c in cuts]
@@ -180,7 +209,7 @@ def _read_off(long, order, level, cuts, few) -> None:
     rows = _rows_in_question(long, order, level, cuts, few)
     # Rows alike in all columns are peers of this frame and share its count.
     upto = Window.partitionBy("cut").orderBy(*names)
-    rank = pick([c.rank for c in cuts], F.col("cut"), "bigint")
+    rank = pick([c.rank for c in cuts], "cut", "bigint")
     at_rank = (
         rows.withColumn("upto", F.count(F.lit(1)).over(upto))
         .filter(F.col("upto") >= rank)
@@ -192,32 +221,17 @@ def _read_off(long, order, level, cuts, few) -> None:
         if at["upto"] != cut.rank:
             raise ValueError("order_by does not tell the rows at a cut apart")
         cut.point += [at[name] for name in names]
-        cut.size, cut.low, cut.high = cut.rank, None, None
+        cut.size, cut.low, cut.high, cut.pivots = cut.rank, None, None, None
 
 
 def _count_round(long, order, level, cuts, many, accuracy) -> None:
     """Propose two pivots per cut and count the rows on either side of them."""
     name = order[level]
     rows = _rows_in_question(long, order, level, cuts, many)
-    margin = 2.0 / accuracy
-    wanted = {
-        c.number: (max(0.0, c.rank / c.size - margin), min(1.0, c.rank / c.size + margin))
-        for c in many
-    }
-    fractions = sorted({f for pair in wanted.values() for f in pair})
-    sketch = rows.groupBy("cut").agg(
-        F.percentile_approx(name, fractions, accuracy).alias("at")
-    )
-    pivots = {
-        r["cut"]: [r["at"][fractions.index(f)] for f in wanted[r["cut"]]]
-        for r in sketch.collect()
-    }
-
+    _propose_pivots(rows, name, [c for c in many if c.pivots is None], accuracy)
     kind = dict(long.dtypes)[name]
     first, second = (
-        pick([pivots[c.number][i] if c.number in pivots else None for c in cuts],
-             F.col("cut"), kind)
-        for i in (0, 1)
+        pick([c.pivots[i] if c.pivots else None for c in cuts], "cut", kind) for i in (0, 1)
     )
     value = F.col(name)
     counted = rows.groupBy("cut").agg(
@@ -228,7 +242,9 @@ def _count_round(long, order, level, cuts, many, accuracy) -> None:
         F.count_if(value > second).alias("over"),
     )
     for r in counted.collect():
-        cut, (a, b) = cuts[r["cut"]], pivots[r["cut"]]
+        cut = cuts[r["cut"]]
+        a, b = cut.pivots
+        cut.pivots = None
         upto_first = r["under"] + r["at_first"]
         upto_second = upto_first + r["between"] + r["at_second"]
         if cut.rank <= r["under"]:
@@ -243,20 +259,47 @@ def _count_round(long, order, level, cuts, many, accuracy) -> None:
             cut.narrow(b, None, upto_second, r["over"])
 
 
-def _up_to_cut(order: list[str], cuts: list[_Cut], long: DataFrame) -> Column:
-    """True for rows up to their variable's cut; ``cuts`` are in slot order."""
-    types = dict(long.dtypes)
-    depth = max((len(c.point) for c in cuts), default=0)
+def _propose_pivots(rows, name, cuts, accuracy) -> None:
+    """Two values per cut that its rank most likely lies between."""
+    if not cuts:
+        return
+    wanted = {c.number: _around(c.rank / c.size, accuracy) for c in cuts}
+    fractions = sorted({f for pair in wanted.values() for f in pair})
+    sketch = (
+        rows.filter(F.col("cut").isin(list(wanted)))
+        .groupBy("cut")
+        .agg(F.percentile_approx(name, fractions, accuracy).alias("at"))
+    )
+    found = {r["cut"]: r["at"] for r in sketch.collect()}
+    for cut in cuts:
+        cut.pivots = tuple(found[cut.number][fractions.index(f)] for f in wanted[cut.number])
+
 
-    def before(i: int) -> Column:
-        if i == depth:
-            return F.lit(True)
-        point = pick([c.point[i] if len(c.point) > i else None for c in cuts],
-                     F.col("slot"), types[order[i]])
-        value = F.col(order[i])
-        return point.isNull() | (value < point) | ((value == point) & before(i + 1))
+def _up_to_cut(order: list[str], cuts: list[_Cut], long: DataFrame) -> Column:
+    """True for rows up to their variable's cut; ``cuts`` are in slot order.
 
-    return ~pick([c.nothing for c in cuts], F.col("slot")) & before(0)
+    Nearly every row is settled by its value. The tie-breaking columns are compared
+    as one struct, which keeps the generated code small enough to be compiled.
+    """
+    types = dict(long.dtypes)
+    value, ties = F.col(order[0]), order[1:]
+    # Where a cut ends before the last column, all rows alike so far are up to it.
+    last = {"bigint": (1 << 63) - 1, "double": math.inf}
+
+    def tie_struct(cut: _Cut) -> str:
+        rest = cut.point[1:] + [last[types[t]] for t in ties[max(0, len(cut.point) - 1):]]
+        fields = [f"'{t}', {sql_literal(v, types[t])}" for t, v in zip(ties, rest)]
+        return f"named_struct({', '.join(fields)})"
+
+    point = pick([c.point[0] if c.point else None for c in cuts], "slot", types[order[0]])
+    upto = value < point
+    if ties:
+        structs = ", ".join(tie_struct(c) for c in cuts)
+        cut_ties = F.expr(f"element_at(array({structs}), slot + 1)")
+        upto = upto | ((value == point) & (F.struct(*ties) <= cut_ties))
+    else:
+        upto = upto | (value == point)
+    return F.coalesce(upto, F.lit(False))
 
 
 def _tie_columns(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
