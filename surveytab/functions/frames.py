@@ -41,7 +41,7 @@ def literal_rows(spark: SparkSession, schema: dict[str, str], rows: Sequence[Seq
 def pick(values: Iterable, index: str, data_type: str | None = None) -> Column:
     """The literal at the zero-based position that a column holds."""
     literals = ", ".join(sql_literal(v, data_type) for v in values)
-    return F.expr(f"element_at(array({literals}), {index} + 1)")
+    return F.expr(f"element_at(array({literals}), cast({index} AS int) + 1)")
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:

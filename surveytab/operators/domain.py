@@ -15,10 +15,17 @@ def with_dictionary_code(
     whatever the number of interviews; it needs no hint, since Spark sees the size
     of both sides at run time.
     """
-    listed = options.select(
-        F.col("variable").alias("_variable"),
-        F.col("code").alias("_code"),
-        F.col("option_id").alias(order),
+    twice = F.raise_error(F.concat(F.lit("listed twice in the dictionary: "), F.col("_code")))
+    listed = (
+        options.groupBy(F.col("variable").alias("_variable"), F.col("code").alias("_code"))
+        .agg(F.min("option_id").alias("_first"), F.count(F.lit(1)).alias("_times"))
+        .select(
+            "_variable",
+            "_code",
+            F.when(F.col("_times") == 1, F.col("_first"))
+            .otherwise(twice.cast("int"))
+            .alias(order),
+        )
     )
     same = (F.col(variable) == F.col("_variable")) & (F.col(code) == F.col("_code"))
     return (
