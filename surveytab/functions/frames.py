@@ -44,6 +44,16 @@ def pick(values: Iterable, index: str, data_type: str | None = None) -> Column:
     return F.expr(f"element_at(array({literals}), cast({index} AS int) + 1)")
 
 
+# Rows that may be sent to every executor: a few tens of MB at the very most.
+_MOST_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_bounded(df: DataFrame, most_rows: int) -> DataFrame:
+    """Ask for a broadcast of a frame that has at most ``most_rows`` narrow rows by
+    construction, if that is few; else leave the join to Spark."""
+    return F.broadcast(df) if most_rows <= _MOST_BROADCAST_ROWS else df
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [name for name in names if name not in df.columns]
     if missing:

@@ -22,7 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import canonical_code
-from surveytab.functions.frames import literal_rows, percent, require_columns, weight_column
+from surveytab.functions.frames import (
+    broadcast_if_bounded,
+    literal_rows,
+    percent,
+    require_columns,
+    weight_column,
+)
 from surveytab.functions.names import group_name
 from surveytab.operators.tally import (
     code_of_cell,
@@ -123,6 +129,9 @@ def _with_total_and_base(cells, keys, variables, mentioned) -> DataFrame:
         "whole_n",
         "whole_weight",
     )
+    if not keys:
+        # One row per variable asked for; the code rows need not be shuffled.
+        shares = broadcast_if_bounded(shares, len(variables))
     same = [F.col("variable") == F.col("of_variable")]
     same += [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
     code_rows = cells.filter(is_code).join(shares, same, "inner").select(

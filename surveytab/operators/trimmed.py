@@ -61,7 +61,7 @@ def trimmed_means(
     weight: str | None = None,
     na_codes: Sequence = NO_ANSWER,
     null_weight: str = "raise",
-    sortable: int = 1_000_000,
+    sortable: int = 100_000,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """The eight statistics of each variable after trimming.
@@ -72,24 +72,24 @@ def trimmed_means(
     of the quantile sketch. Rows without an answer are dropped before trimming.
     """
     require_columns(df, [*variables, *order_by])
-    ties = {f"tie_{i}": key for i, key in enumerate(_tie_columns(df, order_by))}
+    keys = [f"key_{i}" for i in range(len(order_by))]
     answers = F.array(*[numeric_answer(df, v, na_codes) for v in variables])
     long = (
         df.select(
             weight_column(df, weight, null_weight).alias("weight"),
-            *[key.alias(name) for name, key in ties.items()],
+            *[column(name).alias(key) for name, key in zip(order_by, keys)],
             answers.alias("answers"),
         )
-        .select("weight", *ties, explode_slots("answers").alias("slot", "value"))
+        .select("weight", *keys, explode_slots("answers").alias("slot", "value"))
         .filter(F.col("value").isNotNull())
     )
-    order = ["value", *ties]
+    order = [("value", "double", F.col("value"))]
+    for name, key in zip(order_by, keys):
+        order += _tie_columns(name, key, df.schema[name].dataType, len(order))
     cuts = _first_look(long, len(variables), accuracy)
     _search(long, order, cuts, sortable, accuracy)
 
-    kept = long.filter(
-        _up_to_cut(order, cuts[1::2], long) & ~_up_to_cut(order, cuts[0::2], long)
-    )
+    kept = long.filter(_up_to_cut(order, cuts[1::2]) & ~_up_to_cut(order, cuts[0::2]))
     partial = (
         kept.groupBy("slot")
         .agg(*partial_columns(F.col("value"), F.col("weight")))
@@ -100,6 +100,11 @@ def trimmed_means(
     return found.select("variable", *mean_statistics())
 
 
+# A column of the order: its name, its type and how a row's value comes about. It is
+# worked out only for rows that earlier columns leave in question.
+_Order = list[tuple[str, str, Column]]
+
+
 @dataclass
 class _Cut:
     """A point in the order: ``rank`` rows of the ``size`` in question lie up to it.
@@ -167,7 +172,7 @@ def _around(share: float, accuracy: int) -> tuple[float, float]:
     return max(0.0, share - margin), min(1.0, share + margin)
 
 
-def _search(long: DataFrame, order: list[str], cuts: list[_Cut], sortable: int, accuracy: int):
+def _search(long: DataFrame, order: _Order, cuts: list[_Cut], sortable: int, accuracy: int):
     while open_cuts := [c for c in cuts if not c.found]:
         level = min(len(c.point) for c in open_cuts)
         if level == len(order):
@@ -182,30 +187,25 @@ def _search(long: DataFrame, order: list[str], cuts: list[_Cut], sortable: int,
 
 
 def _rows_in_question(long, order, level, cuts, active) -> DataFrame:
-    """The rows an active cut may still fall on, one copy per such cut."""
+    """The rows an active cut may still fall on, one copy per such cut, with the
+    columns of the order from ``level`` on."""
     both = F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)
     rows = long.withColumn("cut", F.explode_outer(both)).filter(
         F.col("cut").isin([c.number for c in active])
     )
-    types = dict(long.dtypes)
-
-    def of_cut(values, name):
-        return pick(values, "cut", types[name])
-
-    for i, name in enumerate(order[:level]):
+    for i, (_, kind, value) in enumerate(order[:level]):
         points = [c.point[i] if len(c.point) > i else None for c in cuts]
-        rows = rows.filter(F.col(name) == of_cut(points, name))
-    name = order[level]
-    low = of_cut([c.low for c in cuts], name)
-    high = of_cut([c.high for c in cuts], name)
-    return rows.filter(low.isNull() | (F.col(name) > low)).filter(
-        high.isNull() | (F.col(name) < high)
-    )
+        rows = rows.filter(value == pick(points, "cut", kind))
+    _, kind, value = order[level]
+    low = pick([c.low for c in cuts], "cut", kind)
+    high = pick([c.high for c in cuts], "cut", kind)
+    rows = rows.filter(low.isNull() | (value > low)).filter(high.isNull() | (value < high))
+    return rows.select("cut", *[v.alias(name) for name, _, v in order[level:]])
 
 
 def _read_off(long, order, level, cuts, few) -> None:
     """Sort the few rows left and take the one at the rank."""
-    names = order[level:]
+    names = [name for name, _, _ in order[level:]]
     rows = _rows_in_question(long, order, level, cuts, few)
     # Rows alike in all columns are peers of this frame and share its count.
     upto = Window.partitionBy("cut").orderBy(*names)
@@ -226,10 +226,9 @@ def _read_off(long, order, level, cuts, few) -> None:
 
 def _count_round(long, order, level, cuts, many, accuracy) -> None:
     """Propose two pivots per cut and count the rows on either side of them."""
-    name = order[level]
+    name, kind, _ = order[level]
     rows = _rows_in_question(long, order, level, cuts, many)
     _propose_pivots(rows, name, [c for c in many if c.pivots is None], accuracy)
-    kind = dict(long.dtypes)[name]
     first, second = (
         pick([c.pivots[i] if c.pivots else None for c in cuts], "cut", kind) for i in (0, 1)
     )
@@ -275,58 +274,55 @@ def _propose_pivots(rows, name, cuts, accuracy) -> None:
         cut.pivots = tuple(found[cut.number][fractions.index(f)] for f in wanted[cut.number])
 
 
-def _up_to_cut(order: list[str], cuts: list[_Cut], long: DataFrame) -> Column:
+def _up_to_cut(order: _Order, cuts: list[_Cut]) -> Column:
     """True for rows up to their variable's cut; ``cuts`` are in slot order.
 
     Nearly every row is settled by its value. The tie-breaking columns are compared
-    as one struct, which keeps the generated code small enough to be compiled.
+    as one struct, which keeps the generated code small.
     """
-    types = dict(long.dtypes)
-    value, ties = F.col(order[0]), order[1:]
+    (_, kind, value), *ties = order
     # Where a cut ends before the last column, all rows alike so far are up to it.
     last = {"bigint": (1 << 63) - 1, "double": math.inf}
 
     def tie_struct(cut: _Cut) -> str:
-        rest = cut.point[1:] + [last[types[t]] for t in ties[max(0, len(cut.point) - 1):]]
-        fields = [f"'{t}', {sql_literal(v, types[t])}" for t, v in zip(ties, rest)]
+        rest = cut.point[1:] + [last[t] for _, t, _ in ties[max(0, len(cut.point) - 1):]]
+        fields = [f"'{name}', {sql_literal(v, t)}" for (name, t, _), v in zip(ties, rest)]
         return f"named_struct({', '.join(fields)})"
 
-    point = pick([c.point[0] if c.point else None for c in cuts], "slot", types[order[0]])
+    point = pick([c.point[0] if c.point else None for c in cuts], "slot", kind)
     upto = value < point
     if ties:
         structs = ", ".join(tie_struct(c) for c in cuts)
         cut_ties = F.expr(f"element_at(array({structs}), slot + 1)")
-        upto = upto | ((value == point) & (F.struct(*ties) <= cut_ties))
+        row_ties = F.struct(*[v.alias(name) for name, _, v in ties])
+        upto = upto | ((value == point) & (row_ties <= cut_ties))
     else:
         upto = upto | (value == point)
     return F.coalesce(upto, F.lit(False))
 
 
-def _tie_columns(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
-    """Tie-breaking columns as numbers that a double can hold."""
-    out = []
-    for name in order_by:
-        data_type = df.schema[name].dataType
-        value = column(name)
-        if isinstance(data_type, T.DateType):
-            value, kind = F.unix_date(value), "bigint"
-        elif isinstance(data_type, T.TimestampType):
-            value, kind = F.unix_micros(value), "bigint"
-        elif isinstance(data_type, T.IntegralType):
-            kind = "bigint"
-        elif isinstance(data_type, (T.FloatType, T.DoubleType)):
-            kind = "double"
-        else:
-            raise ValueError(
-                f"cannot order by {name}: use number, date or time columns, "
-                "or a hash of it such as xxhash64"
-            )
-        missing = F.raise_error(F.lit(f"null in the tie-breaking column {name}")).cast(kind)
-        value = F.coalesce(value.cast(kind), missing)
-        if isinstance(data_type, (T.LongType, T.TimestampType)):
-            # Two columns with the same order: the leading bits, then the others.
-            out.append(F.shiftright(value, _EXACT_BITS))
-            out.append(value.bitwiseAND(F.lit((1 << _EXACT_BITS) - 1)))
-        else:
-            out.append(value)
-    return out
+def _tie_columns(name: str, key: str, data_type: T.DataType, first: int) -> _Order:
+    """A tie-breaking column as numbers that a double can hold."""
+    value = F.col(key)
+    if isinstance(data_type, T.DateType):
+        value, kind = F.unix_date(value), "bigint"
+    elif isinstance(data_type, T.TimestampType):
+        value, kind = F.unix_micros(value), "bigint"
+    elif isinstance(data_type, T.IntegralType):
+        kind = "bigint"
+    elif isinstance(data_type, (T.FloatType, T.DoubleType)):
+        kind = "double"
+    else:
+        raise ValueError(
+            f"cannot order by {name}: use number, date or time columns, "
+            "or a hash of it such as xxhash64"
+        )
+    missing = F.raise_error(F.lit(f"null in the tie-breaking column {name}")).cast(kind)
+    value = F.coalesce(value.cast(kind), missing)
+    if not isinstance(data_type, (T.LongType, T.TimestampType)):
+        return [(f"tie_{first}", kind, value)]
+    # Two columns with the same order: the leading bits, then the others.
+    return [
+        (f"tie_{first}", kind, F.shiftright(value, _EXACT_BITS)),
+        (f"tie_{first + 1}", kind, value.bitwiseAND(F.lit((1 << _EXACT_BITS) - 1))),
+    ]

@@ -29,7 +29,13 @@ from surveytab.functions.codes import (
     literal_code,
     native_code,
 )
-from surveytab.functions.frames import literal_rows, percent, require_columns, weight_column
+from surveytab.functions.frames import (
+    broadcast_if_bounded,
+    literal_rows,
+    percent,
+    require_columns,
+    weight_column,
+)
 from surveytab.functions.names import names_a_mean, without_mention_suffix
 from surveytab.operators.means import (
     NO_ANSWER,
@@ -234,6 +240,7 @@ def report_frequencies(
         .groupBy("split_id", "variable")
         .agg(F.sum("n").alias("whole"), F.sum("n_weighted").alias("whole_weight"))
     )
+    answered = broadcast_if_bounded(answered, len(numbered) * len(spec.variables))
     zero = F.lit(0.0)
     return table.join(answered, ["split_id", "variable"], "left").select(
         "split_id",

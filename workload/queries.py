@@ -222,7 +222,7 @@ def mean_trimmed(spark, sf):
 def mean_trimmed_scalable(spark, sf):
     """The same search with so few sortable rows that it has to narrow down first."""
     return rounded(
-        trimmed_means(survey(spark, sf), ["v30m"], TIE_KEY, WEIGHT, sortable=100, accuracy=100)
+        trimmed_means(survey(spark, sf), ["v30m"], TIE_KEY, WEIGHT, sortable=1_000, accuracy=1_000)
     )
 
 
@@ -230,7 +230,7 @@ def mean_trimmed_ties(spark, sf):
     """Fifty values over all rows: both cuts fall among many equal answers."""
     interviews = survey(spark, sf).withColumn("rating", F.col(WEIGHT))
     return rounded(
-        trimmed_means(interviews, ["rating"], TIE_KEY, WEIGHT, sortable=100, accuracy=100)
+        trimmed_means(interviews, ["rating"], TIE_KEY, WEIGHT, sortable=1_000, accuracy=1_000)
     )
 
 
