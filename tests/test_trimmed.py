@@ -47,8 +47,14 @@ def data(spark):
     ).cache()
 
 
-@pytest.mark.parametrize("value", ["spread", "few", "hot", "nearly_constant", "constant"])
-@pytest.mark.parametrize("sortable, accuracy", [(10**6, 10**4), (100, 100), (1, 10)])
+@pytest.mark.parametrize(
+    "value, sortable, accuracy",
+    [
+        ("spread", 10**6, 10**4), ("hot", 10**6, 10**4),
+        *[(v, 100, 100) for v in ("spread", "few", "hot", "nearly_constant", "constant")],
+        ("few", 1, 10), ("hot", 1, 10),
+    ],
+)
 def test_search_equals_tiles(data, value, sortable, accuracy):
     expected = by_tiles(data, value, ["k", "id"])
     got = trimmed_means(
@@ -70,7 +76,7 @@ def test_several_variables_at_once(data):
     assert (got["nothing"].n, got["nothing"].mean) == (0, None)
 
 
-@pytest.mark.parametrize("rows", [0, 1, 2, 3, 50, 99, 100, 101])
+@pytest.mark.parametrize("rows", [0, 1, 3, 99, 101])
 def test_few_rows(data, rows):
     got = trimmed_means(data.filter(F.col("id") < rows), ["spread"], ["id"], "w").first()
     bottom, top = rows_trimmed(rows)

@@ -36,8 +36,7 @@ KINDS = {
 }
 
 
-def differences(spark, con, query, sql: str, sf_dir: str) -> list[str]:
-    df = query(spark, sf_dir)
+def differences(con, df, sql: str) -> list[str]:
     ours = [tuple(r) for r in df.collect()]
     result = con.execute(sql)
     columns = {d[0]: str(d[1]) for d in result.description}
@@ -67,7 +66,7 @@ def main(sf_dir: str, only: list[str]) -> int:
             continue
         start = time.time()
         try:
-            found = differences(spark, con, query, ORACLE[name], sf_dir)
+            found = differences(con, query(spark, sf_dir), ORACLE[name])
         except Exception as error:  # report and go on to the next query
             found = [f"{type(error).__name__}: {str(error)[:600]}"]
         failed += bool(found)
