@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from surveytab.functions.codes import code_as, shared_code_type, text_code
 from surveytab.functions.frames import percent, pick, require_columns, weight_column
 from surveytab.operators.domain import with_dictionary_code
-from surveytab.operators.tally import explode_slots
+from surveytab.operators.tally import explode_lines
 
 
 def cross_single(
@@ -56,20 +56,16 @@ def _cross(df, options, lines, weight, null_weight) -> DataFrame:
     names = list(dict.fromkeys((col, name) for col, name, _ in lines))
     col_kind = shared_code_type(df, [col for col, _, _ in lines])
     row_kind = shared_code_type(df, [row for _, _, row in lines])
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(names.index((col, name))).alias("pair"),
-                code_as(df, col, col_kind).alias("col"),
-                code_as(df, row, row_kind).alias("row"),
-            )
-            for col, name, row in lines
-        ]
-    )
+    pairs = [
+        {
+            "pair": F.lit(names.index((col, name))),
+            "col": code_as(df, col, col_kind),
+            "row": code_as(df, row, row_kind),
+        }
+        for col, name, row in lines
+    ]
     counted = (
-        df.select(weight_column(df, weight, null_weight).alias("w"), pairs.alias("pairs"))
-        .select("w", explode_slots("pairs").alias("slot", "line"))
-        .select("line.pair", "line.col", "line.row", "w")
+        explode_lines(df, {"w": weight_column(df, weight, null_weight)}, pairs)
         .groupBy("pair", "col", "row")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("n_weighted"))
     )

@@ -28,7 +28,7 @@ from surveytab.functions.codes import (
 )
 from surveytab.functions.frames import literal_rows, pick, require_columns, weight_column
 from surveytab.operators.domain import with_dictionary_code
-from surveytab.operators.tally import explode_slots
+from surveytab.operators.tally import explode_lines, explode_slots
 
 NO_ANSWER = (-88, -99)
 
@@ -72,25 +72,20 @@ def cross_means(
     """
     require_columns(df, [name for pair in pairs for name in pair])
     kind = shared_code_type(df, [c for c, _ in pairs])
-    lines = F.array(
-        *[
-            F.struct(
-                code_as(df, c, kind).alias("native"),
-                numeric_answer(df, x, na_codes).alias("value"),
-            )
-            for c, x in pairs
-        ]
-    )
-    exploded = (
-        df.select(weight_column(df, weight, null_weight).alias("weight"), lines.alias("lines"))
-        .select("weight", explode_slots("lines").alias("slot", "line"))
-        .select("slot", "line.native", "line.value", "weight")
-    )
+    lines = [
+        {
+            "pair": F.lit(i),
+            "native": code_as(df, c, kind),
+            "value": numeric_answer(df, x, na_codes),
+        }
+        for i, (c, x) in enumerate(pairs)
+    ]
+    exploded = explode_lines(df, {"weight": weight_column(df, weight, null_weight)}, lines)
     partial = (
-        exploded.groupBy("slot", "native")
+        exploded.groupBy("pair", "native")
         .agg(*partial_columns(F.col("value"), F.col("weight")))
-        .withColumn("col_variable", pick([c for c, _ in pairs], "slot"))
-        .withColumn("mean_variable", pick([x for _, x in pairs], "slot"))
+        .withColumn("col_variable", pick([c for c, _ in pairs], "pair"))
+        .withColumn("mean_variable", pick([x for _, x in pairs], "pair"))
         .withColumn("col_code", text_code(F.col("native"), kind))
     )
     placed = with_dictionary_code(partial, options, "col_variable", "col_code", "col_order")

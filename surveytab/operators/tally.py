@@ -40,6 +40,20 @@ def explode_slots(array: str) -> Column:
     return F.posexplode_outer(array)
 
 
+def explode_lines(df: DataFrame, kept: dict[str, Column], lines: Sequence[dict[str, Column]]):
+    """One row per interview and line, all lines having the same fields. A single
+    line needs no exploding."""
+    kept_columns = [c.alias(name) for name, c in kept.items()]
+    if len(lines) == 1:
+        return df.select(*kept_columns, *[c.alias(name) for name, c in lines[0].items()])
+    structs = [F.struct(*[c.alias(name) for name, c in line.items()]) for line in lines]
+    return (
+        df.select(*kept_columns, F.array(*structs).alias("lines"))
+        .select(*kept, explode_slots("lines").alias("slot", "line"))
+        .select(*kept, "line.*")
+    )
+
+
 @dataclass(frozen=True)
 class Slot:
     """One thing to count in every row.
