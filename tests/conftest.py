@@ -5,7 +5,10 @@ from workload.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4")
+    session = local_session("4")
+    # The tests' tables are tiny; fewer tasks make them quicker.
+    session.conf.set("spark.sql.shuffle.partitions", 2)
+    return session
 
 
 @pytest.fixture(scope="session")
