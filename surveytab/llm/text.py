@@ -17,11 +17,13 @@ BLOCK = 1 << 20  # bytes worked on at once
 _U = np.uint64
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _tables(letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Is a byte part of a word; its value; its value with A-Z as a-z; value of a place."""
     is_word = np.ones(256, bool)
     is_word[[0x20, *range(0x09, 0x0E)]] = False
+    if letters:
+        is_word[:128] = [chr(c).isalnum() for c in range(128)]
     rng = np.random.Generator(np.random.PCG64(20240229))
     value = rng.integers(1, 1 << 63, 256, dtype=_U) | _U(1)
     value[~is_word] = 0
@@ -51,9 +53,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _hash_words(data: np.ndarray, starts_of_rows: np.ndarray, lower: bool):
+def _hash_words(data: np.ndarray, starts_of_rows: np.ndarray, lower: bool, letters: bool):
     """Hashes of the words of ``data`` and the number of words before each row start."""
-    is_word, value, lowered, place = _tables()
+    is_word, value, lowered, place = _tables(letters)
     word = is_word[data]
     before = np.empty_like(word)
     before[:1] = False
@@ -87,9 +89,11 @@ def _cuts(data: np.ndarray, start: int, end: int) -> list[int]:
     return [*cuts, end]
 
 
-def hashed_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_words(
+    column: pa.Array, lower: bool = True, letters: bool = False
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, where each row's words start and the last end) for a few rows
-    at a time, in order."""
+    at a time, in order. With ``letters``, ASCII punctuation parts words as white space does."""
     data, offsets = utf8(column)
     row, rows = 0, len(column)
     while row < rows:
@@ -97,11 +101,11 @@ def hashed_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np
         last = min(max(last, row + 1), rows)
         begin, end = int(offsets[row]), int(offsets[last])
         if end - begin <= BLOCK:
-            hashes, firsts = _hash_words(data[begin:end], offsets[row:last] - begin, lower)
+            hashes, firsts = _hash_words(data[begin:end], offsets[row:last] - begin, lower, letters)
         else:  # one long text
             parts, start = [], begin
             for cut in _cuts(data, begin, end):
-                parts.append(_hash_words(data[start:cut], np.zeros(1, np.int64), lower)[0])
+                parts.append(_hash_words(data[start:cut], np.zeros(1, np.int64), lower, letters)[0])
                 start = cut
             hashes, firsts = np.concatenate(parts), np.zeros(1, np.int64)
         yield row, hashes, np.append(firsts, len(hashes))
