@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20  # bytes worked on at once
+BLOCK = 1 << 18  # bytes worked on at once
 _U = np.uint64
 
 
