@@ -30,7 +30,7 @@ HIDDEN = 32
 TRAIN_DOCS = 800  # sampled by doc_id
 TRAIN_WORDS = 250_000  # of them at most
 EPOCHS, BATCH, RATE = 2, 512, 0.004
-AT_ONCE = 8192
+AT_ONCE = 1024
 _U = np.uint64
 
 

@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 18  # bytes worked on at once
+_PLACES = 1 << 18
 _U = np.uint64
 
 
 @lru_cache(maxsize=2)
-def _tables(letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables(letters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Is a byte part of a word; its value; its value with A-Z as a-z; value of a place."""
     is_word = np.ones(256, bool)
     is_word[[0x20, *range(0x09, 0x0E)]] = False
@@ -29,7 +30,7 @@ def _tables(letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     value[~is_word] = 0
     lower = value.copy()
     lower[65:91] = value[97:123]
-    place = np.full(BLOCK, 0x9E3779B97F4A7C15, _U)
+    place = np.full(_PLACES, 0x9E3779B97F4A7C15, _U)
     place[0] = 1
     return is_word, value, lower, np.multiply.accumulate(place)
 
@@ -77,12 +78,12 @@ def _hash_words(data: np.ndarray, starts_of_rows: np.ndarray, lower: bool, lette
 
 def _cuts(data: np.ndarray, start: int, end: int) -> list[int]:
     """Ends of pieces of about BLOCK bytes, each after white space."""
-    is_word = _tables()[0]
+    is_word = _tables(False)[0]
     cuts = []
     while end - start > BLOCK:
         at = start + BLOCK
         while at < end and is_word[data[at - 1]]:
-            more = np.flatnonzero(~is_word[data[at : at + BLOCK]])
+            more = np.flatnonzero(~is_word[data[at : min(at + BLOCK, end)]])
             at = at + int(more[0]) + 1 if len(more) else min(at + BLOCK, end)
         cuts.append(at)
         start = at

@@ -1,0 +1,52 @@
+import re
+
+import numpy as np
+import pyarrow as pa
+
+from surveytab.llm import text as T
+
+from .helpers import WORD, ascii_lower
+
+
+def hashes(rows, block=None, **options):
+    old, T.BLOCK = T.BLOCK, block or T.BLOCK
+    try:
+        out = []
+        for _, h, firsts in T.hashed_words(pa.array(rows, pa.string()), **options):
+            out += [h[a:b].tolist() for a, b in zip(firsts[:-1], firsts[1:])]
+        return out
+    finally:
+        T.BLOCK = old
+
+
+ROWS = ["One two\tthree", None, "", "  \n", "étude\x0bÜber one", "A" * 500 + " b " + "c" * 300, "ONE one x" * 50]
+
+
+def test_words_are_split_and_equal_words_hash_alike():
+    seen = {}
+    for row, got in zip(ROWS, hashes(ROWS)):
+        words = WORD.findall(ascii_lower(row or ""))
+        assert len(words) == len(got)
+        for word, h in zip(words, got):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_block_size_does_not_matter():
+    assert hashes(ROWS, 64) == hashes(ROWS, 1 << 16)
+    rows = ["alpha beta gamma. " * n + "end" for n in range(30)]  # texts end without white space
+    assert hashes(rows, 64) == hashes(rows, 1 << 16)
+    assert hashes(["word " * 100_000], 4096) == hashes(["word " * 100_000])
+
+
+def test_slices_and_letters():
+    column = pa.array(ROWS, pa.string()).slice(4, 1)
+    [(_, h, firsts)] = T.hashed_words(column)
+    assert h.tolist() == hashes(ROWS)[4] and firsts.tolist() == [0, 3]
+    assert hashes(["idiot, (idiot)"], letters=True)[0][0] == hashes(["IDIOT"])[0][0]
+    assert len(hashes(["a_b-c é,ü"], letters=True)[0]) == len(re.findall(r"[^\W_]+", "a_b-c é,ü"))
+
+
+def test_mixed_is_one_to_one_on_many_numbers():
+    x = np.arange(100_000, dtype=np.uint64)
+    assert len(np.unique(T.mixed(x))) == len(x)
