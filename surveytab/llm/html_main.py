@@ -4,7 +4,8 @@ A page becomes a tree of its block elements. Menus, headers, footers, notices, a
 scripts and comments of readers are cut out by element and by class, id or role. Every
 paragraph passes points for its length and its commas to its ancestors: all to the parent, half to
 the next, a third of that to those above, and so on. A container's points are discounted
-by its link density. The best one is kept, with those of its siblings that score well too or are
+by its link density. The best one is kept (or what is around it, if that has much more text
+with few links), with those of its siblings that score well too or are
 paragraphs of prose, and headings before them.
 
 The work on a page is proportional to its length, without recursion.
@@ -54,6 +55,8 @@ CUT_WORDS = re.compile(
 NEVER_CUT = frozenset(("html", "body", "main", "article"))
 CONTAINERS = frozenset("article blockquote body dd details div figure html li main ol pre section table tbody td ul".split())
 
+CELLS = frozenset(("dd", "li", "td"))  # their own text is a paragraph of what is around them
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
@@ -62,6 +65,9 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'(
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+WRAPPED = 1.5  # a parent with so many times the text of its best child is better
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "cut", "points", "length", "linked", "blocks", "order")
 
@@ -205,7 +211,8 @@ def _score(nodes: list[Node]) -> None:
             continue
         points = sum(1 + t.count(",") + min(len(t) / 100, 3) for _, t in node.blocks)
         points *= 1 - node.linked / max(node.length, 1)
-        share, up = 1.0, node if node.tag in CONTAINERS else node.parent
+        own = node.tag in CONTAINERS and node.tag not in CELLS or node.parent is None
+        share, up = 1.0, node if own else node.parent
         step = 0
         while up is not None and share > 1e-3:
             up.points += points * share
@@ -248,6 +255,11 @@ def main_text(html: str | None) -> str:
             best, best_score = node, score
     if best is None:
         best = root
+    while (  # text of the same kind in other wrappers
+        best.parent is not None and not best.parent.cut and best.parent.length >= WRAPPED * best.length
+        and _density(best.parent) < 0.25
+    ):
+        best = best.parent
     up = best
     while up is not None:  # what the page itself calls its article
         if up.tag in ("article", "main"):
