@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
@@ -34,6 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _how_many(values: Column, value) -> Column:
+    return F.size(F.filter(values, lambda v: v == F.lit(value))).cast("bigint")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted_languages(table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,7 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, and how many finds of each kind were replaced."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, kinds = pseudonymised(documents, PSEUDONYM_KEY)
-    counts = [F.size(F.filter(kinds, lambda k, n=n: k == n)).cast("bigint").alias(f"n_{n}") for n in KINDS]
-    return found.select("doc_id", "text", *counts)
+    return found.select("doc_id", "text", *[_how_many(F.col(kinds), n).alias(f"n_{n}") for n in KINDS])
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +60,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans as text."""
     found = secrets(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-        for k, kind in enumerate(SECRET_KINDS[:3])
-    ]
+    counts = [_how_many(F.col("base.kind"), k).alias(f"n_{kind}") for k, kind in enumerate(SECRET_KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("found").alias("spans"))
 
 
