@@ -33,8 +33,8 @@ BLOCK_DIGITS = 3  # hexadecimal: 4096 blocks per source
 MOST_BROADCAST = 200_000  # rows of the plan (blocks) sent to all executors at most
 
 
-def _digest(*parts: str | Column) -> Column:
-    return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]))
+def _digest(seed: str, what: str, *columns: str | Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), F.lit(what), *columns))
 
 
 def word_count(text: str = "text") -> Column:
@@ -71,7 +71,7 @@ def shard_quotas(units: DataFrame, shards: int, seed: str) -> DataFrame:
     leaves of the splitting tree. ``shards`` is a power of two."""
     nodes = units.select("source", "unit", F.lit(0).alias("node"))
     for level in range(shards.bit_length() - 1):
-        order = _digest(seed, f"split {level}", F.col("node").cast("string"), F.coalesce("source", F.lit("\0")), "unit")
+        order = _digest(seed, f"split {level}", "node", F.coalesce("source", F.lit("\0")), "unit")
         at_node = Window.partitionBy("node")
         left = F.row_number().over(at_node.orderBy(order, "unit")) <= F.floor((F.count("*").over(at_node) + 1) / 2)
         nodes = nodes.select("source", "unit", (F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node"))
@@ -101,11 +101,11 @@ def mixing_plan(
     blocks = written(
         blocks.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "blocks")
     order = Window.partitionBy("source").orderBy(
-        "epoch", _digest(seed, "block", F.col("epoch").cast("string"), "block"), "block")
+        "epoch", _digest(seed, "block", "epoch", "block"), "block")
     taken = (
         blocks.filter("words > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-        .withColumn("unit", F.concat_ws("/", F.col("epoch").cast("string"), "block"))
+        .withColumn("unit", F.concat_ws("/", "epoch", "block"))
         .withColumn("begins", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
         .withColumn("rank", F.row_number().over(order) - 1)
         .filter("begins < target")
@@ -136,7 +136,7 @@ def _drawn(sized: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block")))
     whole = F.coalesce("whole", F.array().cast("array<struct<epoch:int,shard:int>>"))
     inside = Window.partitionBy("source", "block").orderBy(
-        _digest(seed, "inside", F.col("part.epoch").cast("string"), "place"), "size")
+        _digest(seed, "inside", "part.epoch", "place"), "size")
     middle = F.col("part.begins") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
     some = joined.filter("part is not null").withColumn("in", (middle <= F.col("target")) & (F.col("size") > 0))
     some = some.withColumn("draws", F.when(F.col("in"), F.concat(whole, F.array(F.struct("part.epoch", "part.shard")))).otherwise(whole)).drop("in")
@@ -170,7 +170,7 @@ def mixture(documents: DataFrame, **options) -> DataFrame:
     rows = _sized(documents.select("doc_id", "source", "text", kept.alias("row")), word_count(), seed).drop("text")
     plan = written(mixing_plan(written(rows.select("source", "block", "size"), "sized"), **options), "plan")
     drawn = _drawn(rows, plan, seed).select("row", "place", F.explode("draws").alias("draw"))
-    order = _digest(seed, "order", F.col("draw.shard").cast("string"), F.col("draw.epoch").cast("string"), "place")
+    order = _digest(seed, "order", "draw.shard", "draw.epoch", "place")
     more = {"epoch": F.col("draw.epoch"), "shard": F.col("draw.shard"), "shard_order": order}
     return drawn.select("row.*", *[c.alias(fresh(documents, n)) for n, c in more.items()])
 
