@@ -2,8 +2,8 @@
 
 The patterns (assign, access, hex) find the base spans. Their values are the labelled samples
 of random strings; the words without digits of a bounded sample of documents are those of
-ordinary identifiers. Both train a first-order Markov model over 66 characters, with every
-pair of characters counted once more than it was seen. Any other run of 16 or more such characters
+ordinary identifiers. Both train a first-order Markov model over 68 characters, smoothed by the
+transitions between small letters, capitals, digits and signs. Any other run of 16 or more such characters
 is a secret too (kind ``random``) if the log-likelihood ratio of the models, divided by the number of
 transitions, reaches a threshold.
 
@@ -32,6 +32,7 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"(?<![\p{L}0-9])[A-Za-z0-9+/_=-]{16,}(?![\p{L}0-9])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SAMPLE_DOCS = 2000  # documents whose words are samples of identifiers
+PRIOR = 20.0
 THRESHOLD = 0.7  # nats per transition
 
 
@@ -82,16 +83,31 @@ def _pairs(values: DataFrame) -> dict[str, int]:
     return {r["pair"]: r["count"] for r in rows}
 
 
+def _class(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def transitions(pairs: dict[str, int]) -> dict[str, float]:
+    """p(b | a) as b after a: counts, and PRIOR more that fall to the classes of characters as the
+    classes' own transitions say, evenly within a class."""
+    members = [sum(_class(c) == k for c in ALPHABET) for k in range(4)]
+    classes = [[1.0] * 4 for _ in range(4)]
+    for pair, n in pairs.items():
+        classes[_class(pair[0])][_class(pair[1])] += n
+    out = {}
+    for a in ALPHABET:
+        row, total = classes[_class(a)], sum(pairs.get(a + b, 0) for b in ALPHABET)
+        for b in ALPHABET:
+            prior = row[_class(b)] / sum(row) / members[_class(b)]
+            out[a + b] = (pairs.get(a + b, 0) + PRIOR * prior) / (total + PRIOR)
+    return out
+
+
 def log_ratios(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
     """log p(b | a, random) - log p(b | a, ordinary) by place of a and b, 0 being any other character."""
-    n = len(ALPHABET)
-    out = []
-    for a in "\0" + ALPHABET:
-        totals = [sum(m.get(a + b, 0) for b in ALPHABET) + n for m in (random, ordinary)]
-        for b in "\0" + ALPHABET:
-            p, q = ((m.get(a + b, 0) + 1) / t for m, t in zip((random, ordinary), totals))
-            out.append(0.0 if "\0" in (a, b) else round(math.log(p / q), 6))
-    return out
+    p, q = transitions(random), transitions(ordinary)
+    every = "\0" + ALPHABET
+    return [round(math.log(p[a + b] / q[a + b]), 6) if "\0" not in a + b else 0.0 for a in every for b in every]
 
 
 def _ratio(value: Column, ratios: list[float]) -> Column:
