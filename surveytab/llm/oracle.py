@@ -8,17 +8,17 @@ with recursive words as (
   from documents),
 shingles as (
   select doc_id, list_distinct(case
-    when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
   from words),
 sizes as (select doc_id, cast(len(s) as bigint) as n_shingles from shingles),
 exploded as (select doc_id, unnest(s) as g from shingles),
 common as (
-  select a.doc_id as a, b.doc_id as b, count(*) as both
+  select a.doc_id as a, b.doc_id as b, count(*) as shared
   from exploded a join exploded b on a.g = b.g and a.doc_id < b.doc_id group by all),
 links as (
   select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
-  where 100 * both >= 75 * (x.n_shingles + y.n_shingles - both)),
+  where 100 * shared >= 75 * (x.n_shingles + y.n_shingles - shared)),
 ways as (select a, b from links union all select b, a from links),
 reach(doc_id, other) as (
   select doc_id, doc_id from sizes
@@ -26,3 +26,41 @@ reach(doc_id, other) as (
 select doc_id, any_value(n_shingles) as n_shingles, min(other) as component_id
 from reach join sizes using (doc_id) group by doc_id
 """
+
+# Draws are in the order of the operator's hashes, which are MD5 of the same text here.
+MIXING = r"""
+with sized as (
+  select row_number() over () as r, doc_id, source,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    md5('mix|document|' || coalesce(cast(doc_id as varchar), 'null')) as place
+  from documents),
+sources as (
+  select source, sum(size) as source_size,
+    cast([5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as double) as weight
+  from sized group by source),
+stops as (
+  select *, cast(source_size as double) * 2 as stop, cast(source_size as double) * 2 / weight as stop_at
+  from sources),
+levels as (
+  select *, (cast(sum(source_size) over () as double) * 1.5 - coalesce(sum(stop) over below, 0))
+    / (sum(weight) over () - coalesce(sum(weight) over below, 0)) as level
+  from stops
+  window below as (order by stop_at, source nulls last rows between unbounded preceding and 1 preceding)),
+level as (select *, max(case when level <= stop_at then level end) over () as water from levels),
+targets as (
+  select source, cast(source_size as bigint) as source_size,
+    case when water is null or stop_at <= water then stop else weight * water end as target
+  from level),
+draws as (
+  select r, source, size, sum(size) over (
+    partition by source order by epoch, md5('mix|block|' || epoch || '|' || place[1:3]), place[1:3],
+      md5('mix|inside|' || epoch || '|' || place), size
+    rows between unbounded preceding and current row) - size / 2.0 as middle
+  from sized, (values (1), (2)) as epochs(epoch) where size > 0),
+taken as (
+  select r, cast(sum(size) as bigint) as taken
+  from draws join targets on targets.source is not distinct from draws.source
+  where middle <= target group by r)
+select doc_id, size, source_size, target, coalesce(taken, 0) as taken
+from sized join targets on targets.source is not distinct from sized.source left join taken using (r)
+"""

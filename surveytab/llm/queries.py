@@ -100,4 +100,5 @@ QUERIES = {
 
 ORACLE = {
     "op4_ngram_jaccard_join": oracle.NGRAM_JACCARD_JOIN,
+    "op9_mixing": oracle.MIXING,
 }

@@ -63,8 +63,8 @@ def test_run_is_the_stages_one_after_the_other(spark, folder):
 
 
 def test_registered():
-    names = [n for n in driver.queries() if n.startswith("op") or n == "pipeline"]
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and len(names) == 11
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert {"pipeline", *QUERIES} <= driver.queries().keys() and ORACLE.keys() <= QUERIES.keys()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
