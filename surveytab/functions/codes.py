@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,9 @@ from pyspark.sql import types as T
 
 BIGINT, DOUBLE, TEXT = "bigint", "double", "string"
 
-# Doubles at or above this size are not all distinct whole numbers.
-_LARGEST_WHOLE_DOUBLE = 1e15
+# Whole doubles below this size are written as the whole number they hold; from there on,
+# and for fractions, as Spark writes a double.
+_LARGEST_WHOLE_DOUBLE = 2.0**63
 
 
 def column(name: str) -> Column:
@@ -84,11 +86,25 @@ def literal_code(value: object) -> str:
     """A Python value written as canonical text."""
     if isinstance(value, bool):
         return str(int(value))
-    if isinstance(value, float) and value.is_integer():
-        return str(int(value))
+    if isinstance(value, float):
+        if value.is_integer() and abs(value) < _LARGEST_WHOLE_DOUBLE:
+            return str(int(value))
+        return _double_text(value)
     return str(value)
 
 
+def _double_text(value: float) -> str:
+    """A double as Spark writes it: with an exponent from 10^7 on and below 10^-3."""
+    if value != value or abs(value) == float("inf"):
+        return {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}[str(value)]
+    sign, digits, exponent = Decimal(repr(value)).normalize().as_tuple()
+    text, power = "".join(map(str, digits)), len(digits) + exponent - 1
+    if -3 <= power < 7:
+        plain = format(Decimal(repr(value)), "f")
+        return plain if "." in plain else plain + ".0"
+    return f"{'-' * sign}{text[0]}.{text[1:] or '0'}E{power}"
+
+
 def in_codes(code: Column, codes: Iterable[object]) -> Column:
     """Membership that is never null: a missing code is in no list."""
     listed = [literal_code(c) for c in codes]
@@ -109,7 +125,7 @@ def numeric_answer(df: DataFrame, name: str, na_codes: Iterable[object]) -> Colu
     """A measured answer as a double, with the listed codes and NaN nulled."""
     col = column(name)
     kind = code_type(df.schema[name].dataType)
-    if kind == TEXT:
+    if kind == TEXT and not isinstance(df.schema[name].dataType, T.DecimalType):
         col = null_codes(df, name, na_codes).cast(DOUBLE)
         return F.when(~F.isnan(col), col)
     # Numbers are compared as numbers: no text is made on the hot path.
@@ -122,8 +138,3 @@ def numeric_answer(df: DataFrame, name: str, na_codes: Iterable[object]) -> Colu
 def any_answered(df: DataFrame, names: Iterable[str]) -> Column:
     """True where at least one of the columns holds an answer; never null."""
     return reduce(operator.or_, [native_code(df, name).isNotNull() for name in names])
-
-
-def count_answered(df: DataFrame, names: Iterable[str]) -> Column:
-    """How many of the columns hold an answer in this row."""
-    return reduce(operator.add, [native_code(df, name).isNotNull().cast("int") for name in names])

@@ -23,6 +23,8 @@ def sql_literal(value, data_type: str | None = None) -> str:
         text = f"double('{value}')"
     else:
         escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        # Spark puts session settings in the place of ${...} before it reads the text.
+        escaped = escaped.replace("$", "\\u0024")
         text = f"'{escaped}'"
     return f"cast({text} AS {data_type})" if data_type else text
 
@@ -63,7 +65,7 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
 def weight_column(df: DataFrame, weight: str | None, null_weight: str) -> Column:
     """The weight as a double; without one, every row weighs 1.
 
-    A null weight stops the job, unless ``null_weight='ignore'`` lets such rows
+    A null weight (or one that is not a number) stops the job, unless ``null_weight='ignore'`` lets such rows
     count as rows that weigh nothing.
     """
     if null_weight not in ("raise", "ignore"):
@@ -72,6 +74,7 @@ def weight_column(df: DataFrame, weight: str | None, null_weight: str) -> Column
         return F.lit(1.0)
     require_columns(df, [weight])
     value = column(weight).cast("double")
+    value = F.when(~F.isnan(value), value)
     if null_weight == "ignore":
         return F.coalesce(value, F.lit(0.0))
     message = f"null weight in column {weight}; pass null_weight='ignore' to skip such rows"

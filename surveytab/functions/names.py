@@ -51,7 +51,3 @@ def names_a_mean(variable: str) -> bool:
 def without_mention_suffix(variable: str) -> str:
     """The variable name without its first ``_citou`` mark."""
     return variable.replace("_citou", "", 1)
-
-
-def ending_with(names: Iterable[str], suffix: str) -> list[str]:
-    return [name for name in names if name.endswith(suffix)]

@@ -40,7 +40,8 @@ from surveytab.operators.tally import (
     tally,
 )
 
-TOTAL_ORDER, BASE_ORDER = 2_147_483_646, 2_147_483_647
+# After all codes; ``row_order`` is a double.
+TOTAL_ORDER, BASE_ORDER = 1e300, 2e300
 
 Groups = dict[str, Sequence[str]] | Sequence[Sequence[str]]
 
@@ -168,7 +169,7 @@ def _summary(label: str, order: int, n: str, weight: str, of_n: str, of_weight:
         return f"try_divide(100.0D * {part}, cast({whole} AS double))"
 
     return (
-        f"named_struct('code', '{label}', 'row_kind', '{label.lower()}', 'row_order', {order}, "
+        f"named_struct('code', '{label}', 'row_kind', '{label.lower()}', 'row_order', double('{order}'), "
         f"'n', {filled(n)}, 'n_weighted', {filled(weight)}, "
         f"'pct', {filled(share(n, of_n))}, "
         f"'pct_weighted', {filled(share(weight, of_weight))})"

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import column, literal_code
-from surveytab.functions.names import clean_names
+from surveytab.functions.names import clean_names, repair_names
 
 _MEASURES = ("n", "n_weighted", "pct", "pct_weighted")
 
+# Codes or splits that may become columns when the caller does not list them.
+MOST_COLUMNS = 2_000
+# Stands for the split of rows without one.
+_NO_SPLIT = "NA"
+
 
 def layout_tidy(table: DataFrame) -> DataFrame:
     """One row per code, with the totals and base percentages as columns."""
@@ -37,35 +42,87 @@ def layout_tidy(table: DataFrame) -> DataFrame:
     )
 
 
-def layout_wide(table: DataFrame, codes: Sequence) -> DataFrame:
+def _found(values: DataFrame, what: str) -> list[str]:
+    """The different values of a table's one column, in order; they become columns."""
+    rows = values.distinct().orderBy(*values.columns).limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} {what}: list the ones to show")
+    return list(dict.fromkeys(r[-1] for r in rows))
+
+
+def _only_listed(value: Column, listed: Sequence[str], unlisted: str, what: str) -> Column:
+    """The value, if it is listed; what is not stops the job, or is null (``unlisted='drop'``)."""
+    if unlisted not in ("raise", "drop"):
+        raise ValueError("unlisted must be 'raise' or 'drop'")
+    kept = F.when(value.isin(list(listed)), value)
+    if unlisted == "drop":
+        return kept
+    message = F.concat(F.lit(f"{what} not listed: "), value)
+    return F.coalesce(kept, F.raise_error(message).cast("string"))
+
+
+def layout_wide(
+    table: DataFrame, codes: Sequence | None = None, unlisted: str = "raise"
+) -> DataFrame:
     """Two rows per variable, weighted percentages and weighted counts, with one
-    column per code, ``Total`` and ``Base``; what is missing is 0."""
-    columns = [*[literal_code(c) for c in codes], "Total", "Base"]
+    column per code, ``Total`` and ``Base``; what is missing is 0.
+
+    Without ``codes``, all codes found are columns, in table order. A code that is not listed
+    stops the job, unless ``unlisted='drop'``. A code that is called like another column
+    gets ``...position`` behind its name, as the other does.
+    """
+    if codes is None:
+        coded = table.filter(F.col("row_kind") == "code")
+        listed = _found(coded.select("row_order", "code"), "codes")
+    else:
+        listed = list(dict.fromkeys(literal_code(c) for c in codes))
     long = table.unpivot(
-        [c for c in ("split", "variable", "code") if c in table.columns],
+        [c for c in ("split", "variable", "code", "row_kind") if c in table.columns],
         ["pct_weighted", "n_weighted"],
         "measure",
         "value",
     )
+    # The kind of a row is part of its name: a code may be called "Total".
+    name = F.when(
+        F.col("row_kind") == "code",
+        F.concat(F.lit("code "), _only_listed(F.col("code"), listed, unlisted, "code")),
+    ).otherwise(F.col("row_kind"))
     keys = [c for c in ("split", "variable", "measure") if c in long.columns]
-    wide = long.groupBy(*keys).pivot("code", columns).agg(F.first("value", ignorenulls=True))
+    cells = [*[f"code {c}" for c in listed], "total", "base"]
+    wide = (
+        long.withColumn("cell", name).groupBy(*keys).pivot("cell", cells)
+        .agg(F.first("value", ignorenulls=True))
+    )
     order = F.when(F.col("measure") == "pct_weighted", 1).otherwise(2)
-    return wide.na.fill(0.0, columns).select(
-        *keys, order.alias("row_order"), *[column(c) for c in columns]
+    names = repair_names([*keys, "row_order", *listed, "Total", "Base"])[len(keys) + 1 :]
+    return wide.na.fill(0.0, cells).select(
+        *keys, order.alias("row_order"), *[column(c).alias(n) for c, n in zip(cells, names)]
     )
 
 
-def layout_compare(table: DataFrame, splits: Sequence) -> DataFrame:
+def layout_compare(
+    table: DataFrame, splits: Sequence | None = None, unlisted: str = "raise"
+) -> DataFrame:
     """Splits side by side: one column per measure and split, clean names, and 0
-    where a split does not have the code. ``table`` is a table made with ``by``."""
-    splits = [literal_code(s) for s in splits]
+    where a split does not have the code. ``table`` is a table made with ``by``, labelled or not.
+
+    Without ``splits``, all that are found are shown; rows without a split are the split
+    ``NA``. A split that is not listed stops the job, unless ``unlisted='drop'``.
+    """
+    split = F.coalesce("split", F.lit(_NO_SPLIT))
+    if splits is None:
+        listed = _found(table.select(split.alias("split")), "splits")
+    else:
+        listed = [_NO_SPLIT if s is None else literal_code(s) for s in splits]
     keys = ["variable", "code", "row_kind", "row_order"]
+    keys += [c for c in ("label",) if c in table.columns]
     wide = (
-        table.groupBy(*keys)
-        .pivot("split", splits)
+        table.withColumn("split", _only_listed(split, listed, unlisted, "split"))
+        .groupBy(*keys)
+        .pivot("split", listed)
         .agg(*[F.first(m, ignorenulls=True).alias(m) for m in _MEASURES])
     )
-    pairs = [(measure, split) for measure in _MEASURES for split in splits]
+    pairs = [(measure, split) for measure in _MEASURES for split in listed]
     names = clean_names([f"{measure}_{split}" for measure, split in pairs])
     return wide.select(
         *keys,

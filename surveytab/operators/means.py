@@ -1,20 +1,22 @@
-"""Weighted means with their deviations and errors, from one scan.
+"""Weighted means with their deviations and errors, in two steps.
 
-A weighted variance needs squared distances from a mean that is not known yet.
-Summing squares loses all digits when the mean is large, and a second pass reads
-the data again. Spark's ``covar_pop`` is merged across tasks in a stable way, and
-two of them give the sum needed, with k answers, plain mean a and weight W:
+Squared distances from a mean that is not known yet lose their digits when the mean is
+large. So a first, narrow scan gives every measured variable an anchor, its plain mean, one
+row in all; the second scan works with answers less the anchor, which are no larger than the
+data are spread. From these, with k answers, plain mean a and weight W:
 
     sum(w (x - a))   = k * covar_pop(w, x)
     sum(w (x - a)^2) = k * (covar_pop(w x, x) - a * covar_pop(w, x))
 
-from which the weighted mean m is a step of ``sum(w (x - a)) / W`` away and
+the weighted mean m is a step of ``sum(w (x - a)) / W`` away and
 ``sum(w (x - m)^2)`` is smaller by that step squared times W. The same rule merges
-partial results, with the partial means in place of x.
+partial results, with the partial means in place of x. At the end the anchor is added to the
+means.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,13 +49,30 @@ def means(
     ``n`` and ``n_weighted`` count all rows, those without an answer included, and
     both errors divide by the square root of that ``n``.
     """
+    require_columns(df, variables)
     weights = {"_w": weight_column(df, weight, null_weight)}
+    centres = anchors(df, variables, na_codes)
     partial = choose_weight(
-        partial_means(df, variables, weights, na_codes), lambda name: F.col(f"{name}_w")
+        partial_means(df, variables, weights, na_codes, centres=centres),
+        lambda name: F.col(f"{name}_w"),
     )
     asked = literal_rows(df.sparkSession, {"variable": "string"}, [[v] for v in variables])
     found = asked.join(partial, "variable", "left").na.fill(0, ["rows", "rows_weight"])
-    return found.select("variable", *mean_statistics())
+    return found.select("variable", *mean_statistics(centre_of("variable", centres)))
+
+
+def anchors(df: DataFrame, variables: Sequence[str], na_codes: Sequence) -> dict[str, float]:
+    """A number near the answers of each variable: their plain mean, from a scan of these
+    columns alone. 0 without answers."""
+    names = list(dict.fromkeys(variables))
+    row = df.agg(*[F.avg(numeric_answer(df, v, na_codes)) for v in names]).first()
+    return {v: float(a) if a is not None and math.isfinite(a) else 0.0 for v, a in zip(names, row)}
+
+
+def centre_of(variable: str, centres: dict[str, float]) -> Column:
+    """The anchor of the variable that a column names."""
+    pairs = [F.lit(x) for pair in centres.items() for x in pair]
+    return F.element_at(F.create_map(*pairs), F.col(variable))
 
 
 def cross_means(
@@ -72,11 +91,12 @@ def cross_means(
     """
     require_columns(df, [name for pair in pairs for name in pair])
     kind = shared_code_type(df, [c for c, _ in pairs])
+    centres = anchors(df, [x for _, x in pairs], na_codes)
     lines = [
         {
             "pair": F.lit(i),
             "native": code_as(df, c, kind),
-            "value": numeric_answer(df, x, na_codes),
+            "value": numeric_answer(df, x, na_codes) - F.lit(centres[x]),
         }
         for i, (c, x) in enumerate(pairs)
     ]
@@ -93,7 +113,8 @@ def cross_means(
         placed, ["mean_variable", "col_variable", "col_code", "col_order"]
     )
     return merged.select(
-        "mean_variable", "col_variable", "col_code", "col_order", *mean_statistics()
+        "mean_variable", "col_variable", "col_code", "col_order",
+        *mean_statistics(centre_of("mean_variable", centres)),
     )
 
 
@@ -103,12 +124,17 @@ def partial_means(
     weights: dict[str, Column],
     na_codes: Sequence,
     keys: dict[str, Column] | None = None,
+    centres: dict[str, float] | None = None,
 ) -> DataFrame:
     """Mergeable moments per key and variable, all variables and weights in one
-    scan. The weighted moments of each weight carry its name as a suffix."""
+    scan. The weighted moments of each weight carry its name as a suffix. Answers are taken
+    less their anchor in ``centres``."""
     require_columns(df, variables)
     keys = keys or {}
-    answers = F.array(*[numeric_answer(df, v, na_codes) for v in variables])
+    centres = centres or dict.fromkeys(variables, 0.0)
+    answers = F.array(*[
+        numeric_answer(df, v, na_codes) - F.lit(centres[v]) for v in variables
+    ])
     x = F.col("value")
     return (
         df.select(
@@ -170,8 +196,10 @@ def merge_partial_means(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def mean_statistics() -> list[Column]:
-    """The eight statistics from the moments; null where they are undefined."""
+def mean_statistics(centre: Column | None = None) -> list[Column]:
+    """The eight statistics from the moments; null where they are undefined. ``centre`` is the
+    anchor that the answers were taken less."""
+    centre = F.lit(0.0) if centre is None else centre
     c = F.col
     n = c("rows").cast("double")
     sd = F.when(c("answers") > 1, F.sqrt(c("spread") / (c("answers") - 1)))
@@ -180,8 +208,8 @@ def mean_statistics() -> list[Column]:
         above_one, F.sqrt(c("spread_weighted") / F.when(above_one, c("answers_weight") - 1))
     )
     return [
-        c("mean").alias("mean"),
-        c("mean_weighted").alias("mean_weighted"),
+        (centre + c("mean")).alias("mean"),
+        (centre + c("mean_weighted")).alias("mean_weighted"),
         c("rows").alias("n"),
         c("rows_weight").alias("n_weighted"),
         sd.alias("sd"),

@@ -8,6 +8,7 @@ shuffled is at most one row per task, slot and code, however skewed the codes.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -26,11 +27,6 @@ from surveytab.functions.codes import (
 )
 from surveytab.functions.frames import pick
 
-# Text codes sort by their text; numbers by their value, kept clear of the
-# places that Total and Base take at the end of a table.
-_LARGEST_ORDER = 2_147_483_000
-
-
 def explode_slots(array: str) -> Column:
     """One row per array element, numbered from 0.
 
@@ -120,16 +116,12 @@ def tally(
     code itself would be, and each use of a tally would then scan the data anew
     instead of sharing one scan and one shuffle.
 
-    Slots of different native forms are counted apart. Each such pass reads only
-    its own columns, so no column but the weights and keys is read twice.
+    Numbers sort by their value (``row_order``, a double), text codes by their text. Slots of
+    different native forms share the pass: a cell has a field for each form in use, of which
+    one is filled.
     """
     keys = keys or {}
-    parts = [
-        _tally_one_form(df, form, [s for s in slots if s.kind == form], weights, keys)
-        for form in (BIGINT, DOUBLE, TEXT)
-        if any(s.kind == form for s in slots)
-    ]
-    cells = reduce(DataFrame.unionByName, parts)
+    cells = _tally_slots(df, slots, weights, keys)
     labels = [(s.variable, s.counts_codes, s.option) for s in slots]
     if len(set(labels)) < len(labels):
         # Several slots of one group: add up what was counted slot by slot.
@@ -160,37 +152,51 @@ def code_of_cell() -> Column:
     return F.coalesce(F.when(F.col("n") > 0, F.col("code")), F.lit(""))
 
 
-def _tally_one_form(df, form, slots, weights, keys) -> DataFrame:
+def _tally_slots(df, slots, weights, keys) -> DataFrame:
+    forms = [form for form in (BIGINT, DOUBLE, TEXT) if any(s.kind == form for s in slots)]
+    if len(forms) == 1:
+        codes = [s.code for s in slots]
+        fields = {"native": "native"}
+    else:
+        fields = {f"native_{form}": f"native.native_{form}" for form in forms}
+        codes = [
+            F.struct(*[
+                (s.code if s.kind == form else F.lit(None).cast(form)).alias(f"native_{form}")
+                for form in forms
+            ])
+            for s in slots
+        ]
     exploded = df.select(
         *[c.alias(name) for name, c in keys.items()],
         *[c.alias(name) for name, c in weights.items()],
-        F.array(*[s.code for s in slots]).alias("codes"),
+        F.array(*codes).alias("codes"),
     ).select(*keys, *weights, explode_slots("codes").alias("slot", "native"))
     # The outer explode calls the slot nullable. Saying that it is not keeps Spark
     # from adding a null test to some uses of the tally and not to others.
-    numbered = exploded.withColumn("slot", F.coalesce("slot", F.lit(0)))
-    counted = numbered.groupBy(*keys, "slot", "native").agg(
+    numbered = exploded.select(
+        *keys, *weights, F.coalesce("slot", F.lit(0)).alias("slot"),
+        *[F.col(path).alias(name) for name, path in fields.items()],
+    )
+    counted = numbered.groupBy(*keys, "slot", *fields).agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(w).alias(w) for w in weights]
     )
-    slot, native = F.col("slot"), F.col("native")
-    code = text_code(native, form)
+    native = dict(zip(forms, [F.col(name) for name in fields]))
+    code = F.coalesce(*[text_code(c, form) for form, c in native.items()])
+    answered = reduce(operator.or_, [c.isNotNull() for c in native.values()])
+    numbers = [c.cast(DOUBLE) for form, c in native.items() if form != TEXT]
+    order = F.coalesce(*numbers, F.lit(0.0))
     if any(s.option for s in slots):
         option = pick([s.option for s in slots], "slot", "string")
-        code = F.when(native.isNotNull(), F.coalesce(option, code))
-    if form == TEXT:
-        order = F.lit(0)
-    else:
-        order = F.greatest(F.least(native, F.lit(_LARGEST_ORDER)), F.lit(-_LARGEST_ORDER))
-        if any(s.option for s in slots):
-            order = F.when(option.isNull(), order).otherwise(F.lit(0))
+        code = F.when(answered, F.coalesce(option, code))
+        order = F.when(option.isNull(), order).otherwise(F.lit(0.0))
     return counted.select(
         *keys,
         pick([s.variable for s in slots], "slot").alias("variable"),
         pick([int(s.counts_codes) for s in slots], "slot").alias("counts_codes"),
         pick([int(s.counts_base) for s in slots], "slot").alias("counts_base"),
         code.alias("code"),
-        F.coalesce(order.cast("int"), F.lit(0)).alias("row_order"),
+        order.alias("row_order"),
         "rows",
-        (F.col("rows") * native.isNotNull().cast("int")).alias("n"),
+        (F.col("rows") * answered.cast("int")).alias("n"),
         *weights,
     )

@@ -35,7 +35,12 @@ from surveytab.functions.frames import (
     sql_literal,
     weight_column,
 )
-from surveytab.operators.means import NO_ANSWER, mean_statistics, partial_columns
+from surveytab.operators.means import (
+    NO_ANSWER,
+    centre_of,
+    mean_statistics,
+    partial_columns,
+)
 from surveytab.operators.tally import explode_slots
 
 # Tiles kept of 100, from the top; tiles dropped of 100, from the bottom.
@@ -89,15 +94,20 @@ def trimmed_means(
     cuts = _first_look(long, len(variables), accuracy)
     _search(long, order, cuts, sortable, accuracy)
 
+    # Deviations are taken from a value that the answers kept lie around: their upper end.
+    centres = [
+        c.point[0] if c.point and math.isfinite(c.point[0]) else 0.0 for c in cuts[1::2]
+    ]
     kept = long.filter(_up_to_cut(order, cuts[1::2]) & ~_up_to_cut(order, cuts[0::2]))
     partial = (
         kept.groupBy("slot")
-        .agg(*partial_columns(F.col("value"), F.col("weight")))
+        .agg(*partial_columns(F.col("value") - pick(centres, "slot", "double"), F.col("weight")))
         .withColumn("variable", pick(variables, "slot"))
     )
     asked = literal_rows(df.sparkSession, {"variable": "string"}, [[v] for v in variables])
     found = asked.join(partial, "variable", "left").na.fill(0, ["rows", "rows_weight"])
-    return found.select("variable", *mean_statistics())
+    centre = centre_of("variable", dict(zip(variables, centres)))
+    return found.select("variable", *mean_statistics(centre))
 
 
 # A column of the order: its name, its type and how a row's value comes about. It is

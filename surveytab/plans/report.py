@@ -14,11 +14,12 @@ numbers, and a row is then counted once per number.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import (
@@ -34,11 +35,14 @@ from surveytab.functions.frames import (
     literal_rows,
     percent,
     require_columns,
+    sql_literal,
     weight_column,
 )
 from surveytab.functions.names import names_a_mean, without_mention_suffix
 from surveytab.operators.means import (
     NO_ANSWER,
+    anchors,
+    centre_of,
     choose_weight,
     mean_statistics,
     merge_partial_means,
@@ -62,11 +66,19 @@ NOTE = "Todas especificadas em 'variaveis_quero'"
 NOTE_LATER = "FAZER DEPOIS"
 NOTE_LATER_MARK = "X"
 
-# Split ids are 100 * split + option, so a split has at most 99 options.
-_IDS_PER_SPLIT = 100
+# Split ids are 100 * split + option; with splits of more than 99 options, the next power of
+# ten takes the place of 100 for all.
+_LEAST_IDS_PER_SPLIT = 100
 
-# Combinations of options counted together. One split always fits.
-_MOST_COMBINATIONS = 1_000
+# Options of all splits together: they are part of every plan of the report.
+MOST_OPTIONS = 50_000
+
+# Combinations of options counted together, if the spec does not say. One split always fits.
+# Fewer mean more lines per row before counting, more mean more counted rows to shuffle.
+_MOST_COMBINATIONS = 100
+
+# Options that are looked up in a list of literals; more are joined.
+_MOST_LITERALS = 64
 
 
 @dataclass(frozen=True)
@@ -84,6 +96,13 @@ class ReportSpec:
     multiples: dict[str, Sequence[str]] = field(default_factory=dict)
     means: tuple[str, ...] = ()
     null_weight: str = "raise"
+    wanted: tuple[str, ...] = ()
+    most_combinations: int | None = None
+
+    @property
+    def first(self) -> str | None:
+        """The first of all variables, in the caller's order if that is known."""
+        return next(iter([*self.wanted, *self.variables, *self.means]), None)
 
     @property
     def variables(self) -> list[str]:
@@ -110,9 +129,13 @@ def report_spec(
     multiples: dict[str, Sequence[str]] | None = None,
     means: Sequence[str] = (),
     null_weight: str = "raise",
+    wanted: Sequence[str] = (),
+    most_combinations: int | None = None,
 ) -> ReportSpec:
     """A checked specification; ``weights`` go with ``splits``, None or False for
-    no weight. The first split is the overall one."""
+    no weight. The first split is the overall one. ``wanted`` is the order of all variables,
+    ``most_combinations`` how many combinations of options of several splits may be counted
+    together."""
     if len(splits) != len(weights):
         raise ValueError("splits and weights must have the same length")
     if not splits or splits[0] != OVERALL:
@@ -128,53 +151,72 @@ def report_spec(
         dict(multiples or {}),
         tuple(means),
         null_weight,
+        tuple(wanted),
+        most_combinations,
     )
 
 
 def route_variables(wanted: Sequence[str | Sequence[str]]) -> dict:
     """Sort a mixed list by shape, as arguments for :func:`report_spec`: a name is
     a single-choice question or, ending in ``m``, a mean; a list is a group, its
-    name first."""
-    singles, multiples, means = [], {}, []
+    name first. ``wanted`` keeps the order of the list."""
+    singles, multiples, means, names = [], {}, [], []
     for item in wanted:
         name, *slots = [item] if isinstance(item, str) else item
+        names.append(name)
         if slots:
             multiples[name] = slots
         elif names_a_mean(without_mention_suffix(name)):
             means.append(name)
         else:
             singles.append(name)
-    return {"singles": singles, "multiples": multiples, "means": means}
+    return {"singles": singles, "multiples": multiples, "means": means, "wanted": names}
 
 
 def split_options(options: DataFrame, spec: ReportSpec) -> list[SplitOption]:
     """The numbered options of every split, in dictionary order.
 
-    A small job on the dictionary alone; at most 99 options per split are accepted,
-    so the list is short.
+    A small job on the dictionary alone. The lists are part of the plans that follow, so
+    more than MOST_OPTIONS in all are an error.
     """
-    wanted = [s.variable for s in spec.splits[1:]]
-    most = _IDS_PER_SPLIT - 1
-    listed = (
-        options.filter(in_codes(F.col("variable"), wanted))
-        .groupBy("variable", "code")
-        .agg(F.min("option_id").alias("option_id"))
+    rows = (
+        _listed_options(options, spec)
+        .orderBy("option_id", "code").limit(MOST_OPTIONS + 1).collect()
     )
-    rows = listed.orderBy("option_id", "code").limit(len(wanted) * most + 1).collect()
-    out = [SplitOption(_IDS_PER_SPLIT + 1, 1, spec.splits[0], "1")]
+    if len(rows) > MOST_OPTIONS:
+        raise ValueError(f"the splits have more than {MOST_OPTIONS} options")
+    codes = {s.variable: [] for s in spec.splits[1:]}
+    for row in rows:
+        codes[row["variable"]].append(row["code"])
+    unit = _LEAST_IDS_PER_SPLIT
+    while any(len(c) >= unit for c in codes.values()):
+        unit *= 10
+    out = [SplitOption(unit + 1, 1, spec.splits[0], "1")]
     for number, split in enumerate(spec.splits[1:], start=2):
-        codes = [r["code"] for r in rows if r["variable"] == split.variable]
-        if len(codes) > most or len(rows) > len(wanted) * most:
-            raise ValueError(f"split {split.variable} or another has more than {most} options")
-        if not codes:
+        if not codes[split.variable]:
             raise ValueError(f"split {split.variable} has no options in the dictionary")
         out += [
-            SplitOption(_IDS_PER_SPLIT * number + i, number, split, code)
-            for i, code in enumerate(codes, start=1)
+            SplitOption(unit * number + i, number, split, code)
+            for i, code in enumerate(codes[split.variable], start=1)
         ]
     return out
 
 
+def _listed_options(options: DataFrame, spec: ReportSpec) -> DataFrame:
+    """``variable, code, option_id`` of the splits' options; a code is listed once."""
+    wanted = [s.variable for s in spec.splits[1:]]
+    return (
+        options.filter(in_codes(F.col("variable"), wanted) & F.col("code").isNotNull())
+        .groupBy("variable", "code")
+        .agg(F.min("option_id").alias("option_id"))
+    )
+
+
+def _unit(numbered: list[SplitOption]) -> int:
+    """Ids per split."""
+    return numbered[0].split_id - 1
+
+
 def report_counts(df: DataFrame, spec: ReportSpec, numbered: list[SplitOption]) -> DataFrame:
     """All counts of the report: ``split_no, split_id, variable, counts_codes,
     counts_base, code, rows, n, n_weighted``.
@@ -198,7 +240,8 @@ def report_counts(df: DataFrame, spec: ReportSpec, numbered: list[SplitOption])
         w: F.col("rows").cast("double") if w is None else F.col(f"weight_{i}")
         for i, w in enumerate(spec.weights)
     }
-    spread = cells.select("*", F.inline(_splits_of_packs(packs)).alias("split_no", "split_id"))
+    places = _splits_of_packs(packs, _unit(numbered))
+    spread = cells.select("*", F.inline(places).alias("split_no", "split_id"))
     weight = _of_split([weight_of[s.weight] for s in spec.splits])
     return (
         spread.withColumn("split_weight", weight)
@@ -220,10 +263,11 @@ def report_frequencies(
     does not list keep theirs. Both sides of that full join are added up in one
     grouping, the dictionary's rows as zeros.
     """
-    found = counts.filter(is_code_cell() & _in_an_option()).select(
+    in_an_option = _in_an_option(_unit(numbered))
+    found = counts.filter(is_code_cell() & in_an_option).select(
         "split_id", "variable", code_of_cell().alias("code"), "n", "n_weighted"
     )
-    ids = F.array(*[F.lit(o.split_id) for o in numbered])
+    ids = F.expr(f"array({', '.join(f'{o.split_id}L' for o in numbered)})")
     unused = (
         options.filter(in_codes(F.col("variable"), spec.variables))
         .select(F.explode(ids).alias("split_id"), "variable", "code")
@@ -236,7 +280,7 @@ def report_frequencies(
         .agg(F.sum("n").alias("n"), F.sum("n_weighted").alias("n_weighted"))
     )
     answered = (
-        counts.filter(is_code_cell() & _in_an_option())
+        counts.filter(is_code_cell() & in_an_option)
         .groupBy("split_id", "variable")
         .agg(F.sum("n").alias("whole"), F.sum("n_weighted").alias("whole_weight"))
     )
@@ -299,27 +343,29 @@ def report_bases(
     )
 
 
-def report_description(
-    spark: SparkSession, spec: ReportSpec, numbered: list[SplitOption]
-) -> DataFrame:
-    """``split_id, split, option, note, weight``, one row per split option."""
-    first = [*spec.variables, *spec.means][:1]
-    note = NOTE_LATER if first and NOTE_LATER_MARK in first[0] else NOTE
-    schema = {
-        "split_id": "int", "split": "string", "option": "string", "note": "string",
-        "weight": "string",
-    }
-    rows = [
-        [
-            o.split_id,
-            o.split.variable,
-            OVERALL if o.split_no == 1 else o.code,
-            note,
-            o.split.weight or NO_WEIGHT,
-        ]
-        for o in numbered
-    ]
-    return literal_rows(spark, schema, rows)
+def report_description(options: DataFrame, spec: ReportSpec, unit: int) -> DataFrame:
+    """``split_id, split_no, option_no, split, option, note, weight``, one row per split
+    option, numbered in the order of the dictionary; ``unit`` ids belong to a split."""
+    note = NOTE_LATER if NOTE_LATER_MARK in (spec.first or "") else NOTE
+    schema = {"split_no": "int", "split": "string", "weight": "string"}
+    rows = [[i, s.variable, s.weight or NO_WEIGHT] for i, s in enumerate(spec.splits, start=1)]
+    splits = literal_rows(options.sparkSession, schema, rows)
+    in_order = Window.partitionBy("split_no").orderBy("option_id", "code")
+    listed = (
+        splits.join(
+            _listed_options(options, spec).withColumnRenamed("variable", "split"), "split"
+        )
+        .withColumn("option_no", F.row_number().over(in_order))
+        .withColumnRenamed("code", "option")
+    )
+    overall = splits.filter("split_no = 1").withColumns(
+        {"option_no": F.lit(1), "option": F.lit(OVERALL)}
+    )
+    split_id = F.col("split_no").cast("bigint") * unit + F.col("option_no")
+    return overall.unionByName(listed.drop("option_id")).select(
+        split_id.alias("split_id"), "split_no", "option_no", "split", "option",
+        F.lit(note).alias("note"), "weight",
+    )
 
 
 def report_means(
@@ -337,10 +383,12 @@ def report_means(
     weights = {
         f"_{i}": weight_column(df, w, spec.null_weight) for i, w in enumerate(spec.weights)
     }
-    partial = partial_means(packed, spec.means, weights, na_codes, keys)
-    spread = partial.select("*", F.inline(_splits_of_packs(packs)).alias("split_no", "split_id"))
+    centres = anchors(df, spec.means, na_codes)
+    partial = partial_means(packed, spec.means, weights, na_codes, keys, centres)
+    places = _splits_of_packs(packs, _unit(numbered))
+    spread = partial.select("*", F.inline(places).alias("split_no", "split_id"))
     spread = choose_weight(
-        spread.filter(_in_an_option()),
+        spread.filter(_in_an_option(_unit(numbered))),
         lambda name: _of_split(
             [F.col(f"{name}_{spec.weights.index(s.weight)}") for s in spec.splits]
         ),
@@ -349,7 +397,7 @@ def report_means(
     grid = _grid(df.sparkSession, list(spec.means), numbered).drop("split_no")
     found = grid.join(merged, ["split_id", "variable"], "left")
     return found.na.fill(0, ["rows", "rows_weight"]).select(
-        "split_id", "variable", *mean_statistics()
+        "split_id", "variable", *mean_statistics(centre_of("variable", centres))
     )
 
 
@@ -375,14 +423,15 @@ class Report:
 def build_report(
     df: DataFrame, options: DataFrame, spec: ReportSpec, counts: DataFrame | None = None
 ) -> Report:
-    """The whole report. ``counts`` may be passed to build on saved counts."""
+    """The whole report. ``counts`` may be passed to build on saved counts: frequencies and
+    bases are separate lazy tables and would each scan the interviews."""
     numbered = split_options(options, spec)
     if counts is None:
         counts = report_counts(df, spec, numbered)
     return Report(
         report_frequencies(counts, options, spec, numbered),
         report_bases(counts, spec, numbered),
-        report_description(df.sparkSession, spec, numbered),
+        report_description(options, spec, _unit(numbered)),
         report_means(df, spec, numbered) if spec.means else None,
     )
 
@@ -393,12 +442,17 @@ def write_report(
     """Write ``counts`` and every table of the report as Parquet under ``path``.
 
     The counts are written first and the tables made from them, so the interviews
-    are scanned once for all frequencies and bases.
+    are scanned once for all frequencies and bases. ``mode`` is ``errorifexists`` or
+    ``overwrite``: added up with those of an older run, or left out, counts would be wrong. A
+    run's counts have a folder of their own, so one that failed half way is in nobody's way.
     """
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError("mode must be 'errorifexists' or 'overwrite'")
     spark = df.sparkSession
-    counts = report_counts(df, spec, split_options(options, spec))
-    counts.write.mode(mode).parquet(f"{path}/counts")
-    report = build_report(df, options, spec, spark.read.parquet(f"{path}/counts"))
+    counts_path = f"{path}/counts/run={uuid.uuid4().hex}"
+    report_counts(df, spec, split_options(options, spec)).write.parquet(counts_path)
+    counts = spark.read.parquet(counts_path)
+    report = build_report(df, options, spec, counts)
     for name, table in report.tables().items():
         table.write.mode(mode).parquet(f"{path}/{name}")
     return report
@@ -409,15 +463,15 @@ def _of_split(per_split: Sequence[Column]) -> Column:
     return F.element_at(F.array(*per_split), F.col("split_no"))
 
 
-def _in_an_option() -> Column:
+def _in_an_option(unit: int) -> Column:
     """Tested on a sum, to stay above the grouping like the cell tests."""
-    return (F.col("split_id") % _IDS_PER_SPLIT) * F.col("rows") > 0
+    return (F.col("split_id") % unit) * F.col("rows") > 0
 
 
 def _grid(spark, variables: Sequence[str], numbered: list[SplitOption]) -> DataFrame:
     """Every split option with every variable, from the spec's own lists."""
     ids = literal_rows(
-        spark, {"split_no": "int", "split_id": "int"}, [[o.split_no, o.split_id] for o in numbered]
+        spark, {"split_no": "int", "split_id": "bigint"}, [[o.split_no, o.split_id] for o in numbered]
     )
     names = F.array(*[F.lit(v) for v in variables])
     return ids.select("*", F.explode(names).alias("variable"))
@@ -440,13 +494,14 @@ class _Packed:
 def _packs(spec: ReportSpec, numbered: list[SplitOption]) -> list[list[_Packed]]:
     """Splits gathered in packs of few combinations. The overall split has one
     option that every row is in; it rides on the first pack."""
+    most = spec.most_combinations or _MOST_COMBINATIONS
     packs: list[list[_Packed]] = [[]]
-    room = _MOST_COMBINATIONS
+    room = most
     for number, split in enumerate(spec.splits[1:], start=2):
         codes = tuple(o.code for o in numbered if o.split_no == number)
         if packs[-1] and len(codes) + 1 > room:
             packs.append([])
-            room = _MOST_COMBINATIONS
+            room = most
         stride = 1
         for other in packs[-1]:
             stride *= other.size
@@ -457,11 +512,14 @@ def _packs(spec: ReportSpec, numbered: list[SplitOption]) -> list[list[_Packed]]
 
 def _with_packs(df: DataFrame, packs) -> tuple[DataFrame, dict[str, Column]]:
     """The rows with their pack number and combination, as grouping keys."""
+    places = {}
+    for packed in (p for pack in packs for p in pack):
+        df, places[packed.split_no] = _option_index(df, packed)
     combos = [
         reduce(
             lambda a, b: a + b,
-            [_option_index(df, p) * p.stride for p in pack],
-            F.lit(0),
+            [places[p.split_no] * F.lit(p.stride) for p in pack],
+            F.lit(0).cast("bigint"),
         )
         for pack in packs
     ]
@@ -473,38 +531,52 @@ def _with_packs(df: DataFrame, packs) -> tuple[DataFrame, dict[str, Column]]:
     return exploded, {"pack": F.col("_pack"), "combo": F.col("_combo")}
 
 
-def _option_index(df: DataFrame, packed: _Packed) -> Column:
-    """Position of the row's code among the split's options, from 1; else 0."""
+def _option_index(df: DataFrame, packed: _Packed) -> tuple[DataFrame, Column]:
+    """Position of the row's code among the split's options, from 1; else 0.
+
+    Some options are a list of literals; many are a table to join.
+    """
     kind = code_type(df.schema[packed.variable].dataType)
     convert = {BIGINT: int, DOUBLE: float}.get(kind, str)
 
-    def literal(code: str):
+    def value(code: str):
         try:
-            value = convert(code)
+            number = convert(code)
         except ValueError:
-            return F.lit(None).cast(kind)
+            return None
         # "01" is text that no number is written as.
-        return F.lit(value if literal_code(value) == code else None).cast(kind)
-
-    options = F.array(*[literal(code) for code in packed.codes])
-    position = F.array_position(options, native_code(df, packed.variable))
-    return F.coalesce(position, F.lit(0)).cast("int")
+        return number if literal_code(number) == code else None
+
+    native = native_code(df, packed.variable)
+    if len(packed.codes) <= _MOST_LITERALS:
+        literals = ", ".join(sql_literal(value(code), kind) for code in packed.codes)
+        position = F.array_position(F.expr(f"array({literals})"), native)
+    else:
+        name = f"_place_{packed.split_no}"
+        rows = [[value(code), i] for i, code in enumerate(packed.codes, start=1)]
+        listed = literal_rows(
+            df.sparkSession, {f"{name}_of": kind, name: "bigint"},
+            [row for row in rows if row[0] is not None],
+        )
+        listed = broadcast_if_bounded(listed, len(rows))
+        df = df.join(listed, native == F.col(f"{name}_of"), "left").drop(f"{name}_of")
+        position = F.col(name)
+    return df, F.coalesce(position, F.lit(0)).cast("bigint")
 
 
-def _splits_of_packs(packs) -> Column:
+def _splits_of_packs(packs, unit: int) -> Column:
     """Array of (split_no, split_id) that a counted row belongs to."""
     def splits(pack, with_overall):
-        entries = [(1, F.lit(_IDS_PER_SPLIT + 1))] if with_overall else []
+        entries = [(1, F.lit(unit + 1))] if with_overall else []
         entries += [
             (
                 p.split_no,
-                F.lit(_IDS_PER_SPLIT * p.split_no)
-                + F.floor(F.col("combo") / p.stride).cast("int") % p.size,
+                F.lit(unit * p.split_no) + F.expr(f"combo div {p.stride}") % p.size,
             )
             for p in pack
         ]
         return F.array(
-            *[F.struct(F.lit(n).alias("split_no"), i.cast("int").alias("split_id"))
+            *[F.struct(F.lit(n).alias("split_no"), i.cast("bigint").alias("split_id"))
               for n, i in entries]
         )
 

@@ -30,7 +30,7 @@ def options_from(df: DataFrame, columns: Sequence[str] = OPTION_COLUMNS) -> Data
     require_columns(df, columns)
     option_id, variable, code, label = columns
     return df.select(
-        column(option_id).cast("int").alias("option_id"),
+        column(option_id).cast("bigint").alias("option_id"),
         column(variable).cast("string").alias("variable"),
         canonical_code(df, code).alias("code"),
         column(label).cast("string").alias("label"),

@@ -6,24 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveytab.functions.codes import column
+from surveytab.functions.codes import TEXT, code_type, column
 from surveytab.functions.frames import require_columns
 from surveytab.functions.names import repair_names
 
 
-def read_table(spark: SparkSession, source: str, format: str = "parquet", **options) -> DataFrame:
+# The columns of a table of interviews that say which of them count.
+STATUS, CODED_AT = "status", "codificacao_abertas_data"
+
+
+def read_table(
+    spark: SparkSession, source: str, format: str = "parquet", completed: bool = False, **options
+) -> DataFrame:
     """Any Spark source, with repeated column names told apart and text limited
-    to latin-1. For a database pass ``format="jdbc"`` and its options."""
+    to latin-1. For a database pass ``format="jdbc"`` and its options.
+
+    ``completed`` keeps :func:`completed_interviews`. It is applied before text is
+    limited, so that the source gets both conditions.
+    """
     reader = spark.read.format(format).options(**options)
-    return latin1_text(unique_names(reader.load(source) if source else reader.load()))
+    df = unique_names(reader.load(source) if source else reader.load())
+    return latin1_text(completed_interviews(df) if completed else df)
 
 
 def completed_interviews(
-    df: DataFrame, status: str = "status", coded_at: str = "codificacao_abertas_data"
+    df: DataFrame, status: str = STATUS, coded_at: str = CODED_AT
 ) -> DataFrame:
-    """Valid interviews (status 0) whose open answers have been coded."""
+    """Valid interviews (status 0) whose open answers have been coded. A status that is
+    text is compared as a code: what is no number is no 0."""
     require_columns(df, [status, coded_at])
-    return df.filter((column(status) == 0) & column(coded_at).isNotNull())
+    if code_type(df.schema[status].dataType) == TEXT:
+        valid = column(status).try_cast("double") == 0
+    else:
+        valid = column(status) == 0
+    return df.filter(valid & column(coded_at).isNotNull())
 
 
 def unique_names(df: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def test_shares_add_up_in_every_column(spark):
     from workload.inputs import survey, survey_options
 
     sf = "/root/testdata/sf0.001"
-    table = cross_single(survey(spark, sf), survey_options(spark, sf), [("v1", "v13")], "weight")
+    table = cross_single(survey(spark, sf), survey_options(spark), [("v1", "v13")], "weight")
     sums = table.groupBy("col_code").agg(F.sum("pct").alias("a"), F.sum("pct_weighted").alias("b"))
     for r in sums.collect():
         assert round(r.a, 6) == round(r.b, 6) == 100.0

@@ -81,7 +81,7 @@ def test_empty_tables_have_null_total_and_base(interviews, case):
 def test_schema(interviews):
     table = single_frequencies(interviews, ["v1"], "w")
     assert table.dtypes == [
-        ("variable", "string"), ("code", "string"), ("row_kind", "string"), ("row_order", "int"),
+        ("variable", "string"), ("code", "string"), ("row_kind", "string"), ("row_order", "double"),
         ("n", "bigint"), ("n_weighted", "double"), ("pct", "double"), ("pct_weighted", "double"),
     ]
 

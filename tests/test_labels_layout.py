@@ -59,10 +59,54 @@ def test_label_faults(spark, single, interviews):
     words = dictionary(spark, [(1, "v1", "1", "one"), (2, "v1", "1", "uno")])
     with pytest.raises(Exception, match="two labels for code 1"):
         label_coded(single, words, ["v1"]).collect()
-    with pytest.raises(ValueError, match="v2"):
-        label_coded(single, words, ["v1", "v2"])
-    with pytest.raises(ValueError, match="one split"):
-        label_coded(single_frequencies(interviews, ["v1"], by="v19"), words, ["v1"])
+    with pytest.raises(Exception, match="not in the dictionary: v2"):
+        label_coded(single, words.filter("label = 'one'"), ["v1", "v2"]).collect()
+
+
+def test_labels_within_splits(spark, interviews):
+    words = dictionary(spark, [(1, "v1", "1", "one"), (2, "v1", "2", "two"), (3, "v1", "9", "none")])
+    table = label_coded(single_frequencies(interviews, ["v1"], "w", by="v20"), words, ["v1"])
+    assert as_dict(table, ("split", "code"), ("label", "n")) == {
+        ("0", "1"): ("one", 2), ("0", "2"): ("two", None), ("0", "9"): ("none", None),
+        ("1", "1"): ("one", None), ("1", "2"): ("two", 1), ("1", "9"): ("none", None),
+        (None, "1"): ("one", None), (None, "2"): ("two", None), (None, "9"): ("none", None),
+        **{(s, c): (c, n) for s, n in (("0", 2), ("1", 1), (None, None)) for c in ("Total", "Base")},
+    }
+    wide = layout_compare(table)
+    assert wide.columns[4:8] == ["label", "n_0", "n_1", "n_na"]
+    texts = spark.createDataFrame(
+        [("v19", "g", "Q19"), ("v20", "g", "Q20")],
+        "variable string, question_number string, question_text string",
+    )
+    groups = mentioned_frequencies(interviews, {"g": ["v19", "v20"]}, by="v1")
+    labelled = label_mentioned(groups, texts, ["g"])
+    assert as_dict(labelled.filter("row_kind = 'code'"), ("split", "code"), ("label", "n")) == {
+        ("1", "v19"): ("Q19", 1), ("2", "v19"): ("Q19", 1), ("2", "v20"): ("Q20", 1),
+        (None, "v19"): ("Q19", None), (None, "v20"): ("Q20", None),
+    }
+    two = texts.union(texts.replace("Q19", "other"))
+    with pytest.raises(Exception, match="two texts for option v19"):
+        label_mentioned(groups, two, ["g"]).collect()
+
+
+def test_what_is_not_listed_is_no_silent_loss(spark, single, interviews):
+    with pytest.raises(Exception, match="code not listed: 2"):
+        layout_wide(single, [1]).collect()
+    assert layout_wide(single, [1], unlisted="drop").columns[2:] == ["row_order", "1", "Total", "Base"]
+    assert layout_wide(single).columns[3:] == ["1", "2", "Total", "Base"]
+    table = single_frequencies(interviews, ["v1"], "w", by="v20")
+    with pytest.raises(Exception, match="split not listed: NA"):
+        layout_compare(table, [0, 1]).collect()
+    assert layout_compare(table, [0, 1, None]).columns[4:7] == ["n_0", "n_1", "n_na"]
+
+
+def test_a_code_called_total(spark):
+    df = spark.createDataFrame([("Total",), ("Total",), ("x",)], "v string")
+    row = layout_wide(single_frequencies(df, ["v"])).filter("measure = 'n_weighted'").first()
+    assert row.asDict() == {
+        "variable": "v", "measure": "n_weighted", "row_order": 2, "Total...4": 2.0, "x": 1.0,
+        "Total...6": 3.0, "Base": 3.0,
+    }
 
 
 def test_mentioned_labels(spark, interviews):
@@ -113,7 +157,7 @@ def test_wide_keeps_all_digits(spark):
 
 def test_compare(interviews):
     table = single_frequencies(interviews, ["v1"], "w", by="v20")
-    wide = layout_compare(table, [0, 1, 5])
+    wide = layout_compare(table, [0, 1, 5], unlisted="drop")
     assert wide.columns[4:10] == [
         "n_0", "n_1", "n_5", "n_weighted_0", "n_weighted_1", "n_weighted_5",
     ]

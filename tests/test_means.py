@@ -70,14 +70,15 @@ def samples(spark):
 
 
 @pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
-def test_one_pass_is_as_good_as_two(samples, offset):
-    df = samples.select("w", "g", (F.col("z") + offset).alias("x"))
+def test_deviations_keep_their_digits(samples, offset):
+    """Weights that go with the answers, as the weights of a survey may."""
+    df = samples.select((F.col("w") + F.col("z") + 20).alias("w"), "g", (F.col("z") + offset).alias("x"))
     m = df.select((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")).first()["m"]
     expected = df.select(
         F.sqrt(F.sum(F.col("w") * (F.col("x") - m) ** 2) / (F.sum("w") - 1)).alias("s")
     ).first()["s"]
     one = means(df, ["x"], "w", na_codes=()).first()
-    assert math.isclose(one.sd_weighted, expected, rel_tol=1e-6)
+    assert math.isclose(one.sd_weighted, expected, rel_tol=1e-10)
     assert math.isclose(one.mean_weighted, m, rel_tol=1e-14, abs_tol=1e-13)
     partial = df.groupBy("g").agg(*partial_columns(F.col("x"), F.col("w")))
     merged = merge_partial_means(partial.withColumn("k", F.lit(1)), ["k"])

@@ -31,9 +31,7 @@ def interviews_sf(spark):
 
 @pytest.fixture(scope="module")
 def options(spark):
-    """The dictionary as rows at hand, so that only interviews are scanned."""
-    found = survey_options(spark, SF)
-    return spark.createDataFrame(found.collect(), found.schema)
+    return survey_options(spark)
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +60,7 @@ def test_only_needed_columns_are_read(spark, interviews_sf):
 
 def test_layouts_and_labels_do_not_scan_again(many, options):
     assert scans(layout_tidy(many)) == 1
-    assert scans(layout_wide(many, [1, 2])) == 1
+    assert scans(layout_wide(many, [1, 2], unlisted="drop")) == 1
     assert scans(label_coded(many, options, ["v1", "v13"])) == 1
 
 
@@ -76,3 +74,21 @@ def test_report_tables_scan_once_each(interviews_sf, options):
 
 def test_means_of_many_variables_in_one_scan(interviews_sf):
     assert scans(means(interviews_sf, ["v30m", "v5_1", "v5_2"], "weight")) == 1
+
+
+def test_codes_of_all_types_from_one_scan_and_one_shuffle(interviews_sf):
+    mixed = interviews_sf.selectExpr("*", "v30m / 2 as v60", "string(v1) as v61")
+    table = frequencies(mixed, ["v1", "v60", "v61"], {"v5": ["v5_1", "v61"]}, weight="weight")
+    plan = final_plan(table)
+    assert plan.count("FileScan") == 1
+    of_rows = [l for l in plan.splitlines() if "Exchange hashpartitioning(slot" in l]
+    assert len([l for l in of_rows if "Reused" not in l]) == 1
+
+
+def test_many_options_are_joined_and_not_listed(spark):
+    from workload.inputs import ordered_days, priorities, ship_options
+
+    spec = report_spec(["Geral", "v70"], [None, "weight"], ["v71"])
+    options = ship_options(spark, SF).unionByName(priorities(spark))
+    plan = final_plan(build_report(ordered_days(spark, SF), options, spec).frequencies)
+    assert "BroadcastHashJoin" in plan and "19960101" not in plan.split("Project")[1]

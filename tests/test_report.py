@@ -31,7 +31,7 @@ def survey_sf(spark):
     from workload.inputs import survey, survey_options
 
     sf = "/root/testdata/sf0.001"
-    return survey(spark, sf), survey_options(spark, sf)
+    return survey(spark, sf), survey_options(spark)
 
 
 def test_frequencies(interviews, options, spec, packing):
@@ -67,10 +67,9 @@ def test_description(interviews, options, spec):
         (301, "v19", "0", "w"), (302, "v19", "1", "w"),
     ]
     later = report_spec(["Geral"], ["w"], ["X1"])
-    described = report_module.report_description(
-        interviews.sparkSession, later, split_options(options, later)
-    )
-    assert described.first().note == "FAZER DEPOIS"
+    assert report_module.report_description(options, later, 100).first().note == "FAZER DEPOIS"
+    routed = report_spec(["Geral"], ["w"], **route_variables([["X5", "v5_1"], "v1"]))
+    assert report_module.report_description(options, routed, 100).first().note == "FAZER DEPOIS"
 
 
 def test_codes_outside_the_dictionary_stay(interviews, options, spec):
@@ -169,18 +168,55 @@ def test_split_faults(spark, interviews, options):
     spec = report_spec(["Geral", "v20"], ["w", "w"], ["v1"])
     with pytest.raises(ValueError, match="v20 has no options"):
         build_report(interviews, options, spec)
-    many = spark.range(100).selectExpr(
-        "cast(id as int) as option_id", "'v20' as variable", "string(id) as code", "'x' as label"
-    )
-    with pytest.raises(ValueError, match="more than 99"):
-        build_report(interviews, many, spec)
-    assert len(split_options(many.filter("option_id < 99"), spec)) == 100
     missing = report_spec(["Geral", "zz"], ["w", "w"], ["v1"])
     with pytest.raises(ValueError, match="zz"):
         build_report(interviews, options.withColumn("variable", F.lit("zz")), missing)
 
 
 def test_routing_by_shape():
-    assert route_variables([["G95MRG", "v95", "v96"], "v1", "v20m", ["v3"]]) == {
-        "singles": ["v1", "v3"], "multiples": {"G95MRG": ["v95", "v96"]}, "means": ["v20m"],
+    assert route_variables([["G41MRG", "v41", "v42"], "v1", "v20m", ["v3"]]) == {
+        "singles": ["v1", "v3"], "multiples": {"G41MRG": ["v41", "v42"]}, "means": ["v20m"],
+        "wanted": ["G41MRG", "v1", "v20m", "v3"],
     }
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double"])
+def test_a_split_of_many_options(spark, interviews, kind):
+    many = spark.range(1, 251).selectExpr(
+        "id as option_id", "'v20' as variable", "string(id - 1) as code", "'x' as label"
+    ).union(spark.sql("select 999L, 'v20', cast(null as string), 'no code'"))
+    many = many.unionByName(spark.sql(
+        "select id as option_id, 'v1' as variable, string(id) as code, '' as label from range(1, 3)"))
+    spec = report_spec(["Geral", "v20"], ["w", "w"], ["v1"], means=["v30m"])
+    report = build_report(interviews.withColumn("v20", F.col("v20").cast(kind)), many, spec)
+    got = as_dict(report.frequencies, ("split_id", "code"), ("n",))
+    assert len(got) == 251 * 2
+    assert got[(1001, "1")] == (2,) and got[(2001, "1")] == (2,) and got[(2002, "2")] == (1,)
+    described = report.description.filter("split_id in (1001, 2001, 2250)").orderBy("split_id")
+    assert [(r.split_no, r.option_no, r.option) for r in described.collect()] == [
+        (1, 1, "Geral"), (2, 1, "0"), (2, 250, "249"),
+    ]
+    assert report.means.filter("split_id = 2001").first()["mean"] == 20.0
+
+
+def test_writing_again(interviews, options, spec, tmp_path):
+    path = str(tmp_path / "report")
+    with pytest.raises(ValueError, match="mode"):
+        write_report(interviews, options, spec, path, mode="append")
+    write_report(interviews, options, spec, path)
+    with pytest.raises(Exception, match="(?i)already exists"):
+        write_report(interviews, options, spec, path)
+    write_report(interviews, options, spec, path, mode="overwrite")
+    table = interviews.sparkSession.read.parquet(f"{path}/frequencies")
+    assert as_dict(table, ("split_id", "variable", "code"), ("n",))[(101, "v1", "1")] == (2,)
+
+
+def test_packing_can_be_chosen(survey_sf):
+    df, options = survey_sf
+    tables = [
+        build_report(df, options, report_spec(
+            ["Geral", "v13", "v1"], ["weight", None, "weight"], ["v1"], most_combinations=most)).frequencies
+        for most in (2, 10_000)
+    ]
+    keys, measures = ("split_id", "variable", "code"), ("n", "n_weighted")
+    assert as_dict(tables[0], keys, measures) == as_dict(tables[1], keys, measures)

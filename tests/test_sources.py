@@ -33,9 +33,9 @@ def test_completed_interviews_reach_the_scan(spark, tmp_path):
     spark.range(10).selectExpr(
         "id", "cast(id % 2 as int) as status", "string(id) as codificacao_abertas_data", "id as x"
     ).write.parquet(path)
-    df = completed_interviews(read_table(spark, path)).select("id")
+    df = read_table(spark, path, completed=True).select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(status,0)" in plan
+    assert "EqualTo(status,0)" in plan and "IsNotNull(codificacao_abertas_data)" in plan
     assert "x:bigint" not in plan.split("ReadSchema")[1]
 
 
@@ -118,3 +118,15 @@ def test_questions(spark):
     assert questions_from(df).first().asDict() == {
         "variable": "v1", "question_number": "Q1", "question_text": "Who?",
     }
+
+
+def test_text_status(spark):
+    df = spark.createDataFrame(
+        [(1, "0"), (2, "abc"), (3, None), (4, "0.0"), (5, "1")], "id int, status string"
+    ).withColumn("codificacao_abertas_data", F.lit("x"))
+    assert [r.id for r in completed_interviews(df).collect()] == [1, 4]
+
+
+def test_large_option_ids(spark):
+    df = spark.sql("select 3000000000L as opcao_id, 'v1' as opcao_variavel, 1 as opcao_cod, 'a' as opcao_label")
+    assert options_from(df).first().option_id == 3_000_000_000

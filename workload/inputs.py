@@ -42,6 +42,11 @@ FIRST_OPTION = {"v1": 100, "v13": 200, "v5": 300, "v19": 400, "v20": 410, "v21":
 # Options of v1 that no interview holds: an unused one and the two for no answer.
 UNUSED_V1 = (4, -88, -99)
 
+CODES = {
+    "v1": (1, 2, 3, *UNUSED_V1), "v13": (1, 2), "v5": (1, 2, 3, 4, 5),
+    "v19": (0, 1), "v20": (0, 1), "v21": (0, 1),
+}
+
 QUESTIONS = [
     ("v19", "G019", "Ordered more than ten"),
     ("v20", "G019", "Returned"),
@@ -59,28 +64,14 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*SURVEY_COLUMNS)
 
 
-def survey_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The codes found in the interviews, and three that are not, with labels."""
-    interviews = survey(spark, sf_dir)
-    named = [F.col(v) for v in ("v1", "v13", "v19", "v20", "v21")]
-    named += [F.col(slot).alias("v5") for slot in SLOTS["v5"]]
-    found = (
-        interviews.select([F.col(c).cast("int").alias(c) for c in interviews.columns if c[0] == "v"])
-        .unpivot([], named, "variable", "code")
-        .distinct()
-        .filter("code is not null")
-    )
-    unused = spark.range(0, 1, 1, 1).select(
-        F.lit("v1").alias("variable"),
-        F.explode(F.array(*[F.lit(c) for c in UNUSED_V1])).alias("code"),
-    )
-    first = F.create_map(*[F.lit(x) for pair in FIRST_OPTION.items() for x in pair])
-    return found.unionByName(unused).select(
-        (F.element_at(first, F.col("variable")) + F.col("code")).alias("option_id"),
-        "variable",
-        F.col("code").cast("string").alias("code"),
-        F.concat("variable", F.lit(" option "), F.col("code").cast("string")).alias("label"),
-    )
+def survey_options(spark: SparkSession) -> DataFrame:
+    """The dictionary of the interviews, written out: their codes and three that none holds."""
+    rows = [
+        [FIRST_OPTION[v] + code, v, str(code), f"{v} option {code}"]
+        for v, codes in CODES.items() for code in codes
+    ]
+    names = ("option_id", "variable", "code", "label")
+    return literal_rows(spark, dict(zip(names, ("bigint", "string", "string", "string"))), rows)
 
 
 def survey_questions(spark: SparkSession) -> DataFrame:
@@ -92,7 +83,7 @@ def survey_questions(spark: SparkSession) -> DataFrame:
 def part_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary as long as the part table: brands as questions."""
     return table(spark, sf_dir, "part").selectExpr(
-        "cast(p_partkey as int) as opcao_id",
+        "p_partkey as opcao_id",
         "p_brand as opcao_variavel",
         "p_partkey as opcao_cod",
         "p_name as opcao_label",
@@ -102,8 +93,33 @@ def part_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_open_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open-ended codes for some of those questions: suppliers by nation."""
     return table(spark, sf_dir, "supplier").selectExpr(
-        "cast(s_suppkey as int) as opcao_id",
+        "s_suppkey as opcao_id",
         "concat('Brand#', cast(s_nationkey as string)) as opcao_variavel",
         "s_suppkey as opcao_cod",
         "s_name as opcao_label",
     )
+
+
+def ship_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship days of 1996, over 300 of them, as the options of one question."""
+    days = table(spark, sf_dir, "orders").filter(
+        "o_orderdate >= date'1996-01-01' and o_orderdate < date'1997-01-01'"
+    ).selectExpr("cast(date_format(o_orderdate, 'yyyyMMdd') as bigint) as code").distinct()
+    return days.selectExpr(
+        "code as option_id", "'v70' as variable", "cast(code as string) as code",
+        "concat('day ', cast(code as string)) as label",
+    )
+
+
+def ordered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interview per order: the day as a code, and the priority's number."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "cast(date_format(o_orderdate, 'yyyyMMdd') as bigint) as v70",
+        "cast(substr(o_orderpriority, 1, 1) as int) as v71", "cast(o_orderkey % 7 + 1 as double) as weight",
+    )
+
+
+def priorities(spark: SparkSession) -> DataFrame:
+    rows = [[1_000_000_000 + i, "v71", str(i), f"priority {i}"] for i in range(1, 6)]
+    names = ("option_id", "variable", "code", "label")
+    return literal_rows(spark, dict(zip(names, ("bigint", "string", "string", "string"))), rows)

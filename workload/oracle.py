@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from workload.inputs import FIRST_OPTION, QUESTIONS, SURVEY_COLUMNS, TIE_KEY, UNUSED_V1
 
-TOTAL, BASE = 2147483646, 2147483647
+TOTAL, BASE = "1e300::double", "2e300::double"
 SURVEY = f"survey as (select {', '.join(SURVEY_COLUMNS)} from lineitem)"
 SLOTS = ("v5_1", "v5_2", "v5_3")
 MENTIONS = ("v19", "v20", "v21")
@@ -27,7 +27,7 @@ _found = union(
     + [f"select 'v1', {c}" for c in UNUSED_V1]
 )
 OPTIONS = f"""options as (
-  select distinct cast(case variable {_first} end + code as int) as option_id, variable,
+  select distinct cast(case variable {_first} end + code as bigint) as option_id, variable,
     cast(code as varchar) as code, variable || ' option ' || cast(code as varchar) as label
   from ({_found}) where code is not null)"""
 QUESTION_ROWS = "questions as (" + union(
@@ -43,7 +43,7 @@ def pct(part: str, whole: str) -> str:
 # --- frequencies ------------------------------------------------------------------
 
 
-def answers_cte(kind: str, source: str = "survey", weight: str = "weight") -> str:
+def answers_cte(kind: str, source: str = "survey", weight: str = "weight", text: bool = False):
     """``answers``: one line per counted answer; ``bases``: one per variable."""
     if kind in ("v5", "G019"):
         columns = SLOTS if kind == "v5" else MENTIONS
@@ -60,8 +60,8 @@ def answers_cte(kind: str, source: str = "survey", weight: str = "weight") -> st
         answered = f"coalesce({', '.join(columns)}) is not null"
     else:
         answers = (
-            f"select '{kind}' as variable, cast({kind} as varchar) as code, {kind} as row_order, "
-            f"{weight} as w from {source} where {kind} is not null"
+            f"select '{kind}' as variable, cast({kind} as varchar) as code, "
+            f"{0 if text else kind} as row_order, {weight} as w from {source} where {kind} is not null"
         )
         answered = f"{kind} is not null"
     bases = f"""select '{kind}' as variable, count(*) filter (where {answered}) as bn,
@@ -70,8 +70,8 @@ def answers_cte(kind: str, source: str = "survey", weight: str = "weight") -> st
     return answers, bases
 
 
-def freq_ctes(kinds, source="survey", weight="weight") -> str:
-    pairs = [answers_cte(k, source, weight) for k in kinds]
+def freq_ctes(kinds, source="survey", weight="weight", texts=()) -> str:
+    pairs = [answers_cte(k, source, weight, k in texts) for k in kinds]
     return f"""
 answers as ({union(a for a, _ in pairs)}),
 bases as ({union(b for _, b in pairs)}),
@@ -83,7 +83,7 @@ wholes as (select b.*, c.cn, c.cw, case when over_persons then bn else cn end as
     (select variable, sum(n)::bigint as cn, sum(nw) as cw from codes group by variable) c
     using (variable)),
 freq as (
-  select variable, code, 'code' as row_kind, cast(row_order as int) as row_order, n,
+  select variable, code, 'code' as row_kind, cast(row_order as double) as row_order, n,
     cast(nw as double) as n_weighted, {pct('n', 'wn')} as pct, {pct('nw', 'ww')} as pct_weighted
   from codes join wholes using (variable)
   union all
@@ -105,8 +105,8 @@ SILENT = "nobody as (select * replace (v19 * 0 as v19, v20 * 0 as v20, v21 * 0 a
 
 LABELLED = """
 select o.variable, o.code, o.label, 'code' as row_kind,
-  cast(case o.code when '-88' then 2147483644 when '-99' then 2147483645 else o.option_id end
-    as int) as row_order, f.n, f.n_weighted, f.pct, f.pct_weighted
+  case o.code when '-88' then 1e299::double when '-99' then 2e299::double
+    else cast(o.option_id as double) end as row_order, f.n, f.n_weighted, f.pct, f.pct_weighted
 from options o left join freq f
   on f.variable = o.variable and f.code = o.code and f.row_kind = 'code'
 where o.variable = 'v1'
@@ -119,7 +119,7 @@ select f.variable, f.code, coalesce(q.question_text, f.code) as label, f.row_kin
   f.n, f.n_weighted, f.pct, f.pct_weighted
 from freq f left join questions q on q.variable = f.code
 union all
-select question_number, variable, question_text, 'code', 0, null, null, null, null
+select question_number, variable, question_text, 'code', 0.0::double, null, null, null, null
 from questions
 where question_number = 'G019' and not exists (select 1 from freq where row_kind = 'code')"""
 
@@ -140,6 +140,14 @@ def wide_line(measure: str, order: int) -> str:
       from freq group by variable"""
 
 
+def wide_all(measure: str) -> str:
+    cells = ", ".join(
+        f"coalesce(max({measure}) filter (where {'code' if c.isdigit() else 'row_kind'} = '{c}'), "
+        f"0.0::double) as c_{c}" for c in ("1", "2", "3", "4", "5", "total", "base")
+    )
+    return f"select variable, '{measure}' as measure, {cells} from freq group by variable"
+
+
 def compare() -> str:
     ctes, selects = [], []
     for split in (1, 2):
@@ -160,7 +168,7 @@ def compare() -> str:
 
 TEXT_FREQ = union(
     f"""(with codes as (select '{c}' as variable, {c} as code, 'code' as row_kind,
-          0 as row_order, count(*) as n, cast(count(*) as double) as n_weighted
+          0.0::double as row_order, count(*) as n, cast(count(*) as double) as n_weighted
         from orders where {c} is not null group by {c}),
       t as (select sum(n)::bigint as cn from codes), a as (select count(*) as an from orders)
       select codes.*, {pct('n', 'cn')} as pct, {pct('n', 'cn')} as pct_weighted from codes, t
@@ -252,10 +260,10 @@ def cross_mean(columns, keep="true") -> str:
 
 SPLITS = f"""
 ids as (
-  select 101 as split_id, 1 as split_no, 'Geral' as split, '1' as code
+  select 101::bigint as split_id, 1 as split_no, 'Geral' as split, '1' as code
   union all
   select cast(100 * s.split_no + row_number() over (partition by s.split order by o.option_id)
-    as int), s.split_no, s.split, o.code
+    as bigint), s.split_no, s.split, o.code
   from (select 'v13' as split, 2 as split_no union all select 'v1', 3) s
     join options o on o.variable = s.split),
 members as (
@@ -318,7 +326,7 @@ report_base as (
   from base_counts)"""
 
 
-DESCRIBED = """select cast(split_id as int) as split_id, split,
+DESCRIBED = """select split_id, split_no, cast(split_id % 100 as int) as option_no, split,
   case when split = 'Geral' then 'Geral' else code end as option,
   'Todas especificadas em ''variaveis_quero''' as note,
   case when split_no = 3 then 'Sem Peso' else 'weight' end as weight from ids"""
@@ -328,31 +336,68 @@ def report(ctes: str, select: str) -> str:
     return f"with {SURVEY}, {OPTIONS}, {SPLITS}, {ctes} {select}"
 
 
+def by_split(select: str, kinds) -> str:
+    """Tables of both splits, one under the other, with the split in front."""
+    ctes, parts = [], []
+    for split in (1, 2):
+        ctes.append(f"part{split} as (select * from survey where v13 = {split})")
+        ctes.append(f"freq{split} as (with {freq_ctes(kinds, f'part{split}')} select * from freq)")
+        body = select.replace(" freq ", f" freq{split} ").replace("from freq)", f"from freq{split})")
+        parts.append(f"select '{split}' as split, * from ({body})")
+    return f"with {SURVEY}, {OPTIONS}, {QUESTION_ROWS}, {', '.join(ctes)} {union(parts)}"
+
+
+DAYS = """interviews as (select o_orderkey, cast(strftime(o_orderdate, '%Y%m%d') as bigint) as v70,
+    cast(substr(o_orderpriority, 1, 1) as int) as v71, cast(o_orderkey % 7 + 1 as double) as w
+  from orders),
+days as (select distinct v70 as code from interviews where v70 between 19960101 and 19961231),
+ids as (
+  select 1001::bigint as split_id, 'Geral' as option, null::bigint as day
+  union all
+  select 2000 + row_number() over (order by code), cast(code as varchar), code from days),
+members as (
+  select split_id, option, v71, 1.0::double as w from ids, interviews where day is null
+  union all
+  select split_id, option, v71, w from ids join interviews on v70 = day)"""
+
+MANY_OPTIONS = f"""with {DAYS},
+grid as (select split_id, option, unnest([1, 2, 3, 4, 5]) as code from ids),
+counted as (select split_id, v71 as code, count(*) as n, sum(w) as nw from members group by all),
+joined as (select g.split_id, g.option, cast(g.code as varchar) as code, coalesce(n, 0) as n,
+    coalesce(nw, 0.0)::double as n_weighted
+  from grid g left join counted c on c.split_id = g.split_id and c.code = g.code)
+select split_id, 'v71' as variable, code, n, n_weighted,
+  coalesce({pct('n', 'sum(n) over (partition by split_id)')}, 0) as pct,
+  coalesce({pct('n_weighted', 'sum(n_weighted) over (partition by split_id)')}, 0) as pct_weighted,
+  option from joined"""
+
 ORACLE = {
-    "responses_filtered": """select o_orderkey, o_custkey, o_totalprice as peso from orders
+    "responses_filtered": """select o_orderkey, o_custkey, o_totalprice as weight from orders
       where o_orderstatus = 'F' and o_orderpriority <> '5-LOW'""",
+    "responses_text_status": """select o_orderkey, case o_orderstatus when 'F' then '0' else '0.0' end
+      as status from orders where o_orderstatus <> 'O'""",
     "open_ended_join": """select d.doc_id as question_key, l.doc_id as answer_key,
       d.lang as questaoaberta_variavel, l.quality as respostaaberta_cod,
       cast(l.toxic as varchar) as respostaaberta_label
       from documents d, labels l where d.doc_id = l.doc_id""",
-    "open_ended_dictionary": """select cast(d.doc_id as int) as option_id, d.lang as variable,
+    "open_ended_dictionary": """select d.doc_id as option_id, d.lang as variable,
       cast(l.quality as varchar) as code, cast(l.toxic as varchar) as label
       from documents d, labels l where d.doc_id = l.doc_id""",
     "latin1_text": """select doc_id, case when not regexp_matches(t, '[^\\x00-\\xFF]') then t end
       as text from (select doc_id, case when doc_id % 10 = 0 then text || '漢' else text end as t
       from documents)""",
-    "dictionary_override": """with open as (select cast(s_suppkey as int) as option_id,
+    "dictionary_override": """with open as (select s_suppkey as option_id,
         'Brand#' || s_nationkey as variable, cast(s_suppkey as varchar) as code, s_name as label
         from supplier)
-      select cast(p_partkey as int) as option_id, p_brand as variable,
+      select p_partkey as option_id, p_brand as variable,
         cast(p_partkey as varchar) as code, p_name as label
       from part where p_brand not in (select variable from open)
       union all select * from open""",
     "dictionary_alias": """select distinct * from (
-      select cast(p_partkey as int) as option_id, p_brand as variable,
+      select p_partkey as option_id, p_brand as variable,
         cast(p_partkey as varchar) as code, p_name as label from part
       union all
-      select cast(p_partkey as int), 'G12MRG', cast(p_partkey as varchar), p_name from part
+      select p_partkey, 'G12MRG', cast(p_partkey as varchar), p_name from part
       where p_brand = 'Brand#12')""",
     "not_in_null_safe": f"""with {SURVEY} select cast(v1 as varchar) as code,
       coalesce(v1 <> 2, true) as kept, coalesce(v1 in (1, 2), false) as listed, count(*) as n,
@@ -362,6 +407,20 @@ ORACLE = {
     "freq_single_empty": freq(["v1"], "nobody", extra=EMPTY),
     "freq_text_codes": TEXT_FREQ,
     "freq_multi": freq(["v5"]),
+    "freq_multi_unnamed": f"""with {SURVEY}, {freq_ctes(['v5'])}
+      select * replace ('v5mrg' as variable) from freq""",
+    "freq_mixed_types": f"""with {SURVEY}, extra as (select *, v5_1::double / 2 as v60,
+        case v13 when 1 then 'closed' when 2 then 'open' end as v61 from survey),
+      {freq_ctes(['v1', 'v60', 'v61'], 'extra', texts=('v61',))}
+      select * replace (case when variable = 'v60' then regexp_replace(code, '\\.0$', '') else code end
+        as code) from freq""",
+    "freq_large_codes": f"""with {SURVEY}, extra as (select v1 * 3000000000 as v62,
+        v5_1::double * 1e15 as v63, v5_1::double * -0.25 as v64, weight from survey),
+      {freq_ctes(['v62', 'v63', 'v64'], 'extra')}
+      select * replace (case when row_kind <> 'code' then code
+        when variable = 'v63' then cast(cast(row_order as bigint) as varchar)
+        when variable = 'v64' then regexp_replace(code, '\\.0$', '') else code end as code)
+      from freq""",
     "freq_mentioned": freq(["G019"]),
     "freq_mentioned_none": freq(["G019"], "nobody", extra=SILENT),
     "freq_all_kinds": freq(["v1", "v13", "v5", "G019"]),
@@ -369,6 +428,21 @@ ORACLE = {
     "label_mentioned": f"with {SURVEY}, {QUESTION_ROWS}, {freq_ctes(['G019'])} {MENTION_LABELS}",
     "label_mentioned_none": f"""with {SURVEY}, {SILENT} {QUESTION_ROWS},
       {freq_ctes(['G019'], 'nobody')} {MENTION_LABELS}""",
+    "label_mentioned_from_table": f"""with {SURVEY}, questions as (
+        select 'v' || p_partkey as variable, 'G019' as question_number, p_name as question_text
+        from part where p_partkey between 19 and 21), {freq_ctes(['G019'])} {MENTION_LABELS}""",
+    "label_coded_by": by_split(LABELLED, ["v1"]),
+    "label_mentioned_by": by_split(MENTION_LABELS, ["G019"]),
+    "layout_wide_all": f"""with {SURVEY}, {freq_ctes(['v1', 'v5_1'])}
+      {wide_all('pct_weighted')} union all {wide_all('n_weighted')}""",
+    "layout_compare_labelled": f"""with labelled as ({by_split(LABELLED, ["v1"])})
+      select variable, code, row_kind, row_order, label, {', '.join(
+        f"coalesce(max({m}) filter (where split = '{s}'), 0) as {m}_{s}"
+        for m in ("n", "n_weighted", "pct", "pct_weighted") for s in (1, 2))}
+      from labelled group by all""",
+    "layout_compare_cleaned": f"""select * rename ({', '.join(
+        f"{m}_{s} as {m}_{name}" for m in ("n", "n_weighted", "pct", "pct_weighted")
+        for s, name in ((1, "ja_fechado_f"), (2, "em_aberto")))}) from ({compare()})""",
     "layout_tidy": f"with {SURVEY}, {freq_ctes(['v1', 'v13'])} {TIDY}",
     "layout_wide": f"""with {SURVEY}, {freq_ctes(['v1'])}
       {wide_line('pct_weighted', 1)} union all {wide_line('n_weighted', 2)}""",
@@ -377,6 +451,14 @@ ORACLE = {
         f"select '{c}' as variable, {measured(c)} as x, weight as w from survey"
         for c in ("v30m", "v5_1")
     )) + " select * from means",
+    "mean_stats_shifted": f"""with {SURVEY}, rows_ as (
+        select l_extendedprice + 1e9 as x, l_extendedprice as w from survey),
+      centre as (select count(*) as n, 1e9 + avg(w) as a, sum(w) as kw,
+          1e9 + sum(w * w) / sum(w) as m from rows_)
+      select 'v66' as variable, round(any_value(a), 2) as mean, round(any_value(m), 2) as mean_weighted,
+        any_value(n) as n, round(sqrt(sum((x - a) * (x - a)) / (any_value(n) - 1)), 3) as sd,
+        round(sqrt(sum(w * (x - m) * (x - m)) / (any_value(kw) - 1)), 3) as sd_weighted
+      from rows_, centre""",
     "mean_trimmed": f"with {SURVEY}, "
     + mean_select("variable", trimmed("v30m").replace("VARIABLE", "v30m")) + " select * from means",
     "mean_trimmed_scalable": f"with {SURVEY}, "
@@ -397,6 +479,11 @@ ORACLE = {
     "report_base_single": report(report_base_ctes(["v1"]), "select * from report_base"),
     "report_base_multi": report(report_base_ctes(["v5"]), "select * from report_base"),
     "report_description": report(f"described as ({DESCRIBED})", "select * from described"),
+    "report_routed": report(
+        "described as (" + DESCRIBED.split("'Todas")[0] + "'FAZER DEPOIS' as note"
+        + DESCRIBED.split("as note")[1] + ")", "select * from described"),
+    "report_many_options": MANY_OPTIONS,
+    "report_written": report(report_freq_ctes(["v1"]), "select * from report_freq"),
     "report_assembled": report(
         report_freq_ctes(["v1", "v13", "v5"]) + "," + report_base_ctes(["v1", "v13", "v5"])
         + f", described as ({DESCRIBED})",

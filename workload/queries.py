@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from surveytab.operators.labels import label_coded, label_mentioned
 from surveytab.operators.layout import layout_compare, layout_tidy, layout_wide
 from surveytab.operators.means import cross_means, means
 from surveytab.operators.trimmed import trimmed_means
-from surveytab.plans.report import build_report, report_spec
+from surveytab.plans.report import build_report, report_spec, route_variables, write_report
 from surveytab.sources.dictionary import (
     alias_options,
     check_options,
@@ -25,14 +28,18 @@ from surveytab.sources.dictionary import (
     open_ended_options,
     options_from,
     override_options,
+    questions_from,
 )
-from surveytab.sources.responses import completed_interviews, latin1_text
+from surveytab.sources.responses import CODED_AT, STATUS, completed_interviews, latin1_text
 from workload.inputs import (
     MENTIONS,
     SLOTS,
     TIE_KEY,
     WEIGHT,
+    ordered_days,
     part_options,
+    priorities,
+    ship_options,
     supplier_open_options,
     survey,
     survey_options,
@@ -61,11 +68,21 @@ def responses_filtered(spark, sf):
     orders = table(spark, sf, "orders").selectExpr(
         "o_orderkey",
         "o_custkey",
-        "o_totalprice as peso",
-        "case when o_orderstatus = 'F' then 0 else 1 end as status",
-        "nullif(o_orderpriority, '5-LOW') as codificacao_abertas_data",
+        "o_totalprice as weight",
+        f"case when o_orderstatus = 'F' then 0 else 1 end as {STATUS}",
+        f"nullif(o_orderpriority, '5-LOW') as {CODED_AT}",
+    )
+    return completed_interviews(orders).select("o_orderkey", "o_custkey", "weight")
+
+
+def responses_text_status(spark, sf):
+    """A status that is text, and not always a number."""
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_orderkey",
+        f"case o_orderstatus when 'F' then '0' when 'O' then 'open' else '0.0' end as {STATUS}",
+        f"o_orderdate as {CODED_AT}",
     )
-    return completed_interviews(orders).select("o_orderkey", "o_custkey", "peso")
+    return completed_interviews(orders).select("o_orderkey", STATUS)
 
 
 def _open_answers(spark, sf):
@@ -168,12 +185,32 @@ def freq_all_kinds(spark, sf):
     return rounded(frequencies(survey(spark, sf), ["v1", "v13"], SLOTS, MENTIONS, WEIGHT))
 
 
+def freq_multi_unnamed(spark, sf):
+    return rounded(multiple_frequencies(survey(spark, sf), [["v5_1", "v5_2", "v5_3"]], WEIGHT))
+
+
+def freq_mixed_types(spark, sf):
+    """Whole numbers, fractions and text in one call and one scan."""
+    interviews = survey(spark, sf).selectExpr(
+        "*", "cast(v5_1 as double) / 2 as v60",
+        "case v13 when 1 then 'closed' when 2 then 'open' end as v61",
+    )
+    return rounded(single_frequencies(interviews, ["v1", "v60", "v61"], WEIGHT))
+
+
+def freq_large_codes(spark, sf):
+    """Codes beyond 2^31, doubles beyond 10^15, and negative fractions, in their order."""
+    interviews = survey(spark, sf).selectExpr(
+        "v1 * 3000000000L as v62", "cast(v5_1 as double) * 1e15 as v63", "v5_1 * -0.25D as v64", WEIGHT)
+    return rounded(single_frequencies(interviews, ["v62", "v63", "v64"], WEIGHT))
+
+
 # --- labels and layouts -----------------------------------------------------------
 
 
 def label_coded_query(spark, sf):
     table_ = single_frequencies(survey(spark, sf), ["v1"], WEIGHT)
-    return rounded(label_coded(table_, survey_options(spark, sf), ["v1"]))
+    return rounded(label_coded(table_, survey_options(spark), ["v1"]))
 
 
 def label_mentioned_query(spark, sf):
@@ -187,6 +224,48 @@ def label_mentioned_none(spark, sf):
     )
 
 
+def label_mentioned_from_table(spark, sf):
+    """Question texts read from a table: the names of three parts."""
+    questions = table(spark, sf, "part").filter("p_partkey between 19 and 21").selectExpr(
+        "concat('v', cast(p_partkey as string)) as opcao_variavel",
+        "'G019' as pergunta_num_quest", "p_name as pergunta_enunciado")
+    table_ = mentioned_frequencies(survey(spark, sf), MENTIONS, WEIGHT)
+    return rounded(label_mentioned(table_, questions_from(questions), list(MENTIONS)))
+
+
+def label_coded_by(spark, sf):
+    table_ = single_frequencies(survey(spark, sf), ["v1"], WEIGHT, by="v13")
+    return rounded(label_coded(table_, survey_options(spark), ["v1"]))
+
+
+def label_mentioned_by(spark, sf):
+    table_ = mentioned_frequencies(survey(spark, sf), MENTIONS, WEIGHT, by="v13")
+    return rounded(label_mentioned(table_, survey_questions(spark), list(MENTIONS)))
+
+
+def layout_compare_labelled(spark, sf):
+    """Frequency, labels, comparison of all splits found."""
+    table_ = single_frequencies(survey(spark, sf), ["v1"], WEIGHT, by="v13")
+    return rounded(layout_compare(label_coded(table_, survey_options(spark), ["v1"])))
+
+
+def layout_compare_cleaned(spark, sf):
+    """Splits whose names need cleaning before they are columns."""
+    interviews = survey(spark, sf).selectExpr(
+        "*", "case v13 when 1 then 'Já fechado (F)' when 2 then 'Em aberto' end as v65")
+    table_ = single_frequencies(interviews, ["v1"], WEIGHT, by="v65")
+    return rounded(layout_compare(table_, ["Já fechado (F)", "Em aberto"]))
+
+
+def layout_wide_all(spark, sf):
+    """All codes found as columns, without a list."""
+    wide = layout_wide(single_frequencies(survey(spark, sf), ["v1", "v5_1"], WEIGHT))
+    codes = [c for c in wide.columns if c not in ("variable", "measure", "row_order")]
+    return rounded(
+        wide.select("variable", "measure", *[F.col(f"`{c}`").alias(f"c_{c.lower()}") for c in codes])
+    )
+
+
 def layout_tidy_query(spark, sf):
     return rounded(layout_tidy(single_frequencies(survey(spark, sf), ["v1", "v13"], WEIGHT)))
 
@@ -215,6 +294,15 @@ def mean_stats(spark, sf):
     return rounded(means(survey(spark, sf), ["v30m", "v5_1"], WEIGHT))
 
 
+def mean_stats_shifted(spark, sf):
+    """Answers a thousand million from zero, with weights that go with them."""
+    interviews = survey(spark, sf).selectExpr("l_extendedprice + 1e9D as v66", "l_extendedprice as w")
+    found = means(interviews, ["v66"], "w")
+    return found.select(
+        "variable", F.round("mean", 2).alias("mean"), F.round("mean_weighted", 2).alias("mean_weighted"),
+        "n", F.round("sd", 3).alias("sd"), F.round("sd_weighted", 3).alias("sd_weighted"))
+
+
 def mean_trimmed(spark, sf):
     return rounded(trimmed_means(survey(spark, sf), ["v30m"], TIE_KEY, WEIGHT))
 
@@ -239,31 +327,31 @@ def mean_trimmed_ties(spark, sf):
 
 def cross_single_query(spark, sf):
     return rounded(
-        cross_single(survey(spark, sf), survey_options(spark, sf), [("v1", "v13")], WEIGHT)
+        cross_single(survey(spark, sf), survey_options(spark), [("v1", "v13")], WEIGHT)
     )
 
 
 def cross_single_outside(spark, sf):
     """A dictionary that lacks two codes: they join the null category."""
-    listed = survey_options(spark, sf).filter("option_id not in (102, 201)")
+    listed = survey_options(spark).filter("option_id not in (102, 201)")
     return rounded(
         cross_single(survey(spark, sf), listed, [("v1", "v13"), ("v13", "v1")], WEIGHT)
     )
 
 
 def cross_multi(spark, sf):
-    options = survey_options(spark, sf)
+    options = survey_options(spark)
     return rounded(cross_multiple(survey(spark, sf), options, [("v1", "v5")], SLOTS, WEIGHT))
 
 
 def cross_mean(spark, sf):
     return rounded(
-        cross_means(survey(spark, sf), survey_options(spark, sf), [("v1", "v30m")], WEIGHT)
+        cross_means(survey(spark, sf), survey_options(spark), [("v1", "v30m")], WEIGHT)
     )
 
 
 def cross_mean_outside(spark, sf):
-    listed = survey_options(spark, sf).filter("option_id <> 102")
+    listed = survey_options(spark).filter("option_id <> 102")
     return rounded(
         cross_means(survey(spark, sf), listed, [("v1", "v30m"), ("v13", "v30m")], WEIGHT)
     )
@@ -274,7 +362,32 @@ def cross_mean_outside(spark, sf):
 
 def _report(spark, sf, singles=("v1",), multiples=None, means_=()):
     spec = report_spec(["Geral", "v13", "v1"], [WEIGHT, WEIGHT, None], singles, multiples, means_)
-    return build_report(survey(spark, sf), survey_options(spark, sf), spec)
+    return build_report(survey(spark, sf), survey_options(spark), spec)
+
+
+def report_routed(spark, sf):
+    """The description of a report whose variables come as one list, a group first."""
+    wanted = route_variables([["X5", *SLOTS["v5"]], "v1", "v30m"])
+    spec = report_spec(["Geral", "v13", "v1"], [WEIGHT, WEIGHT, None], **wanted)
+    return build_report(survey(spark, sf), survey_options(spark), spec).description
+
+
+def report_many_options(spark, sf):
+    """A split of some 360 days."""
+    options = ship_options(spark, sf).unionByName(priorities(spark))
+    spec = report_spec(["Geral", "v70"], [None, WEIGHT], ["v71"])
+    report = build_report(ordered_days(spark, sf), options, spec)
+    described = report.description.select("split_id", "option")
+    return rounded(report.frequencies.join(described, "split_id"))
+
+
+def report_written(spark, sf):
+    """The report as a job writes it: read back from the folder."""
+    spec = report_spec(["Geral", "v13", "v1"], [WEIGHT, WEIGHT, None], ["v1"])
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="surveytab-")
+    path = f"{folder.rstrip('/')}/report-{uuid.uuid4().hex}"
+    write_report(survey(spark, sf), survey_options(spark), spec, path)
+    return rounded(spark.read.parquet(f"{path}/frequencies"))
 
 
 def report_freq_single(spark, sf):
@@ -313,6 +426,7 @@ def report_means(spark, sf):
 
 QUERIES = {
     "responses_filtered": responses_filtered,
+    "responses_text_status": responses_text_status,
     "open_ended_join": open_ended_join,
     "open_ended_dictionary": open_ended_dictionary,
     "latin1_text": latin1,
@@ -324,16 +438,26 @@ QUERIES = {
     "freq_single_empty": freq_single_empty,
     "freq_text_codes": freq_text_codes,
     "freq_multi": freq_multi,
+    "freq_multi_unnamed": freq_multi_unnamed,
+    "freq_mixed_types": freq_mixed_types,
+    "freq_large_codes": freq_large_codes,
     "freq_mentioned": freq_mentioned,
     "freq_mentioned_none": freq_mentioned_none,
     "freq_all_kinds": freq_all_kinds,
     "label_coded": label_coded_query,
     "label_mentioned": label_mentioned_query,
     "label_mentioned_none": label_mentioned_none,
+    "label_mentioned_from_table": label_mentioned_from_table,
+    "label_coded_by": label_coded_by,
+    "label_mentioned_by": label_mentioned_by,
     "layout_tidy": layout_tidy_query,
     "layout_wide": layout_wide_query,
+    "layout_wide_all": layout_wide_all,
     "layout_compare": layout_compare_query,
+    "layout_compare_labelled": layout_compare_labelled,
+    "layout_compare_cleaned": layout_compare_cleaned,
     "mean_stats": mean_stats,
+    "mean_stats_shifted": mean_stats_shifted,
     "mean_trimmed": mean_trimmed,
     "mean_trimmed_scalable": mean_trimmed_scalable,
     "mean_trimmed_ties": mean_trimmed_ties,
@@ -347,6 +471,9 @@ QUERIES = {
     "report_base_single": report_base_single,
     "report_base_multi": report_base_multi,
     "report_description": report_description,
+    "report_routed": report_routed,
+    "report_many_options": report_many_options,
+    "report_written": report_written,
     "report_assembled": report_assembled,
     "report_means": report_means,
 }
