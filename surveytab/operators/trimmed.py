@@ -13,15 +13,18 @@ is read off. Only those few rows are ever shuffled: everything else is partial
 aggregation. A value shared by very many rows is itself a pivot, and the search
 goes on among its rows along the tie-breaking columns.
 
-The driver sees two rows per variable and round. The input is scanned several
-times, one column wide, and must give the same rows every time.
+The driver sees a row per variable and round. The input is scanned several
+times, one column wide, and must give the same rows every time. Once both cuts of a variable
+have bounds, scans ask the source only for answers between them.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,26 +82,30 @@ def trimmed_means(
     require_columns(df, [*variables, *order_by])
     keys = [f"key_{i}" for i in range(len(order_by))]
     answers = F.array(*[numeric_answer(df, v, na_codes) for v in variables])
-    long = (
-        df.select(
-            weight_column(df, weight, null_weight).alias("weight"),
-            *[column(name).alias(key) for name, key in zip(order_by, keys)],
-            answers.alias("answers"),
+
+    def long_rows(cuts: Sequence[_Cut] = ()) -> DataFrame:
+        """One row per answer; with ``cuts``, of interviews that these may still fall on."""
+        return (
+            _near_cuts(df, variables, na_codes, cuts).select(
+                weight_column(df, weight, null_weight).alias("weight"),
+                *[column(name).alias(key) for name, key in zip(order_by, keys)],
+                answers.alias("answers"),
+            )
+            .select("weight", *keys, explode_slots("answers").alias("slot", "value"))
+            .filter(F.col("value").isNotNull())
         )
-        .select("weight", *keys, explode_slots("answers").alias("slot", "value"))
-        .filter(F.col("value").isNotNull())
-    )
+
     order = [("value", "double", F.col("value"))]
     for name, key in zip(order_by, keys):
         order += _tie_columns(name, key, df.schema[name].dataType, len(order))
-    cuts = _first_look(long, len(variables), accuracy)
-    _search(long, order, cuts, sortable, accuracy)
+    cuts = _first_look(long_rows(), len(variables), accuracy)
+    _search(long_rows, order, cuts, sortable, accuracy)
 
     # Deviations are taken from a value that the answers kept lie around: their upper end.
     centres = [
         c.point[0] if c.point and math.isfinite(c.point[0]) else 0.0 for c in cuts[1::2]
     ]
-    kept = long.filter(_up_to_cut(order, cuts[1::2]) & ~_up_to_cut(order, cuts[0::2]))
+    kept = long_rows().filter(_up_to_cut(order, cuts[1::2]) & ~_up_to_cut(order, cuts[0::2]))
     partial = (
         kept.groupBy("slot")
         .agg(*partial_columns(F.col("value") - pick(centres, "slot", "double"), F.col("weight")))
@@ -182,41 +189,70 @@ def _around(share: float, accuracy: int) -> tuple[float, float]:
     return max(0.0, share - margin), min(1.0, share + margin)
 
 
-def _search(long: DataFrame, order: _Order, cuts: list[_Cut], sortable: int, accuracy: int):
+def _search(long_rows, order: _Order, cuts: list[_Cut], sortable: int, accuracy: int):
     while open_cuts := [c for c in cuts if not c.found]:
         level = min(len(c.point) for c in open_cuts)
         if level == len(order):
             raise ValueError("order_by does not tell the rows at a cut apart")
         here = [c for c in open_cuts if len(c.point) == level]
+        before = [(len(c.point), c.size, c.low, c.high, c.rank) for c in here]
         few = [c for c in here if c.size <= sortable]
         many = [c for c in here if c.size > sortable]
         if few:
-            _read_off(long, order, level, cuts, few)
+            _read_off(long_rows(few), order, level, cuts, few)
         if many:
-            _count_round(long, order, level, cuts, many, accuracy)
+            _count_round(long_rows(many), order, level, cuts, many, accuracy)
+        if before == [(len(c.point), c.size, c.low, c.high, c.rank) for c in here]:
+            raise RuntimeError("a look at the rows settled nothing: did the input change?")
 
 
-def _rows_in_question(long, order, level, cuts, active) -> DataFrame:
-    """The rows an active cut may still fall on, one copy per such cut, with the
-    columns of the order from ``level`` on."""
-    both = F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)
-    rows = long.withColumn("cut", F.explode_outer(both)).filter(
-        F.col("cut").isin([c.number for c in active])
-    )
-    for i, (_, kind, value) in enumerate(order[:level]):
-        points = [c.point[i] if len(c.point) > i else None for c in cuts]
-        rows = rows.filter(value == pick(points, "cut", kind))
-    _, kind, value = order[level]
-    low = pick([c.low for c in cuts], "cut", kind)
-    high = pick([c.high for c in cuts], "cut", kind)
-    rows = rows.filter(low.isNull() | (value > low)).filter(high.isNull() | (value < high))
-    return rows.select("cut", *[v.alias(name) for name, _, v in order[level:]])
+def _near_cuts(df, variables, na_codes, cuts: Sequence[_Cut]) -> DataFrame:
+    """The interviews with an answer that one of the cuts may fall on, if all have bounds. Plain
+    comparisons of a column with literals, which the source can use."""
+    places = []
+    for cut in cuts:
+        name = variables[cut.slot]
+        plain = isinstance(df.schema[name].dataType, T.DoubleType)
+        value = column(name) if plain else numeric_answer(df, name, na_codes)
+        if cut.point:
+            places.append(value == F.lit(cut.point[0]))
+        elif cut.low is None and cut.high is None:
+            return df
+        else:
+            above = value > F.lit(cut.low) if cut.low is not None else F.lit(True)
+            below = value < F.lit(cut.high) if cut.high is not None else F.lit(True)
+            places.append(above & below)
+    return df.filter(reduce(operator.or_, places)) if places else df
+
+
+def _in_question(order, level, cuts, active) -> list[Column]:
+    """May the lower, the upper cut of the row's variable still fall on the row?"""
+    value, kind = order[level][2], order[level][1]
+    numbers = {c.number for c in active}
+    out = []
+    for side in (0, 1):
+        mine = cuts[side::2]
+        inside = pick([c.number in numbers for c in mine], "slot", "boolean")
+        for i, (_, k, v) in enumerate(order[:level]):
+            points = [c.point[i] if len(c.point) > i else None for c in mine]
+            inside = inside & F.coalesce(v == pick(points, "slot", k), F.lit(False))
+        low = pick([c.low if c.number in numbers else None for c in mine], "slot", kind)
+        high = pick([c.high if c.number in numbers else None for c in mine], "slot", kind)
+        out.append(inside & (low.isNull() | (value > low)) & (high.isNull() | (value < high)))
+    return out
 
 
 def _read_off(long, order, level, cuts, few) -> None:
     """Sort the few rows left and take the one at the rank."""
     names = [name for name, _, _ in order[level:]]
-    rows = _rows_in_question(long, order, level, cuts, few)
+    lower, upper = _in_question(order, level, cuts, few)
+    number = F.col("slot") * 2
+    rows = (
+        long.filter(lower | upper)
+        .withColumn("cut", F.explode(F.array_compact(F.array(
+            F.when(lower, number), F.when(upper, number + 1)))))
+        .select("cut", *[v.alias(name) for name, _, v in order[level:]])
+    )
     # Rows alike in all columns are peers of this frame and share its count.
     upto = Window.partitionBy("cut").orderBy(*names)
     rank = pick([c.rank for c in cuts], "cut", "bigint")
@@ -235,23 +271,32 @@ def _read_off(long, order, level, cuts, few) -> None:
 
 
 def _count_round(long, order, level, cuts, many, accuracy) -> None:
-    """Propose two pivots per cut and count the rows on either side of them."""
-    name, kind, _ = order[level]
-    rows = _rows_in_question(long, order, level, cuts, many)
-    _propose_pivots(rows, name, [c for c in many if c.pivots is None], accuracy)
-    first, second = (
-        pick([c.pivots[i] if c.pivots else None for c in cuts], "cut", kind) for i in (0, 1)
-    )
-    value = F.col(name)
-    counted = rows.groupBy("cut").agg(
-        F.count_if(value < first).alias("under"),
-        F.count_if(value == first).alias("at_first"),
-        F.count_if((value > first) & (value < second)).alias("between"),
-        F.count_if((value == second) & (second > first)).alias("at_second"),
-        F.count_if(value > second).alias("over"),
-    )
-    for r in counted.collect():
-        cut = cuts[r["cut"]]
+    """Propose two pivots per cut and count the rows on either side of them, for both cuts of
+    a variable side by side."""
+    _, kind, value = order[level]
+    inside = _in_question(order, level, cuts, many)
+    _propose_pivots(long, value, inside, [c for c in many if c.pivots is None], accuracy)
+    counts = []
+    for side in (0, 1):
+        first, second = (
+            pick([c.pivots[i] if c in many else None for c in cuts[side::2]], "slot", kind)
+            for i in (0, 1)
+        )
+        parts = {
+            "under": value < first,
+            "at_first": value == first,
+            "between": (value > first) & (value < second),
+            "at_second": (value == second) & (second > first),
+            "over": value > second,
+        }
+        counts.append(F.struct(*[
+            F.count_if(inside[side] & part).alias(name) for name, part in parts.items()
+        ]).alias(f"side_{side}"))
+    found = {r["slot"]: r for r in long.groupBy("slot").agg(*counts).collect()}
+    for cut in many:
+        if cut.slot not in found:
+            continue
+        r = found[cut.slot][f"side_{cut.number % 2}"]
         a, b = cut.pivots
         cut.pivots = None
         upto_first = r["under"] + r["at_first"]
@@ -268,20 +313,22 @@ def _count_round(long, order, level, cuts, many, accuracy) -> None:
             cut.narrow(b, None, upto_second, r["over"])
 
 
-def _propose_pivots(rows, name, cuts, accuracy) -> None:
+def _propose_pivots(long, value, inside, cuts, accuracy) -> None:
     """Two values per cut that its rank most likely lies between."""
     if not cuts:
         return
     wanted = {c.number: _around(c.rank / c.size, accuracy) for c in cuts}
     fractions = sorted({f for pair in wanted.values() for f in pair})
-    sketch = (
-        rows.filter(F.col("cut").isin(list(wanted)))
-        .groupBy("cut")
-        .agg(F.percentile_approx(name, fractions, accuracy).alias("at"))
-    )
-    found = {r["cut"]: r["at"] for r in sketch.collect()}
+    sketches = [
+        F.percentile_approx(F.when(mine, value), fractions, accuracy).alias(f"side_{side}")
+        for side, mine in enumerate(inside)
+    ]
+    found = {r["slot"]: r for r in long.groupBy("slot").agg(*sketches).collect()}
     for cut in cuts:
-        cut.pivots = tuple(found[cut.number][fractions.index(f)] for f in wanted[cut.number])
+        at = found[cut.slot][f"side_{cut.number % 2}"] if cut.slot in found else None
+        if at is None:
+            raise RuntimeError("a look at the rows settled nothing: did the input change?")
+        cut.pivots = tuple(at[fractions.index(f)] for f in wanted[cut.number])
 
 
 def _up_to_cut(order: _Order, cuts: list[_Cut]) -> Column:
@@ -318,6 +365,12 @@ def _tie_columns(name: str, key: str, data_type: T.DataType, first: int) -> _Ord
         value, kind = F.unix_date(value), "bigint"
     elif isinstance(data_type, T.TimestampType):
         value, kind = F.unix_micros(value), "bigint"
+    elif isinstance(data_type, T.TimestampNTZType):
+        since = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {})"
+        value, kind = F.expr(since.format(f"`{key}`")), "bigint"
+    elif isinstance(data_type, T.DecimalType) and data_type.precision <= 18:
+        unscaled = T.DecimalType(min(38, data_type.precision + data_type.scale + 2), 0)
+        value, kind = (value * F.lit(10**data_type.scale)).cast(unscaled).cast("bigint"), "bigint"
     elif isinstance(data_type, T.IntegralType):
         kind = "bigint"
     elif isinstance(data_type, (T.FloatType, T.DoubleType)):
@@ -329,7 +382,8 @@ def _tie_columns(name: str, key: str, data_type: T.DataType, first: int) -> _Ord
         )
     missing = F.raise_error(F.lit(f"null in the tie-breaking column {name}")).cast(kind)
     value = F.coalesce(value.cast(kind), missing)
-    if not isinstance(data_type, (T.LongType, T.TimestampType)):
+    wide = (T.LongType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+    if not isinstance(data_type, wide):
         return [(f"tie_{first}", kind, value)]
     # Two columns with the same order: the leading bits, then the others.
     return [

@@ -96,7 +96,11 @@ def test_dates_and_times_break_ties(data):
         "*", F.timestamp_seconds("id").alias("at"), F.date_from_unix_date(F.col("id").cast("int")).alias("on")
     )
     expected = by_tiles(timed, "few", ["id"])
-    for key in ("at", "on"):
+    timed = timed.select(
+        "*", F.expr("cast(at as timestamp_ntz) as ntz"),
+        (F.col("id").cast("decimal(12,2)") / 4 - 100).cast("decimal(14,2)").alias("price"),
+    )
+    for key in ("at", "on", "ntz", "price"):
         got = trimmed_means(timed, ["few"], [key], "w", na_codes=(), sortable=100).first()
         assert (got.n, got.n_weighted) == (expected.n, expected.n_weighted)
 
@@ -122,3 +126,23 @@ def test_survey_figures(spark):
     got = trimmed_means(df, ["v30m"], TIE_KEY, "weight").first()
     assert (got.n, got.n_weighted) == (51454, 1307726.0)
     assert round(got.mean, 4) == 52515.6488 and round(got.mean_weighted, 4) == 52636.5949
+
+
+def test_few_looks_and_bounds_that_reach_the_source(spark, tmp_path, monkeypatch):
+    """What is read between the first look and the last is a few rows around the cuts."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    path = str(tmp_path / "t")
+    spark.range(60_000).selectExpr("id", "cast(hash(id) as double) as x").write.parquet(path)
+    df, looks, collect = spark.read.parquet(path), [], DataFrame.collect
+
+    def counted(self):
+        looks.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    got = trimmed_means(df, ["x"], ["id"], na_codes=(), sortable=1000, accuracy=1000)
+    monkeypatch.undo()
+    assert len(looks) <= 3
+    assert "LessThan(x," in looks[-1] and "Expand" not in looks[-1]
+    assert got.first().n == 60_000 - sum(rows_trimmed(60_000))
