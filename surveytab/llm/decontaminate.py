@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh
+from .store import small_batches
 from .text import mixed
 
 PERCENT = 8  # edits allowed per 100 bytes of an item
 BLOCK_BYTES = 4 << 20  # of items that a task holds at once
-CHUNK = 1 << 20  # bytes of a text looked at once
+CHUNK = 1 << 18  # bytes of a text looked at once
 WIDTHS = (1, 2, 3, 4, 6, 8, 11)  # window widths; a piece is probed by its first bytes
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15
@@ -173,6 +173,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
     found. Null and empty texts hold nothing; an empty benchmark gives no rows; a null
     doc_id is reported as null; a repeated row is reported again."""
     spark, out = documents.sparkSession, None
+    small_batches(spark)
     documents = documents.select("doc_id", "text")
     schema = "doc_id bigint, item_id bigint, distance bigint, contaminated boolean"
     for items in item_blocks(benchmark, percent):
@@ -200,6 +201,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
 def without_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no benchmark item."""
     spark, at = documents.sparkSession, documents.columns.index("text")
+    small_batches(spark)
     for items in item_blocks(benchmark, percent):
         shared = spark.sparkContext.broadcast(items)
 

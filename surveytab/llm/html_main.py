@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh
+from .store import fresh, small_batches
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -294,6 +294,7 @@ def extracted(pages: DataFrame) -> tuple[DataFrame, str]:
     name, at = fresh(pages, "text"), pages.columns.index("html")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + f", `{name}` string"
     names = [*pages.columns, name]
+    small_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import fresh
+from .store import fresh, small_batches
 
 UNKNOWN = "und"
 BITS = 12
@@ -141,6 +141,7 @@ def fit_languages(
 ) -> LanguageModel:
     """A model from ``doc_id, text, lang``. Rows with a null text or language are left out;
     at most ``sample`` documents of a language, chosen by doc_id, shape its centroids."""
+    small_batches(training.sparkSession)
     training = training.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -180,6 +181,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> tuple[DataFrame, lis
         T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())))])
     spark, at = documents.sparkSession, documents.columns.index("text")
     shared = spark.sparkContext.broadcast(model)
+    small_batches(spark)
 
     def run(batches):
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .text import hashed_words
 
 BUCKET_BITS = 20
@@ -165,6 +165,7 @@ def pseudo_likelihoods(documents: DataFrame, network: WindowNetwork | None = Non
     """``doc_id, n_words, log_likelihood, score`` for every row of ``documents`` (doc_id, text):
     the summed log probabilities of all words, and their mean. A null text or one without words has
     0 words, 0.0 and a null score. Other columns are ignored; rows are independent."""
+    small_batches(documents.sparkSession)
     documents = documents.select("doc_id", "text")
     shared = documents.sparkSession.sparkContext.broadcast(network or fit_network(documents))
 

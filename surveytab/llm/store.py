@@ -18,6 +18,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: send fewer of them to Python at once than Spark's 10 000 rows, unless
+    the session has a number of its own."""
+    if spark.conf.get(_ROWS_AT_ONCE, "10000") == "10000":
+        spark.conf.set(_ROWS_AT_ONCE, "1000")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there: later steps neither
     compute it again nor depend on the executors that made it."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .text import hashed_words
 
 BITS = 18  # words are hashed to 2^18 features
@@ -157,6 +157,7 @@ class Chain:
 def training_documents(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
     """Features and ``toxic`` labels of a sample of the labelled documents, in the order of a hash. Null
     ids, labels and texts are left out; a document is toxic if any of its labels says so."""
+    small_batches(documents.sparkSession)
     given = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, train_docs / max(given.count(), 1))
     order = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
@@ -195,6 +196,7 @@ def toxicity(documents: DataFrame, chain: Chain, categories=CATEGORIES) -> DataF
     """``doc_id``, a probability ``p_<category>`` for each, and ``toxic`` (the first one is at
     least one half), for every row of ``documents``. A null or empty text holds no words; if nothing
     could be learned, all probabilities are 0.0."""
+    small_batches(documents.sparkSession)
     shared, names = documents.sparkSession.sparkContext.broadcast(chain), [f"p_{c}" for c in categories]
 
     def run(batches):
