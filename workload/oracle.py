@@ -429,8 +429,9 @@ ORACLE = {
     "label_mentioned_none": f"""with {SURVEY}, {SILENT} {QUESTION_ROWS},
       {freq_ctes(['G019'], 'nobody')} {MENTION_LABELS}""",
     "label_mentioned_from_table": f"""with {SURVEY}, questions as (
-        select 'v' || p_partkey as variable, 'G019' as question_number, p_name as question_text
-        from part where p_partkey between 19 and 21), {freq_ctes(['G019'])} {MENTION_LABELS}""",
+        select 'v' || p_partkey as variable, p_name as question_text,
+          case when p_partkey between 19 and 21 then 'G019' else 'G000' end as question_number
+        from part), {freq_ctes(['G019'])} {MENTION_LABELS}""",
     "label_coded_by": by_split(LABELLED, ["v1"]),
     "label_mentioned_by": by_split(MENTION_LABELS, ["G019"]),
     "layout_wide_all": f"""with {SURVEY}, {freq_ctes(['v1', 'v5_1'])}

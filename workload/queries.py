@@ -225,10 +225,11 @@ def label_mentioned_none(spark, sf):
 
 
 def label_mentioned_from_table(spark, sf):
-    """Question texts read from a table: the names of three parts."""
-    questions = table(spark, sf, "part").filter("p_partkey between 19 and 21").selectExpr(
+    """Question texts read from a table: the names of the parts, three of them in the group."""
+    questions = table(spark, sf, "part").selectExpr(
         "concat('v', cast(p_partkey as string)) as opcao_variavel",
-        "'G019' as pergunta_num_quest", "p_name as pergunta_enunciado")
+        "if(p_partkey between 19 and 21, 'G019', 'G000') as pergunta_num_quest",
+        "p_name as pergunta_enunciado")
     table_ = mentioned_frequencies(survey(spark, sf), MENTIONS, WEIGHT)
     return rounded(label_mentioned(table_, questions_from(questions), list(MENTIONS)))
 
