@@ -1,21 +1,27 @@
 """Scoring documents by masked pseudo-likelihood with a small window network.
 
 A document's score is the sum, over all its words, of the log probability of the word given the words
-around it on both sides. The network adds an embedding for each of the two words before and
-after, takes tanh, and gives a softmax over word classes: the most frequent words of the whole
-corpus each have their own, and the others are hashed to a few dozen. It is trained in numpy on a
-bounded sample of documents, from an output bias set to the log frequencies of the
-classes in the whole corpus.
-
-Words are counted in 2^20 hash buckets: a task sends at most a row per bucket. Scoring is one pass
-over the texts, a few thousand words at a time.
+around it on both sides: log p(class | words around) + log p(word | class). The network gives the
+first. It adds an embedding for each of the two words before and after, takes tanh, and gives a softmax
+over word classes: the most frequent words of the whole corpus each have their own, and the others
+are hashed to a few dozen. The second is the word's share of its class, from the counts of all
+words of the corpus, so the vocabulary grows with the input.
+
+The network is trained in numpy on all documents, from an output bias set to the log frequencies of
+the classes. Documents are dealt by hash to groups of some ten thousand words and groups to
+rounds; in a round every group goes on from the same weights by itself, and their results are averaged,
+weighted by words. Which task trains a group makes no difference.
+
+Scoring is one pass over the texts, a few thousand words at a time. The counts of the 131 072 most
+frequent words are sent to all executors; rarer words are joined, which no frequent word makes uneven.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +33,10 @@ BUCKET_BITS = 20
 FREQUENT, HASHED = 128, 64  # classes
 SIDE = 2  # words looked at on each side
 HIDDEN = 32
-TRAIN_DOCS = 800  # sampled by doc_id
-TRAIN_WORDS = 250_000  # of them at most
-EPOCHS, BATCH, RATE = 2, 512, 0.004
+GROUP_WORDS = 64_000  # about so many are trained on in one go
+ROUNDS = 8  # at most; with fewer groups, as many
+EPOCHS, BATCH, RATE = 2, 512, 0.004  # epochs of a corpus that is one group; larger ones are gone through once
+MOST_WORDS = 1 << 17  # words sent to all executors with their counts (1.6 MB)
 AT_ONCE = 1024
 _U = np.uint64
 
@@ -38,19 +45,35 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def word_buckets(documents: DataFrame) -> DataFrame:
-    """``bucket, n``: how often each bucket's words occur in all texts."""
+def word_counts(documents: DataFrame) -> DataFrame:
+    """``word, n``: how often each word (its hash) occurs in all texts."""
     def run(batches):
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        def summed(words, n):
+            words, at = np.unique(np.concatenate(words), return_inverse=True)
+            return words, np.bincount(at, np.concatenate(n), len(words)).astype(np.int64)
+
+        words, n, waiting = [], [], 0
         for batch in batches:
             for _, hashes, _ in hashed_words(batch.column(0)):
-                np.add.at(total, _buckets(hashes), 1)
-        at = np.flatnonzero(total)
-        for start in range(0, len(at), 100_000):
-            part = at[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["bucket", "n"])
+                some, times = np.unique(hashes, return_counts=True)
+                words.append(some)
+                n.append(times)
+                waiting += len(some)
+                if waiting > 1_000_000:
+                    words, n = ([x] for x in summed(words, n))
+                    waiting = len(words[0])
+                    if waiting > 500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(words[0].view(np.int64)), pa.array(n[0])], ["word", "n"])
+                        words, n, waiting = [], [], 0
+        if words:
+            some, times = summed(words, n)
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(times)], ["word", "n"])
+
+    return documents.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return documents.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+def _bucket():
+    return F.shiftrightunsigned("word", 64 - BUCKET_BITS)
 
 
 @dataclass
@@ -87,28 +110,34 @@ class WindowNetwork:
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
-def train(network: WindowNetwork, ids: np.ndarray, at: np.ndarray, seed: int = 1) -> WindowNetwork:
+def _summed(rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows with each id below n."""
+    order = np.argsort(ids, kind="stable")
+    ids, out = ids[order], np.zeros((n, rows.shape[1]), rows.dtype)
+    firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    out[ids[firsts]] = np.add.reduceat(rows[order], firsts)
+    return out
+
+
+def train(network: WindowNetwork, ids: np.ndarray, at: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> WindowNetwork:
     """Adam over shuffled windows; deterministic."""
     rng = np.random.Generator(np.random.PCG64(seed))
     weights = [network.around, network.bias, network.out, network.out_bias]
     first, second = ([np.zeros_like(w) for w in weights] for _ in range(2))
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(at))
         for s in range(0, len(at), BATCH):
             here = at[order[s : s + BATCH]]
             h = network.hidden(ids, here)
             p = h @ network.out + network.out_bias
-            p = np.exp(p - p.max(axis=1, keepdims=True))
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(here)), ids[here]] -= 1
             p /= len(here)
             back = (p @ network.out.T) * (1 - h * h)
-            around = np.empty_like(network.around)
-            for e, o in zip(around, OFFSETS):
-                which = np.zeros((e.shape[0], len(here)), np.float32)
-                which[ids[here + o], np.arange(len(here))] = 1
-                np.matmul(which, back, out=e)
+            around = np.stack([_summed(back, ids[here + o], network.around.shape[1]) for o in OFFSETS])
             step += 1
             for w, g, m, v in zip(weights, [around, back.sum(0), h.T @ p, p.sum(0)], first, second):
                 m += 0.1 * (g - m)
@@ -117,69 +146,186 @@ def train(network: WindowNetwork, ids: np.ndarray, at: np.ndarray, seed: int = 1
     return network
 
 
-def fit_network(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> WindowNetwork:
-    """A network for ``documents`` (doc_id, text)."""
-    counts = written(word_buckets(documents), "buckets")
-    frequent = [r["bucket"] for r in counts.orderBy(F.desc("n"), "bucket").limit(FREQUENT).collect()]
+def _class_totals(words: DataFrame, frequent: list[int]) -> np.ndarray:
+    """How many words of each class are in the corpus."""
+    bucket = F.col("bucket")
+    rest = F.when(bucket.isin(frequent), bucket).otherwise(-1 - bucket % HASHED)
+    sums = words.withColumn("bucket", _bucket()).groupBy(rest.alias("c")).agg(F.sum("n").alias("n")).collect()
+    sums = {r["c"]: r["n"] for r in sums}
+    return np.array([*(sums[b] for b in frequent), *[0] * (FREQUENT - len(frequent)), *(sums.get(-1 - k, 0) for k in range(HASHED))], float)
+
+
+def _weights(network: WindowNetwork) -> list[np.ndarray]:
+    return [network.around, network.bias, network.out, network.out_bias]
+
+
+def _train_groups(shared, epochs: int):
+    """Weights of the network after one group's documents, and its words."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["order", "ids"])
+        docs = [np.frombuffer(x, np.int16) for x in group["ids"]]
+        start = shared.value
+        network = WindowNetwork(start.class_of, *[w.copy() for w in _weights(start)])
+        words, none = sum(map(len, docs)), len(network.out_bias)
+        firsts = np.cumsum([0, *map(len, docs)])
+        ids = np.full(words + SIDE * len(firsts), none, np.int64)
+        at = np.arange(words) + SIDE * (1 + np.repeat(np.arange(len(docs)), np.diff(firsts)))
+        ids[at] = np.concatenate(docs)
+        trained = np.concatenate([w.ravel() for w in _weights(train(network, ids, at, epochs))])
+        return pd.DataFrame({"words": [words], "weights": [trained.astype(np.float32)]})
+
+    return run
+
+
+def _sum_weights(batches):
+    """One row a task: its words, and the sum of its groups' weights times words."""
+    words, total = 0, 0.0
+    for batch in batches:
+        for n, weights in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words += n
+            total = total + n * weights.values.to_numpy().astype(np.float64)
+    if words:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([words]), pa.array([total], pa.list_(pa.float64()))], ["words", "weights"])
+
+
+def fit_network(documents: DataFrame, words: DataFrame | None = None) -> WindowNetwork:
+    """A network for ``documents`` (doc_id, text), trained on all of them; ``words`` are their
+    ``word_counts``, if known."""
+    small_batches(documents.sparkSession)
+    words = written(word_counts(documents), "words") if words is None else words
+    buckets = words.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n"))
+    frequent = [r["bucket"] for r in buckets.orderBy(F.desc("n"), "bucket").limit(FREQUENT).collect()]
     class_of = FREQUENT + np.arange(1 << BUCKET_BITS) % HASHED
     class_of[frequent] = np.arange(len(frequent))
-    rest = F.when(F.col("bucket").isin(frequent), F.col("bucket")).otherwise(-1 - F.col("bucket") % HASHED)
-    sums = {r["c"]: r["n"] for r in counts.groupBy(rest.alias("c")).agg(F.sum("n").alias("n")).collect()}
-    seen = np.array([*(sums[b] for b in frequent), *[0] * (FREQUENT - len(frequent)), *(sums.get(-1 - k, 0) for k in range(HASHED))], float)
+    class_of = class_of.astype(np.int16)
+    seen = _class_totals(words, frequent)
     rng = np.random.Generator(np.random.PCG64(7))
     classes = FREQUENT + HASHED
     network = WindowNetwork(
-        class_of.astype(np.int16),
+        class_of,
         rng.normal(0, 0.1, (2 * SIDE, classes + 1, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
         rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32),
         np.log((seen + 1) / (seen + 1).sum()).astype(np.float32),
     )
-    share = min(1.0, train_docs / max(documents.count(), 1))
-    order = F.pmod(F.xxhash64("doc_id", F.lit("language model")), F.lit(1_000_000))
-    sample = documents.select("doc_id", "text", order.alias("order")).filter(F.col("order") < int(share * 1_000_000))
+    groups = max(1, round(seen.sum() / GROUP_WORDS))
+    order = F.xxhash64("doc_id", "text", F.lit("language model"))
+    dealt = documents.select("text", order.alias("order"), F.pmod(order, F.lit(groups)).alias("group"))
 
-    def run(batches):
-        for batch in batches:
-            for row, hashes, firsts in hashed_words(batch.column(1)):
-                ids = [class_of[_buckets(hashes[a:b])].astype(np.int16).tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
-                part = batch.slice(row, len(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["doc_id", "order", "ids"])
-
-    rows = sample.mapInArrow(run, "doc_id bigint, order bigint, ids binary").orderBy("order", "doc_id", "ids").limit(2 * train_docs)
-    docs, words = [], 0
-    for row in rows.toLocalIterator():
-        docs.append(np.frombuffer(row["ids"], np.int16)[: TRAIN_WORDS - words])
-        words += len(docs[-1])
-        if words >= TRAIN_WORDS:
+    def run(shared):
+        def classes_of(batches):
+            for batch in batches:
+                for row, hashes, firsts in hashed_words(batch.column(0)):
+                    found = shared.value.class_of[_buckets(hashes)]
+                    ids = [found[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
+                    part = batch.slice(row, len(ids))
+                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(ids, pa.binary())], ["group", "order", "ids"])
+        return classes_of
+
+    rounds = min(ROUNDS, groups)
+    for k in range(rounds):
+        shared = documents.sparkSession.sparkContext.broadcast(network)
+        found = (
+            dealt.filter(F.col("group") % rounds == k)
+            .mapInArrow(run(shared), "group bigint, order bigint, ids binary").filter("length(ids) > 0")
+            .groupBy("group").applyInPandas(_train_groups(shared, EPOCHS if groups == 1 else 1), "words bigint, weights array<float>")
+            .mapInArrow(_sum_weights, "words bigint, weights array<double>")
+        )
+        n, total = 0, 0.0
+        for row in found.collect():
+            n, total = n + row["words"], total + np.array(row["weights"])
+        shared.destroy()
+        if n:
+            ends = np.cumsum([w.size for w in _weights(network)])[:-1]
+            parts = np.split((total / n).astype(np.float32), ends)
+            network = WindowNetwork(class_of, *[p.reshape(w.shape) for p, w in zip(parts, _weights(network))])
+    return network
+
+
+@dataclass
+class Vocabulary:
+    """log p(word | class), as counts. Of a class's words, one more than were seen is left for
+    words that were not."""
+    words: np.ndarray  # sorted hashes
+    log_n: np.ndarray  # of them
+    log_total: np.ndarray  # of each class
+    rare: DataFrame | None = None  # word, n of the others
+
+    def of(self, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log p(word | class), without log n for words that are not here, and which are not."""
+        if not len(self.words):
+            return -self.log_total[classes], np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        here = self.words[at] == hashes
+        return np.where(here, self.log_n[at], 0.0) - self.log_total[classes], ~here
+
+
+def vocabulary(words: DataFrame, network: WindowNetwork, most: int = MOST_WORDS) -> Vocabulary:
+    """The vocabulary of ``words`` (``word_counts``, written), the most frequent ``most`` at hand."""
+    least, n = 1, 0
+    for row in words.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        n += row["count"]
+        if n > most:
+            least = row["n"] + 1
             break
-    if not words:
-        return network
-    firsts = np.cumsum([0, *map(len, docs)])
-    ids = np.full(words + SIDE * len(firsts), classes, np.int64)
-    at = np.arange(words) + SIDE * (1 + np.repeat(np.arange(len(docs)), np.diff(firsts)))
-    ids[at] = np.concatenate(docs)
-    return train(network, ids, at)
+    top = words.filter(F.col("n") >= least).toPandas()
+    hashes = top["word"].to_numpy(np.int64).view(_U)
+    order = np.argsort(hashes)
+    frequent = np.flatnonzero(network.class_of < FREQUENT)
+    frequent = frequent[np.argsort(network.class_of[frequent])].tolist()
+    return Vocabulary(
+        hashes[order], np.log(top["n"].to_numpy(np.float64))[order].astype(np.float32),
+        np.log(_class_totals(words, frequent) + 1),
+        words.filter(F.col("n") < least) if least > 1 else None)
 
 
-def pseudo_likelihoods(documents: DataFrame, network: WindowNetwork | None = None) -> DataFrame:
+def pseudo_likelihoods(
+    documents: DataFrame, network: WindowNetwork | None = None, known: Vocabulary | None = None
+) -> DataFrame:
     """``doc_id, n_words, log_likelihood, score`` for every row of ``documents`` (doc_id, text):
-    the summed log probabilities of all words, and their mean. A null text or one without words has
-    0 words, 0.0 and a null score. Other columns are ignored; rows are independent."""
+    the summed log probabilities of all words, and their mean. Without a network, both it and the
+    vocabulary are the documents' own; a network without a vocabulary gives the probabilities of the
+    words' classes alone. A null text or one without words has 0 words, 0.0 and a null score. Other
+    columns are ignored; rows are independent."""
     small_batches(documents.sparkSession)
     documents = documents.select("doc_id", "text")
-    shared = documents.sparkSession.sparkContext.broadcast(network or fit_network(documents))
+    if network is None:
+        words = written(word_counts(documents), "words")
+        network = fit_network(documents, words)
+        known = vocabulary(words, network) if known is None else known
+    rare = known.rare if known is not None else None
+    lists = rare is not None  # of the words that are to be joined
+    known = replace(known, rare=None) if known is not None else None
+    shared = documents.sparkSession.sparkContext.broadcast((network, known))
 
     def run(batches):
+        network, known = shared.value
         for batch in batches:
-            ids, n, sums = batch.column(0), [], []
+            ids, n, sums, more = batch.column(0), [], [], []
             for _, hashes, firsts in hashed_words(batch.column(1)):
-                classes, at = shared.value.padded(hashes, firsts)
-                total = np.concatenate([[0.0], np.cumsum(shared.value.log_probabilities(classes, at))])
+                classes, at = network.padded(hashes, firsts)
+                each = network.log_probabilities(classes, at)
+                if known is not None:
+                    words, missing = known.of(hashes, classes[at])
+                    each = each + words
+                    if lists:
+                        more += [hashes[a:b][missing[a:b]].view(np.int64) for a, b in zip(firsts[:-1], firsts[1:])]
+                total = np.concatenate([[0.0], np.cumsum(each)])
                 n.append(np.diff(firsts))
                 sums.append(total[firsts[1:]] - total[firsts[:-1]])
             n, sums = (np.concatenate([*x, np.zeros(0)]) for x in (n, sums))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n.astype(np.int64)), pa.array(sums.astype(np.float64))], ["doc_id", "n_words", "log_likelihood"])
+            columns = [ids, pa.array(n.astype(np.int64)), pa.array(sums.astype(np.float64))]
+            if lists:
+                columns.append(pa.array(more, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "log_likelihood", "rare"][: len(columns)])
 
-    found = documents.mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double")
+    found = documents.mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double" + (", rare array<bigint>" if lists else ""))
+    if lists:
+        found = written(found.withColumn("row", F.monotonically_increasing_id()), "found")
+        joined = (
+            found.select("row", F.explode("rare").alias("word")).join(rare, "word", "left")
+            .groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)))).alias("more"))
+        )
+        found = found.join(joined, "row", "left").select(
+            "doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
     return found.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

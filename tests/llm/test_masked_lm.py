@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -57,3 +59,38 @@ def test_edges_and_reruns(spark, rows, network):
     assert M.pseudo_likelihoods(documents(spark, [])).collect() == []
     again = M.fit_network(documents(spark, rows).repartition(5))
     assert all(np.allclose(a, b) for a, b in ((again.around, network.around), (again.out, network.out)))
+
+
+def test_every_word_counts_by_its_share_of_its_class(spark):
+    """Whether a word's count is sent or joined, the sum is that of plain counts."""
+    texts = [prose(i, 60) + f" id{i}" for i in range(60)]
+    table = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    words = M.written(M.word_counts(table), "words")
+    network = M.fit_network(table, words)
+    counts = Counter(w for t in texts for w in t.split())
+    class_of = {w: int(network.class_of[M._buckets(next(hashed_words(pa.array([w])))[1])][0]) for w in counts}
+    totals = Counter()
+    for w, n in counts.items():
+        totals[class_of[w]] += n
+    plain = {r.doc_id: r.log_likelihood for r in M.pseudo_likelihoods(table, network).collect()}
+    for most in (1 << 20, 50, 0):
+        known = M.vocabulary(words, network, most)
+        assert (known.rare is None) == (most > 50) and len(known.words) <= most
+        for r in M.pseudo_likelihoods(table, network, known).collect():
+            more = sum(np.log(counts[w] / (totals[class_of[w]] + 1)) for w in texts[r.doc_id].split())
+            assert abs(r.log_likelihood - plain[r.doc_id] - more) < 1e-3
+    own = {r.doc_id: r.log_likelihood for r in M.pseudo_likelihoods(table).collect()}
+    assert all(abs(own[r.doc_id] - r.log_likelihood) < 1e-3 for r in M.pseudo_likelihoods(table, network, known).collect())
+
+
+def test_all_documents_are_trained_on(spark, rows, monkeypatch):
+    """A change in any one document changes the network; tasks make no difference."""
+    monkeypatch.setattr(M, "GROUP_WORDS", 1000)
+    table = documents(spark, rows)
+    network = M.fit_network(table)
+    again = M.fit_network(table.repartition(5))
+    assert np.allclose(network.around, again.around, atol=1e-5) and np.allclose(network.out, again.out, atol=1e-5)
+    words = M.written(M.word_counts(table), "words")
+    for doc_id in (0, 57, 230):
+        other = [(i, " ".join(sorted(t.split())) if i == doc_id else t, None, None, 0) for i, t, *_ in rows]
+        assert not np.allclose(M.fit_network(documents(spark, other), words).around, network.around, atol=1e-5)
