@@ -4,9 +4,10 @@ A text is the vector of its hashed character 1- to 3-grams (letters, lower case,
 anything else as one space), weighted by log(1 + count) * idf and scaled to length 1. Document
 frequencies come from all training documents. The centroids of a language are found by
 spherical k-means on a bounded sample of its documents, in one task per language. A text
-gets the language of the centroid with the largest cosine; it is rejected if that cosine is far
-below what the centroid's own training documents reached. A short text shows few n-grams and
-is far from any centroid, so less is asked of it.
+gets the language of the centroid with the largest cosine; it is rejected if that cosine is below
+what nearly all of the centroid's own training documents reach, a low quantile over all of them,
+whatever a few mislabelled ones do. A short text shows few n-grams and is far from any centroid, so
+less is asked of it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ SAMPLE = 400  # training documents per language that shape its centroids
 CENTROIDS = 3  # per language
 ROUNDS = 10
 SHORT = 300  # n-grams at which a text has to be half as near as a long one
-SLACK = 0.5  # a cosine below this share of the least one in training is too far away
+LOST = 0.005  # share of a centroid's training documents that may be too far away
+FEW = 10  # with so many training documents, half of their quantile is asked
 MOST_LANGUAGES = 1000  # 1000 x 3 x 4096 floats: 49 MB at most
 CHUNK = 1 << 20  # characters worked on at once
 _MUL = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
@@ -92,12 +94,12 @@ def _vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / length if length else v
 
 
-def _clusters(idf: np.ndarray, k: int, slack: float):
+def _clusters(idf: np.ndarray, k: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order", "text"])
         vectors = [_vector(c, idf) for c in map(ngram_counts, group["text"]) if c is not None]
         if not vectors:
-            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
+            return pd.DataFrame({"lang": [], "k": [], "centroid": []})
         x = np.array(vectors)
         centers = x[:1]
         while len(centers) < min(k, len(x)):  # farthest first
@@ -107,11 +109,7 @@ def _clusters(idf: np.ndarray, k: int, slack: float):
             mine = (x @ centers.T).argmax(axis=1)
             sums = np.array([x[mine == j].sum(axis=0) if (mine == j).any() else centers[j] for j in range(len(centers))])
             centers = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        cosines = x @ centers.T
-        mine = cosines.argmax(axis=1)
-        overall = cosines.max(axis=1).min()
-        least = [slack * min(overall, cosines[mine == j, j].min(initial=overall)) for j in range(len(centers))]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": list(centers), "least": least})
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "k": range(len(centers)), "centroid": list(centers)})
 
     return run
 
@@ -136,11 +134,44 @@ def _document_frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _limits(training: DataFrame, model: LanguageModel, lost: float) -> np.ndarray:
+    """The ``lost`` quantile, for each centroid, of the cosines of all training documents of its language that
+    are nearest to it, as those of long texts; the least of its language's others, if there are none."""
+    at = {lang: [k for k, x in enumerate(model.languages) if x == lang] for lang in model.languages}
+    shared = training.sparkSession.sparkContext.broadcast((model, at))
+
+    def run(batches):
+        model, at = shared.value
+        for batch in batches:
+            ks, cosines = [], []
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = ngram_counts(text) if lang in at else None
+                if counts is not None:
+                    near, n = model.centroids[at[lang]] @ _vector(counts, model.idf), int(counts.sum())
+                    ks.append(at[lang][int(np.argmax(near))])
+                    cosines.append(float(near.max()) * (n + SHORT) / n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ks, pa.int64()), pa.array(cosines, pa.float64())], ["k", "cosine"])
+
+    found = (
+        training.select("text", "lang").mapInArrow(run, "k bigint, cosine double")
+        .groupBy("k").agg(F.percentile_approx("cosine", lost, 10_000).alias("least"), F.count("*").alias("n")).collect()
+    )
+    least = np.zeros(len(model.languages))
+    for row in found:
+        least[row["k"]] = row["least"] * row["n"] / (row["n"] + FEW)
+    for k, lang in enumerate(model.languages):
+        if not least[k]:
+            least[k] = min((x for x in least[at[lang]] if x), default=0.0)
+    return least
+
+
 def fit_languages(
-    training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, slack: float = SLACK
+    training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, lost: float = LOST
 ) -> LanguageModel:
     """A model from ``doc_id, text, lang``. Rows with a null text or language are left out;
-    at most ``sample`` documents of a language, chosen by doc_id, shape its centroids."""
+    at most ``sample`` documents of a language, chosen by doc_id, shape its centroids. How near a text has
+    to be to them is found from all documents."""
     small_batches(training.sparkSession)
     training = training.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
@@ -160,15 +191,16 @@ def fit_languages(
     )
     rows = (
         chosen.groupBy("lang")
-        .applyInPandas(_clusters(idf, centroids, slack), "lang string, centroid array<float>, least double")
+        .applyInPandas(_clusters(idf, centroids), "lang string, k int, centroid array<float>")
         .collect()
     )
-    rows.sort(key=lambda r: (r["lang"], -r["least"]))
-    return LanguageModel(
+    rows.sort(key=lambda r: (r["lang"], r["k"]))
+    model = LanguageModel(
         idf, [r["lang"] for r in rows],
-        np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), 1 << BITS),
-        np.array([r["least"] for r in rows]),
+        np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), 1 << BITS), np.zeros(len(rows)),
     )
+    model.least = _limits(training, model, lost)
+    return model
 
 
 def identify(documents: DataFrame, model: LanguageModel) -> tuple[DataFrame, list[str]]:

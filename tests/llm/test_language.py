@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -37,6 +38,15 @@ def test_languages_are_told_apart_on_held_out_documents(spark, rows):
     assert by_id[None].held_out is False and by_id[None].lang_pred == "aa"
 
 
+def test_a_language_of_the_same_script_that_was_not_learned(spark):
+    """Whatever a few mislabelled training documents do."""
+    other = lambda i: " ".join("".join(random.Random(f"{i}-{k}").choices("la to vi plu esk ord".split(), k=3)) for k in range(60))
+    rows = [(i, prose(i, 60, lang), lang, None, 0) for i, lang in enumerate(["aa", "bb"] * 300)]
+    model = L.fit_languages(documents(spark, rows + [(9000, other(-1), "aa", None, 0)]), sample=100)
+    assert sum(r for *_, r in model.predict([other(i) for i in range(200)])) >= 190
+    assert sum(r for *_, r in model.predict([prose(5000 + i, 60, "aa") for i in range(200)])) <= 4
+
+
 def test_names_that_clash_and_rows_that_pass_through(spark, rows):
     model = L.fit_languages(documents(spark, rows))
     table = documents(spark, rows[:4]).withColumn("score", F.lit("mine")).withColumn("rejected", F.lit(7))
