@@ -168,7 +168,7 @@ def kind_of(m: str) -> str:
         f"case when {m} rlike {_sql(_whole('email'))} then 'email' "
         f"when {m} rlike {_sql(_whole('ip'))} then if({octets}, 'ip', null) "
         f"when {m} rlike {_sql(_whole('date'))} then if({_day(m)} between 0 and {DAYS - 1}, 'date', null) "
-        f"when {m} rlike {_sql(_whole('ssn'))} then 'ssn' "
+        f"when {m} rlike {_sql(_whole('ssn'))} then if({m} rlike '^(?!000|666|9)', 'ssn', null) "
         f"when {m} rlike {_sql(_whole('card'))} and {n} between 13 and 19 then 'card' "
         f"when {m} rlike {_sql(_whole('phone'))} and {n} between 7 and 15 then 'phone' end"
     )

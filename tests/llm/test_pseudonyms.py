@@ -85,6 +85,12 @@ def test_formats_kinds_and_brute_force(spark):
     assert got[10] == (None, [])
 
 
+def test_numbers_of_no_social_security_area_stay(spark):
+    texts = ["000-45-6789", "id 666-45-6789.", "900-45-6789 and 999-99-9999", "899-45-6789 and 665-45-6789"]
+    got = replaced(spark, texts)
+    assert got[:3] == [(t, []) for t in texts[:3]] and got[3][1] == ["ssn", "ssn"] and got[3][0] != texts[3]
+
+
 @pytest.mark.parametrize("make", [
     lambda i: f"10.{i % 7}.0.{i}", lambda i: f"{date(1950, 1, 1) + timedelta(days=i)}", lambda i: f"+49 {30 + i % 5} {5550000 + i}",
     lambda i: f"u{i:03d}@x.org", lambda i: f"{400000000000 + i}0000",
