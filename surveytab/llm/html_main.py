@@ -1,7 +1,8 @@
 """The main text of web pages, by scoring the page's tree.
 
 A page becomes a tree of its block elements. Menus, headers, footers, notices, adverts, forms,
-scripts and comments of readers are cut out by element and by class, id or role. Every
+scripts and comments of readers are cut out by element and by class, id or role; by these not what
+holds all of the page's articles, nor what nearly all text is in. Every
 paragraph passes points for its length and its commas to its ancestors: all to the parent, half to
 the next, a third of that to those above, and so on. A container's points are discounted
 by its link density. The best one is kept (or what is around it, if that has much more text
@@ -65,14 +66,16 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'(
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+LEAST_LEFT = 0.1  # share of a page's text that has to be left by cuts by name
+MOST_NAMED = 0.5  # otherwise, share that one such element may have
 WRAPPED = 1.5  # a parent with so many times the text of its best child is better
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "points", "length", "linked", "blocks", "order")
+    __slots__ = ("tag", "parent", "children", "cut", "named", "points", "length", "linked", "blocks", "order")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool = False):
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
         self.children: list[Node] = []
         self.blocks: list[tuple[int, str]] = []  # text directly in it: (place in the page, text)
         self.points, self.length, self.linked, self.order = 0.0, 0, 0, 0
@@ -81,13 +84,17 @@ class Node:
 def _cut(tag: str, attributes: str) -> bool:
     if tag in CUT:
         return True
+    return tag not in NEVER_CUT and bool(attributes) and bool(_HIDDEN.search(attributes))
+
+
+def _named(tag: str, attributes: str) -> bool:
     if tag in NEVER_CUT or not attributes:
         return False
     named = " ".join(
         (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)
     )
     named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named).lower()
-    return bool(CUT_WORDS.search(named)) or bool(_HIDDEN.search(attributes))
+    return bool(CUT_WORDS.search(named))
 
 
 def _tree(html: str) -> tuple[Node, list[Node]]:
@@ -161,7 +168,7 @@ def _tree(html: str) -> tuple[Node, list[Node]]:
             elif inline_cut:
                 if tag == inline_cut[0]:
                     inline_cut.append(tag)
-            elif tag != "img" and _cut(tag, attributes):
+            elif tag != "img" and (_cut(tag, attributes) or _named(tag, attributes)):
                 inline_cut.append(tag)
             continue
         inline_cut.clear()
@@ -194,7 +201,7 @@ def _tree(html: str) -> tuple[Node, list[Node]]:
             continue
         if tag == "head":
             continue
-        node = Node(tag, stack[-1], stack[-1].cut or _cut(tag, attributes))
+        node = Node(tag, stack[-1], stack[-1].cut or _cut(tag, attributes), _named(tag, attributes))
         node.order = len(nodes)
         stack[-1].children.append(node)
         nodes.append(node)
@@ -204,6 +211,28 @@ def _tree(html: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
+def _cut_named(nodes: list[Node]) -> None:
+    """Cut out by name, but for what holds all articles, or too much of the text."""
+    length, articles = [n.length for n in nodes], [int(not n.cut and n.tag in ("article", "main")) for n in nodes]
+    for i, node in enumerate(nodes):
+        node.order = i
+    for i in range(len(nodes) - 1, 0, -1):
+        length[nodes[i].parent.order] += length[i]
+        articles[nodes[i].parent.order] += articles[i]
+    most = length[0]
+    for limit in (most, MOST_NAMED * most, -1):
+        cut = [n.cut for n in nodes]
+        left = nodes[0].length
+        for i, node in enumerate(nodes[1:], 1):
+            holds = articles[0] > 0 and articles[i] == articles[0]
+            cut[i] = cut[i] or cut[node.parent.order] or (node.named and not holds and length[i] <= limit)
+            left += 0 if cut[i] else node.length
+        if left >= LEAST_LEFT * most:
+            break
+    for node, c in zip(nodes, cut):
+        node.cut = c
+
+
 def _score(nodes: list[Node]) -> None:
     """Points of paragraphs to their ancestors; lengths summed up."""
     for node in nodes:
@@ -230,14 +259,18 @@ def _density(node: Node) -> float:
 
 
 def _texts(node: Node, out: list[tuple[int, str]]) -> None:
-    """The text blocks below ``node``, but for lists of links."""
+    """The text blocks below ``node``, but for lists of links that are not between paragraphs."""
     todo = [node]
     while todo:
         n = todo.pop()
-        if n.cut or (n is not node and n.tag in ("ul", "ol", "table", "dl") and _density(n) > 0.5):
+        if n.cut:
             continue
         out.extend(n.blocks)
-        todo.extend(n.children)
+        prose = [i for i, c in enumerate(n.children) if c.tag == "p" and not c.cut and c.length and _density(c) <= 0.5]
+        for i, c in enumerate(n.children):
+            links = c.tag in ("ul", "ol", "table", "dl") and _density(c) > 0.5
+            if not links or (prose and prose[0] < i < prose[-1]):
+                todo.append(c)
 
 
 def main_text(html: str | None) -> str:
@@ -245,6 +278,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root, nodes = _tree(html)
+    _cut_named(nodes)
     _score(nodes)
     best, best_score = None, 0.0
     for node in nodes:

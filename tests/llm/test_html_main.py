@@ -30,6 +30,22 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-header", "ad-free", "site-content with-widget"])
+def test_wrappers_whose_names_have_a_word_for_something_else(name):
+    menu = "<div class='menu'><a href=1>A</a> <a href=2>B</a></div>"
+    body, comments = f"<p>{PROSE}</p><p>{PROSE}</p>", f"<div class='comments'><article><p>{PROSE}</p></article></div>"
+    text = f"{PROSE.strip()}\n\n{PROSE.strip()}"
+    assert main_text(page(f"<div class='{name}'>{menu}<article>{body}</article></div>")) == text
+    assert main_text(page(f"{menu}<div class='{name}'>{body}</div>")) == text
+    assert main_text(page(f"<article>{body}</article>{comments}")) == text
+
+
+def test_links_between_paragraphs_stay():
+    links = "<ul><li><a href=1>x</a><li><a href=2>y</a></ul>"
+    assert main_text(page(f"<article><p>{PROSE}</p>{links}<p>{PROSE}</p>{links}</article>")) == (
+        f"{PROSE.strip()}\n\nx\n\ny\n\n{PROSE.strip()}")
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert len(main_text(page("<article>" + f"<p>{PROSE}</p>" * 5000 + "</article>"))) == 5000 * (len(PROSE) + 1) - 2
