@@ -4,8 +4,8 @@ The score of a document is the mean, over its words and pairs of neighbouring wo
 log p(target) - log p(raw): each is hashed to one of 16384 buckets, and the two multinomials
 over the buckets are counted from all trusted documents and from the whole corpus, with
 every bucket starting at one. A document is kept if no rule failed it and its score, with a few
-neutral features added, reaches a threshold, which is set from the trusted documents' own and
-is never above zero. There are no random choices.
+neutral features added, reaches a threshold, which is set from a low quantile and the spread of the
+trusted documents' own and is never above zero. There are no random choices.
 
 All in column functions. The words of a text are hashed once; windows of words are numbers made
 of these hashes, and only a text that has a repeated window is looked at further.
@@ -24,7 +24,7 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
 TRUSTED_LOST = 0.001  # share of the trusted documents that may fall below the threshold
-MARGIN = 0.1  # the threshold lies so much lower still, in nats per feature
+SPREAD = (0.25, 0.75)  # the threshold lies lower still, by the distance of these quantiles of the trusted
 SHORT = 20  # features that count as neutral in each verdict: few features prove little
 MOST_BROADCAST = 1_000_000  # trusted ids sent to all executors at most
 WORD = r"[^\x20\x09-\x0D]+"
@@ -132,6 +132,6 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     judged = F.col("score") * n / (n + SHORT)
     least = scored.join(trusted, ours).filter("not base_failed").agg(
-        F.percentile_approx(judged, TRUSTED_LOST, 100_000)).collect()[0][0]
-    passes = F.lit(True) if least is None else judged >= F.lit(min(least, 0.0) - MARGIN)
+        F.percentile_approx(judged, [TRUSTED_LOST, *SPREAD], 100_000)).collect()[0][0]
+    passes = F.lit(True) if least is None else judged >= F.lit(min(least[0], 0.0) - (least[2] - least[1]))
     return scored.withColumn("kept", ~F.col("base_failed") & passes)

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -63,6 +64,18 @@ def test_scores_equal_brute_force(spark, rows):
         assert len(f) == 2 * r.n_words - 1 and abs(r.score - expected) < 1e-5
 
 
+def test_the_threshold_follows_the_trusted_documents_spread(spark):
+    """Junk that differs in a few words only is refused, if trusted documents differ less."""
+    words = [f"{w}{k}" for k, w in enumerate(prose(1, 200).split())]
+    good = [" ".join(words[i:] + words[:i]) for i in range(120)]
+    junk = [t.replace(words[150], f"{words[150]} |").replace(words[190], f"{words[190]} |") for t in good[60:]]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(good[:60] + junk)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    found = Q.quality(documents(spark, rows), labels).collect()
+    assert all(r.kept for r in found if r.doc_id < 60)
+    assert sum(r.kept for r in found if r.doc_id >= 60) <= 6
+
+
 def test_edges(spark, rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = {r.doc_id: r.kept for r in Q.quality(documents(spark, rows[:2] + [(None, rows[0][1], None, None, 0)]), none).collect()}
