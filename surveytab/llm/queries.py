@@ -18,6 +18,7 @@ from .pseudonyms import KINDS, pseudonymised
 from .quality import quality
 from .secret_scan import KINDS as SECRET_KINDS
 from .secret_scan import listed, secrets
+from .sharding import sharded
 from .toxicity import fit_toxicity, toxicity
 
 # The queries' own key; a real one comes from the caller.
@@ -85,6 +86,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents, fit_toxicity(documents, labels))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_sharding": op11_sharding,
 }
 
 ORACLE = {
