@@ -64,3 +64,52 @@ taken as (
 select doc_id, size, source_size, target, coalesce(taken, 0) as taken
 from sized join targets on targets.source is not distinct from sized.source left join taken using (r)
 """
+
+# CRC-32 by its rule: a table of the bytes, and a step per byte of each different word.
+IMPORTANCE_RESAMPLING = r"""
+with steps as (
+  select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+    case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by b) as step
+  from (select cast(range as bigint) as b from range(256))),
+words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+target as (
+  select unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as f
+  from benchmark),
+exploded as (select doc_id, unnest(w) as f from words),
+in_documents as (select f, count(*) as n from exploded group by f),
+in_target as (select f, count(*) as n from target group by f),
+vocabulary as (select f from in_documents union select f from in_target),
+hashed as (
+  select f, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(length(hex(f)) // 2), lambda i:
+      cast(('0x' || substr(hex(f), cast(2 * i + 1 as bigint), 2)) as bigint))),
+    lambda c, b: xor(c // 256, step[xor(c, b) % 256 + 1])), 4294967295) % 10000 as bucket
+  from vocabulary, steps),
+counts as (
+  select bucket, cast(coalesce(sum(d.n), 0) as double) as s, cast(coalesce(sum(t.n), 0) as double) as t
+  from hashed left join in_documents d using (f) left join in_target t using (f) group by bucket),
+wholes as (select sum(s) + 10000 as s_all, sum(t) + 10000 as t_all from counts),
+gains as (
+  select bucket, cast(floor(1000 * ln((t + 1) * s_all / ((s + 1) * t_all))) as bigint) as gain
+  from counts, wholes),
+weights as (
+  select doc_id, cast(sum(n * gain) as bigint) as weight
+  from (select doc_id, f, count(*) as n from exploded group by all) join hashed using (f) join gains using (bucket)
+  group by doc_id),
+scored as (
+  select doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast(('0x' || substr(sha256('2024:' || doc_id), 1, 8)) as bigint) + 0.5)
+      / 4294967296::double))) as bigint) as score
+  from words left join weights using (doc_id)),
+ranks as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n
+  from scored where n_features >= 20)
+select s.doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank
+from scored s left join ranks using (doc_id)
+"""

@@ -16,6 +16,7 @@ from .mixing import mixed_sizes
 from .partenum import near_duplicates
 from .pseudonyms import KINDS, pseudonymised
 from .quality import quality
+from .resampling import resampled
 from .secret_scan import KINDS as SECRET_KINDS
 from .secret_scan import listed, secrets
 from .sharding import sharded
@@ -90,6 +91,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
@@ -102,9 +107,11 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_sharding": op11_sharding,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE = {
     "op4_ngram_jaccard_join": oracle.NGRAM_JACCARD_JOIN,
     "op9_mixing": oracle.MIXING,
+    "op12_importance_resampling": oracle.IMPORTANCE_RESAMPLING,
 }

@@ -1,0 +1,110 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from surveytab.llm import resampling as R
+
+from .helpers import ascii_lower, documents, prose
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def buckets(text):
+    return [zlib.crc32(w.encode()) % 10_000 for w in WORDS.findall(ascii_lower(text or ""))]
+
+
+def brute(docs, target, least=20):
+    own = Counter(b for _, t in docs for b in buckets(t))
+    wanted = Counter(b for t in target for b in buckets(t))
+    s_all, t_all = own.total() + 10_000, wanted.total() + 10_000
+    gain = {b: math.floor(1000 * math.log((wanted[b] + 1) * float(s_all) / ((own[b] + 1) * float(t_all)))) for b in own}
+    rows = []
+    for doc_id, text in docs:
+        found = buckets(text)
+        h = int(hashlib.sha256(f"2024:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in found)
+        rows.append((doc_id, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    able = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[3], math.inf if r[0] is None else r[0]))
+    ranks = [(*r, i + 1 if i < len(able) * 10 // 100 else None) for i, r in enumerate(able)]
+    return Counter(ranks + [(*r, None) for r in rows if r[1] < least])
+
+
+@pytest.fixture(scope="module")
+def docs():
+    out = [(i, prose(i, 5 + i % 60, "aa" if i % 4 else "bb")) for i in range(500)]
+    out += [(None, "One of a THIRD of all rows. " * 8)] * 250 + [(700, prose(7, 30)), (700, prose(8, 30))]
+    return out + [(900, None), (901, ""), (902, "-- !!"), (903, "ÄÖ ß漢字 naïve x1  " * 30), (904, "w" * 200 + " " + "é" * 90)]
+
+
+@pytest.fixture(scope="module")
+def target():
+    return [prose(i, 50, "bb") for i in range(20)] + [None, ""]
+
+
+def frames(spark, docs, target):
+    table = documents(spark, [(i, t, None, None, 0) for i, t in docs]).withColumn("rank", F.lit("x"))
+    return table.repartition(3), spark.createDataFrame([(t,) for t in target], "text string")
+
+
+def test_equals_brute_force(spark, docs, target):
+    got = R.resampled(*frames(spark, docs, target)).collect()
+    assert Counter(map(tuple, got)) == brute(docs, target)
+
+
+def test_many_small_runs_and_segments_give_the_same_ranks(spark, docs, target, monkeypatch):
+    monkeypatch.setattr(R, "SEGMENT_ROWS", 16)
+    monkeypatch.setattr(R, "SAMPLES", 4)
+    df = R.resampled(*frames(spark, docs, target), percent=10)
+    assert Counter(map(tuple, df.collect())) == brute(docs, target)
+    segments = R.SEGMENT_ROWS
+    assert segments == 16
+
+
+def test_segments_are_nearly_equal(spark):
+    rows = spark.range(40_000).selectExpr(
+        "id as doc_id", "30 as n_features", "0 as weight", "id % 7 as score", "1 as copies",
+        "row_number() over (partition by id % 9 order by id % 7 desc, id) - 1 as place")
+    rows = rows.select(*[F.col(c).cast("bigint") for c in rows.columns])
+    old, R.SEGMENT_ROWS = R.SEGMENT_ROWS, 2_000
+    try:
+        cuts = R.splitters(rows, 40_000)
+    finally:
+        R.SEGMENT_ROWS = old
+    assert len(cuts[0]) == 19
+    n = [r["count"] for r in R._segments(rows, *cuts).groupBy("segment").count().collect()]
+    assert len(n) == 20 and max(n) < 2_800  # though there are only seven scores
+
+
+def test_words_of_long_texts_and_slices():
+    texts = ["skip", None, "Ab1 c-d é", "x" * 60 + " " + "long word " * 60_000, ""]
+    column = pa.array(texts).slice(1)
+    got = []
+    for found, at in R.word_buckets(column):
+        got += [found[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [buckets(t) for t in texts[1:]]
+    assert R._crc_steps()[1] == 0x77073096 and len(R._crc_steps()) == 256
+
+
+def test_drawn_rows_are_whole(spark, docs, target):
+    table, wanted = frames(spark, docs, target)
+    ranks = R.resampled(table, wanted)
+    got = R.drawn(table, ranks)
+    assert got.columns == table.columns
+    assert {r.doc_id for r in got.collect()} == {k[0] for k in brute(docs, target) if k[4]}
+
+
+def test_edges(spark):
+    nothing = documents(spark, [])
+    texts = spark.createDataFrame([("a b",)], "text string")
+    assert R.resampled(nothing, texts).collect() == []
+    one = documents(spark, [(1, "a b c", None, None, 0)])
+    got = R.resampled(one, texts.limit(0), percent=100, least_words=1).first()
+    assert (got.n_features, got["rank"]) == (3, 1)
+    assert np.all(R.gains(np.zeros(10_000, np.int64), np.zeros(10_000, np.int64)) == 0)
