@@ -14,6 +14,7 @@ from .language import predicted_languages
 from .masked_lm import pseudo_likelihoods
 from .mixing import mixed_sizes
 from .partenum import near_duplicates
+from .periodic_runs import periodic_runs, run_digests, with_planted_runs
 from .pseudonyms import KINDS, pseudonymised
 from .quality import quality
 from .resampling import resampled
@@ -95,6 +96,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
@@ -108,6 +113,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_sharding": op11_sharding,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {

@@ -1,0 +1,159 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from surveytab.llm import periodic_runs as P
+
+from .helpers import WORD, documents, prose
+
+
+def brute(words):
+    """(start, length, period) of all runs, by comparing every word with the one q further on."""
+    found, n = {}, len(words)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(12, 2 * q):
+                found.setdefault((i, j + q - i), q)  # the smallest period comes first
+            i = max(j, i + 1)
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def collapsed(words, runs):
+    drop = {i for s, length, q in runs for i in range(s + q, s + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in drop)
+
+
+def planted(doc_id, text):
+    words = WORD.findall(text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def of_texts(texts):
+    """Runs by the operator's way, all texts in one block."""
+    firsts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    hashes = np.array([hash(("x", w)) & (2**63 - 1) for t in texts for w in t], np.uint64)
+    begin, end, period = P.runs_of(P._ids(hashes, firsts), firsts)
+    out = [[] for _ in texts]
+    for b, e, q in zip(begin.tolist(), end.tolist(), period.tolist()):
+        k = int(np.searchsorted(firsts, b, "right")) - 1
+        out[k].append((b - int(firsts[k]), e - b, q))
+    return [sorted(r) for r in out]
+
+
+def test_runs_equal_brute_force_on_random_words():
+    rng = random.Random(3)
+    texts = []
+    for k in range(250):
+        n, letters = rng.randint(0, 90), rng.choice([1, 2, 2, 3, 6])
+        words = [rng.randrange(letters) for _ in range(n)]
+        for _ in range(rng.randint(0, 3)):  # squares and higher powers, some inside others
+            at, q = rng.randint(0, len(words)), rng.randint(1, 15)
+            words[at:at] = words[at : at + q] * rng.randint(1, 8)
+        texts.append(words)
+    assert of_texts(texts) == [brute(t) for t in texts]
+
+
+def test_words_of_rich_structure():
+    a, b = [0], [0, 1]
+    while len(b) < 400:
+        a, b = b, b + a
+    thue = [bin(i).count("1") % 2 for i in range(512)]
+    comb = [x for i in range(30) for x in [0] * 13 + [i]]
+    texts = [b, thue, [0] * 700, [0, 1] * 300, comb, list(range(12)) * 2, list(range(11)) + [0], [0] * 11, [0] * 12]
+    assert of_texts(texts) == [brute(t) for t in texts]
+
+
+def test_grammar_gives_the_words_back():
+    rng = np.random.Generator(np.random.PCG64(5))
+    ids = np.concatenate([rng.integers(0, 3, 300), np.tile(rng.integers(3, 9, 20), 12)])
+    firsts = np.array([0, 300, len(ids)])
+    nodes, starts = P.re_pair(ids, firsts)
+    rules, sizes = {}, {}
+    symbol, start, left, whole = nodes.arrays()
+    for s, at, l, w in zip(*(c.tolist() for c in (symbol, start, left, whole))):
+        text = tuple(ids[at : at + w].tolist())
+        assert rules.setdefault(s, (text, l)) == (text, l)  # one symbol, one rule
+    at = np.flatnonzero(starts)
+    pairs = [(tuple(ids[x:y]), tuple(ids[y:z])) for x, y, z in zip(at, at[1:], [*at[2:], len(ids)]) if not x < 300 <= y]
+    assert len(set(pairs)) >= len(pairs) - 1 and len(at) < 200
+
+
+def test_wrong_hashes_are_found_out(monkeypatch):
+    monkeypatch.setattr(P, "_PRIMES", (1, 1))  # all stretches have one hash
+    texts = [[0, 1, 2, 3, 4, 5, 6] * 9 + list(range(40))]
+    calls = []
+    real = P.runs_of
+
+    def counted(ids, firsts, seed=0):
+        calls.append(seed)
+        if seed:
+            monkeypatch.setattr(P, "_PRIMES", (2147483647, 2147483629))
+        return real(ids, firsts, seed)
+
+    monkeypatch.setattr(P, "runs_of", counted)
+    assert of_texts(texts) == [brute(t) for t in texts] and calls[-1] > 0
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i, prose(i, i % 90), "aa", "s", 0) for i in range(300)]
+    out += [(400 + i, "\n".join(["one line of words"] * (2 + i)) + " end", None, None, 0) for i in range(8)]
+    out += [(500, None, None, None, 0), (501, "", None, None, 0), (502, " \n\t", None, None, 0), (None, "a b " * 20, None, None, 0)]
+    return out + [(503, "x " * 30 + "y", None, None, 0)] * 3 + [(504, "é ß  é ß\v" * 20, None, None, 0)]
+
+
+def digests(rows):
+    out = []
+    for doc_id, text, *_ in rows:
+        words = planted(doc_id, text)
+        runs = brute(words)
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        lines = "".join(f"{s},{length},{q}\n" for s, length, q in runs)
+        out.append((
+            doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(collapsed(words, runs).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_query_equals_brute_force(spark, rows):
+    found = P.run_digests(P.periodic_runs(P.with_planted_runs(documents(spark, rows).repartition(3))))
+    assert sorted(map(tuple, found.collect()), key=str) == digests(rows)
+    assert sum(r[1] > 0 for r in digests(rows)) > 20
+
+
+def test_general_form_keeps_columns(spark, rows):
+    table = documents(spark, rows).selectExpr("doc_id", "text as body", "'x' as runs", "named_struct('a', source) as s")
+    found = P.periodic_runs(table, "body")
+    assert found.columns == ["doc_id", "runs", "s", "n_words", "runs_", "collapsed"]
+    row = found.filter("doc_id = 503").first()
+    assert (row.n_words, [tuple(r) for r in row.runs_], row.collapsed, row.s.a) == (31, [(0, 30, 1)], "x y", None)
+
+
+def test_small_pieces_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(P, "_AT_ONCE", 50)
+    texts = [[0] * 40, [0, 1, 2] * 9, list("abcabcabcabcabc") * 2]
+    assert of_texts(texts) == [brute(t) for t in texts]
+    monkeypatch.undo()
+    long = documents(spark, [(7, "lorem ipsum dolor " * 100_000, None, None, 0), (8, prose(1, 60_000), None, None, 0)])
+    found = {r.doc_id: r for r in P.periodic_runs(long.select("doc_id", "text")).collect()}
+    assert [tuple(r) for r in found[7].runs] == [(0, 300_000, 3)] and found[7].collapsed == "lorem ipsum dolor"
+    assert found[8].runs == [] and found[8].n_words == 60_000
+
+
+def test_empty_table(spark):
+    assert P.run_digests(P.periodic_runs(P.with_planted_runs(documents(spark, [])))).collect() == []
+    assert P.periodic_runs(documents(spark, [(1, "a", "b", "c", 0)]).withColumn("n_words", F.lit(1))).columns[-3:] == ["n_words_", "runs", "collapsed"]
