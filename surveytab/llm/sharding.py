@@ -1,8 +1,8 @@
 """Sharding by a two-pass external shuffle: scatter, then Fisher-Yates within buckets.
 
 1. Every record gets a place, a seeded hash of all its columns. Records fall into buckets by a
-   hash of the place, as many buckets as the table's bytes over ``bucket_bytes``, so a bucket fits
-   in a task's memory whatever the table's size. Records that have very many identical copies
+   hash of the place, as many buckets as the table's bytes over ``bucket_bytes``, a task each, so a
+   bucket fits in a task's memory. Records that have very many identical copies
    are collapsed to one with a number before they are scattered, and each copy falls by a hash of
    its own: copies do not gather in one bucket, and their texts do not travel to one task.
 2. Each bucket has a permutation of its slots, drawn by Spark's ``shuffle``, which is Fisher and
@@ -32,7 +32,7 @@ from .store import fresh, shared_folder, written
 SHARDS = 16
 BUCKET_BYTES = 32 << 20  # of records, as they lie in memory
 ROW_BYTES = 64  # what a record takes besides its text
-MOST_TASKS = 50_000  # tasks that buckets are dealt to
+MOST_BUCKETS = 100_000  # a task each; beyond 3 TB buckets grow, to 1 GB at 100 TB
 MOST_HEAVY = 100_000  # records that may have copies enough to be collapsed: a bound, not a cap
 BUCKETS_AT_ONCE = 1_024  # buckets whose counts are added up in one window
 
@@ -91,7 +91,7 @@ def external_shuffle(
     shard, slot = fresh(records, "shard"), fresh(records, "slot")
     if not rows:
         return records.withColumns({shard: F.lit(0), slot: F.lit(0).cast("bigint")})
-    buckets = max(1, -(-total // bucket_bytes))
+    buckets = min(MOST_BUCKETS, -(-total // bucket_bytes))
     # Fewer than MOST_HEAVY records can have more copies than this.
     copies_of_heavy = max(ROW_BYTES, -(-rows // min(MOST_HEAVY, 8 * buckets)))
     return _shuffled(records, placed, light, rows, buckets, copies_of_heavy, shards, seed, shard, slot)
@@ -100,15 +100,14 @@ def external_shuffle(
 def _shuffled(records, placed, light, rows, buckets, copies_of_heavy, shards, seed, shard, slot):
     counted = written(light.groupBy("place", "check").agg(F.count("*").alias("copies")), "copies")
     heavy = counted.filter(F.col("copies") > copies_of_heavy)
-    bucket = F.pmod(_hash(seed, "bucket", F.col("place"), F.col("copy")), F.lit(buckets))
+    bucket = F.pmod(_hash(seed, "bucket", F.col("place"), F.col("copy")), F.lit(buckets)).cast("int")
     some = counted.filter(F.col("copies") <= copies_of_heavy).select(
         "place", F.lit(0).cast("bigint").alias("copy"), "copies")
     many = heavy.select("place", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"),
                         F.lit(1).cast("bigint").alias("copies"))
-    tasks = min(buckets, MOST_TASKS)
     counts = some.unionByName(many).groupBy(bucket.alias("bucket")).agg(F.sum("copies").alias("n"))
-    # The draws of `shuffle` go by the number of the task and the place in it: both are fixed.
-    slots = starts(counts, "bucket", "n").repartition(tasks, "bucket").sortWithinPartitions("bucket").select(
+    # The draws of `shuffle` go by the seed and the number of the task, which is the bucket's.
+    slots = starts(counts, "bucket", "n").repartitionById(buckets, F.col("bucket")).select(
         F.col("bucket").alias("of_bucket"), "start",
         F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(seed)).alias("slots"))
     slots = written(slots, "slots")
@@ -125,9 +124,9 @@ def _shuffled(records, placed, light, rows, buckets, copies_of_heavy, shards, se
     in_bucket = Window.partitionBy("bucket").orderBy("place", "check", "copy")
     position = F.col("start") + F.get("slots", F.col("index"))
     return (
-        rest.select("row", "place", "check", "copy", bucket.alias("bucket")).repartition(tasks, "bucket")
+        rest.select("row", "place", "check", "copy", bucket.alias("bucket")).repartitionById(buckets, F.col("bucket"))
         .withColumn("index", F.row_number().over(in_bucket) - 1)
-        .join(slots, F.col("bucket") == F.col("of_bucket"))
+        .join(slots.repartitionById(buckets, F.col("of_bucket")), F.col("bucket") == F.col("of_bucket"))
         .select("row", position.alias("position"))
         .withColumn("of_shard", F.expr(f"position * {shards} div {rows}"))
         .select(
