@@ -14,6 +14,7 @@ the conversion runs on a handful of rows rather than on every answer.
 
 from __future__ import annotations
 
+import numbers
 import operator
 from collections.abc import Iterable
 from decimal import Decimal
@@ -90,9 +91,36 @@ def literal_code(value: object) -> str:
         if value.is_integer() and abs(value) < _LARGEST_WHOLE_DOUBLE:
             return str(int(value))
         return _double_text(value)
+    if isinstance(value, Decimal):
+        return _decimal_text(value)
+    if isinstance(value, numbers.Integral):
+        return str(int(value))
+    if isinstance(value, numbers.Real):
+        return literal_code(float(value))
     return str(value)
 
 
+def _decimal_text(value: Decimal) -> str:
+    """A decimal as a DECIMAL column is written: plain digits, no zeros at the end of a fraction."""
+    if not value.is_finite():
+        return _double_text(float(value))
+    text = format(value, "f")
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if text in ("-0", "") else text
+
+
+def code_value(code: str, kind: str):
+    """The number or text of the given kind that is written as ``code``; None if none is."""
+    try:
+        number = {BIGINT: int, DOUBLE: float}.get(kind, str)(code)
+    except ValueError:
+        return None
+    if kind == BIGINT and not -(1 << 63) <= number < 1 << 63:
+        return None
+    # "01" is text that no number is written as.
+    return number if literal_code(number) == code else None
+
+
 def _double_text(value: float) -> str:
     """A double as Spark writes it: with an exponent from 10^7 on and below 10^-3."""
     if value != value or abs(value) == float("inf"):

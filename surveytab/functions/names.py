@@ -15,6 +15,7 @@ def clean_names(names: Iterable[str]) -> list[str]:
     ``x``; the second ``a`` becomes ``a_2``.
     """
     seen: Counter[str] = Counter()
+    taken: set[str] = set()
     out = []
     for name in names:
         text = name.replace("%", "_percent_").replace("#", "_number_").replace("'", "")
@@ -24,7 +25,12 @@ def clean_names(names: Iterable[str]) -> list[str]:
         if not text or text[0].isdigit():
             text = "x" + text
         seen[text] += 1
-        out.append(text if seen[text] == 1 else f"{text}_{seen[text]}")
+        name = text if seen[text] == 1 else f"{text}_{seen[text]}"
+        while name in taken:
+            seen[text] += 1
+            name = f"{text}_{seen[text]}"
+        taken.add(name)
+        out.append(name)
     return out
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import canonical_code
+from surveytab.functions.exact import added, total
 from surveytab.functions.frames import (
     broadcast_if_bounded,
     literal_rows,
@@ -109,11 +110,11 @@ def _with_total_and_base(cells, keys, variables, mentioned) -> DataFrame:
     in_base_slot = F.col("counts_base") == 1
     totals = cells.groupBy(*keys, "variable").agg(
         F.sum(F.when(is_code, F.col("n"))).alias("codes_n"),
-        F.sum(F.when(is_code, F.col("n_weighted"))).alias("codes_weight"),
+        total(added(F.when(is_code, F.col("n_weighted")))).alias("codes_weight"),
         F.sum(F.when(is_base, F.col("n"))).alias("base_n"),
-        F.sum(F.when(is_base, F.col("n_weighted"))).alias("base_weight"),
+        total(added(F.when(is_base, F.col("n_weighted")))).alias("base_weight"),
         F.sum(F.when(in_base_slot, F.col("rows"))).alias("all_n"),
-        F.sum(F.when(in_base_slot, F.col("n_weighted"))).alias("all_weight"),
+        total(added(F.when(in_base_slot, F.col("n_weighted")))).alias("all_weight"),
     )
     # What a percentage is taken of: the persons for mentioned groups, else the
     # answers counted.
@@ -142,9 +143,9 @@ def _with_total_and_base(cells, keys, variables, mentioned) -> DataFrame:
         F.lit("code").alias("row_kind"),
         "row_order",
         "n",
-        "n_weighted",
+        total("n_weighted").alias("n_weighted"),
         percent(F.col("n"), F.col("whole_n")).alias("pct"),
-        percent(F.col("n_weighted"), F.col("whole_weight")).alias("pct_weighted"),
+        percent(total("n_weighted"), F.col("whole_weight")).alias("pct_weighted"),
     )
 
     if not keys:
@@ -152,11 +153,11 @@ def _with_total_and_base(cells, keys, variables, mentioned) -> DataFrame:
         asked = literal_rows(cells.sparkSession, {"variable": "string"}, [[v] for v in variables])
         totals = asked.join(totals, "variable", "left")
 
-    total = _summary(
+    total_row = _summary(
         "Total", TOTAL_ORDER, "codes_n", "codes_weight", "whole_n", "whole_weight"
     )
     base = _summary("Base", BASE_ORDER, "base_n", "base_weight", "all_n", "all_weight")
-    summary_rows = totals.selectExpr(*keys, "variable", f"inline(array({total}, {base}))")
+    summary_rows = totals.selectExpr(*keys, "variable", f"inline(array({total_row}, {base}))")
     return code_rows.unionByName(summary_rows)
 
 

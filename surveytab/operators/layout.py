@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import column, literal_code
+from surveytab.functions.frames import sql_literal
 from surveytab.functions.names import clean_names, repair_names
 
 _MEASURES = ("n", "n_weighted", "pct", "pct_weighted")
@@ -116,18 +117,22 @@ def layout_compare(
         listed = [_NO_SPLIT if s is None else literal_code(s) for s in splits]
     keys = ["variable", "code", "row_kind", "row_order"]
     keys += [c for c in ("label",) if c in table.columns]
+    listed = list(dict.fromkeys(listed))
+    # Splits may differ in case only, which names of columns must not: the pivot is on positions.
+    split = _only_listed(split, listed, unlisted, "split")
+    places = F.expr(f"array({', '.join(map(sql_literal, listed))})") if listed else F.array().cast("array<string>")
     wide = (
-        table.withColumn("split", _only_listed(split, listed, unlisted, "split"))
+        table.withColumn("_place", F.array_position(places, split).cast("int"))
         .groupBy(*keys)
-        .pivot("split", listed)
+        .pivot("_place", list(range(1, len(listed) + 1)))
         .agg(*[F.first(m, ignorenulls=True).alias(m) for m in _MEASURES])
     )
-    pairs = [(measure, split) for measure in _MEASURES for split in listed]
-    names = clean_names([f"{measure}_{split}" for measure, split in pairs])
+    pairs = [(measure, place) for measure in _MEASURES for place in range(len(listed))]
+    names = clean_names([f"{measure}_{listed[place]}" for measure, place in pairs])
     return wide.select(
         *keys,
         *[
-            F.coalesce(column(f"{split}_{measure}"), F.lit(0)).alias(name)
-            for (measure, split), name in zip(pairs, names)
+            F.coalesce(column(f"{place + 1}_{measure}"), F.lit(0)).alias(name)
+            for (measure, place), name in zip(pairs, names)
         ],
     )

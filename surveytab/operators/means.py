@@ -28,8 +28,15 @@ from surveytab.functions.codes import (
     shared_code_type,
     text_code,
 )
-from surveytab.functions.frames import literal_rows, pick, require_columns, weight_column
+from surveytab.functions.frames import (
+    broadcast_if_bounded,
+    literal_rows,
+    pick,
+    require_columns,
+    weight_column,
+)
 from surveytab.operators.domain import with_dictionary_code
+from surveytab.operators.packs import PackedKeys, listed_codes, pack_singly, questions_of
 from surveytab.operators.tally import explode_lines, explode_slots
 
 NO_ANSWER = (-88, -99)
@@ -86,12 +93,30 @@ def cross_means(
     """The eight statistics of a measured variable per code of another.
 
     ``pairs`` are (column variable, measured variable). Codes that the dictionary
-    does not list fall into the null category, which is kept. Rows are grouped by
-    the code as it stands; the dictionary meets only the grouped rows.
+    does not list fall into the null category, which is kept. The dictionary meets only grouped
+    rows; with many pairs, several column variables are counted as one key.
     """
     require_columns(df, [name for pair in pairs for name in pair])
-    kind = shared_code_type(df, [c for c, _ in pairs])
     centres = anchors(df, [x for _, x in pairs], na_codes)
+    count = _count_lines if len(pairs) <= _FEW_PAIRS else _count_packs
+    partial = count(df, options, list(dict.fromkeys(pairs)), weight_column(df, weight, null_weight), na_codes, centres)
+    placed = with_dictionary_code(partial, options, "col_variable", "col_code", "col_order")
+    merged = merge_partial_means(
+        placed, ["mean_variable", "col_variable", "col_code", "col_order"]
+    )
+    return merged.select(
+        "mean_variable", "col_variable", "col_code", "col_order",
+        *mean_statistics(centre_of("mean_variable", centres)),
+    )
+
+
+# With more pairs than this, several column variables are counted together.
+_FEW_PAIRS = 4
+
+
+def _count_lines(df, options, pairs, weight, na_codes, centres) -> DataFrame:
+    """Moments by column code, from a line per row and pair."""
+    kind = shared_code_type(df, [c for c, _ in pairs])
     lines = [
         {
             "pair": F.lit(i),
@@ -100,21 +125,34 @@ def cross_means(
         }
         for i, (c, x) in enumerate(pairs)
     ]
-    exploded = explode_lines(df, {"weight": weight_column(df, weight, null_weight)}, lines)
-    partial = (
-        exploded.groupBy("pair", "native")
+    return (
+        explode_lines(df, {"weight": weight}, lines)
+        .groupBy("pair", "native")
         .agg(*partial_columns(F.col("value"), F.col("weight")))
         .withColumn("col_variable", pick([c for c, _ in pairs], "pair"))
         .withColumn("mean_variable", pick([x for _, x in pairs], "pair"))
         .withColumn("col_code", text_code(F.col("native"), kind))
     )
-    placed = with_dictionary_code(partial, options, "col_variable", "col_code", "col_order")
-    merged = merge_partial_means(
-        placed, ["mean_variable", "col_variable", "col_code", "col_order"]
-    )
-    return merged.select(
-        "mean_variable", "col_variable", "col_code", "col_order",
-        *mean_statistics(centre_of("mean_variable", centres)),
+
+
+def _count_packs(df, options, pairs, weight, na_codes, centres) -> DataFrame:
+    """The same from a line per row, pack of column variables and measured variable."""
+    columns = list(dict.fromkeys(c for c, _ in pairs))
+    measured = list(dict.fromkeys(x for _, x in pairs))
+    questions = questions_of(df, [(c, c) for c in columns], listed_codes(options, columns))
+    keys = PackedKeys(df, questions, pack_singly(questions))
+    answers = F.array(*[numeric_answer(df, x, na_codes) - F.lit(centres[x]) for x in measured])
+    lines = keys.exploded({"weight": weight, "values": answers}).select(
+        "weight", *keys.names, explode_slots("values").alias("slot", "value"))
+    counted = lines.groupBy("slot", *keys.names).agg(*partial_columns(F.col("value"), F.col("weight")))
+    asked = literal_rows(df.sparkSession, {"col_variable": "string", "mean_variable": "string"}, pairs)
+    return (
+        keys.spread(counted)
+        .withColumn("col_variable", pick(columns, "first"))
+        .withColumn("mean_variable", pick(measured, "slot"))
+        .withColumnRenamed("first_code", "col_code")
+        .drop("first", "second", "second_code")
+        .join(broadcast_if_bounded(asked, len(pairs)), ["col_variable", "mean_variable"], "left_semi")
     )
 
 

@@ -25,6 +25,7 @@ from surveytab.functions.codes import (
     native_code,
     text_code,
 )
+from surveytab.functions.exact import added, parts
 from surveytab.functions.frames import pick
 
 def explode_slots(array: str) -> Column:
@@ -108,7 +109,8 @@ def tally(
     """Rows, answers and weight per key, variable and code.
 
     Columns: the keys, ``variable, counts_codes, counts_base`` (0 or 1), ``code,
-    row_order, rows, n`` and one weight total per entry of ``weights``. The null
+    row_order, rows, n`` and one weight total per entry of ``weights``, as a struct
+    of :mod:`surveytab.functions.exact`, which adds up alike in any order. The null
     code is kept: its ``rows`` are the rows without an answer and its ``n`` is 0.
 
     Choose cells with :func:`is_code_cell` and :func:`is_base_cell`. They test
@@ -131,7 +133,7 @@ def tally(
             F.min("row_order").alias("row_order"),
             F.sum("rows").alias("rows"),
             F.sum("n").alias("n"),
-            *[F.sum(w).alias(w) for w in weights],
+            *[added(w).alias(w) for w in weights],
         )
     return cells
 
@@ -168,7 +170,7 @@ def _tally_slots(df, slots, weights, keys) -> DataFrame:
         ]
     exploded = df.select(
         *[c.alias(name) for name, c in keys.items()],
-        *[c.alias(name) for name, c in weights.items()],
+        *[parts(c).alias(name) for name, c in weights.items()],
         F.array(*codes).alias("codes"),
     ).select(*keys, *weights, explode_slots("codes").alias("slot", "native"))
     # The outer explode calls the slot nullable. Saying that it is not keeps Spark
@@ -178,7 +180,7 @@ def _tally_slots(df, slots, weights, keys) -> DataFrame:
         *[F.col(path).alias(name) for name, path in fields.items()],
     )
     counted = numbered.groupBy(*keys, "slot", *fields).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.sum(w).alias(w) for w in weights]
+        F.count(F.lit(1)).alias("rows"), *[added(w).alias(w) for w in weights]
     )
     native = dict(zip(forms, [F.col(name) for name in fields]))
     code = F.coalesce(*[text_code(c, form) for form, c in native.items()])

@@ -30,6 +30,7 @@ from surveytab.functions.codes import (
     literal_code,
     native_code,
 )
+from surveytab.functions.exact import added, total, whole_parts
 from surveytab.functions.frames import (
     broadcast_if_bounded,
     literal_rows,
@@ -237,7 +238,7 @@ def report_counts(df: DataFrame, spec: ReportSpec, numbered: list[SplitOption])
     packed, keys = _with_packs(df, packs)
     cells = tally(packed, slots, weights, keys)
     weight_of = {
-        w: F.col("rows").cast("double") if w is None else F.col(f"weight_{i}")
+        w: whole_parts(F.col("rows")) if w is None else F.col(f"weight_{i}")
         for i, w in enumerate(spec.weights)
     }
     places = _splits_of_packs(packs, _unit(numbered))
@@ -249,7 +250,7 @@ def report_counts(df: DataFrame, spec: ReportSpec, numbered: list[SplitOption])
         .agg(
             F.sum("rows").alias("rows"),
             F.sum("n").alias("n"),
-            F.sum("split_weight").alias("n_weighted"),
+            added("split_weight").alias("n_weighted"),
         )
     )
 
@@ -272,17 +273,17 @@ def report_frequencies(
         options.filter(in_codes(F.col("variable"), spec.variables))
         .select(F.explode(ids).alias("split_id"), "variable", "code")
         .withColumn("n", F.lit(0).cast("bigint"))
-        .withColumn("n_weighted", F.lit(0.0))
+        .withColumn("n_weighted", whole_parts(F.lit(0)))
     )
     table = (
         found.unionByName(unused)
         .groupBy("split_id", "variable", "code")
-        .agg(F.sum("n").alias("n"), F.sum("n_weighted").alias("n_weighted"))
+        .agg(F.sum("n").alias("n"), total(added("n_weighted")).alias("n_weighted"))
     )
     answered = (
         counts.filter(is_code_cell() & in_an_option)
         .groupBy("split_id", "variable")
-        .agg(F.sum("n").alias("whole"), F.sum("n_weighted").alias("whole_weight"))
+        .agg(F.sum("n").alias("whole"), total(added("n_weighted")).alias("whole_weight"))
     )
     answered = broadcast_if_bounded(answered, len(numbered) * len(spec.variables))
     zero = F.lit(0.0)
@@ -314,11 +315,11 @@ def report_bases(
         F.col("split_no").alias("of_split_no"), F.col("variable").alias("of_variable")
     ).agg(
         F.sum(F.when(in_base_slot, F.col("rows"))).alias("file_rows"),
-        F.sum(F.when(in_base_slot, F.col("n_weighted"))).alias("file_weight"),
+        total(added(F.when(in_base_slot, F.col("n_weighted")))).alias("file_weight"),
     )
     found = counts.groupBy("split_id", "variable").agg(
         F.sum(F.when(is_code_cell(), F.col("n"))).alias("total"),
-        F.sum(F.when(is_base_cell(), F.col("n_weighted"))).alias("total_weighted"),
+        total(added(F.when(is_base_cell(), F.col("n_weighted")))).alias("total_weighted"),
         F.sum(F.when(is_base_cell(), F.col("n"))).alias("respondents"),
     )
     grid = _grid(counts.sparkSession, spec.variables, numbered)

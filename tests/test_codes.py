@@ -1,11 +1,15 @@
 import decimal
+from decimal import Decimal
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import (
     any_answered,
     canonical_code,
+    code_value,
     in_codes,
     literal_code,
     not_in_codes,
@@ -152,3 +156,22 @@ def test_a_weight_that_is_no_number(spark):
     assert [r[0] for r in df.select(weight_column(df, "w", "ignore")).collect()] == [1.0, 0.0, 0.0]
     with pytest.raises(Exception, match="null weight"):
         df.select(weight_column(df, "w", "raise")).collect()
+
+
+def test_clean_names_are_never_given_twice():
+    assert clean_names(["a", "a", "a_2"]) == ["a", "a_2", "a_2_2"]
+    assert clean_names(["a_2", "a", "a", "a"]) == ["a_2", "a", "a_3", "a_4"]
+
+
+def test_decimal_and_other_number_literals(spark):
+    df = spark.createDataFrame([(Decimal("1.00"), 2.5), (Decimal("10.50"), 3.0)], "d decimal(6,2), x double")
+    listed = [Decimal("1.00"), Decimal("1.05E+1")]
+    assert [r[0] for r in df.select(in_codes(canonical_code(df, "d"), listed)).collect()] == [True, True]
+    assert [r[0] for r in df.select(in_codes(canonical_code(df, "x"), [Decimal("2.500"), Fraction(3)])).collect()] == [True, True]
+    assert [literal_code(v) for v in (Decimal("-0.0"), Decimal("100"), Decimal("1E+3"), np.int64(7), np.float32(0.5))] == [
+        "0", "100", "1000", "7", "0.5"]
+
+
+def test_code_values_stay_within_their_type():
+    assert code_value("12345678901234567890", "bigint") is None and code_value("7", "bigint") == 7
+    assert code_value("01", "bigint") is None and code_value("x", "double") is None and code_value("01", "string") == "01"

@@ -179,3 +179,13 @@ def test_total_percent_is_100_for_coded_tables(interviews):
         assert (round(r.pct, 9), round(r.pct_weighted, 9)) == (100.0, 100.0)
     for r in table.filter("row_kind = 'base'").collect():
         assert r.n <= 4 and r.pct <= 100.0
+
+
+def test_splits_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("A", 1, 2.0), ("A", 2, 3.0), ("á", 2, 5.0)], "s string, v int, w double")
+    table = layout_compare(single_frequencies(df, ["v"], "w", by="s"), ["a", "A", "á"])
+    assert [c for c in table.columns if c.startswith("n_weighted")] == ["n_weighted_a", "n_weighted_a_2", "n_weighted_a_3"]
+    found = {r.code: (r.n_weighted_a, r.n_weighted_a_2, r.n_weighted_a_3) for r in table.collect() if r.row_kind == "code"}
+    assert found == {"1": (1.0, 2.0, 0.0), "2": (0.0, 3.0, 5.0)}
+    every = layout_compare(single_frequencies(df, ["v"], "w", by="s"))
+    assert len(every.columns) == len(table.columns)

@@ -16,6 +16,9 @@ SLOTS = {"v5": ["v5_1", "v5_2", "v5_3"]}
 MENTIONS = {"G019": ["v19", "v20", "v21"]}
 TIE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
+# A weight that is no round number.
+FRACTION = "l_extendedprice * (0.1D + weight) / (3.7D + l_linenumber)"
+
 SURVEY_COLUMNS = [
     *TIE_KEY,
     "l_quantity as weight",
@@ -123,3 +126,44 @@ def priorities(spark: SparkSession) -> DataFrame:
     rows = [[1_000_000_000 + i, "v71", str(i), f"priority {i}"] for i in range(1, 6)]
     names = ("option_id", "variable", "code", "label")
     return literal_rows(spark, dict(zip(names, ("bigint", "string", "string", "string"))), rows)
+
+
+# Twenty questions of all types, as SQL for both engines: name, expression, type of the code.
+WIDE_COLUMNS = [
+    *[(f"c{i}", f"case when l_partkey % {11 + i} = 0 then null else cast(l_partkey % {2 + i % 4} as int) end", "int")
+      for i in range(8)],
+    *[(f"c{i}", f"cast(l_suppkey % {3 + i % 3} as double) / 2", "double") for i in range(8, 13)],
+    *[(f"c{i}", f"concat('answer ', cast(l_orderkey % {2 + i % 3} as varchar(9)))", "text") for i in range(13, 17)],
+    ("c17", "l_returnflag", "text"),
+    ("c18", "l_linenumber", "int"),
+    ("c19", "cast(l_quantity as bigint)", "int"),
+]
+WIDE_ROWS = [
+    *[(f"r{i}", f"cast(l_orderkey % {3 + i % 4} as int)", "int") for i in range(9)],
+    *[(f"r{i}", f"case when l_linenumber = {i - 8} then null else cast(l_partkey % {2 + i % 3} as double) * 0.25 end", "double")
+      for i in range(9, 14)],
+    *[(f"r{i}", f"concat('x', cast(l_suppkey % {2 + i % 4} as varchar(9)))", "text") for i in range(14, 19)],
+    ("r19", "l_linestatus", "text"),
+]
+# Of each question of WIDE_COLUMNS and WIDE_ROWS the dictionary lists these codes and some unused ones.
+WIDE_LISTED = {
+    "int": [str(i) for i in range(-1, 6)],
+    "double": ["0", "0.25", "0.5", "1", "1.5", "9.5"],
+    "text": ["answer 0", "answer 1", "x0", "x1", "x2", "A", "R", "F", "O"],
+}
+
+
+def wide_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One interview per line item with forty questions."""
+    columns = [f"{sql} as {name}" for name, sql, _ in [*WIDE_COLUMNS, *WIDE_ROWS]]
+    return table(spark, sf_dir, "lineitem").selectExpr(*columns, "l_quantity as weight")
+
+
+def wide_options(spark: SparkSession) -> DataFrame:
+    """The dictionary of these questions, written out."""
+    rows = [
+        [1000 * n + i, name, code, f"{name} {code}"]
+        for n, (name, _, kind) in enumerate([*WIDE_COLUMNS, *WIDE_ROWS]) for i, code in enumerate(WIDE_LISTED[kind])
+    ]
+    names = ("option_id", "variable", "code", "label")
+    return literal_rows(spark, dict(zip(names, ("bigint", "string", "string", "string"))), rows)

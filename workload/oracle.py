@@ -7,7 +7,17 @@ and ``ntile``.
 
 from __future__ import annotations
 
-from workload.inputs import FIRST_OPTION, QUESTIONS, SURVEY_COLUMNS, TIE_KEY, UNUSED_V1
+from workload.inputs import (
+    FIRST_OPTION,
+    FRACTION,
+    QUESTIONS,
+    SURVEY_COLUMNS,
+    TIE_KEY,
+    UNUSED_V1,
+    WIDE_COLUMNS,
+    WIDE_LISTED,
+    WIDE_ROWS,
+)
 
 TOTAL, BASE = "1e300::double", "2e300::double"
 SURVEY = f"survey as (select {', '.join(SURVEY_COLUMNS)} from lineitem)"
@@ -244,6 +254,66 @@ select *, {pct('n', 'sum(n) over (partition by row_variable, col_variable, col_c
 from coded"""
 
 
+def canonical(sql: str, kind: str) -> str:
+    """A code as text: halves and quarters keep their fraction, whole numbers have none."""
+    if kind == "double":
+        return f"case when {sql} = floor({sql}) then cast(cast({sql} as bigint) as varchar) else cast({sql} as varchar) end"
+    return sql if kind == "text" else f"cast({sql} as varchar)"
+
+
+def many_rows() -> str:
+    """A line per interview and pair of the forty questions."""
+    def answers(questions):
+        return "[" + ", ".join(f"{{'v': '{n}', 'c': {canonical('(' + sql + ')', k)}}}" for n, sql, k in questions) + "]"
+
+    return f"""select r.v as row_variable, c.v as col_variable, r.c as row_raw, c.c as col_raw, w from (
+      select c, unnest(row_answers) as r, w from (
+        select unnest({answers(WIDE_COLUMNS)}) as c, {answers(WIDE_ROWS)} as row_answers, l_quantity as w from lineitem))"""
+
+
+WIDE_OPTIONS = "wide_options as (select * from (values " + ", ".join(
+    f"({1000 * n + i}::bigint, '{name}', '{code}')"
+    for n, (name, _, kind) in enumerate([*WIDE_COLUMNS, *WIDE_ROWS]) for i, code in enumerate(WIDE_LISTED[kind])
+) + ") as t(option_id, variable, code))"
+
+
+def cross_many(listed: bool) -> str:
+    keys = "row_variable, col_variable, row_code, col_code" + (", row_order, col_order" if listed else "")
+    coded = """raw r left join wide_options a on a.variable = r.row_variable and a.code = r.row_raw
+      left join wide_options c on c.variable = r.col_variable and c.code = r.col_raw""" if listed else "raw r"
+    select = """a.code as row_code, c.code as col_code, a.option_id as row_order, c.option_id as col_order""" if listed else (
+        "row_raw as row_code, col_raw as col_code")
+    return f"""with {WIDE_OPTIONS}, raw as (
+      select row_variable, col_variable, row_raw, col_raw, count(*) as n, sum(w) as w from ({many_rows()}) group by all),
+    coded as (select row_variable, col_variable, {select}, cast(sum(n) as bigint) as n, cast(sum(w) as double) as n_weighted
+      from {coded} group by all)
+    select {keys}, n, n_weighted,
+      {pct('n', 'sum(n) over (partition by row_variable, col_variable, col_code)')} as pct,
+      {pct('n_weighted', 'sum(n_weighted) over (partition by row_variable, col_variable, col_code)')} as pct_weighted
+    from coded"""
+
+
+def exact_sum(value: str) -> str:
+    """The sum on a grid of 2^-52, by whole numbers of 128 bits, rounded once."""
+    units = f"(sum(cast(floor({value}) as hugeint)) * 4503599627370496 + sum(cast(round(({value} - floor({value})) * 4503599627370496) as hugeint)))"
+    return f"cast({units} // 4503599627370496 as double) + cast({units} % 4503599627370496 as double) / 4503599627370496"
+
+
+def fractional() -> str:
+    parts = []
+    for v in ("v1", "v13"):
+        parts += [
+            f"""select '{v}' as variable, cast({v} as varchar) as code, 'code' as row_kind, cast({v} as double) as row_order,
+              count(*) as n, {exact_sum('w')} as n_weighted from weighed where {v} is not null group by {v}""",
+            *[f"select '{v}', '{name}', '{name.lower()}', {order}, count(*), {exact_sum('w')} from weighed where {v} is not null"
+              for name, order in (("Total", TOTAL), ("Base", BASE))],
+        ]
+    # DuckDB has no suffix for doubles.
+    weight = FRACTION.replace("weight", "l_quantity").replace("0.1D", "0.1::double").replace("3.7D", "3.7::double")
+    columns = ", ".join(c for c in SURVEY_COLUMNS if c.endswith((" as v1", " as v13")))
+    return f"with weighed as (select {columns}, {weight} as w from lineitem) {union(parts)}"
+
+
 def cross_mean(columns, keep="true") -> str:
     rows = union(
         f"""select 'v30m' as mean_variable, '{c}' as col_variable, o.code as col_code,
@@ -414,6 +484,7 @@ ORACLE = {
       {freq_ctes(['v1', 'v60', 'v61'], 'extra', texts=('v61',))}
       select * replace (case when variable = 'v60' then regexp_replace(code, '\\.0$', '') else code end
         as code) from freq""",
+    "freq_fractional_weights": fractional(),
     "freq_large_codes": f"""with {SURVEY}, extra as (select v1 * 3000000000 as v62,
         v5_1::double * 1e15 as v63, v5_1::double * -0.25 as v64, weight from survey),
       {freq_ctes(['v62', 'v63', 'v64'], 'extra')}
@@ -473,6 +544,11 @@ ORACLE = {
         "option_id not in (102, 201)",
     ),
     "cross_multi": cross(CROSS_ROWS["v5"].format("v1")),
+    "cross_many": cross_many(True),
+    "cross_many_codes": cross_many(False),
+    "cross_many_groups": cross(union(
+        [CROSS_ROWS["v5"].format(c) for c in ("v1", "v13", "v19", "v20")]
+        + [CROSS_ROWS["single"].format(c, r) for c in ("v1", "v13", "v19", "v20") for r in ("v13", "v21")])),
     "cross_mean": cross_mean(["v1"]),
     "cross_mean_outside": cross_mean(["v1", "v13"], "option_id <> 102"),
     "report_freq_single": report(report_freq_ctes(["v1"]), "select * from report_freq"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import canonical_code, in_codes, not_in_codes
-from surveytab.operators.crosstab import cross_multiple, cross_single
+from surveytab.operators.crosstab import cross_many, cross_multiple, cross_single
 from surveytab.operators.frequency import (
     frequencies,
     mentioned_frequencies,
@@ -32,10 +32,13 @@ from surveytab.sources.dictionary import (
 )
 from surveytab.sources.responses import CODED_AT, STATUS, completed_interviews, latin1_text
 from workload.inputs import (
+    FRACTION,
     MENTIONS,
     SLOTS,
     TIE_KEY,
     WEIGHT,
+    WIDE_COLUMNS,
+    WIDE_ROWS,
     ordered_days,
     part_options,
     priorities,
@@ -45,6 +48,8 @@ from workload.inputs import (
     survey_options,
     survey_questions,
     table,
+    wide_options,
+    wide_survey,
 )
 
 DIGITS = 4
@@ -198,6 +203,12 @@ def freq_mixed_types(spark, sf):
     return rounded(single_frequencies(interviews, ["v1", "v60", "v61"], WEIGHT))
 
 
+def freq_fractional_weights(spark, sf):
+    """Weights that are no round numbers: totals equal bit for bit, in any partitioning."""
+    interviews = survey(spark, sf).withColumn(WEIGHT, F.expr(FRACTION))
+    return single_frequencies(interviews, ["v1", "v13"], WEIGHT).drop("pct", "pct_weighted")
+
+
 def freq_large_codes(spark, sf):
     """Codes beyond 2^31, doubles beyond 10^15, and negative fractions, in their order."""
     interviews = survey(spark, sf).selectExpr(
@@ -340,6 +351,27 @@ def cross_single_outside(spark, sf):
     )
 
 
+def _all_pairs():
+    return [(c, r) for c, *_ in WIDE_COLUMNS for r, *_ in WIDE_ROWS]
+
+
+def cross_many_query(spark, sf):
+    """Twenty questions by twenty, of mixed types: 400 tables."""
+    return rounded(cross_many(wide_survey(spark, sf), wide_options(spark), _all_pairs(), weight=WEIGHT))
+
+
+def cross_many_codes(spark, sf):
+    """The same without a dictionary: all codes found."""
+    table_ = cross_many(wide_survey(spark, sf), None, _all_pairs(), weight=WEIGHT)
+    return rounded(table_.drop("row_order", "col_order"))
+
+
+def cross_many_groups(spark, sf):
+    """Single questions and a group, each by each."""
+    pairs = [(c, r) for c in ("v1", "v13", "v19", "v20") for r in ("v5", "v13", "v21")]
+    return rounded(cross_many(survey(spark, sf), survey_options(spark), pairs, SLOTS, WEIGHT))
+
+
 def cross_multi(spark, sf):
     options = survey_options(spark)
     return rounded(cross_multiple(survey(spark, sf), options, [("v1", "v5")], SLOTS, WEIGHT))
@@ -442,6 +474,7 @@ QUERIES = {
     "freq_multi_unnamed": freq_multi_unnamed,
     "freq_mixed_types": freq_mixed_types,
     "freq_large_codes": freq_large_codes,
+    "freq_fractional_weights": freq_fractional_weights,
     "freq_mentioned": freq_mentioned,
     "freq_mentioned_none": freq_mentioned_none,
     "freq_all_kinds": freq_all_kinds,
@@ -465,6 +498,9 @@ QUERIES = {
     "cross_single": cross_single_query,
     "cross_single_outside": cross_single_outside,
     "cross_multi": cross_multi,
+    "cross_many": cross_many_query,
+    "cross_many_codes": cross_many_codes,
+    "cross_many_groups": cross_many_groups,
     "cross_mean": cross_mean,
     "cross_mean_outside": cross_mean_outside,
     "report_freq_single": report_freq_single,
