@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set
-    (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set and all
+    runs on one machine (local tests). On a cluster each machine would write to a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="surveytab-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -63,10 +63,20 @@ def test_run_is_the_stages_one_after_the_other(spark, folder):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert {"pipeline", *QUERIES} <= driver.queries().keys() and ORACLE.keys() <= QUERIES.keys()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     assert differences(connect(SF), QUERIES[name](spark, SF), ORACLE[name]) == []
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, folder):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "'x' as shard", "1 as node", "2L as rank")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, path).collect() == []
+        if name != "mixed":
+            assert stage(spark, docs, path).columns == docs.columns
