@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import (
-    BIGINT,
-    DOUBLE,
     code_type,
+    code_value,
     in_codes,
-    literal_code,
     native_code,
+    text_code,
 )
 from surveytab.functions.exact import added, total, whole_parts
 from surveytab.functions.frames import (
@@ -40,6 +39,7 @@ from surveytab.functions.frames import (
     weight_column,
 )
 from surveytab.functions.names import names_a_mean, without_mention_suffix
+from surveytab.plans import manifest
 from surveytab.operators.means import (
     NO_ANSWER,
     anchors,
@@ -71,9 +71,6 @@ NOTE_LATER_MARK = "X"
 # ten takes the place of 100 for all.
 _LEAST_IDS_PER_SPLIT = 100
 
-# Options of all splits together: they are part of every plan of the report.
-MOST_OPTIONS = 50_000
-
 # Combinations of options counted together, if the spec does not say. One split always fits.
 # Fewer mean more lines per row before counting, more mean more counted rows to shuffle.
 _MOST_COMBINATIONS = 100
@@ -123,6 +120,37 @@ class SplitOption:
     code: str
 
 
+@dataclass(frozen=True)
+class SplitNumbers:
+    """How the options of the splits are numbered: ``unit`` ids belong to a split.
+
+    ``table`` (split_no, split, option, option_no, split_id) is lazy and numbered in Spark, whatever the
+    number of options; ``sizes`` are the numbers of options, ``short`` the options of the splits that have few.
+    """
+
+    unit: int
+    sizes: dict[int, int]
+    short: dict[int, tuple[str, ...]]
+    table: DataFrame
+
+    @property
+    def overall_id(self) -> int:
+        return self.unit + 1
+
+    @property
+    def total(self) -> int:
+        return 1 + sum(self.sizes.values())
+
+    def ids(self) -> DataFrame:
+        """``split_no, split_id`` of every option, the overall one included."""
+        spark, schema = self.table.sparkSession, {"split_no": "int", "split_id": "bigint"}
+        overall = [[1, self.overall_id]]
+        if len(self.short) == len(self.sizes):
+            rows = [[n, self.unit * n + i] for n, codes in self.short.items() for i in range(1, len(codes) + 1)]
+            return literal_rows(spark, schema, overall + rows)
+        return literal_rows(spark, schema, overall).unionByName(self.table.select("split_no", "split_id"))
+
+
 def report_spec(
     splits: Sequence[str],
     weights: Sequence[str | None],
@@ -174,33 +202,46 @@ def route_variables(wanted: Sequence[str | Sequence[str]]) -> dict:
     return {"singles": singles, "multiples": multiples, "means": means, "wanted": names}
 
 
-def split_options(options: DataFrame, spec: ReportSpec) -> list[SplitOption]:
-    """The numbered options of every split, in dictionary order.
-
-    A small job on the dictionary alone. The lists are part of the plans that follow, so
-    more than MOST_OPTIONS in all are an error.
-    """
-    rows = (
-        _listed_options(options, spec)
-        .orderBy("option_id", "code").limit(MOST_OPTIONS + 1).collect()
+def number_splits(options: DataFrame, spec: ReportSpec) -> SplitNumbers:
+    """The options of every split, numbered in dictionary order. A small job on the dictionary brings
+    the numbers of options to the driver, and the options of splits that have few."""
+    names = [[i, s.variable] for i, s in enumerate(spec.splits, start=1)][1:]
+    splits = literal_rows(options.sparkSession, {"split_no": "int", "split": "string"}, names)
+    listed = _listed_options(options, spec).withColumnsRenamed({"variable": "split", "code": "option"})
+    of_split = Window.partitionBy("split_no")
+    numbered = (
+        splits.join(listed, "split")
+        .withColumn("option_no", F.row_number().over(of_split.orderBy("option_id", "option")))
     )
-    if len(rows) > MOST_OPTIONS:
-        raise ValueError(f"the splits have more than {MOST_OPTIONS} options")
-    codes = {s.variable: [] for s in spec.splits[1:]}
-    for row in rows:
-        codes[row["variable"]].append(row["code"])
+    seen = (
+        numbered.withColumn("size", F.count("*").over(of_split))
+        .filter(F.col("option_no") <= _MOST_LITERALS).select("split_no", "option_no", "option", "size").collect()
+        if names else []
+    )
+    codes: dict[int, dict[int, str]] = {n: {} for n, _ in names}
+    sizes: dict[int, int] = {}
+    for row in seen:
+        codes[row["split_no"]][row["option_no"]] = row["option"]
+        sizes[row["split_no"]] = row["size"]
+    for number, name in names:
+        if number not in sizes:
+            raise ValueError(f"split {name} has no options in the dictionary")
     unit = _LEAST_IDS_PER_SPLIT
-    while any(len(c) >= unit for c in codes.values()):
+    while any(n >= unit for n in sizes.values()):
         unit *= 10
-    out = [SplitOption(unit + 1, 1, spec.splits[0], "1")]
-    for number, split in enumerate(spec.splits[1:], start=2):
-        if not codes[split.variable]:
-            raise ValueError(f"split {split.variable} has no options in the dictionary")
-        out += [
-            SplitOption(unit * number + i, number, split, code)
-            for i, code in enumerate(codes[split.variable], start=1)
-        ]
-    return out
+    short = {n: tuple(c[i] for i in sorted(c)) for n, c in codes.items() if sizes[n] <= _MOST_LITERALS}
+    split_id = F.col("split_no").cast("bigint") * unit + F.col("option_no")
+    return SplitNumbers(unit, sizes, short, numbered.select(
+        "split_no", "split", "option", "option_no", split_id.alias("split_id")))
+
+
+def split_options(options: DataFrame, spec: ReportSpec) -> list[SplitOption]:
+    """The numbered options of every split as a list, to look at; reports do not need it."""
+    numbers = number_splits(options, spec)
+    rows = numbers.table.orderBy("split_id").collect()
+    return [SplitOption(numbers.overall_id, 1, spec.splits[0], "1")] + [
+        SplitOption(r["split_id"], r["split_no"], spec.splits[r["split_no"] - 1], r["option"]) for r in rows
+    ]
 
 
 def _listed_options(options: DataFrame, spec: ReportSpec) -> DataFrame:
@@ -213,12 +254,7 @@ def _listed_options(options: DataFrame, spec: ReportSpec) -> DataFrame:
     )
 
 
-def _unit(numbered: list[SplitOption]) -> int:
-    """Ids per split."""
-    return numbered[0].split_id - 1
-
-
-def report_counts(df: DataFrame, spec: ReportSpec, numbered: list[SplitOption]) -> DataFrame:
+def report_counts(df: DataFrame, spec: ReportSpec, numbers: SplitNumbers) -> DataFrame:
     """All counts of the report: ``split_no, split_id, variable, counts_codes,
     counts_base, code, rows, n, n_weighted``.
 
@@ -229,19 +265,19 @@ def report_counts(df: DataFrame, spec: ReportSpec, numbered: list[SplitOption])
     if not slots:
         raise ValueError("no variables given")
     require_columns(df, [s.variable for s in spec.splits[1:]])
-    packs = _packs(spec, numbered)
+    packs = _packs(spec, numbers)
     weights = {
         f"weight_{i}": weight_column(df, w, spec.null_weight)
         for i, w in enumerate(spec.weights)
         if w is not None
     }
-    packed, keys = _with_packs(df, packs)
+    packed, keys = _with_packs(df, packs, numbers)
     cells = tally(packed, slots, weights, keys)
     weight_of = {
         w: whole_parts(F.col("rows")) if w is None else F.col(f"weight_{i}")
         for i, w in enumerate(spec.weights)
     }
-    places = _splits_of_packs(packs, _unit(numbered))
+    places = _splits_of_packs(packs, numbers.unit)
     spread = cells.select("*", F.inline(places).alias("split_no", "split_id"))
     weight = _of_split([weight_of[s.weight] for s in spec.splits])
     return (
@@ -256,7 +292,7 @@ def report_counts(df: DataFrame, spec: ReportSpec, numbered: list[SplitOption])
 
 
 def report_frequencies(
-    counts: DataFrame, options: DataFrame, spec: ReportSpec, numbered: list[SplitOption]
+    counts: DataFrame, options: DataFrame, spec: ReportSpec, numbers: SplitNumbers
 ) -> DataFrame:
     """``split_id, variable, code, n, n_weighted, pct, pct_weighted``.
 
@@ -264,14 +300,13 @@ def report_frequencies(
     does not list keep theirs. Both sides of that full join are added up in one
     grouping, the dictionary's rows as zeros.
     """
-    in_an_option = _in_an_option(_unit(numbered))
+    in_an_option = _in_an_option(numbers.unit)
     found = counts.filter(is_code_cell() & in_an_option).select(
         "split_id", "variable", code_of_cell().alias("code"), "n", "n_weighted"
     )
-    ids = F.expr(f"array({', '.join(f'{o.split_id}L' for o in numbered)})")
+    listed = options.filter(in_codes(F.col("variable"), spec.variables)).select("variable", "code")
     unused = (
-        options.filter(in_codes(F.col("variable"), spec.variables))
-        .select(F.explode(ids).alias("split_id"), "variable", "code")
+        _grid(spec.variables, numbers).join(listed, "variable").select("split_id", "variable", "code")
         .withColumn("n", F.lit(0).cast("bigint"))
         .withColumn("n_weighted", whole_parts(F.lit(0)))
     )
@@ -285,7 +320,7 @@ def report_frequencies(
         .groupBy("split_id", "variable")
         .agg(F.sum("n").alias("whole"), total(added("n_weighted")).alias("whole_weight"))
     )
-    answered = broadcast_if_bounded(answered, len(numbered) * len(spec.variables))
+    answered = broadcast_if_bounded(answered, numbers.total * len(spec.variables))
     zero = F.lit(0.0)
     return table.join(answered, ["split_id", "variable"], "left").select(
         "split_id",
@@ -301,7 +336,7 @@ def report_frequencies(
 
 
 def report_bases(
-    counts: DataFrame, spec: ReportSpec, numbered: list[SplitOption]
+    counts: DataFrame, spec: ReportSpec, numbers: SplitNumbers
 ) -> DataFrame:
     """``split_id, variable, total, total_weighted, pct_base, pct_base_weighted,
     respondents``.
@@ -322,7 +357,7 @@ def report_bases(
         total(added(F.when(is_base_cell(), F.col("n_weighted")))).alias("total_weighted"),
         F.sum(F.when(is_base_cell(), F.col("n"))).alias("respondents"),
     )
-    grid = _grid(counts.sparkSession, spec.variables, numbered)
+    grid = _grid(spec.variables, numbers)
     return (
         grid.join(found, ["split_id", "variable"], "left")
         .na.fill(0, ["total", "total_weighted", "respondents"])
@@ -369,36 +404,47 @@ def report_description(options: DataFrame, spec: ReportSpec, unit: int) -> DataF
     )
 
 
-def report_means(
-    df: DataFrame,
-    spec: ReportSpec,
-    numbered: list[SplitOption],
-    na_codes: Sequence = NO_ANSWER,
+def report_moments(
+    df: DataFrame, spec: ReportSpec, numbers: SplitNumbers, na_codes: Sequence = NO_ANSWER
 ) -> DataFrame:
-    """The eight mean statistics of the mean variables in every split option."""
+    """Mergeable moments of the mean variables by split option (``split_no, split_id, variable``), answers
+    taken less ``centre``."""
     if not spec.means:
         raise ValueError("no mean variables given")
     require_columns(df, [s.variable for s in spec.splits[1:]])
-    packs = _packs(spec, numbered)
-    packed, keys = _with_packs(df, packs)
+    packs = _packs(spec, numbers)
+    packed, keys = _with_packs(df, packs, numbers)
     weights = {
         f"_{i}": weight_column(df, w, spec.null_weight) for i, w in enumerate(spec.weights)
     }
     centres = anchors(df, spec.means, na_codes)
     partial = partial_means(packed, spec.means, weights, na_codes, keys, centres)
-    places = _splits_of_packs(packs, _unit(numbered))
+    places = _splits_of_packs(packs, numbers.unit)
     spread = partial.select("*", F.inline(places).alias("split_no", "split_id"))
     spread = choose_weight(
-        spread.filter(_in_an_option(_unit(numbered))),
+        spread.filter(_in_an_option(numbers.unit)),
         lambda name: _of_split(
             [F.col(f"{name}_{spec.weights.index(s.weight)}") for s in spec.splits]
         ),
     )
-    merged = merge_partial_means(spread, ["split_id", "variable"])
-    grid = _grid(df.sparkSession, list(spec.means), numbered).drop("split_no")
+    merged = merge_partial_means(spread, ["split_no", "split_id", "variable"])
+    return merged.withColumn("centre", centre_of("variable", centres))
+
+
+def report_means(moments: DataFrame, spec: ReportSpec, numbers: SplitNumbers) -> DataFrame:
+    """The eight mean statistics of the mean variables in every split option, from the moments of one or
+    several sets of interviews."""
+    together = Window.partitionBy("split_id", "variable")
+    placed = moments.withColumn("place", F.min("centre").over(together))
+    shift = F.col("centre") - F.col("place")
+    merged = merge_partial_means(
+        placed.withColumns({m: F.col(m) + shift for m in ("mean", "mean_weighted")}),
+        ["split_id", "variable", "place"],
+    )
+    grid = _grid(list(spec.means), numbers).drop("split_no")
     found = grid.join(merged, ["split_id", "variable"], "left")
     return found.na.fill(0, ["rows", "rows_weight"]).select(
-        "split_id", "variable", *mean_statistics(centre_of("variable", centres))
+        "split_id", "variable", *mean_statistics(F.coalesce("place", F.lit(0.0)))
     )
 
 
@@ -426,39 +472,149 @@ def build_report(
 ) -> Report:
     """The whole report. ``counts`` may be passed to build on saved counts: frequencies and
     bases are separate lazy tables and would each scan the interviews."""
-    numbered = split_options(options, spec)
+    numbers = number_splits(options, spec)
     if counts is None:
-        counts = report_counts(df, spec, numbered)
+        counts = report_counts(df, spec, numbers)
     return Report(
-        report_frequencies(counts, options, spec, numbered),
-        report_bases(counts, spec, numbered),
-        report_description(options, spec, _unit(numbered)),
-        report_means(df, spec, numbered) if spec.means else None,
+        report_frequencies(counts, options, spec, numbers),
+        report_bases(counts, spec, numbers),
+        report_description(options, spec, numbers.unit),
+        report_means(report_moments(df, spec, numbers), spec, numbers) if spec.means else None,
     )
 
 
+# --- stored reports ---------------------------------------------------------------
+
+
 def write_report(
     df: DataFrame, options: DataFrame, spec: ReportSpec, path: str, mode: str = "errorifexists"
 ) -> Report:
-    """Write ``counts`` and every table of the report as Parquet under ``path``.
+    """Write the counts of a report, and every table of it as Parquet, under ``path``.
 
-    The counts are written first and the tables made from them, so the interviews
-    are scanned once for all frequencies and bases. ``mode`` is ``errorifexists`` or
-    ``overwrite``: added up with those of an older run, or left out, counts would be wrong. A
-    run's counts have a folder of their own, so one that failed half way is in nobody's way.
+    The counts are written first and the tables made from them, so the interviews are scanned once for all
+    frequencies and bases. The report is there when its entry in the manifest is, which comes last: a run
+    that failed half way is in nobody's way, in either mode. ``mode`` is ``errorifexists``, tested before
+    anything is counted, or ``overwrite``, which takes the place of all batches under ``path``.
     """
     if mode not in ("errorifexists", "overwrite"):
         raise ValueError("mode must be 'errorifexists' or 'overwrite'")
     spark = df.sparkSession
-    counts_path = f"{path}/counts/run={uuid.uuid4().hex}"
-    report_counts(df, spec, split_options(options, spec)).write.parquet(counts_path)
-    counts = spark.read.parquet(counts_path)
-    report = build_report(df, options, spec, counts)
-    for name, table in report.tables().items():
-        table.write.mode(mode).parquet(f"{path}/{name}")
+    older = manifest.entries(spark, path)
+    if older and mode == "errorifexists":
+        raise ValueError(f"a report already exists under {path}")
+    run = _write_run(df, options, spec, path)
+    report = _report_of_runs(spark, options, spec, path, [run])
+    _write_tables(report, path)
+    manifest.commit(spark, path, ALL, run, _fingerprint(spec))
+    for batch in older:
+        if batch != ALL:
+            manifest.commit(spark, path, batch, None, "")
+    manifest.remove_unused(spark, path)
+    return report
+
+
+# The batch of a report that is written at once.
+ALL = "all interviews"
+
+
+def add_batch(df: DataFrame, options: DataFrame, spec: ReportSpec, path: str, batch: str) -> None:
+    """Count a batch of interviews into the report under ``path``; one that is there already is replaced,
+    without effect on the others. All batches must have the same specification; the dictionary may grow:
+    counts are kept by the options' codes, and numbered when the report is read."""
+    spark = df.sparkSession
+    if any(text != _fingerprint(spec) for _, text in manifest.entries(spark, path).values()):
+        raise ValueError("the report has batches of another specification")
+    manifest.commit(spark, path, batch, _write_run(df, options, spec, path), _fingerprint(spec))
+
+
+def remove_batch(spark, path: str, batch: str) -> None:
+    if batch not in manifest.entries(spark, path):
+        raise ValueError(f"no batch {batch}")
+    manifest.commit(spark, path, batch, None, "")
+
+
+def stored_report(options: DataFrame, spec: ReportSpec, path: str) -> Report:
+    """The report of all batches under ``path`` together, from their counts: no interview is read again."""
+    spark = options.sparkSession
+    found = manifest.entries(spark, path)
+    if not found:
+        raise ValueError(f"no report under {path}")
+    if any(text != _fingerprint(spec) for _, text in found.values()):
+        raise ValueError("the report has batches of another specification")
+    return _report_of_runs(spark, options, spec, path, sorted(run for run, _ in found.values()))
+
+
+def refresh_tables(options: DataFrame, spec: ReportSpec, path: str) -> Report:
+    """Write the tables of all batches together, in place of those under ``path``."""
+    report = stored_report(options, spec, path)
+    _write_tables(report, path)
     return report
 
 
+def _fingerprint(spec: ReportSpec) -> str:
+    """What must agree for counts to be added up."""
+    return repr((spec.splits, spec.singles, {k: tuple(v) for k, v in spec.multiples.items()}, spec.means, spec.null_weight))
+
+
+def _write_tables(report: Report, path: str) -> None:
+    for name, table in report.tables().items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def _write_run(df: DataFrame, options: DataFrame, spec: ReportSpec, path: str) -> str:
+    numbers, run = number_splits(options, spec), uuid.uuid4().hex
+    counts = _by_code(report_counts(df, spec, numbers), spec, numbers)
+    counts.write.parquet(f"{path}/counts/run={run}")
+    if spec.means:
+        moments = _by_code(report_moments(df, spec, numbers), spec, numbers)
+        moments.write.parquet(f"{path}/moments/run={run}")
+    return run
+
+
+def _report_of_runs(spark, options, spec, path, runs) -> Report:
+    numbers = number_splits(options, spec)
+
+    def stored(kind: str) -> DataFrame:
+        return _by_id(spark.read.parquet(*[f"{path}/{kind}/run={r}" for r in runs]), spec, numbers)
+
+    counts = (
+        stored("counts")
+        .groupBy("split_no", "split_id", "variable", "counts_codes", "counts_base", "code")
+        .agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), added("n_weighted").alias("n_weighted"))
+    )
+    means = None
+    if spec.means:
+        means = report_means(stored("moments").filter(_in_an_option(numbers.unit)), spec, numbers)
+    return Report(
+        report_frequencies(counts, options, spec, numbers),
+        report_bases(counts, spec, numbers),
+        report_description(options, spec, numbers.unit),
+        means,
+    )
+
+
+def _by_code(found: DataFrame, spec: ReportSpec, numbers: SplitNumbers) -> DataFrame:
+    """Split and option by name in place of their numbers; the option is null for rows in none."""
+    names = numbers.table.select(F.col("split_id").alias("of_id"), "option")
+    split = F.element_at(F.array(*[F.lit(s.variable) for s in spec.splits]), F.col("split_no"))
+    return found.join(names, F.col("split_id") == F.col("of_id"), "left").withColumn("split", split).drop(
+        "split_no", "split_id", "of_id")
+
+
+def _by_id(found: DataFrame, spec: ReportSpec, numbers: SplitNumbers) -> DataFrame:
+    """The numbers that split and option have now; options the dictionary no longer has are none."""
+    places = F.array(*[F.lit(s.variable) for s in spec.splits])
+    numbered = found.withColumn("split_no", F.array_position(places, F.col("split")).cast("int"))
+    ids = numbers.table.select(F.col("split").alias("of_split"), F.col("option").alias("of_option"), "split_id")
+    same = (F.col("split") == F.col("of_split")) & (F.col("option") == F.col("of_option"))
+    none = F.when(F.col("split_no") == 1, F.lit(numbers.overall_id)).otherwise(F.col("split_no") * numbers.unit)
+    return (
+        numbered.join(ids, same, "left")
+        .withColumn("split_id", F.coalesce("split_id", none.cast("bigint")))
+        .drop("split", "option", "of_split", "of_option")
+    )
+
+
 def _of_split(per_split: Sequence[Column]) -> Column:
     """The column that belongs to the row's split."""
     return F.element_at(F.array(*per_split), F.col("split_no"))
@@ -469,53 +625,48 @@ def _in_an_option(unit: int) -> Column:
     return (F.col("split_id") % unit) * F.col("rows") > 0
 
 
-def _grid(spark, variables: Sequence[str], numbered: list[SplitOption]) -> DataFrame:
-    """Every split option with every variable, from the spec's own lists."""
-    ids = literal_rows(
-        spark, {"split_no": "int", "split_id": "bigint"}, [[o.split_no, o.split_id] for o in numbered]
-    )
+def _grid(variables: Sequence[str], numbers: SplitNumbers) -> DataFrame:
+    """Every split option with every variable of the spec."""
     names = F.array(*[F.lit(v) for v in variables])
-    return ids.select("*", F.explode(names).alias("variable"))
+    return numbers.ids().select("*", F.explode(names).alias("variable"))
 
 
 @dataclass(frozen=True)
 class _Packed:
-    """A split inside a pack: option = pack // stride % size, 0 for no option."""
+    """A split inside a pack: option = pack // stride % size, 0 for no option. ``codes`` is None for
+    a split of many options, which are joined."""
 
     split_no: int
     variable: str
-    codes: tuple[str, ...]
+    codes: tuple[str, ...] | None
+    size: int
     stride: int
 
-    @property
-    def size(self) -> int:
-        return len(self.codes) + 1
-
 
-def _packs(spec: ReportSpec, numbered: list[SplitOption]) -> list[list[_Packed]]:
+def _packs(spec: ReportSpec, numbers: SplitNumbers) -> list[list[_Packed]]:
     """Splits gathered in packs of few combinations. The overall split has one
     option that every row is in; it rides on the first pack."""
     most = spec.most_combinations or _MOST_COMBINATIONS
     packs: list[list[_Packed]] = [[]]
     room = most
     for number, split in enumerate(spec.splits[1:], start=2):
-        codes = tuple(o.code for o in numbered if o.split_no == number)
-        if packs[-1] and len(codes) + 1 > room:
+        size = numbers.sizes[number] + 1
+        if packs[-1] and size > room:
             packs.append([])
             room = most
         stride = 1
         for other in packs[-1]:
             stride *= other.size
-        packs[-1].append(_Packed(number, split.variable, codes, stride))
-        room //= len(codes) + 1
+        packs[-1].append(_Packed(number, split.variable, numbers.short.get(number), size, stride))
+        room //= size
     return packs
 
 
-def _with_packs(df: DataFrame, packs) -> tuple[DataFrame, dict[str, Column]]:
+def _with_packs(df: DataFrame, packs, numbers: SplitNumbers) -> tuple[DataFrame, dict[str, Column]]:
     """The rows with their pack number and combination, as grouping keys."""
     places = {}
     for packed in (p for pack in packs for p in pack):
-        df, places[packed.split_no] = _option_index(df, packed)
+        df, places[packed.split_no] = _option_index(df, packed, numbers)
     combos = [
         reduce(
             lambda a, b: a + b,
@@ -532,34 +683,26 @@ def _with_packs(df: DataFrame, packs) -> tuple[DataFrame, dict[str, Column]]:
     return exploded, {"pack": F.col("_pack"), "combo": F.col("_combo")}
 
 
-def _option_index(df: DataFrame, packed: _Packed) -> tuple[DataFrame, Column]:
+def _option_index(df: DataFrame, packed: _Packed, numbers: SplitNumbers) -> tuple[DataFrame, Column]:
     """Position of the row's code among the split's options, from 1; else 0.
 
-    Some options are a list of literals; many are a table to join.
+    Some options are a list of literals; many are a table to join, never on the driver. Options that
+    no value of the column's type is written as, such as whole numbers beyond its range, are nobody's.
     """
     kind = code_type(df.schema[packed.variable].dataType)
-    convert = {BIGINT: int, DOUBLE: float}.get(kind, str)
-
-    def value(code: str):
-        try:
-            number = convert(code)
-        except ValueError:
-            return None
-        # "01" is text that no number is written as.
-        return number if literal_code(number) == code else None
-
     native = native_code(df, packed.variable)
-    if len(packed.codes) <= _MOST_LITERALS:
-        literals = ", ".join(sql_literal(value(code), kind) for code in packed.codes)
+    if packed.codes is not None:
+        literals = ", ".join(sql_literal(code_value(code, kind), kind) for code in packed.codes)
         position = F.array_position(F.expr(f"array({literals})"), native)
     else:
         name = f"_place_{packed.split_no}"
-        rows = [[value(code), i] for i, code in enumerate(packed.codes, start=1)]
-        listed = literal_rows(
-            df.sparkSession, {f"{name}_of": kind, name: "bigint"},
-            [row for row in rows if row[0] is not None],
+        value = F.expr(f"try_cast(option as {kind})")
+        listed = (
+            numbers.table.filter(F.col("split_no") == packed.split_no)
+            .select(value.alias(f"{name}_of"), F.col("option_no").cast("bigint").alias(name), "option")
+            .filter(text_code(F.col(f"{name}_of"), kind) == F.col("option")).drop("option")
         )
-        listed = broadcast_if_bounded(listed, len(rows))
+        listed = broadcast_if_bounded(listed, packed.size)
         df = df.join(listed, native == F.col(f"{name}_of"), "left").drop(f"{name}_of")
         position = F.col(name)
     return df, F.coalesce(position, F.lit(0)).cast("bigint")

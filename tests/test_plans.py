@@ -9,7 +9,7 @@ from surveytab.operators.labels import label_coded
 from surveytab.operators.layout import layout_tidy, layout_wide
 from surveytab.operators.means import means
 from surveytab.plans.report import build_report, report_spec
-from workload.inputs import MENTIONS, SLOTS, survey, survey_options
+from workload.inputs import MENTIONS, REPORT_SPLITS, REPORT_WEIGHTS, SLOTS, survey, survey_options
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,7 +65,7 @@ def test_layouts_and_labels_do_not_scan_again(many, options):
 
 
 def test_report_tables_scan_once_each(interviews_sf, options):
-    spec = report_spec(["Geral", "v13", "v1"], ["weight", "weight", None], ["v1"], SLOTS, ["v30m"])
+    spec = report_spec(REPORT_SPLITS, REPORT_WEIGHTS, ["v1"], SLOTS, ["v30m"])
     report = build_report(interviews_sf, options, spec)
     assert scans(report.frequencies) == 1
     assert scans(report.bases) == 1

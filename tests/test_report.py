@@ -12,6 +12,7 @@ from surveytab.plans.report import (
     write_report,
 )
 from tests.conftest import as_dict
+from workload.inputs import REPORT_SPLITS, REPORT_WEIGHTS
 
 V5 = {"v5": ["v5_1", "v5_2"]}
 
@@ -94,7 +95,7 @@ def test_a_split_nobody_is_in(interviews, options, spec):
 def test_every_split_equals_its_own_filter(survey_sf, packing):
     df, options = survey_sf
     slots = {"v5": ["v5_1", "v5_2", "v5_3"]}
-    spec = report_spec(["Geral", "v13", "v1"], ["weight", None, "weight"], ["v1"], slots, ["v30m"])
+    spec = report_spec(REPORT_SPLITS, REPORT_WEIGHTS, ["v1"], slots, ["v30m"])
     report = build_report(df, options, spec)
     measures = ("n", "n_weighted", "pct", "pct_weighted")
     got = as_dict(report.frequencies.filter("n > 0"), ("split_id", "variable", "code"), measures)
@@ -215,7 +216,7 @@ def test_packing_can_be_chosen(survey_sf):
     df, options = survey_sf
     tables = [
         build_report(df, options, report_spec(
-            ["Geral", "v13", "v1"], ["weight", None, "weight"], ["v1"], most_combinations=most)).frequencies
+            REPORT_SPLITS, REPORT_WEIGHTS, ["v1"], most_combinations=most)).frequencies
         for most in (2, 10_000)
     ]
     keys, measures = ("split_id", "variable", "code"), ("n", "n_weighted")

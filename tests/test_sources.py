@@ -95,12 +95,12 @@ def test_override_with_nothing_keeps_all(spark):
 
 
 def test_alias(spark):
-    closed = options_from(_options(spark, [(1, "v95", 1.0, "one"), (2, "v2", 1.0, "uno")]))
-    aliased = alias_options(closed, "v95", "G95MRG")
+    closed = options_from(_options(spark, [(1, "fruit", 1.0, "one"), (2, "v2", 1.0, "uno")]))
+    aliased = alias_options(closed, "fruit", "any_fruit")
     assert sorted((r.variable, r.code) for r in aliased.collect()) == [
-        ("G95MRG", "1"), ("v2", "1"), ("v95", "1"),
+        ("any_fruit", "1"), ("fruit", "1"), ("v2", "1"),
     ]
-    assert alias_options(aliased, "v95", "G95MRG").count() == 3
+    assert alias_options(aliased, "fruit", "any_fruit").count() == 3
 
 
 def test_repeated_codes_are_refused(spark):

@@ -50,6 +50,10 @@ CODES = {
     "v19": (0, 1), "v20": (0, 1), "v21": (0, 1),
 }
 
+# The report's splits and their weights: was it returned, is it a large order, is it open and large.
+REPORT_SPLITS = ["Geral", "v20", "v19", "v21"]
+REPORT_WEIGHTS = [None, WEIGHT, WEIGHT, None]
+
 QUESTIONS = [
     ("v19", "G019", "Ordered more than ten"),
     ("v20", "G019", "Returned"),

@@ -11,6 +11,8 @@ from workload.inputs import (
     FIRST_OPTION,
     FRACTION,
     QUESTIONS,
+    REPORT_SPLITS,
+    REPORT_WEIGHTS,
     SURVEY_COLUMNS,
     TIE_KEY,
     UNUSED_V1,
@@ -328,19 +330,20 @@ def cross_mean(columns, keep="true") -> str:
 
 # --- the split report -------------------------------------------------------------
 
+_SPLITS = list(enumerate(zip(REPORT_SPLITS, REPORT_WEIGHTS), start=1))
+_PLAIN = ", ".join(str(n) for n, (_, w) in _SPLITS if w is None)
 SPLITS = f"""
 ids as (
   select 101::bigint as split_id, 1 as split_no, 'Geral' as split, '1' as code
   union all
   select cast(100 * s.split_no + row_number() over (partition by s.split order by o.option_id)
     as bigint), s.split_no, s.split, o.code
-  from (select 'v13' as split, 2 as split_no union all select 'v1', 3) s
+  from (values {', '.join(f"('{v}', {n})" for n, (v, _) in _SPLITS[1:])}) as s(split, split_no)
     join options o on o.variable = s.split),
 members as (
-  select i.split_id, i.split_no, s.*, case when i.split_no = 3 then 1.0 else s.weight end as sw
+  select i.split_id, i.split_no, s.*, case when i.split_no in ({_PLAIN}) then 1.0 else s.weight end as sw
   from survey s join ids i on i.split = 'Geral'
-    or (i.split = 'v13' and i.code = cast(s.v13 as varchar))
-    or (i.split = 'v1' and i.code = cast(s.v1 as varchar)))"""
+    {' '.join(f"or (i.split = '{v}' and i.code = cast(s.{v} as varchar))" for _, (v, _) in _SPLITS[1:])})"""
 
 
 def report_answers(variables) -> str:
@@ -391,7 +394,7 @@ base_counts as ({union(parts)}),
 report_base as (
   select split_id, variable, total, cast(total_weighted as double) as total_weighted,
     {pct('total', '(select count(*) from survey)')} as pct_base,
-    {pct('total_weighted', '''case when split_no = 3 then (select count(*) from survey)
+    {pct('total_weighted', '''case when split_no in (''' + _PLAIN + ''') then (select count(*) from survey)
       else (select sum(weight) from survey) end''')} as pct_base_weighted, respondents
   from base_counts)"""
 
@@ -399,7 +402,7 @@ report_base as (
 DESCRIBED = """select split_id, split_no, cast(split_id % 100 as int) as option_no, split,
   case when split = 'Geral' then 'Geral' else code end as option,
   'Todas especificadas em ''variaveis_quero''' as note,
-  case when split_no = 3 then 'Sem Peso' else 'weight' end as weight from ids"""
+  case when split_no in (PLAIN) then 'Sem Peso' else 'weight' end as weight from ids""".replace("PLAIN", _PLAIN)
 
 
 def report(ctes: str, select: str) -> str:
@@ -441,6 +444,31 @@ select split_id, 'v71' as variable, code, n, n_weighted,
   coalesce({pct('n_weighted', 'sum(n_weighted) over (partition by split_id)')}, 0) as pct_weighted,
   option from joined"""
 
+REPORT_MEANS = report(
+    mean_select("split_id, variable", f"""select i.split_id, 'v30m' as variable,
+      {measured('v30m')} as x, coalesce(sw, 0.0) as w, m.split_id as present
+      from ids i left join members m using (split_id)"""),
+    """select split_id, variable, mean, mean_weighted,
+      case when n_weighted = 0 then 0 else n end as n, n_weighted, sd, sd_weighted, error,
+      error_weighted from means""",
+)
+
+ORDER_OPTIONS = f"""with lines as (select l_orderkey as v72, l_linenumber as v73, l_quantity as w from lineitem),
+grid as (
+  select option, code from (select 'Geral' as option union all select cast(o_orderkey as varchar) from orders
+      union all select '98765432109876543210'),
+    (select unnest([1, 2, 3, 4, 5, 6, 7]) as code)),
+counted as (
+  select 'Geral' as option, v73 as code, count(*) as n, cast(sum(w) as double) as nw from lines group by all
+  union all
+  select cast(v72 as varchar), v73, count(*), cast(count(*) as double) from lines group by all),
+joined as (select option, cast(code as varchar) as code, coalesce(n, 0) as n, coalesce(nw, 0.0::double) as n_weighted
+  from grid left join counted using (option, code))
+select 'v73' as variable, code, n, n_weighted,
+  coalesce({pct('n', 'sum(n) over (partition by option)')}, 0) as pct,
+  coalesce({pct('n_weighted', 'sum(n_weighted) over (partition by option)')}, 0) as pct_weighted, option
+from joined"""
+
 ORACLE = {
     "responses_filtered": """select o_orderkey, o_custkey, o_totalprice as weight from orders
       where o_orderstatus = 'F' and o_orderpriority <> '5-LOW'""",
@@ -572,12 +600,14 @@ ORACLE = {
             pct_base, pct_base_weighted, respondents from report_base) l
         left join described d using (split_id)""",
     ),
-    "report_means": report(
-        mean_select("split_id, variable", f"""select i.split_id, 'v30m' as variable,
-          {measured('v30m')} as x, coalesce(sw, 0.0) as w, m.split_id as present
-          from ids i left join members m using (split_id)"""),
-        """select split_id, variable, mean, mean_weighted,
-          case when n_weighted = 0 then 0 else n end as n, n_weighted, sd, sd_weighted, error,
-          error_weighted from means""",
-    ),
+    "report_two_batches": report(
+        report_freq_ctes(["v1", "v5"]) + "," + report_base_ctes(["v1", "v5"]),
+        """select 'frequency' as line, *, null as total, null as total_weighted, null as pct_base,
+            null as pct_base_weighted, null as respondents from report_freq
+          union all
+          select 'base', split_id, variable, null, null, null, null, null, total, total_weighted,
+            pct_base, pct_base_weighted, respondents from report_base"""),
+    "report_two_batches_means": REPORT_MEANS,
+    "report_order_options": ORDER_OPTIONS,
+    "report_means": REPORT_MEANS,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveytab.functions.codes import canonical_code, in_codes, not_in_codes
+from surveytab.functions.frames import literal_rows
 from surveytab.operators.crosstab import cross_many, cross_multiple, cross_single
 from surveytab.operators.frequency import (
     frequencies,
@@ -20,7 +21,14 @@ from surveytab.operators.labels import label_coded, label_mentioned
 from surveytab.operators.layout import layout_compare, layout_tidy, layout_wide
 from surveytab.operators.means import cross_means, means
 from surveytab.operators.trimmed import trimmed_means
-from surveytab.plans.report import build_report, report_spec, route_variables, write_report
+from surveytab.plans.report import (
+    add_batch,
+    build_report,
+    report_spec,
+    route_variables,
+    stored_report,
+    write_report,
+)
 from surveytab.sources.dictionary import (
     alias_options,
     check_options,
@@ -34,6 +42,8 @@ from surveytab.sources.responses import CODED_AT, STATUS, completed_interviews,
 from workload.inputs import (
     FRACTION,
     MENTIONS,
+    REPORT_SPLITS,
+    REPORT_WEIGHTS,
     SLOTS,
     TIE_KEY,
     WEIGHT,
@@ -394,14 +404,14 @@ def cross_mean_outside(spark, sf):
 
 
 def _report(spark, sf, singles=("v1",), multiples=None, means_=()):
-    spec = report_spec(["Geral", "v13", "v1"], [WEIGHT, WEIGHT, None], singles, multiples, means_)
+    spec = report_spec(REPORT_SPLITS, REPORT_WEIGHTS, singles, multiples, means_)
     return build_report(survey(spark, sf), survey_options(spark), spec)
 
 
 def report_routed(spark, sf):
     """The description of a report whose variables come as one list, a group first."""
     wanted = route_variables([["X5", *SLOTS["v5"]], "v1", "v30m"])
-    spec = report_spec(["Geral", "v13", "v1"], [WEIGHT, WEIGHT, None], **wanted)
+    spec = report_spec(REPORT_SPLITS, REPORT_WEIGHTS, **wanted)
     return build_report(survey(spark, sf), survey_options(spark), spec).description
 
 
@@ -416,13 +426,58 @@ def report_many_options(spark, sf):
 
 def report_written(spark, sf):
     """The report as a job writes it: read back from the folder."""
-    spec = report_spec(["Geral", "v13", "v1"], [WEIGHT, WEIGHT, None], ["v1"])
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="surveytab-")
-    path = f"{folder.rstrip('/')}/report-{uuid.uuid4().hex}"
+    spec = report_spec(REPORT_SPLITS, REPORT_WEIGHTS, ["v1"])
+    path = _report_folder(spark)
     write_report(survey(spark, sf), survey_options(spark), spec, path)
     return rounded(spark.read.parquet(f"{path}/frequencies"))
 
 
+def _report_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="surveytab-")
+    return f"{folder.rstrip('/')}/report-{uuid.uuid4().hex}"
+
+
+def report_two_batches(spark, sf):
+    """Interviews that come in two batches, the second one twice; the first time it was not whole."""
+    spec = report_spec(REPORT_SPLITS, REPORT_WEIGHTS, ["v1"], SLOTS)
+    interviews, options, path = survey(spark, sf), survey_options(spark), _report_folder(spark)
+    late = interviews.filter("l_orderkey % 3 = 0")
+    add_batch(interviews.filter("l_orderkey % 3 <> 0"), options, spec, path, "early")
+    add_batch(late.filter("l_linenumber < 3"), options, spec, path, "late")
+    add_batch(late, options, spec, path, "late")
+    report = stored_report(options, spec, path)
+    lines = report.frequencies.withColumn("line", F.lit("frequency")).unionByName(
+        report.bases.withColumn("line", F.lit("base")), allowMissingColumns=True)
+    return rounded(lines)
+
+
+def report_two_batches_means(spark, sf):
+    """Means of two batches, from their moments."""
+    spec = report_spec(REPORT_SPLITS, REPORT_WEIGHTS, ["v1"], means=["v30m"])
+    interviews, options, path = survey(spark, sf), survey_options(spark), _report_folder(spark)
+    add_batch(interviews.filter("l_extendedprice < 40000"), options, spec, path, "small")
+    add_batch(interviews.filter("l_extendedprice >= 40000"), options, spec, path, "large")
+    return rounded(stored_report(options, spec, path).means)
+
+
+def report_order_options(spark, sf):
+    """A split with an option for every order, and two codes beyond any whole number."""
+    interviews = table(spark, sf, "lineitem").selectExpr("l_orderkey as v72", "l_linenumber as v73", "l_quantity as weight")
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_orderkey as option_id", "'v72' as variable", "cast(o_orderkey as string) as code", "'order' as label")
+    rows = [[-n, "v73", str(n), f"line {n}"] for n in range(1, 8)] + [[0, "v72", "98765432109876543210", "no order"]]
+    names = ("option_id", "variable", "code", "label")
+    more = literal_rows(spark, dict(zip(names, ("bigint", "string", "string", "string"))), rows)
+    spec = report_spec(["Geral", "v72"], [WEIGHT, None], ["v73"])
+    report = build_report(interviews, orders.unionByName(more), spec)
+    described = report.description.select("split_id", "option")
+    return rounded(report.frequencies.join(described, "split_id").drop("split_id"))
+
+
 def report_freq_single(spark, sf):
     return rounded(_report(spark, sf).frequencies)
 
@@ -511,6 +566,9 @@ QUERIES = {
     "report_routed": report_routed,
     "report_many_options": report_many_options,
     "report_written": report_written,
+    "report_two_batches": report_two_batches,
+    "report_two_batches_means": report_two_batches_means,
+    "report_order_options": report_order_options,
     "report_assembled": report_assembled,
     "report_means": report_means,
 }
