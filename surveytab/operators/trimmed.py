@@ -24,13 +24,14 @@ import math
 import operator
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveytab.functions.codes import column, numeric_answer
+from surveytab.functions.codes import canonical_code, column, literal_code, numeric_answer
 from surveytab.functions.frames import (
     literal_rows,
     pick,
@@ -79,6 +80,62 @@ def trimmed_means(
     equal answers. Up to ``sortable`` rows per cut are sorted; ``accuracy`` is that
     of the quantile sketch. Rows without an answer are dropped before trimming.
     """
+    moments, centres = _trimmed(
+        df, variables, order_by, F.lit(0), 1, weight, na_codes, null_weight, sortable, accuracy
+    )
+    asked = literal_rows(df.sparkSession, {"variable": "string"}, [[v] for v in variables])
+    found = asked.join(
+        moments.withColumn("variable", pick(variables, "slot")), "variable", "left"
+    ).na.fill(0, ["rows", "rows_weight"])
+    centre = centre_of("variable", dict(zip(variables, centres)))
+    return found.select("variable", *mean_statistics(centre))
+
+
+def trimmed_means_by(
+    df: DataFrame,
+    variables: Sequence[str],
+    by: str,
+    order_by: Sequence[str],
+    weight: str | None = None,
+    splits: Sequence | None = None,
+    na_codes: Sequence = NO_ANSWER,
+    null_weight: str = "raise",
+    sortable: int = 100_000,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """``split, variable`` and the eight statistics: every variable trimmed within each code of ``by``.
+
+    All splits are searched side by side, in as many looks as one needs. ``splits`` are the codes wanted, by
+    default all that are found, 10 000 at most: a row per split and variable goes through the driver. Interviews
+    without a code, or in no split listed, are left out.
+    """
+    require_columns(df, [*variables, *order_by, by])
+    code = canonical_code(df, by)
+    if splits is None:
+        rows = df.select(code.alias("c")).filter("c is not null").distinct().limit(_MOST_SPLITS + 1).collect()
+        if len(rows) > _MOST_SPLITS:
+            raise ValueError(f"{by} has more than {_MOST_SPLITS} codes: list the ones wanted")
+        splits = sorted(r["c"] for r in rows)
+    codes = list(dict.fromkeys(map(literal_code, splits)))
+    if not codes:
+        raise ValueError(f"{by} has no codes")
+    lookup = F.expr(f"array({', '.join(map(sql_literal, codes))})")
+    place = F.array_position(lookup, code).cast("int") - 1
+    moments, centres = _trimmed(
+        df.filter(place >= 0), variables, order_by, place, len(codes), weight, na_codes, null_weight, sortable, accuracy
+    )
+    slots = [[i, c, v] for i, (c, v) in enumerate((c, v) for c in codes for v in variables)]
+    asked = literal_rows(df.sparkSession, {"slot": "int", "split": "string", "variable": "string"}, slots)
+    found = asked.join(moments, "slot", "left").na.fill(0, ["rows", "rows_weight"])
+    return found.select("split", "variable", *mean_statistics(pick(centres, "slot", "double")))
+
+
+_MOST_SPLITS = 10_000
+
+
+def _trimmed(df, variables, order_by, place, splits, weight, na_codes, null_weight, sortable, accuracy):
+    """Moments by slot, and the number that each slot's answers were taken less. A slot is a variable in a
+    split; ``place`` tells the split, from 0."""
     require_columns(df, [*variables, *order_by])
     keys = [f"key_{i}" for i in range(len(order_by))]
     answers = F.array(*[numeric_answer(df, v, na_codes) for v in variables])
@@ -89,16 +146,18 @@ def trimmed_means(
             _near_cuts(df, variables, na_codes, cuts).select(
                 weight_column(df, weight, null_weight).alias("weight"),
                 *[column(name).alias(key) for name, key in zip(order_by, keys)],
+                (place * len(variables)).alias("first"),
                 answers.alias("answers"),
             )
-            .select("weight", *keys, explode_slots("answers").alias("slot", "value"))
+            .select("weight", *keys, "first", explode_slots("answers").alias("at", "value"))
             .filter(F.col("value").isNotNull())
+            .select("weight", *keys, (F.col("first") + F.col("at")).alias("slot"), "value")
         )
 
     order = [("value", "double", F.col("value"))]
     for name, key in zip(order_by, keys):
         order += _tie_columns(name, key, df.schema[name].dataType, len(order))
-    cuts = _first_look(long_rows(), len(variables), accuracy)
+    cuts = _first_look(long_rows(), splits * len(variables), accuracy)
     _search(long_rows, order, cuts, sortable, accuracy)
 
     # Deviations are taken from a value that the answers kept lie around: their upper end.
@@ -106,15 +165,10 @@ def trimmed_means(
         c.point[0] if c.point and math.isfinite(c.point[0]) else 0.0 for c in cuts[1::2]
     ]
     kept = long_rows().filter(_up_to_cut(order, cuts[1::2]) & ~_up_to_cut(order, cuts[0::2]))
-    partial = (
-        kept.groupBy("slot")
-        .agg(*partial_columns(F.col("value") - pick(centres, "slot", "double"), F.col("weight")))
-        .withColumn("variable", pick(variables, "slot"))
+    moments = kept.groupBy("slot").agg(
+        *partial_columns(F.col("value") - pick(centres, "slot", "double"), F.col("weight"))
     )
-    asked = literal_rows(df.sparkSession, {"variable": "string"}, [[v] for v in variables])
-    found = asked.join(partial, "variable", "left").na.fill(0, ["rows", "rows_weight"])
-    centre = centre_of("variable", dict(zip(variables, centres)))
-    return found.select("variable", *mean_statistics(centre))
+    return moments, centres
 
 
 # A column of the order: its name, its type and how a row's value comes about. It is
@@ -209,20 +263,69 @@ def _search(long_rows, order: _Order, cuts: list[_Cut], sortable: int, accuracy:
 def _near_cuts(df, variables, na_codes, cuts: Sequence[_Cut]) -> DataFrame:
     """The interviews with an answer that one of the cuts may fall on, if all have bounds. Plain
     comparisons of a column with literals, which the source can use."""
-    places = []
+    places: dict[tuple, Column] = {}
     for cut in cuts:
-        name = variables[cut.slot]
-        plain = isinstance(df.schema[name].dataType, T.DoubleType)
-        value = column(name) if plain else numeric_answer(df, name, na_codes)
-        if cut.point:
-            places.append(value == F.lit(cut.point[0]))
-        elif cut.low is None and cut.high is None:
+        name = variables[cut.slot % len(variables)]
+        if not cut.point and cut.low is None and cut.high is None:
             return df
-        else:
-            above = value > F.lit(cut.low) if cut.low is not None else F.lit(True)
-            below = value < F.lit(cut.high) if cut.high is not None else F.lit(True)
-            places.append(above & below)
-    return df.filter(reduce(operator.or_, places)) if places else df
+        bounds = (name, cut.point[0] if cut.point else None, cut.low, cut.high)
+        if bounds not in places:
+            places[bounds] = _within(df, name, na_codes, *bounds[1:])
+    return df.filter(reduce(operator.or_, places.values())) if places else df
+
+
+def _within(df: DataFrame, name: str, na_codes, point, low, high) -> Column:
+    """Is the answer the point, or between the bounds? For whole and decimal numbers the bounds are numbers
+    of the column's own type, no narrower than the doubles: the test may let pass a little more."""
+    data_type = df.schema[name].dataType
+    if isinstance(data_type, (T.DoubleType, T.IntegralType, T.DecimalType)):
+        value = column(name)
+    else:
+        value = numeric_answer(df, name, na_codes)
+    if isinstance(data_type, T.IntegralType):
+        below, above = _whole_below, _whole_above
+    elif isinstance(data_type, T.DecimalType):
+        below, above = (partial(f, data_type) for f in (_decimal_below, _decimal_above))
+    else:
+        if point is not None:
+            return value == F.lit(point)
+        return (value > F.lit(low) if low is not None else F.lit(True)) & (
+            value < F.lit(high) if high is not None else F.lit(True))
+    low, high = (point, point) if point is not None else (low, high)
+    least = below(low) if low is not None else None
+    most = above(high) if high is not None else None
+    return (value >= least if least is not None else F.lit(True)) & (
+        value <= most if most is not None else F.lit(True))
+
+
+def _whole_below(bound: float) -> Column | None:
+    """A whole number no larger than any that is a double of ``bound`` or more."""
+    bound = bound if abs(bound) < 2.0**53 else math.nextafter(bound, -math.inf)
+    return F.lit(math.floor(bound)) if abs(bound) < 2.0**63 else None
+
+
+def _whole_above(bound: float) -> Column | None:
+    bound = bound if abs(bound) < 2.0**53 else math.nextafter(bound, math.inf)
+    return F.lit(math.ceil(bound)) if abs(bound) < 2.0**63 else None
+
+
+def _decimal_bound(data_type: T.DecimalType, bound: float, rounding: str) -> Column | None:
+    if not math.isfinite(bound):
+        return None
+    with localcontext() as context:
+        context.prec = 400
+        value = Decimal(bound).quantize(Decimal(1).scaleb(-data_type.scale), rounding)
+    if abs(value) >= Decimal(10) ** (data_type.precision - data_type.scale):
+        return None
+    return F.expr(f"cast('{value:f}' as decimal({data_type.precision},{data_type.scale}))")
+
+
+def _decimal_below(data_type: T.DecimalType, bound: float) -> Column | None:
+    return _decimal_bound(data_type, math.nextafter(bound, -math.inf), ROUND_FLOOR)
+
+
+def _decimal_above(data_type: T.DecimalType, bound: float) -> Column | None:
+    return _decimal_bound(data_type, math.nextafter(bound, math.inf), ROUND_CEILING)
 
 
 def _in_question(order, level, cuts, active) -> list[Column]:

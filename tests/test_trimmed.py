@@ -1,10 +1,11 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from surveytab.operators.trimmed import rows_trimmed, trimmed_means
+from surveytab.operators.trimmed import rows_trimmed, trimmed_means, trimmed_means_by
 
 
 def tiles(n, of=100):
@@ -146,3 +147,71 @@ def test_few_looks_and_bounds_that_reach_the_source(spark, tmp_path, monkeypatch
     assert len(looks) <= 3
     assert "LessThan(x," in looks[-1] and "Expand" not in looks[-1]
     assert got.first().n == 60_000 - sum(rows_trimmed(60_000))
+
+
+@pytest.mark.parametrize("sortable", [10**6, 40])
+def test_by_split_equals_each_split_alone(data, sortable):
+    names = ["spread", "hot", "few"]
+    found = trimmed_means_by(data, names, "k", ["id"], "w", na_codes=(), sortable=sortable, accuracy=100, splits=[0, 3, 7, 99])
+    got = {(r.split, r.variable): r for r in found.collect()}
+    assert len(got) == 12
+    for code in (0, 3, 7):
+        for name in names:
+            expected = by_tiles(data.filter(F.col("k") == code), name, ["id"])
+            r = got[str(code), name]
+            assert (r.n, r.n_weighted) == (expected.n, expected.n_weighted)
+            assert math.isclose(r.mean, expected.mean, rel_tol=1e-12, abs_tol=1e-12)
+    assert (got["99", "few"].n, got["99", "few"].mean) == (0, None)
+
+
+def test_by_all_splits_found(data):
+    some = data.withColumn("s", F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 5)))
+    got = {r.split: r.n for r in trimmed_means_by(some, ["spread"], "s", ["id"]).collect()}
+    assert got == {f"s{i}": 1200 - sum(rows_trimmed(1200)) for i in range(1, 5)}
+    with pytest.raises(ValueError, match="no codes"):
+        trimmed_means_by(some.filter("s is null"), ["spread"], "s", ["id"])
+
+
+TYPES = {
+    "int": "cast(hash(id) % 100000 as int)", "bigint": "9007199254740992L + hash(id) % 1000", "smallint": "cast(id % 3000 as smallint)",
+    "decimal": "cast((hash(id) % 100000) / 8 as decimal(12,2))", "double": "cast(hash(id) as double)",
+}
+
+
+@pytest.mark.parametrize("kind", list(TYPES))
+def test_bounds_reach_the_source_for_numbers_of_all_types(spark, tmp_path, monkeypatch, kind):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    path = str(tmp_path / "t")
+    spark.range(20_000).selectExpr("id", f"{TYPES[kind]} as x", "1.0D as w").write.parquet(path)
+    df, looks, collect = spark.read.parquet(path), [], DataFrame.collect
+
+    def counted(self):
+        looks.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    found = trimmed_means(df, ["x"], ["id"], "w", na_codes=(), sortable=1000, accuracy=1000)
+    monkeypatch.undo()
+    assert re.search(r"PushedFilters: .*(Less|Greater)Than\w*\(x,", looks[-1])
+    expected, got = by_tiles(df, "x", ["id"]), found.first()
+    assert (got.n, got.n_weighted) == (expected.n, expected.n_weighted)
+    assert math.isclose(got.mean, expected.mean, rel_tol=1e-10)
+
+
+def test_many_measures_take_few_looks(spark, monkeypatch):
+    """A hundred variables of four types, in which 30 % of the answers are equal, in as many looks as one."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    kinds = ["int", "bigint", "decimal(12,2)", "double"]
+    df = spark.range(4_000).select("id", *[
+        F.when(F.rand(i) < 0.3, 40).otherwise(F.rand(1000 + i) * 1000).cast(kinds[i % 4]).alias(f"x{i}") for i in range(100)
+    ]).cache()
+    df.count()
+    looks, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: looks.append(1) or collect(self))
+    found = trimmed_means(df, [f"x{i}" for i in range(100)], ["id"], na_codes=(), sortable=4_000)
+    monkeypatch.undo()
+    assert len(looks) <= 3
+    got = {r.variable: r.n for r in found.collect()}
+    assert set(got.values()) == {4_000 - sum(rows_trimmed(4_000))} and len(got) == 100

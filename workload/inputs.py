@@ -50,6 +50,15 @@ CODES = {
     "v19": (0, 1), "v20": (0, 1), "v21": (0, 1),
 }
 
+# Measures of several types, as SQL for both engines.
+MEASURES = [
+    ("m1", "cast(floor(l_extendedprice) as int)"),
+    ("m2", "l_partkey * 3000000000"),
+    ("m3", "cast(l_extendedprice / 4 as decimal(14,3))"),
+    ("m4", "case when l_orderkey % 3 = 0 then 1000.5 else l_extendedprice end"),
+    ("m5", "cast(l_linenumber % 3 as int)"),
+]
+
 # The report's splits and their weights: was it returned, is it a large order, is it open and large.
 REPORT_SPLITS = ["Geral", "v20", "v19", "v21"]
 REPORT_WEIGHTS = [None, WEIGHT, WEIGHT, None]

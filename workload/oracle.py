@@ -10,6 +10,7 @@ from __future__ import annotations
 from workload.inputs import (
     FIRST_OPTION,
     FRACTION,
+    MEASURES,
     QUESTIONS,
     REPORT_SPLITS,
     REPORT_WEIGHTS,
@@ -230,6 +231,23 @@ def trimmed(column: str) -> str:
     return rows
 
 
+def trimmed_parts(parts) -> str:
+    """``split, variable, x, w`` left of each (split, variable, condition, answer) after both trimmings."""
+    key = ", ".join(["x", *TIE_KEY])
+    return union(
+        f"""select {split} as split, '{name}' as variable, x, w from (
+          select *, ntile(100) over (order by {key}) as second from (
+            select * from (
+              select *, ntile(100) over (order by {key}) as first from (
+                select *, {answer} as x, weight as w from survey where {condition}) where x is not null)
+            where first <= 97.5)) where second >= 2.5""" for split, name, condition, answer in parts)
+
+
+TRIMMED_BY = f"with {SURVEY}, " + mean_select("split, variable", trimmed_parts(
+    (f"'{code}'", v, f"v1 = {code}", measured(v)) for code in (1, 2, 3) for v in ("v30m", "v5_1"))) + " select * from means"
+TRIMMED_TYPES = f"with {SURVEY}, " + mean_select("variable", "select variable, x, w from (" + trimmed_parts(
+    ("null", n, "true", f"cast({sql} as double)") for n, sql in MEASURES) + ")") + " select * from means"
+
 CROSS_ROWS = {
     "v5": union(
         f"select 'v5' as row_variable, '{{0}}' as col_variable, cast({s} as varchar) as row_raw, "
@@ -563,6 +581,8 @@ ORACLE = {
     + mean_select("variable", trimmed("v30m").replace("VARIABLE", "v30m")) + " select * from means",
     "mean_trimmed_scalable": f"with {SURVEY}, "
     + mean_select("variable", trimmed("v30m").replace("VARIABLE", "v30m")) + " select * from means",
+    "mean_trimmed_by": TRIMMED_BY,
+    "mean_trimmed_types": TRIMMED_TYPES,
     "mean_trimmed_ties": f"with {SURVEY}, "
     + mean_select("variable", trimmed("weight").replace("VARIABLE", "rating"))
     + " select * from means",

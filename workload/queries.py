@@ -20,7 +20,7 @@ from surveytab.operators.frequency import (
 from surveytab.operators.labels import label_coded, label_mentioned
 from surveytab.operators.layout import layout_compare, layout_tidy, layout_wide
 from surveytab.operators.means import cross_means, means
-from surveytab.operators.trimmed import trimmed_means
+from surveytab.operators.trimmed import trimmed_means, trimmed_means_by
 from surveytab.plans.report import (
     add_batch,
     build_report,
@@ -41,6 +41,7 @@ from surveytab.sources.dictionary import (
 from surveytab.sources.responses import CODED_AT, STATUS, completed_interviews, latin1_text
 from workload.inputs import (
     FRACTION,
+    MEASURES,
     MENTIONS,
     REPORT_SPLITS,
     REPORT_WEIGHTS,
@@ -344,6 +345,17 @@ def mean_trimmed_ties(spark, sf):
     )
 
 
+def mean_trimmed_by(spark, sf):
+    """Two measures trimmed within each code of another question."""
+    return rounded(trimmed_means_by(survey(spark, sf), ["v30m", "v5_1"], "v1", TIE_KEY, WEIGHT))
+
+
+def mean_trimmed_types(spark, sf):
+    """Whole numbers, long ones, decimals and doubles; a third of the answers are equal."""
+    interviews = survey(spark, sf).selectExpr(*TIE_KEY, WEIGHT, *[f"{sql} as {n}" for n, sql in MEASURES])
+    return rounded(trimmed_means(interviews, [n for n, _ in MEASURES], TIE_KEY, WEIGHT))
+
+
 # --- crosstabs --------------------------------------------------------------------
 
 
@@ -550,6 +562,8 @@ QUERIES = {
     "mean_trimmed": mean_trimmed,
     "mean_trimmed_scalable": mean_trimmed_scalable,
     "mean_trimmed_ties": mean_trimmed_ties,
+    "mean_trimmed_by": mean_trimmed_by,
+    "mean_trimmed_types": mean_trimmed_types,
     "cross_single": cross_single_query,
     "cross_single_outside": cross_single_outside,
     "cross_multi": cross_multi,
