@@ -1,13 +1,13 @@
 """The main text of web pages, by scoring the page's tree.
 
 A page becomes a tree of its block elements. Menus, headers, footers, notices, adverts, forms,
-scripts and comments of readers are cut out by element and by class, id or role; by these not what
-holds all of the page's articles, nor what nearly all text is in. Every
+scripts and comments of readers are cut out by element and by class, id or role, and so is what is hidden; by
+names, as a form or as hidden not what holds all of the page's articles, nor what nearly all text is in. Every
 paragraph passes points for its length and its commas to its ancestors: all to the parent, half to
 the next, a third of that to those above, and so on. A container's points are discounted
 by its link density. The best one is kept (or what is around it, if that has much more text
-with few links), with those of its siblings that score well too or are
-paragraphs of prose, and headings before them.
+with few links), with the text directly around it and those of its siblings that score well too or are paragraphs or
+articles of prose, and the headings before them.
 
 The work on a page is proportional to its length, without recursion.
 """
@@ -15,6 +15,7 @@ The work on a page is proportional to its length, without recursion.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -43,7 +44,7 @@ SAME_LEVEL = {
 }
 # What is cut out, by element and by a word in class, id or role.
 CUT = frozenset(
-    "aside audio button canvas datalist dialog embed footer form header iframe input map math menu meta nav "
+    "aside audio button canvas datalist dialog embed footer header iframe input map math menu meta nav "
     "noembed noframes noscript object script search select style svg template textarea title video head".split()
 )
 CUT_WORDS = re.compile(
@@ -56,14 +57,17 @@ CUT_WORDS = re.compile(
 NEVER_CUT = frozenset(("html", "body", "main", "article"))
 CONTAINERS = frozenset("article blockquote body dd details div figure html li main ol pre section table tbody td ul".split())
 
+CLOSES_ALL = frozenset("article main body html table div section".split())  # also what is open inside a table or article
 CELLS = frozenset(("dd", "li", "td"))  # their own text is a paragraph of what is around them
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+# These may also be what an article is about: they count as the first part of a name only, and cut no table.
+OFTEN_CONTENT = frozenset("notice promotion related search share sharing social".split())
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 
 LEAST_LEFT = 0.1  # share of a page's text that has to be left by cuts by name
@@ -81,20 +85,32 @@ class Node:
         self.points, self.length, self.linked, self.order = 0.0, 0, 0, 0
 
 
-def _cut(tag: str, attributes: str) -> bool:
-    if tag in CUT:
-        return True
-    return tag not in NEVER_CUT and bool(attributes) and bool(_HIDDEN.search(attributes))
-
-
 def _named(tag: str, attributes: str) -> bool:
+    """Is it a form, hidden, or called like something that is not the article? By the attributes hidden,
+    aria-hidden, style, class, id and role alone."""
+    if tag == "form":
+        return True
     if tag in NEVER_CUT or not attributes:
         return False
-    named = " ".join(
-        (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)
-    )
-    named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named).lower()
-    return bool(CUT_WORDS.search(named))
+    named = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and _UNSEEN.search(value):
+            return True
+        if name in ("class", "id", "role"):
+            named += re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split()
+    return any(_boilerplate(tag, n) for n in named)
+
+
+def _boilerplate(tag: str, name: str) -> bool:
+    """Does one of the names of an element tell that it is not the article?"""
+    if not CUT_WORDS.search(name):
+        return False
+    first, *others = [w for w in re.split(r"[^a-z]+", name) if w] or [""]
+    words = [w for w in (first, *others) if CUT_WORDS.search(w) and w not in OFTEN_CONTENT]
+    return bool(words) or (first in OFTEN_CONTENT and tag != "table")
 
 
 def _tree(html: str) -> tuple[Node, list[Node]]:
@@ -103,6 +119,7 @@ def _tree(html: str) -> tuple[Node, list[Node]]:
     root = Node("html", None, False)
     nodes, stack, links, buffer, inline_cut = [root], [root], 0, [], []
     linked, place, at = [0], 0, 0
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
 
     def flush() -> None:
         nonlocal place
@@ -123,14 +140,19 @@ def _tree(html: str) -> tuple[Node, list[Node]]:
             if links:
                 linked[0] += len(text.strip())
 
+    def last(tags) -> int:
+        """The place in the stack of the last open element of these tags; 0 without one."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
+
+    def leave(place: int) -> None:
+        flush()
+        while len(stack) > place:
+            opened[stack.pop().tag].pop()
+
     def close(tags, until) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                flush()
-                del stack[k:]
-                return
-            if stack[k].tag in until:
-                return
+        at = last(tags)
+        if at and at > last(until - tags):
+            leave(at)
 
     end = len(html)
     while at < end:
@@ -168,20 +190,17 @@ def _tree(html: str) -> tuple[Node, list[Node]]:
             elif inline_cut:
                 if tag == inline_cut[0]:
                     inline_cut.append(tag)
-            elif tag != "img" and (_cut(tag, attributes) or _named(tag, attributes)):
+            elif tag != "img" and (tag in CUT or _named(tag, attributes)):
                 inline_cut.append(tag)
             continue
         inline_cut.clear()
         links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    flush()
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("table", "article", "main") and tag not in ("article", "main", "body", "html", "table", "div", "section"):
-                    break
-            else:
+            at_tag = last((tag,))
+            around = 0 if tag in CLOSES_ALL else last(("table", "article", "main"))
+            if at_tag and at_tag >= around:
+                leave(at_tag)
+            elif not around:
                 flush()
             continue
         if tag in ("html", "body"):
@@ -190,6 +209,7 @@ def _tree(html: str) -> tuple[Node, list[Node]]:
                 node = Node("body", root, False)
                 root.children.append(node)
                 nodes.append(node)
+                opened["body"].append(len(stack))
                 stack.append(node)
             continue
         if tag in CLOSES_P:
@@ -201,11 +221,14 @@ def _tree(html: str) -> tuple[Node, list[Node]]:
             continue
         if tag == "head":
             continue
-        node = Node(tag, stack[-1], stack[-1].cut or _cut(tag, attributes), _named(tag, attributes))
+        # An article's own header has its headline.
+        cut = tag in CUT and not (tag == "header" and opened["article"])
+        node = Node(tag, stack[-1], stack[-1].cut or cut, _named(tag, attributes))
         node.order = len(nodes)
         stack[-1].children.append(node)
         nodes.append(node)
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
+            opened[tag].append(len(stack))
             stack.append(node)
     flush()
     return root, nodes
@@ -303,22 +326,23 @@ def main_text(html: str | None) -> str:
         up = up.parent
     out: list[tuple[int, str]] = []
     least = max(1.0, best.points * (1 - _density(best)) * 0.2)
+    if best.parent is not None and not best.parent.cut and _density(best.parent) < 0.25:
+        out.extend(best.parent.blocks)
     siblings = best.parent.children if best.parent is not None else [best]
-    seen_best, headings = False, []
+    headings = []  # belong to what comes after them
     for node in siblings:
-        if node is best:
-            seen_best = True
-            for h in headings:
-                _texts(h, out)
-            _texts(node, out)
-        elif node.cut:
+        if node.cut:
             continue
-        elif node.tag in HEADINGS and not seen_best:
+        if node.tag in HEADINGS:
             headings.append(node)
-        elif node.points * (1 - _density(node)) >= least and node.tag in CONTAINERS:
-            _texts(node, out)
-        elif node.tag == "p" and node.length > 80 and _density(node) < 0.25:
-            _texts(node, out)
+            continue
+        prose = node.tag in ("p", "article") and node.length and _density(node) < 0.25
+        if node is best or prose or node.points * (1 - _density(node)) >= least and node.tag in CONTAINERS:
+            for kept in (*headings, node):
+                _texts(kept, out)
+        elif not node.length:
+            continue
+        headings = []
     return "\n\n".join(t for _, t in sorted(out))
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,33 @@ def test_links_between_paragraphs_stay():
         f"{PROSE.strip()}\n\nx\n\ny\n\n{PROSE.strip()}")
 
 
+@pytest.mark.parametrize("html, text", [
+    (page(f"<form id=aspnetForm><div><p>{PROSE}</p></div></form>"), PROSE.strip()),
+    (page(f"<div data-title='the hidden cost of x'><p>{PROSE}</p></div>"), PROSE.strip()),
+    (page(f"<div data-note=' class=\"menu\" '><p>{PROSE}</p></div>"), PROSE.strip()),
+    (page(f"<div hidden><p>{PROSE}</p></div>"), PROSE.strip()),  # shown by a script later
+    (page(f"<article><header><h1>Head</h1></header><p>{PROSE}</p></article>", "<header><h1>Site</h1></header>"), f"Head\n\n{PROSE.strip()}"),
+    (page(f"<article><p>{PROSE}</p></article><article><p>Shorter one.</p></article>"), f"{PROSE.strip()}\n\nShorter one."),
+    (page(f"<article><p>{PROSE}</p><div class='work-related'><p>Injuries.</p></div><table class='share-prices'><tr><td>7</table></article>"),
+     f"{PROSE.strip()}\n\nInjuries.\n\n7"),
+    (page(f"<article><p>{PROSE}</p><div class='related-posts'><p>More.</p></div><div class='social-share'>Post it</div></article>"), PROSE.strip()),
+    (page(f"<p>Short lead.</p><div><p>{PROSE}</p><p>{PROSE}</p></div><h2>After</h2><p>Short end.</p>"),
+     f"Short lead.\n\n{PROSE.strip()}\n\n{PROSE.strip()}\n\nAfter\n\nShort end."),
+])
+def test_nothing_of_the_article_is_lost(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<x>" * 60_000 + "<h1></h1>" * 60_000, "<div>" * 60_000 + "</p>" * 60_000, "<li>" * 100_000 + "</ul>" * 100_000,
+    "<table>" * 50_000 + "</b></td>" * 50_000, "<a href='" * 50_000, "<" * 200_000, "<p class=" * 100_000,
+], ids=["headings", "ends", "items", "cells", "quotes", "signs", "attributes"])
+def test_hostile_pages_take_time_by_their_length(html):
+    start = time.process_time()
+    main_text(html)
+    assert time.process_time() - start < 4
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert len(main_text(page("<article>" + f"<p>{PROSE}</p>" * 5000 + "</article>"))) == 5000 * (len(PROSE) + 1) - 2
