@@ -5,9 +5,14 @@ valid one is replaced by a keyed permutation of its format. A value is a list of
 each: a digit has 10, an ASCII letter 26 (of its case), an octet 256, a date is one place of 215 and
 one of 340 (73 100 days from 1900-01-01). Eight rounds of a Feistel network add to one half of the
 places a number drawn from SHA-256 of the key, the kind, the round and the other half, modulo
-each radix. That is a permutation of the format, so equal values get equal pseudonyms in all
+each radix. That is a permutation of the format. Where only some of its values are valid, the network is
+applied again until one is (a cycle walk), which is a permutation of the valid ones: cards keep their first
+digit from 2 to 6, or their 34 or 37 and 15 digits, and a Luhn sum of 0; social security numbers
+stay in areas that are given out; days after the 12th stay so, and the others too, as it decides how
+07/10/1918 is read. So every pseudonym is found again as what it stands for, equal values get equal pseudonyms in all
 documents, and different ones never do. Separators stay as they are and do not
-count: the same digits written otherwise get the same digits.
+count: the same digits written otherwise get the same digits. Numbers that are not valid, such as cards with
+another Luhn sum, stay as they are.
 
 The text between the finds is not touched. Everything is Spark SQL; there is no Python
 per row.
@@ -21,8 +26,12 @@ from pyspark.sql import functions as F
 from .store import fresh
 
 ROUNDS = 8
+# The network is applied so many times at most. Of the formats here at least four in ten values are valid, so
+# the longest walk of 10^13 numbers has some 60 steps.
+STEPS = 128
 KINDS = ("email", "ip", "date", "phone", "card", "ssn")
 _D = "[0-9]"
+SSN_AREA = "^(?!000|666|9)"
 # A find is not part of a longer word or number.
 _LEFT, _RIGHT = r"(?<![\p{L}0-9_@])(?<![0-9][.-])", r"(?![\p{L}0-9_@]|[.-][0-9])"
 PATTERNS = {
@@ -63,6 +72,11 @@ def _feistel(values: str, radixes: str, key: str, kind: str) -> str:
     )
 
 
+def _walk(first: str, again: str, valid: str) -> str:
+    """SQL for the first valid one of ``first`` and what ``again`` makes of it (``z``) in turn."""
+    return f"aggregate(sequence(1, {STEPS}), {first}, (z, step) -> if({valid}, z, {again}))"
+
+
 def _characters(value: str, key: str, kind: str) -> str:
     """Every ASCII letter and digit of ``value`` permuted within its class; the rest stays."""
     chars = f"split({value}, '')"
@@ -104,14 +118,24 @@ def _let(name: str, value: str, then: str) -> str:
 
 
 def _card(m: str, key: str) -> str:
-    """All digits but the last are permuted; the last keeps the Luhn sum, valid or not."""
+    """All digits but the last are permuted, among the cards of their kind; the last makes the Luhn sum 0."""
     body = "substr(q.d, 1, length(q.d) - 1)"
-    permuted = _characters(body, key, "'card'")
-    last = f"cast(pmod({_luhn('q.d')} - ({_luhn('concat(q.b, chr(48))')}), 10) as string)"
+    kind = _sql("card")
+    # Fifteen digits after 34 or 37 are a format of their own, in which these two stay.
+    short = "concat(substr(q.d, 1, 2), " + _characters("substr(q.d, 3, 12)", key, kind) + ")"
+    walked = _walk(
+        _characters(body, key, kind), _characters("z", key, kind),
+        "z rlike '^[2-6]' and not (length(z) = 14 and z rlike '^3[47]')")
+    permuted = f"if(length(q.d) = 15 and q.d rlike '^3[47]', {short}, {walked})"
+    last = f"cast(pmod(- ({_luhn('concat(q.b, chr(48))')}), 10) as string)"
     inner = _let("q", f"named_struct('t', q.t, 'd', q.d, 'b', {permuted})", _as_written("q.t", f"concat(q.b, {last})"))
     return _let("q", f"named_struct('t', {m}, 'd', regexp_replace({m}, '[^0-9]', ''))", inner)
 
 
+def _ssn(m: str, key: str) -> str:
+    return _walk(_characters(m, key, _sql("ssn")), _characters("z", key, _sql("ssn")), f"z rlike {_sql(SSN_AREA)}")
+
+
 def _ip(m: str, key: str) -> str:
     octets = f"transform(split({m}, '[.]'), o -> cast(o as bigint))"
     return f"array_join({_feistel(octets, 'array(256L, 256L, 256L, 256L)', key, _sql('ip'))}, '.')"
@@ -137,7 +161,11 @@ def _day(m: str) -> str:
 def _date(m: str, key: str) -> str:
     a, b = DATE_RADIX
     pair = f"array(cast(div(q.n, {b}) as bigint), cast(q.n % {b} as bigint))".replace(f"div(q.n, {b})", f"q.n div {b}")
-    done = _feistel(pair, f"array({a}L, {b}L)", key, _sql("date"))
+    radixes, kind = f"array({a}L, {b}L)", _sql("date")
+    late = f"(day(date_add(date'1900-01-01', cast(z[0] * {b} + z[1] as int))) > 12)"
+    done = _walk(
+        _feistel(pair, radixes, key, kind), _feistel("z", radixes, key, kind),
+        f"{late} = (day(date_add(date'1900-01-01', q.n)) > 12)")
     back = _let("z", done, f"date_format(date_add(date'1900-01-01', cast(z[0] * {b} + z[1] as int)), {_date_format('q.t')})")
     return _let("q", f"named_struct('t', {m}, 'n', {_day(m)})", back)
 
@@ -163,13 +191,14 @@ def _phone(m: str, key: str) -> str:
 def kind_of(m: str) -> str:
     """SQL for the kind of a find, null if it is not valid."""
     octets = f"forall(split({m}, '[.]'), o -> cast(o as int) < 256)"
-    n = f"length(regexp_replace({m}, '[^0-9]', ''))"
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    n, luhn = f"length({digits})", _let("digits", digits, _luhn("digits"))
     return (
         f"case when {m} rlike {_sql(_whole('email'))} then 'email' "
         f"when {m} rlike {_sql(_whole('ip'))} then if({octets}, 'ip', null) "
         f"when {m} rlike {_sql(_whole('date'))} then if({_day(m)} between 0 and {DAYS - 1}, 'date', null) "
-        f"when {m} rlike {_sql(_whole('ssn'))} then if({m} rlike '^(?!000|666|9)', 'ssn', null) "
-        f"when {m} rlike {_sql(_whole('card'))} and {n} between 13 and 19 then 'card' "
+        f"when {m} rlike {_sql(_whole('ssn'))} then if({m} rlike {_sql(SSN_AREA)}, 'ssn', null) "
+        f"when {m} rlike {_sql(_whole('card'))} and {n} between 13 and 19 and {luhn} = 0 then 'card' "
         f"when {m} rlike {_sql(_whole('phone'))} and {n} between 7 and 15 then 'phone' end"
     )
 
@@ -179,7 +208,7 @@ def pseudonym(m: str, key: str) -> str:
     return _let("f", f"named_struct('m', {m}, 'k', {kind_of(m)})", (
         f"case f.k when 'email' then {_email('f.m', key)} when 'ip' then {_ip('f.m', key)} "
         f"when 'date' then {_date('f.m', key)} when 'card' then {_card('f.m', key)} "
-        f"when 'ssn' then {_characters('f.m', key, _sql('ssn'))} "
+        f"when 'ssn' then {_ssn('f.m', key)} "
         f"when 'phone' then {_phone('f.m', key)} else f.m end"
     ))
 
