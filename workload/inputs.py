@@ -54,7 +54,7 @@ CODES = {
 MEASURES = [
     ("m1", "cast(floor(l_extendedprice) as int)"),
     ("m2", "l_partkey * 3000000000"),
-    ("m3", "cast(l_extendedprice / 4 as decimal(14,3))"),
+    ("m3", "cast(l_extendedprice * 3 as decimal(14,2))"),
     ("m4", "case when l_orderkey % 3 = 0 then 1000.5 else l_extendedprice end"),
     ("m5", "cast(l_linenumber % 3 as int)"),
 ]
