@@ -13,8 +13,10 @@ from surveytab.functions.names import clean_names, repair_names
 
 _MEASURES = ("n", "n_weighted", "pct", "pct_weighted")
 
-# Codes or splits that may become columns when the caller does not list them.
+# Codes or splits that may become columns of one table when the caller does not list them.
 MOST_COLUMNS = 2_000
+# Splits side by side in one table of layout_compare_blocks.
+BLOCK_SPLITS = 250
 # Stands for the split of rows without one.
 _NO_SPLIT = "NA"
 
@@ -47,7 +49,10 @@ def _found(values: DataFrame, what: str) -> list[str]:
     """The different values of a table's one column, in order; they become columns."""
     rows = values.distinct().orderBy(*values.columns).limit(MOST_COLUMNS + 1).collect()
     if len(rows) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} {what}: list the ones to show")
+        raise ValueError(
+            f"more than {MOST_COLUMNS} {what}: list the ones to show, or use layout_map, "
+            "which has no columns for them, or blocks of columns (layout_compare_blocks)"
+        )
     return list(dict.fromkeys(r[-1] for r in rows))
 
 
@@ -136,3 +141,35 @@ def layout_compare(
             for (measure, place), name in zip(pairs, names)
         ],
     )
+
+
+def layout_map(table: DataFrame) -> DataFrame:
+    """Splits side by side without a column for each, whatever their number: one row per code as in
+    :func:`layout_compare`, and for every measure a map from split to value, in the order of the splits. A
+    split that does not have the code is not in the maps; rows without a split are the split ``NA``.
+
+    Nothing goes through the driver; a row holds as many entries as there are splits.
+    """
+    keys = ["variable", "code", "row_kind", "row_order"]
+    keys += [c for c in ("label",) if c in table.columns]
+    values = [F.coalesce(m, F.lit(0)).alias(m) for m in _MEASURES]
+    entry = F.struct(F.coalesce("split", F.lit(_NO_SPLIT)).alias("split"), *values)
+    rows = table.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    splits = F.col("_entries.split")
+    return rows.select(*keys, *[F.map_from_arrays(splits, F.col(f"_entries.{m}")).alias(m) for m in _MEASURES])
+
+
+def layout_compare_blocks(
+    table: DataFrame, splits: Sequence | None = None, width: int = BLOCK_SPLITS
+) -> list[DataFrame]:
+    """:func:`layout_compare` of any number of splits, in tables of ``width`` splits each on the same keys: every
+    table has a row for every code, so they can be put side by side. Without ``splits``, all that are found
+    are shown; their names go through the driver."""
+    if width < 1:
+        raise ValueError("width must be positive")
+    split = F.coalesce("split", F.lit(_NO_SPLIT))
+    if splits is None:
+        splits = [r[0] for r in table.select(split.alias("s")).distinct().orderBy("s").collect()]
+    return [
+        layout_compare(table, splits[at : at + width], unlisted="drop") for at in range(0, len(splits), width)
+    ]

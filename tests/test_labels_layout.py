@@ -8,7 +8,13 @@ from surveytab.operators.frequency import (
     single_frequencies,
 )
 from surveytab.operators.labels import label_coded, label_mentioned
-from surveytab.operators.layout import layout_compare, layout_tidy, layout_wide
+from surveytab.operators.layout import (
+    layout_compare,
+    layout_compare_blocks,
+    layout_map,
+    layout_tidy,
+    layout_wide,
+)
 from tests.conftest import as_dict
 
 
@@ -189,3 +195,30 @@ def test_splits_that_differ_in_case_only(spark):
     assert found == {"1": (1.0, 2.0, 0.0), "2": (0.0, 3.0, 5.0)}
     every = layout_compare(single_frequencies(df, ["v"], "w", by="s"))
     assert len(every.columns) == len(table.columns)
+
+
+def test_five_thousand_splits(spark):
+    df = spark.range(20_000).selectExpr("id % 5000 as s", "if(id % 3 = 0, 1, 2) as v", "1.5D as w")
+    table = single_frequencies(df, ["v"], "w", by="s")
+    found = {r.code: r for r in layout_map(table).collect()}
+    assert len(found["1"].n) + len(found["2"].n) > 5_000 and sum(found["1"].n.values()) == 6_667
+    assert found["Total"].n == {str(i): 4 for i in range(5_000)}
+    splits = layout_map(table).filter("row_kind = 'total'").select(F.map_keys("pct")).first()[0]
+    assert splits == sorted(splits)
+    with pytest.raises(ValueError, match="layout_map"):
+        layout_compare(table)
+
+
+def test_blocks_put_side_by_side_are_the_whole(spark):
+    df = spark.createDataFrame([(s, v, 1.0) for s in "abcde" for v in range(ord(s) % 4)] + [(None, 9, 2.0)], "s string, v int, w double")
+    table = single_frequencies(df, ["v"], "w", by="s")
+    whole = layout_compare(table)
+    keys = ["variable", "code", "row_kind", "row_order"]
+    first, *others = layout_compare_blocks(table, width=2)
+    assert len(others) == 2
+    for other in others:
+        first = first.join(other, keys)
+    assert sorted(map(str, first.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    maps = {(r.code, s): n for r in layout_map(table).collect() for s, n in r.n.items()}
+    flat = {(r.code, s): r[f"n_{s}"] for r in whole.collect() for s in "abce" if r[f"n_{s}"]}
+    assert {k: n for k, n in maps.items() if n and k[1] != "NA"} == flat

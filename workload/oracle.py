@@ -179,6 +179,20 @@ def compare() -> str:
         and a.row_kind = b.row_kind"""
 
 
+LAYOUT_MAP = f"""with {SURVEY},
+counted as (select cast(l_suppkey as varchar) as split, cast(v1 as varchar) as code, 'code' as row_kind,
+    count(v1) as n, sum(weight) as w, count(*) as rows from survey group by l_suppkey, v1),
+totals as (select split, sum(n) as n, sum(w) filter (where code is not null) as w, sum(rows) as rows from counted group by split),
+lines as (
+  select c.split, c.code, c.row_kind, c.n, c.w, 100.0::double * c.n / t.n as pct from counted c join totals t using (split)
+    where c.code is not null
+  union all select split, 'Total', 'total', n, w, 100.0 from totals
+  union all select split, 'Base', 'base', n, w, 100.0::double * n / rows from totals)
+select 'v1' as variable, code, row_kind, {', '.join(
+    f"string_agg(split || '=' || cast(cast({c} as decimal(20,2)) as varchar), ';' order by split) as {name}"
+    for c, name in (("n", "n"), ("w", "n_weighted"), ("pct", "pct")))}
+from lines group by code, row_kind"""
+
 TEXT_FREQ = union(
     f"""(with codes as (select '{c}' as variable, {c} as code, 'code' as row_kind,
           0.0::double as row_order, count(*) as n, cast(count(*) as double) as n_weighted
@@ -564,6 +578,7 @@ ORACLE = {
     "layout_tidy": f"with {SURVEY}, {freq_ctes(['v1', 'v13'])} {TIDY}",
     "layout_wide": f"""with {SURVEY}, {freq_ctes(['v1'])}
       {wide_line('pct_weighted', 1)} union all {wide_line('n_weighted', 2)}""",
+    "layout_map": LAYOUT_MAP,
     "layout_compare": compare(),
     "mean_stats": f"with {SURVEY}, " + mean_select("variable", union(
         f"select '{c}' as variable, {measured(c)} as x, weight as w from survey"

@@ -18,7 +18,7 @@ from surveytab.operators.frequency import (
     single_frequencies,
 )
 from surveytab.operators.labels import label_coded, label_mentioned
-from surveytab.operators.layout import layout_compare, layout_tidy, layout_wide
+from surveytab.operators.layout import layout_compare, layout_map, layout_tidy, layout_wide
 from surveytab.operators.means import cross_means, means
 from surveytab.operators.trimmed import trimmed_means, trimmed_means_by
 from surveytab.plans.report import (
@@ -310,6 +310,19 @@ def layout_compare_query(spark, sf):
     )
 
 
+def layout_map_query(spark, sf):
+    """A split per supplier, side by side, as text."""
+    interviews = survey(spark, sf)
+    table_ = layout_map(single_frequencies(interviews, ["v1"], WEIGHT, by="l_suppkey"))
+
+    def text(measure):
+        entries = F.map_entries(F.col(measure))
+        lines = F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"].cast("decimal(20,2)").cast("string")))
+        return F.array_join(lines, ";").alias(measure)
+
+    return table_.select("variable", "code", "row_kind", text("n"), text("n_weighted"), text("pct"))
+
+
 # --- means ------------------------------------------------------------------------
 
 
@@ -557,6 +570,7 @@ QUERIES = {
     "layout_compare": layout_compare_query,
     "layout_compare_labelled": layout_compare_labelled,
     "layout_compare_cleaned": layout_compare_cleaned,
+    "layout_map": layout_map_query,
     "mean_stats": mean_stats,
     "mean_stats_shifted": mean_stats_shifted,
     "mean_trimmed": mean_trimmed,
