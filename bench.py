@@ -23,7 +23,8 @@ HEADLINE = (
     "freq_single", "freq_multi", "freq_mentioned", "freq_all_kinds", "label_coded",
     "layout_compare", "mean_stats", "mean_trimmed", "mean_trimmed_ties", "cross_single",
     "cross_multi", "cross_mean", "report_freq_single", "report_base_multi", "report_assembled",
-    "report_means", "freq_mixed_types", "report_many_options",
+    "report_means", "freq_mixed_types", "report_many_options", "cross_many_groups", "mean_trimmed_by",
+    "report_two_batches",
 )
 
 
