@@ -10,7 +10,10 @@ words of the corpus, so the vocabulary grows with the input.
 The network is trained in numpy on all documents, from an output bias set to the log frequencies of
 the classes. Documents are dealt by hash to groups of some ten thousand words and groups to
 rounds; in a round every group goes on from the same weights by itself, and their results are averaged,
-weighted by words. Which task trains a group makes no difference.
+weighted by words. Which task trains a group makes no difference. Texts are hashed once, to class numbers
+of two bytes a word, and written in the order of the rounds; a round reads its own. Tasks grow in number
+with the groups, and the weights they find are added up in Spark, so the driver gets the square root
+of the tasks' number of rows.
 
 Scoring is one pass over the texts, a few thousand words at a time. The counts of the 131 072 most
 frequent words are sent to all executors; rarer words are joined, which no frequent word makes uneven.
@@ -18,6 +21,7 @@ frequent words are sent to all executors; rarer words are joined, which no frequ
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -36,6 +40,7 @@ HIDDEN = 32
 GROUP_WORDS = 64_000  # about so many are trained on in one go
 ROUNDS = 8  # at most; with fewer groups, as many
 EPOCHS, BATCH, RATE = 2, 512, 0.004  # epochs of a corpus that is one group; larger ones are gone through once
+GROUPS_PER_TASK, MOST_TASKS = 4, 8192  # trained in one go by a task; tasks of a round at most
 MOST_WORDS = 1 << 17  # words sent to all executors with their counts (1.6 MB)
 AT_ONCE = 1024
 _U = np.uint64
@@ -110,40 +115,52 @@ class WindowNetwork:
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
-def _summed(rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows with each id below n."""
-    order = np.argsort(ids, kind="stable")
-    ids, out = ids[order], np.zeros((n, rows.shape[1]), rows.dtype)
-    firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    out[ids[firsts]] = np.add.reduceat(rows[order], firsts)
-    return out
-
-
 def train(network: WindowNetwork, ids: np.ndarray, at: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> WindowNetwork:
-    """Adam over shuffled windows; deterministic."""
+    """A network trained on from ``network``, by Adam over shuffled windows; deterministic. All weights
+    lie in one array, the output bias below the output weights, so that a hidden unit that is always 1 takes it along."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    weights = [network.around, network.bias, network.out, network.out_bias]
-    first, second = ([np.zeros_like(w) for w in weights] for _ in range(2))
-    step = 0
+    flat = _flat(network)
+    gradient, first, second, spare = (np.zeros_like(flat) for _ in range(4))
+    trained, by_weight = _unflat(flat, network), _unflat(gradient, network)
+    classes, units = len(network.out_bias), len(network.bias)
+    around, out = trained.around.reshape(-1, units), flat[-(units + 1) * classes :].reshape(units + 1, classes)
+    d_around, d_out = by_weight.around.reshape(-1), gradient[-(units + 1) * classes :].reshape(units + 1, classes)
+    offsets = np.array(OFFSETS)[:, None]
+    tables = np.arange(len(OFFSETS))[:, None] * (classes + 1)
+    each_unit, ones, step = np.arange(units), np.ones(max(classes, BATCH), np.float32), 0
     for _ in range(epochs):
         order = rng.permutation(len(at))
         for s in range(0, len(at), BATCH):
             here = at[order[s : s + BATCH]]
-            h = network.hidden(ids, here)
-            p = h @ network.out + network.out_bias
+            n = len(here)
+            near = ids[here + offsets] + tables
+            h = np.ones((n, units + 1), np.float32)
+            h[:, :units] = np.tanh(sum(around.take(x, axis=0) for x in near) + trained.bias)
+            p = h @ out
             p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(here)), ids[here]] -= 1
-            p /= len(here)
-            back = (p @ network.out.T) * (1 - h * h)
-            around = np.stack([_summed(back, ids[here + o], network.around.shape[1]) for o in OFFSETS])
+            p /= (p @ ones[:classes] * np.float32(n))[:, None]
+            p[np.arange(n), ids[here]] -= np.float32(1 / n)
+            back = (p @ out[:units].T) * (1 - h[:, :units] ** 2)
+            wide = back.astype(np.float64).ravel()
+            places = (near * units)[:, :, None] + each_unit
+            d_around[:] = sum(np.bincount(x.ravel(), wide, len(d_around)) for x in places)
+            by_weight.bias[:] = ones[:n] @ back
+            np.matmul(h.T, p, out=d_out)
             step += 1
-            for w, g, m, v in zip(weights, [around, back.sum(0), h.T @ p, p.sum(0)], first, second):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return network
+            np.multiply(gradient, np.float32(0.1), out=spare)
+            first *= np.float32(0.9)
+            first += spare
+            np.multiply(gradient, gradient, out=spare)
+            spare *= np.float32(0.001)
+            second *= np.float32(0.999)
+            second += spare
+            np.sqrt(np.multiply(second, np.float32(1 / (1 - 0.999**step)), out=spare), out=spare)
+            spare += np.float32(1e-8)
+            np.divide(first, spare, out=spare)
+            spare *= np.float32(RATE / (1 - 0.9**step))
+            flat -= spare
+    return trained
 
 
 def _class_totals(words: DataFrame, frequent: list[int]) -> np.ndarray:
@@ -159,31 +176,41 @@ def _weights(network: WindowNetwork) -> list[np.ndarray]:
     return [network.around, network.bias, network.out, network.out_bias]
 
 
+def _flat(network: WindowNetwork) -> np.ndarray:
+    """A copy of all weights in one array."""
+    return np.concatenate([w.ravel() for w in _weights(network)])
+
+
+def _unflat(flat: np.ndarray, like: WindowNetwork) -> WindowNetwork:
+    """A network whose weights are views of ``flat``."""
+    ends = np.cumsum([w.size for w in _weights(like)])[:-1]
+    return WindowNetwork(like.class_of, *[p.reshape(w.shape) for p, w in zip(np.split(flat, ends), _weights(like))])
+
+
 def _train_groups(shared, epochs: int):
-    """Weights of the network after one group's documents, and its words."""
+    """Words of one group, and the network's weights after its documents, times its words."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order", "ids"])
         docs = [np.frombuffer(x, np.int16) for x in group["ids"]]
-        start = shared.value
-        network = WindowNetwork(start.class_of, *[w.copy() for w in _weights(start)])
+        network = shared.value
         words, none = sum(map(len, docs)), len(network.out_bias)
         firsts = np.cumsum([0, *map(len, docs)])
         ids = np.full(words + SIDE * len(firsts), none, np.int64)
         at = np.arange(words) + SIDE * (1 + np.repeat(np.arange(len(docs)), np.diff(firsts)))
         ids[at] = np.concatenate(docs)
-        trained = np.concatenate([w.ravel() for w in _weights(train(network, ids, at, epochs))])
-        return pd.DataFrame({"words": [words], "weights": [trained.astype(np.float32)]})
+        trained = _flat(train(network, ids, at, epochs)).astype(np.float64)
+        return pd.DataFrame({"words": [words], "weights": [trained * words]})
 
     return run
 
 
-def _sum_weights(batches):
-    """One row a task: its words, and the sum of its groups' weights times words."""
+def _summed_weights(batches):
+    """One row a task: the sums of its rows."""
     words, total = 0, 0.0
     for batch in batches:
         for n, weights in zip(batch.column(0).to_pylist(), batch.column(1)):
             words += n
-            total = total + n * weights.values.to_numpy().astype(np.float64)
+            total = total + weights.values.to_numpy()
     if words:
         yield pa.RecordBatch.from_arrays(
             [pa.array([words]), pa.array([total], pa.list_(pa.float64()))], ["words", "weights"])
@@ -209,36 +236,40 @@ def fit_network(documents: DataFrame, words: DataFrame | None = None) -> WindowN
         np.log((seen + 1) / (seen + 1).sum()).astype(np.float32),
     )
     groups = max(1, round(seen.sum() / GROUP_WORDS))
+    rounds = min(ROUNDS, groups)
+    tasks = min(-(-groups // (rounds * GROUPS_PER_TASK)), MOST_TASKS)
     order = F.xxhash64("doc_id", "text", F.lit("language model"))
-    dealt = documents.select("text", order.alias("order"), F.pmod(order, F.lit(groups)).alias("group"))
-
-    def run(shared):
-        def classes_of(batches):
-            for batch in batches:
-                for row, hashes, firsts in hashed_words(batch.column(0)):
-                    found = shared.value.class_of[_buckets(hashes)]
-                    ids = [found[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
-                    part = batch.slice(row, len(ids))
-                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(ids, pa.binary())], ["group", "order", "ids"])
-        return classes_of
+    group = F.pmod(order, F.lit(groups))
+    dealt = documents.select("text", order.alias("order"), group.alias("group"), F.pmod(group, F.lit(rounds)).alias("round"))
+    spark = documents.sparkSession
+    classes_of = spark.sparkContext.broadcast(class_of)
 
-    rounds = min(ROUNDS, groups)
+    def run(batches):
+        for batch in batches:
+            for row, hashes, firsts in hashed_words(batch.column(0)):
+                found = classes_of.value[_buckets(hashes)]
+                ids = [found[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
+                part = batch.slice(row, len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in (3, 2, 1)), pa.array(ids, pa.binary())], ["round", "group", "order", "ids"])
+
+    classed = dealt.mapInArrow(run, "round bigint, group bigint, order bigint, ids binary").filter("length(ids) > 0")
+    classed = written(classed.sortWithinPartitions("round"), "classes")  # a round reads its own pages
     for k in range(rounds):
-        shared = documents.sparkSession.sparkContext.broadcast(network)
+        shared = spark.sparkContext.broadcast(replace(network, class_of=None))
+        sums = "words bigint, weights array<double>"
         found = (
-            dealt.filter(F.col("group") % rounds == k)
-            .mapInArrow(run(shared), "group bigint, order bigint, ids binary").filter("length(ids) > 0")
-            .groupBy("group").applyInPandas(_train_groups(shared, EPOCHS if groups == 1 else 1), "words bigint, weights array<float>")
-            .mapInArrow(_sum_weights, "words bigint, weights array<double>")
+            classed.filter(F.col("round") == k).drop("round").repartition(tasks, "group")
+            .groupBy("group").applyInPandas(_train_groups(shared, EPOCHS if groups == 1 else 1), sums)
+            .mapInArrow(_summed_weights, sums).repartition(math.isqrt(tasks) + 1).mapInArrow(_summed_weights, sums)
         )
         n, total = 0, 0.0
         for row in found.collect():
             n, total = n + row["words"], total + np.array(row["weights"])
         shared.destroy()
         if n:
-            ends = np.cumsum([w.size for w in _weights(network)])[:-1]
-            parts = np.split((total / n).astype(np.float32), ends)
-            network = WindowNetwork(class_of, *[p.reshape(w.shape) for p, w in zip(parts, _weights(network))])
+            network = _unflat((total / n).astype(np.float32), network)
+    classes_of.destroy()
     return network
 
 
