@@ -13,8 +13,8 @@
 4. The shards cut each source's permuted order into disjoint runs of their quotas, take
    these blocks, and put their documents in a keyed order of their own.
 
-Only blocks (sources x epochs x 4096 at most), never documents, meet in one place: windows over
-documents are within the one block per source that is taken in part. All draws are hashes of a
+Windows are over a source's blocks (epochs x 4096), over a 4096th of a node's blocks, and, of documents,
+over the one block per source that is taken in part. All draws are hashes of a
 seed, so reruns agree. Everything is column functions.
 """
 
@@ -30,6 +30,7 @@ SHARE = 1.5  # of all words
 EPOCHS = 2  # a target stops at so many times its source's size
 SHARDS = 16
 BLOCK_DIGITS = 3  # hexadecimal: 4096 blocks per source
+RANGE_DIGITS = 3  # hexadecimal, of a split's keyed hash: units of a node are ranked in 4096 ranges
 MOST_BROADCAST = 200_000  # rows of the plan (blocks) sent to all executors at most
 
 
@@ -68,13 +69,23 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=EPOCHS
 
 def shard_quotas(units: DataFrame, shards: int, seed: str) -> DataFrame:
     """``source, shard, quota`` from one row ``source, unit`` per block to deal out: the
-    leaves of the splitting tree. ``shards`` is a power of two."""
+    leaves of the splitting tree. ``shards`` is a power of two.
+
+    A unit's place among its node's is the number of units in lower ranges of the keyed hash, from counts
+    by range, and its place within its own range, so no task holds all units of a node."""
     nodes = units.select("source", "unit", F.lit(0).alias("node"))
     for level in range(shards.bit_length() - 1):
-        order = _digest(seed, f"split {level}", "node", F.coalesce("source", F.lit("\0")), "unit")
-        at_node = Window.partitionBy("node")
-        left = F.row_number().over(at_node.orderBy(order, "unit")) <= F.floor((F.count("*").over(at_node) + 1) / 2)
-        nodes = nodes.select("source", "unit", (F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node"))
+        key = _digest(seed, f"split {level}", "node", F.coalesce("source", F.lit("\0")), "unit")
+        nodes = nodes.withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+        nodes = written(nodes, f"split-{level}")  # used twice
+        below = Window.partitionBy("node").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+        ranges = nodes.groupBy("node", "range").agg(F.count("*").alias("n")).select(
+            "node", "range", (F.sum("n").over(below) - F.col("n")).alias("before"),
+            F.floor((F.sum("n").over(Window.partitionBy("node")) + 1) / 2).alias("half"))
+        inside = Window.partitionBy("node", "range").orderBy("key", "unit")
+        left = F.col("before") + F.row_number().over(inside) <= F.col("half")
+        nodes = nodes.join(ranges, ["node", "range"]).select(
+            "source", "unit", (F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node"))
     return nodes.groupBy("source", F.col("node").alias("shard")).agg(F.count("*").alias("quota"))
 
 
@@ -145,20 +156,23 @@ def _drawn(sized: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
 
 
 def mixed_sizes(documents: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``documents``
+    """``doc_id, size, source_size, target, taken, shards`` for every row of ``documents``
     (doc_id, text, source).
 
     ``size`` is the number of words, 0 for a null or empty text; ``target`` is the source's;
     ``taken`` is how many of the document's words the mix holds, repeats counted (0, 1 or 2
-    times its size). A null source is a source of its own, the last. Rows with a null doc_id take part.
+    times its size), and ``shards`` names the leaves of the tree that take them, by epoch, joined by
+    commas (empty for none). A null source is a source of its own, the last. Rows with a null doc_id take part.
     Rows of the same doc_id share a place in the order, the shorter first. An empty
     table gives no rows.
     """
     seed = options.get("seed", "mix")
     sized = written(_sized(documents.select("doc_id", "source", "text"), word_count(), seed).drop("text"), "sized")
     plan = written(mixing_plan(sized, **options), "plan")
+    takers = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
     return _drawn(sized, plan, seed).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"),
+        F.when(F.col("size") > 0, takers).otherwise("").alias("shards"))
 
 
 def mixture(documents: DataFrame, **options) -> DataFrame:

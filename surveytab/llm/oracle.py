@@ -27,6 +27,16 @@ select doc_id, any_value(n_shingles) as n_shingles, min(other) as component_id
 from reach join sizes using (doc_id) group by doc_id
 """
 
+def _split(level: int) -> str:
+    """A level of the splitting tree: half of each node's units, by their keyed hash, go left."""
+    return f"""
+nodes{level + 1} as (
+  select source, unit, node * 2 + case when row_number() over (partition by node
+      order by md5('mix|split {level}|' || node || '|' || coalesce(source, chr(0)) || '|' || unit), unit)
+    <= (count(*) over (partition by node) + 1) // 2 then 0 else 1 end as node
+  from nodes{level}),"""
+
+
 # Draws are in the order of the operator's hashes, which are MD5 of the same text here.
 MIXING = r"""
 with sized as (
@@ -51,17 +61,35 @@ targets as (
   select source, cast(source_size as bigint) as source_size,
     case when water is null or stop_at <= water then stop else weight * water end as target
   from level),
+blocks as (select source, place[1:3] as block, sum(size) as words from sized group by all having sum(size) > 0),
+units as (
+  select * from (
+    select b.source, block, epoch, epoch || '/' || block as unit, target,
+      sum(words) over by_epoch - words as begins, row_number() over by_epoch - 1 as rank
+    from blocks b join targets t on t.source is not distinct from b.source, (values (1), (2)) as epochs(epoch)
+    window by_epoch as (partition by b.source order by epoch, md5('mix|block|' || epoch || '|' || block), block
+      rows between unbounded preceding and current row))
+  where begins < target),
+nodes0 as (select source, unit, 0 as node from units),""" + "".join(map(_split, range(4))) + r"""
+quotas as (select source, node as shard, count(*) as quota from nodes4 group by all),
+runs as (
+  select *, sum(quota) over (partition by source order by shard rows between unbounded preceding and current row) as till
+  from quotas),
+dealt as (
+  select u.source, epoch, block, shard from units u
+  join runs q on q.source is not distinct from u.source and rank < till and rank >= till - quota),
 draws as (
-  select r, source, size, sum(size) over (
+  select r, source, size, epoch, place[1:3] as block, sum(size) over (
     partition by source order by epoch, md5('mix|block|' || epoch || '|' || place[1:3]), place[1:3],
       md5('mix|inside|' || epoch || '|' || place), size
     rows between unbounded preceding and current row) - size / 2.0 as middle
   from sized, (values (1), (2)) as epochs(epoch) where size > 0),
 taken as (
-  select r, cast(sum(size) as bigint) as taken
+  select r, cast(sum(size) as bigint) as taken, string_agg(cast(shard as varchar), ',' order by draws.epoch) as shards
   from draws join targets on targets.source is not distinct from draws.source
+  join dealt on dealt.source is not distinct from draws.source and dealt.epoch = draws.epoch and dealt.block = draws.block
   where middle <= target group by r)
-select doc_id, size, source_size, target, coalesce(taken, 0) as taken
+select doc_id, size, source_size, target, coalesce(taken, 0) as taken, coalesce(shards, '') as shards
 from sized join targets on targets.source is not distinct from sized.source left join taken using (r)
 """
 

@@ -100,6 +100,44 @@ def test_tree_splits_exact_quotas_as_chance_would(spark):
     assert total == {"a": 120, "b": 60}
 
 
+def tree(units, shards, seed):
+    """Units by shard: at each node the lower half by hash goes left."""
+    nodes = {0: units}
+    for level in range(shards.bit_length() - 1):
+        below = {}
+        for node, here in nodes.items():
+            here = sorted(here, key=lambda u: (digest(seed, f"split {level}", node, *u), u[1]))
+            half = (len(here) + 1) // 2
+            below |= {2 * node: here[:half], 2 * node + 1: here[half:]}
+        nodes = below
+    return nodes
+
+
+def test_tree_equals_brute_force_and_its_counts_are_hypergeometric(spark):
+    units = [("a" if i % 3 else "b", f"1/{i:03x}") for i in range(700)]
+    table = spark.createDataFrame(units, "source string, unit string").repartition(3)
+    expected = Counter((u[0], shard) for shard, here in tree(units, 8, "k").items() for u in here)
+    assert {(r.source, r.shard): r.quota for r in M.shard_quotas(table, 8, "k").collect()} == expected
+    few = units[:30]  # 10 of b; 15 go left
+    left = [sum(u[0] == "b" for u in tree(few, 2, seed)[0]) for seed in range(4000)]
+    mean = sum(left) / len(left)
+    variance = sum((n - mean) ** 2 for n in left) / len(left)
+    assert abs(mean - 5) < 0.1 and abs(variance - 15 * (1 / 3) * (2 / 3) * 15 / 29) < 0.15
+
+
+def test_the_tree_decides_which_shards_take_a_document(spark, rows):
+    table = documents(spark, rows)
+    for shards in (1, 4):
+        sizes = {r.doc_id: r for r in M.mixed_sizes(table, shards=shards).collect()}
+        by_shard = defaultdict(list)
+        for r in M.mixture(table, shards=shards).collect():
+            by_shard[r.doc_id].append((r.epoch, r.shard))
+        assert {d: [s for _, s in sorted(x)] for d, x in by_shard.items()} == {
+            d: [int(s) for s in r.shards.split(",")] for d, r in sizes.items() if r.shards}
+        assert all(r.taken == r["size"] * len(r.shards.split(",")) for r in sizes.values() if r.shards)
+        assert all(r.taken == 0 for r in sizes.values() if not r.shards)
+
+
 def test_edges(spark, tmp_path):
     assert M.mixed_sizes(documents(spark, [])).collect() == [] and M.mixture(documents(spark, [])).collect() == []
     same = documents(spark, [(1, "a b", None, "s", 0)] * 4 + [(1, "a b c d", None, "s", 0)])
