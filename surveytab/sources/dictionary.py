@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from surveytab.functions.codes import canonical_code, column
 from surveytab.functions.frames import require_columns
+from surveytab.functions.skew import spread_join
 from surveytab.sources.responses import unique_names
 
 # The column names of the source tables, in the order
@@ -44,12 +45,17 @@ def questions_from(df: DataFrame, columns: Sequence[str] = QUESTION_COLUMNS) ->
 
 
 def open_ended_answers(
-    questions: DataFrame, answers: DataFrame, key: str = "questaoaberta_id"
+    questions: DataFrame, answers: DataFrame, key: str = "questaoaberta_id", spread_hot: bool = False
 ) -> DataFrame:
     """Every coded open answer with its question, all columns of both sides; the
-    key appears on both and gets ``...position`` names."""
+    key appears on both and gets ``...position`` names. With ``spread_hot``, the answers to a question
+    that has very many are dealt out over many tasks (see :func:`spread_join`), at the cost of
+    one more scan of the answers' key."""
     require_columns(questions, [key])
     require_columns(answers, [key])
+    if spread_hot:
+        at = questions.columns.index(key), answers.columns.index(key)
+        return unique_names(spread_join(questions, answers, *at))
     q, a = questions.alias("q"), answers.alias("a")
     quoted = "`" + key.replace("`", "``") + "`"
     return unique_names(q.join(a, F.col(f"q.{quoted}") == F.col(f"a.{quoted}"), "inner"))

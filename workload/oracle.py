@@ -510,6 +510,11 @@ ORACLE = {
       d.lang as questaoaberta_variavel, l.quality as respostaaberta_cod,
       cast(l.toxic as varchar) as respostaaberta_label
       from documents d, labels l where d.doc_id = l.doc_id""",
+    "open_ended_hot": """with answers as (
+        select case when doc_id % 5 < 3 then 7 else doc_id end as k, doc_id as answer, quality from labels)
+      select d.doc_id as question_key, k as answer_key, d.lang as questaoaberta_variavel, answer,
+        quality as respostaaberta_cod
+      from documents d join answers on d.doc_id = k""",
     "open_ended_dictionary": """select d.doc_id as option_id, d.lang as variable,
       cast(l.quality as varchar) as code, cast(l.toxic as varchar) as label
       from documents d, labels l where d.doc_id = l.doc_id""",

@@ -124,6 +124,23 @@ def open_ended_join(spark, sf):
     )
 
 
+def open_ended_hot(spark, sf):
+    """Six in ten answers are to one question."""
+    questions = table(spark, sf, "documents").selectExpr(
+        "doc_id as questaoaberta_id", "lang as questaoaberta_variavel"
+    )
+    answers = table(spark, sf, "labels").selectExpr(
+        "case when doc_id % 5 < 3 then 7 else doc_id end as questaoaberta_id",
+        "doc_id as answer", "quality as respostaaberta_cod",
+    )
+    joined = open_ended_answers(questions, answers, spread_hot=True)
+    return joined.select(
+        F.col("`questaoaberta_id...1`").alias("question_key"),
+        F.col("`questaoaberta_id...3`").alias("answer_key"),
+        "questaoaberta_variavel", "answer", "respostaaberta_cod",
+    )
+
+
 def open_ended_dictionary(spark, sf):
     return open_ended_options(_open_answers(spark, sf))
 
@@ -541,6 +558,7 @@ QUERIES = {
     "responses_filtered": responses_filtered,
     "responses_text_status": responses_text_status,
     "open_ended_join": open_ended_join,
+    "open_ended_hot": open_ended_hot,
     "open_ended_dictionary": open_ended_dictionary,
     "latin1_text": latin1,
     "dictionary_override": dictionary_override,
