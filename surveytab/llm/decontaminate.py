@@ -8,6 +8,10 @@ around a hit is then measured with Myers' bit-parallel algorithm (1999). A windo
 few of the item's 3-grams for k edits is passed over first; that never loses a match, since
 an edit removes three of them at most.
 
+An item without an edit to spare (12 bytes or less) is found only where it stands as whole words. One
+of fewer than LEAST bytes is no sign of a leak inside a longer text: it is found only in a
+document that is nothing but the item.
+
 Items go to the tasks in blocks of bounded size, each against all documents.
 """
 
@@ -25,6 +29,7 @@ from .store import small_batches
 from .text import mixed
 
 PERCENT = 8  # edits allowed per 100 bytes of an item
+LEAST = 4  # bytes of an item that is looked for inside a document
 BLOCK_BYTES = 4 << 20  # of items that a task holds at once
 CHUNK = 1 << 18  # bytes of a text looked at once
 WIDTHS = (1, 2, 3, 4, 6, 8, 11)  # window widths; a piece is probed by its first bytes
@@ -33,6 +38,9 @@ _R = 0x9E3779B97F4A7C15
 _PLAIN = bytes(32 if not (chr(c).isalnum() or c > 127) else c for c in range(256))
 
 
+_AROUND = (b"", b" ", b"  ")  # of whole words: nothing, or a space on one side or both
+
+
 def plain(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split())
 
@@ -68,11 +76,15 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], percent: int):
         self.items = []  # (item_id, text, edits, 3-grams)
+        self.alone: dict[bytes, list[int]] = defaultdict(list)  # items that must be the whole text
         pieces: dict[int, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in rows:
             item = plain(text)
             if not item:
                 continue
+            if len(item) < LEAST:
+                self.alone[item].append(item_id)
+                continue
             k = len(item) * percent // 100
             at = len(self.items)
             self.items.append((item_id, item, k, Counter(item[i : i + 3] for i in range(len(item) - 2))))
@@ -133,13 +145,16 @@ class Items:
 
     def find(self, text: str | None) -> dict[int, int]:
         """{item_id: distance} of the items that the text holds within their budget."""
-        body, tried, best = plain(text), set(), {}
+        body, tried = plain(text), set()
+        best = dict.fromkeys(self.alone.get(body, ()), 0)
         for item, begin in self.hits(body):
             item_id, pattern, k, grams = self.items[item]
             slot = (item, begin // (k + 1))
             if slot in tried or best.get(item_id) == 0:
                 continue
             tried.add(slot)
+            if not k and body[max(begin - 1, 0) : begin] + body[begin + len(pattern) :][:1] not in _AROUND:
+                continue
             first = slot[1] * (k + 1) - k
             window = body[max(0, first) : max(0, first + len(pattern) + 4 * k + 1)]
             need = len(pattern) - 2 - 3 * k

@@ -87,6 +87,16 @@ def test_clean_documents_stay_with_all_columns(spark, bench):
     assert kept.filter("doc_id >= 100 and doc_id < 200").count() == 30
 
 
+def test_short_items_stand_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "a"), (2, "Yes."), (3, "tick"), (4, "one two")], "item_id long, text string")
+    texts = ["Yesterday bob took cats", "a", "yes!", "YES and a", "ticking clocks tick", "unticked sticks", "one twos", "bone two", "one, two", "so one two", "tick"]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    found = {(r.doc_id, r.item_id, r.distance) for r in D.leaks(documents(spark, rows), items).collect()}
+    assert found == {(1, 1, 0), (2, 2, 0), (4, 3, 0), (8, 4, 0), (9, 4, 0), (10, 3, 0)}
+    kept = D.without_leaks(documents(spark, rows), items).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3, 5, 6, 7]
+
+
 def test_empty_tables_and_long_text(spark, bench):
     assert D.leaks(documents(spark, []), bench[1]).collect() == []
     assert D.leaks(documents(spark, planted(bench)[:2]), bench[1].limit(0)).collect() == []
