@@ -42,7 +42,11 @@ def spread_join(left: DataFrame, right: DataFrame, left_on: int, right_on: int)
     if not isinstance(right.schema[right_key].dataType, _COUNTABLE):
         return left.join(right, F.col(left_key) == F.col(right_key)).select(*mine, *theirs).toDF(*names)
     tasks = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = F.broadcast(heavy_keys(right, right_key, tasks))  # _MOST_KEYS rows at most
+    heavy = heavy_keys(right, right_key, tasks)
+    found = heavy.collect()  # _MOST_KEYS rows at most
+    if not found:
+        return left.join(right, F.col(left_key) == F.col(right_key)).select(*mine, *theirs).toDF(*names)
+    heavy = F.broadcast(right.sparkSession.createDataFrame(found, heavy.schema))
     parts = F.coalesce("parts", F.lit(1))
     repeated = left.join(heavy, F.col(left_key) == F.col("key"), "left").select(
         *mine, F.explode(F.sequence(F.lit(0), parts - 1)).alias("left_part"))
