@@ -15,9 +15,11 @@ numbers, and a row is then counted once per number.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +80,12 @@ _MOST_COMBINATIONS = 100
 # Options that are looked up in a list of literals; more are joined.
 _MOST_LITERALS = 64
 
+# Options that are numbered by one task; longer splits are cut into ranges, of about so many options or, of
+# very long ones, more. Where ranges begin is taken from so many sampled options of each.
+_MOST_IN_A_RANGE = 100_000
+_MOST_RANGES = 1024
+_SAMPLED_IN_A_RANGE = 32
+
 
 @dataclass(frozen=True)
 class Split:
@@ -203,36 +211,93 @@ def route_variables(wanted: Sequence[str | Sequence[str]]) -> dict:
 
 
 def number_splits(options: DataFrame, spec: ReportSpec) -> SplitNumbers:
-    """The options of every split, numbered in dictionary order. A small job on the dictionary brings
+    """The options of every split, numbered in dictionary order. Small jobs on the dictionary bring
     the numbers of options to the driver, and the options of splits that have few."""
-    names = [[i, s.variable] for i, s in enumerate(spec.splits, start=1)][1:]
-    splits = literal_rows(options.sparkSession, {"split_no": "int", "split": "string"}, names)
-    listed = _listed_options(options, spec).withColumnsRenamed({"variable": "split", "code": "option"})
-    of_split = Window.partitionBy("split_no")
-    numbered = (
-        splits.join(listed, "split")
-        .withColumn("option_no", F.row_number().over(of_split.orderBy("option_id", "option")))
-    )
-    seen = (
-        numbered.withColumn("size", F.count("*").over(of_split))
-        .filter(F.col("option_no") <= _MOST_LITERALS).select("split_no", "option_no", "option", "size").collect()
-        if names else []
-    )
-    codes: dict[int, dict[int, str]] = {n: {} for n, _ in names}
-    sizes: dict[int, int] = {}
-    for row in seen:
-        codes[row["split_no"]][row["option_no"]] = row["option"]
-        sizes[row["split_no"]] = row["size"]
-    for number, name in names:
+    numbered, short, sizes = _numbered_options(options, spec)
+    for number, split in enumerate(spec.splits[1:], start=2):
         if number not in sizes:
-            raise ValueError(f"split {name} has no options in the dictionary")
+            raise ValueError(f"split {split.variable} has no options in the dictionary")
     unit = _LEAST_IDS_PER_SPLIT
     while any(n >= unit for n in sizes.values()):
         unit *= 10
-    short = {n: tuple(c[i] for i in sorted(c)) for n, c in codes.items() if sizes[n] <= _MOST_LITERALS}
     split_id = F.col("split_no").cast("bigint") * unit + F.col("option_no")
-    return SplitNumbers(unit, sizes, short, numbered.select(
-        "split_no", "split", "option", "option_no", split_id.alias("split_id")))
+    return SplitNumbers(unit, sizes, short, numbered.withColumn("split_id", split_id))
+
+
+def _numbered_options(
+    options: DataFrame, spec: ReportSpec
+) -> tuple[DataFrame, dict[int, tuple[str, ...]], dict[int, int]]:
+    """``split_no, split, option, option_no``, lazy; the options of the splits that have few; all sizes.
+
+    No task numbers a long split: it is cut into ranges of its order, numbered by themselves
+    and moved up by the counts of the ranges before. A range is known by its first option, so a row's
+    number does not depend on where or how often it is computed.
+    """
+    names = [[i, s.variable] for i, s in enumerate(spec.splits, start=1)][1:]
+    splits = literal_rows(options.sparkSession, {"split_no": "int", "split": "string"}, names)
+    listed = _listed_options(options, spec).withColumnsRenamed({"variable": "split", "code": "option"})
+    listed = listed.join(broadcast_if_bounded(splits, len(names)), "split")
+    in_order = ("split_no", "option_id", "option")
+    most = _MOST_LITERALS * len(names)
+    rows = listed.orderBy(*in_order).limit(most + 1).collect() if names else []
+    if len(rows) <= most:  # that is all of them
+        sizes = dict(Counter(r["split_no"] for r in rows))
+    else:
+        sizes = {r["split_no"]: r["count"] for r in listed.groupBy("split_no").count().collect()}
+        few = F.col("split_no").isin([n for n, size in sizes.items() if size <= _MOST_LITERALS])
+        rows = listed.filter(few).orderBy(*in_order).collect()
+    short = {
+        n: tuple(r["option"] for r in rows if r["split_no"] == n)
+        for n, size in sizes.items() if size <= _MOST_LITERALS
+    }
+    ranged, before = _ranges(listed, {n: size for n, size in sizes.items() if size > _MOST_IN_A_RANGE})
+    of_range = Window.partitionBy("split_no", "part").orderBy("option_id", "option")
+    numbered = ranged.withColumn("option_no", (before + F.row_number().over(of_range)).cast("int"))
+    return numbered.select("split_no", "split", "option", "option_no"), short, sizes
+
+
+def _ranges(listed: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, Column]:
+    """The options with their range (``part``) in the order of their split, a few ranges in a task, and how many options
+    are in the ranges before: 0 for splits that are not in ``sizes``. A sample proposes where ranges begin; all are counted."""
+    if not sizes:
+        return listed.withColumn("part", F.lit(0)), F.lit(0)
+    every = {n: max(_MOST_IN_A_RANGE, -(-size // _MOST_RANGES)) // _SAMPLED_IN_A_RANGE for n, size in sizes.items()}
+    chosen = F.pmod(F.xxhash64("split_no", "option"), _by_split(every, 1)) == 0
+    sample = listed.filter(F.col("split_no").isin(list(sizes)) & chosen)
+    sample = sample.orderBy("split_no", "option_id", "option").collect()
+    kinds = [listed.schema[name].dataType.simpleString() for name in ("option_id", "option")]
+    firsts, ranges = {}, {}
+    for n in sizes:
+        found = [r for r in sample if r["split_no"] == n][_SAMPLED_IN_A_RANGE::_SAMPLED_IN_A_RANGE]
+        ranges[n] = len(found) + 1
+        if found:
+            firsts[n] = F.expr("array({})".format(", ".join(
+                f"struct({sql_literal(r['option_id'], kinds[0])} as option_id, {sql_literal(r['option'], kinds[1])} as option)"
+                for r in found
+            )))
+    ranged = listed.withColumn("part", F.lit(0))
+    if firsts:
+        # How many of the first options are not after the row's: a search by halving.
+        row = F.struct("option_id", "option")
+        for k in reversed(range(max(ranges.values()).bit_length())):
+            ahead = F.col("part") + (1 << k)
+            reached = _by_split({n: F.get(some, ahead - 1) <= row for n, some in firsts.items()}, False)
+            ranged = ranged.withColumn("part", F.when(reached, ahead).otherwise(F.col("part")))
+    counted = ranged.filter(F.col("split_no").isin(list(sizes))).groupBy("split_no", "part").count()
+    counts = {(r["split_no"], r["part"]): r["count"] for r in counted.collect()}
+    before = {}
+    for n, some in ranges.items():
+        sums = accumulate((counts.get((n, i), 0) for i in range(some - 1)), initial=0)
+        before[n] = F.expr(f"element_at(array({', '.join(map(str, sums))}), part + 1)")
+    # A number of tasks is given, as rows here are short but what is made of an option later is not.
+    return ranged.repartition(sum(ranges.values()), "split_no", "part"), _by_split(before, 0)
+
+
+def _by_split(values: dict, otherwise) -> Column:
+    out = F.lit(otherwise)
+    for n, value in values.items():
+        out = F.when(F.col("split_no") == n, value).otherwise(out)
+    return out
 
 
 def split_options(options: DataFrame, spec: ReportSpec) -> list[SplitOption]:
@@ -379,26 +444,22 @@ def report_bases(
     )
 
 
-def report_description(options: DataFrame, spec: ReportSpec, unit: int) -> DataFrame:
+def report_description(
+    options: DataFrame, spec: ReportSpec, unit: int, numbers: SplitNumbers | None = None
+) -> DataFrame:
     """``split_id, split_no, option_no, split, option, note, weight``, one row per split
-    option, numbered in the order of the dictionary; ``unit`` ids belong to a split."""
+    option, numbered in the order of the dictionary (``numbers``, if known); ``unit`` ids belong to a split."""
     note = NOTE_LATER if NOTE_LATER_MARK in (spec.first or "") else NOTE
     schema = {"split_no": "int", "split": "string", "weight": "string"}
     rows = [[i, s.variable, s.weight or NO_WEIGHT] for i, s in enumerate(spec.splits, start=1)]
     splits = literal_rows(options.sparkSession, schema, rows)
-    in_order = Window.partitionBy("split_no").orderBy("option_id", "code")
-    listed = (
-        splits.join(
-            _listed_options(options, spec).withColumnRenamed("variable", "split"), "split"
-        )
-        .withColumn("option_no", F.row_number().over(in_order))
-        .withColumnRenamed("code", "option")
-    )
+    numbered = _numbered_options(options, spec)[0] if numbers is None else numbers.table
+    listed = numbered.select("split_no", "option_no", "option").join(broadcast_if_bounded(splits, len(rows)), "split_no")
     overall = splits.filter("split_no = 1").withColumns(
         {"option_no": F.lit(1), "option": F.lit(OVERALL)}
     )
     split_id = F.col("split_no").cast("bigint") * unit + F.col("option_no")
-    return overall.unionByName(listed.drop("option_id")).select(
+    return overall.unionByName(listed).select(
         split_id.alias("split_id"), "split_no", "option_no", "split", "option",
         F.lit(note).alias("note"), "weight",
     )
@@ -478,7 +539,7 @@ def build_report(
     return Report(
         report_frequencies(counts, options, spec, numbers),
         report_bases(counts, spec, numbers),
-        report_description(options, spec, numbers.unit),
+        report_description(options, spec, numbers.unit, numbers),
         report_means(report_moments(df, spec, numbers), spec, numbers) if spec.means else None,
     )
 
@@ -588,7 +649,7 @@ def _report_of_runs(spark, options, spec, path, runs) -> Report:
     return Report(
         report_frequencies(counts, options, spec, numbers),
         report_bases(counts, spec, numbers),
-        report_description(options, spec, numbers.unit),
+        report_description(options, spec, numbers.unit, numbers),
         means,
     )
 

@@ -128,6 +128,37 @@ def test_two_hundred_thousand_options(spark):
     assert sum(r.n for r in hot) == 1_667 + 1
 
 
+def test_no_task_numbers_a_long_split(spark, monkeypatch):
+    """Ranges of a split's order are numbered by themselves, whatever the ids: null, shared by many, far apart."""
+    monkeypatch.setattr(report_module, "_MOST_IN_A_RANGE", 100)
+    monkeypatch.setattr(report_module, "_SAMPLED_IN_A_RANGE", 10)
+    some = spark.range(6_000).selectExpr(
+        "case when id % 5 = 0 then null when id % 5 < 3 then 7L when id % 5 = 3 then -id * id * 1000000 else id end as option_id",
+        "if(id % 3 = 0, 's', 't') as variable", "concat(if(id % 2 = 0, 'é', '$'), id * 7919 % 6000) as code", "'' as label")
+    listed = some.unionByName(some.filter("option_id < 3000").withColumn("option_id", F.lit(9_999)))
+    listed = listed.unionByName(spark.sql("select 3L as option_id, 'u' as variable, 'x' as code, '' as label union all select 2L, 'u', 'y', ''"))
+    spec = report_spec(["Geral", "s", "u", "t"], [None] * 4, ["v"])
+    numbers = number_splits(listed, spec)
+    assert (numbers.unit, numbers.sizes, numbers.short) == (10_000, {2: 2_000, 3: 2, 4: 4_000}, {3: ("y", "x")})
+    of = {}
+    for r in listed.collect():
+        place = (r.option_id is not None, r.option_id or 0, r.code.encode())
+        of[r.variable, r.code] = min(place, of.get((r.variable, r.code), place))
+    expected = {}
+    for n, name in ((2, "s"), (3, "u"), (4, "t")):
+        codes = sorted((c for v, c in of if v == name), key=lambda c: of[name, c])
+        expected |= {(n, code): (i, n * 10_000 + i) for i, code in enumerate(codes, 1)}
+    assert as_dict(numbers.table, ("split_no", "option"), ("option_no", "split_id")) == expected
+    found = report_module.report_description(listed, spec, numbers.unit).filter("split_no > 1")
+    assert as_dict(found, ("split_no", "option"), ("option_no", "split_id")) == expected
+    by_number = numbers.table.filter("split_no <> 3").withColumn("option_id", F.col("option_no"))
+    ranged, _ = report_module._ranges(by_number, {2: 2_000, 4: 4_000})
+    rows = ranged.groupBy("split_no", "part").count().collect()
+    assert len(rows) > 40 and max(r["count"] for r in rows) < 400
+    plan = numbers.table._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(split_no" in plan and ", part" in plan
+
+
 def test_options_as_a_list(options, spec):
     listed = split_options(options, spec)
     assert [(o.split_id, o.split_no, o.code) for o in listed] == [
