@@ -43,6 +43,7 @@ EPOCHS, BATCH, RATE = 2, 512, 0.004  # epochs of a corpus that is one group; lar
 GROUPS_PER_TASK, MOST_TASKS = 4, 8192  # trained in one go by a task; tasks of a round at most
 MOST_WORDS = 1 << 17  # words sent to all executors with their counts (1.6 MB)
 AT_ONCE = 1024
+LEAST_SUM, MOST_SUM = 1e-25, 1e25  # of exponentials that are used as they are
 _U = np.uint64
 
 
@@ -98,23 +99,39 @@ class WindowNetwork:
         return ids, at
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = self.bias + sum(e[ids[at + o]] for e, o in zip(self.around, OFFSETS))
-        return np.tanh(h, out=h)
+        """The hidden units, and one that is always 1."""
+        h = np.ones((len(at), len(self.bias) + 1), np.float32)
+        h[:, :-1] = np.tanh(sum(e.take(ids[at + o], axis=0) for e, o in zip(self.around, OFFSETS)) + self.bias)
+        return h
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.float64)
+        weights = np.vstack([self.out, self.out_bias]).astype(np.float32)
+        ones = np.ones(len(self.out_bias), np.float32)
         for s in range(0, len(at), AT_ONCE):
             here = at[s : s + AT_ONCE]
-            logits = self.hidden(ids, here) @ self.out + self.out_bias
-            logits -= logits.max(axis=1, keepdims=True)
-            right = logits[np.arange(len(here)), ids[here]]
-            out[s : s + AT_ONCE] = right - np.log(np.exp(logits, out=logits).sum(axis=1))
+            h, places = self.hidden(ids, here), (np.arange(len(here)), ids[here])
+            logits = h @ weights
+            right, sums = logits[places], _exponentials(logits, ones)
+            if sums is None:
+                logits = h @ weights
+                logits -= logits.max(axis=1, keepdims=True)
+                right, sums = logits[places], np.exp(logits, out=logits) @ ones
+            out[s : s + AT_ONCE] = right - np.log(sums)
         return out
 
 
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
+def _exponentials(logits: np.ndarray, ones: np.ndarray) -> np.ndarray | None:
+    """Puts exponentials in the place of the logits and returns their sums by row; None if one is near the limits of
+    32 bits, so that the largest logit of each row must be taken off first."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        sums = np.exp(logits, out=logits) @ ones
+    return sums if sums.min() > LEAST_SUM and sums.max() < MOST_SUM else None
+
+
 def train(network: WindowNetwork, ids: np.ndarray, at: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> WindowNetwork:
     """A network trained on from ``network``, by Adam over shuffled windows; deterministic. All weights
     lie in one array, the output bias below the output weights, so that a hidden unit that is always 1 takes it along."""
@@ -123,30 +140,33 @@ def train(network: WindowNetwork, ids: np.ndarray, at: np.ndarray, epochs: int =
     gradient, first, second, spare = (np.zeros_like(flat) for _ in range(4))
     trained, by_weight = _unflat(flat, network), _unflat(gradient, network)
     classes, units = len(network.out_bias), len(network.bias)
-    around, out = trained.around.reshape(-1, units), flat[-(units + 1) * classes :].reshape(units + 1, classes)
-    d_around, d_out = by_weight.around.reshape(-1), gradient[-(units + 1) * classes :].reshape(units + 1, classes)
-    offsets = np.array(OFFSETS)[:, None]
-    tables = np.arange(len(OFFSETS))[:, None] * (classes + 1)
-    each_unit, ones, step = np.arange(units), np.ones(max(classes, BATCH), np.float32), 0
+    out = flat[-(units + 1) * classes :].reshape(units + 1, classes)
+    d_around, d_out = by_weight.around.reshape(len(OFFSETS), -1), gradient[-(units + 1) * classes :].reshape(units + 1, classes)
+    places = np.arange((classes + 1) * units).reshape(classes + 1, units)
+    ones, step = np.ones(max(classes, BATCH), np.float32), 0
     for _ in range(epochs):
         order = rng.permutation(len(at))
         for s in range(0, len(at), BATCH):
             here = at[order[s : s + BATCH]]
             n = len(here)
-            near = ids[here + offsets] + tables
+            near = [ids[here + o] for o in OFFSETS]
             h = np.ones((n, units + 1), np.float32)
-            h[:, :units] = np.tanh(sum(around.take(x, axis=0) for x in near) + trained.bias)
+            h[:, :units] = np.tanh(sum(e.take(x, axis=0) for e, x in zip(trained.around, near)) + trained.bias)
             p = h @ out
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= (p @ ones[:classes] * np.float32(n))[:, None]
-            p[np.arange(n), ids[here]] -= np.float32(1 / n)
-            back = (p @ out[:units].T) * (1 - h[:, :units] ** 2)
+            sums = _exponentials(p, ones[:classes])
+            if sums is None:
+                p = h @ out
+                p -= p.max(axis=1, keepdims=True)
+                sums = np.exp(p, out=p) @ ones[:classes]
+            # Rows are divided by their sums (and n) where they are short.
+            share = (1 / (sums * np.float32(n)))[:, None]
+            p[np.arange(n), ids[here]] -= sums
+            back = (p @ out[:units].T) * share * (1 - h[:, :units] ** 2)
             wide = back.astype(np.float64).ravel()
-            places = (near * units)[:, :, None] + each_unit
-            d_around[:] = sum(np.bincount(x.ravel(), wide, len(d_around)) for x in places)
+            for d, x in zip(d_around, near):
+                d[:] = np.bincount(places.take(x, axis=0).ravel(), wide, len(d))
             by_weight.bias[:] = ones[:n] @ back
-            np.matmul(h.T, p, out=d_out)
+            np.matmul((h * share).T, p, out=d_out)
             step += 1
             np.multiply(gradient, np.float32(0.1), out=spare)
             first *= np.float32(0.9)

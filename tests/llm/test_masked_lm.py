@@ -94,3 +94,23 @@ def test_all_documents_are_trained_on(spark, rows, monkeypatch):
     for doc_id in (0, 57, 230):
         other = [(i, " ".join(sorted(t.split())) if i == doc_id else t, None, None, 0) for i, t, *_ in rows]
         assert not np.allclose(M.fit_network(documents(spark, other), words).around, network.around, atol=1e-5)
+
+
+@pytest.mark.parametrize("scale", [1, 400])
+def test_large_and_small_logits(network, monkeypatch, scale):
+    """The largest logit of a row is taken off only where one may be too large; it makes no difference."""
+    wide = M.replace(network, out=network.out * np.float32(scale))
+    words = np.concatenate([h for _, h, _ in hashed_words(pa.array([prose(3, 700) + " tick tock" * 200]))])
+    ids, at = wide.padded(words, np.array([0, len(words)]))
+    logits = wide.hidden(ids, at) @ np.vstack([wide.out, wide.out_bias])
+    assert (M._exponentials(logits, np.ones(logits.shape[1], np.float32)) is None) == (scale > 1)
+    found, trained = wide.log_probabilities(ids, at), M._flat(M.train(wide, ids, at))
+    assert np.isfinite(found).all() and np.isfinite(trained).all()
+    monkeypatch.setattr(M, "MOST_SUM", 0)
+    assert np.allclose(found, wide.log_probabilities(ids, at), atol=1e-4)
+    assert np.allclose(trained, M._flat(M.train(wide, ids, at)), atol=2e-3)
+    h = np.tanh(wide.bias.astype(float) + sum(e[ids[at + o]].astype(float) for e, o in zip(wide.around, M.OFFSETS)))
+    logits = h @ wide.out + wide.out_bias
+    logits -= logits.max(axis=1, keepdims=True)
+    expected = logits[np.arange(len(at)), ids[at]] - np.log(np.exp(logits).sum(axis=1))
+    assert np.allclose(found, expected, atol=1e-2 if scale > 1 else 1e-4)
