@@ -12,11 +12,12 @@ the classes. Documents are dealt by hash to groups of some ten thousand words an
 rounds; in a round every group goes on from the same weights by itself, and their results are averaged,
 weighted by words. Which task trains a group makes no difference. Texts are hashed once, to class numbers
 of two bytes a word, and written in the order of the rounds; a round reads its own. Tasks grow in number
-with the groups, and the weights they find are added up in Spark, so the driver gets the square root
-of the tasks' number of rows.
+with the groups; a task trains its groups one after another and gives the sum of their weights. Sums are added up
+in Spark, so the driver gets the square root of the tasks' number of rows.
 
 Scoring is one pass over the texts, a few thousand words at a time. The counts of the 131 072 most
-frequent words are sent to all executors; rarer words are joined, which no frequent word makes uneven.
+frequent words are sent to all executors; rarer words are joined, which no frequent word makes uneven, but for
+those that occur once, whose log count is 0.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,22 +101,23 @@ class WindowNetwork:
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The hidden units, and one that is always 1."""
         h = np.ones((len(at), len(self.bias) + 1), np.float32)
-        h[:, :-1] = np.tanh(sum(e.take(ids[at + o], axis=0) for e, o in zip(self.around, OFFSETS)) + self.bias)
+        np.tanh(_added([e.take(ids.take(at + o), axis=0) for e, o in zip(self.around, OFFSETS)], self.bias), out=h[:, :-1])
         return h
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.float64)
         weights = np.vstack([self.out, self.out_bias]).astype(np.float32)
-        ones = np.ones(len(self.out_bias), np.float32)
+        classes = len(self.out_bias)
+        ones, rows, space = np.ones(classes, np.float32), np.arange(AT_ONCE) * classes, np.empty((AT_ONCE, classes), np.float32)
         for s in range(0, len(at), AT_ONCE):
             here = at[s : s + AT_ONCE]
-            h, places = self.hidden(ids, here), (np.arange(len(here)), ids[here])
-            logits = h @ weights
-            right, sums = logits[places], _exponentials(logits, ones)
+            h, places = self.hidden(ids, here), rows[: len(here)] + ids[here]
+            logits = np.matmul(h, weights, out=space[: len(here)])
+            right, sums = logits.take(places), _exponentials(logits, ones)
             if sums is None:
-                logits = h @ weights
+                np.matmul(h, weights, out=logits)
                 logits -= logits.max(axis=1, keepdims=True)
-                right, sums = logits[places], np.exp(logits, out=logits) @ ones
+                right, sums = logits.take(places), np.exp(logits, out=logits) @ ones
             out[s : s + AT_ONCE] = right - np.log(sums)
         return out
 
@@ -124,6 +125,14 @@ class WindowNetwork:
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
+def _added(parts: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """The sum of all parts and the bias, in the place of the first part."""
+    total = parts[0]
+    for part in [*parts[1:], bias]:
+        total += part
+    return total
+
+
 def _exponentials(logits: np.ndarray, ones: np.ndarray) -> np.ndarray | None:
     """Puts exponentials in the place of the logits and returns their sums by row; None if one is near the limits of
     32 bits, so that the largest logit of each row must be taken off first."""
@@ -143,30 +152,37 @@ def train(network: WindowNetwork, ids: np.ndarray, at: np.ndarray, epochs: int =
     out = flat[-(units + 1) * classes :].reshape(units + 1, classes)
     d_around, d_out = by_weight.around.reshape(len(OFFSETS), -1), gradient[-(units + 1) * classes :].reshape(units + 1, classes)
     places = np.arange((classes + 1) * units).reshape(classes + 1, units)
-    ones, step = np.ones(max(classes, BATCH), np.float32), 0
+    ones, rows, step = np.ones(max(classes, BATCH), np.float32), np.arange(BATCH) * classes, 0
+    # Arrays of a batch are made once.
+    hs, shared, ps = (np.ones((BATCH, k), np.float32) for k in (units + 1, units + 1, classes))
+    backs, slopes = np.empty((BATCH, units), np.float32), np.empty((BATCH, units), np.float32)
+    wides, ats = np.empty((BATCH, units)), np.empty((BATCH, units), places.dtype)
     for _ in range(epochs):
-        order = rng.permutation(len(at))
+        order = at[rng.permutation(len(at))]
+        windows = [ids.take(order + o).astype(np.int16) for o in (0, *OFFSETS)]
         for s in range(0, len(at), BATCH):
-            here = at[order[s : s + BATCH]]
+            here, *near = (x[s : s + BATCH].astype(np.intp) for x in windows)
             n = len(here)
-            near = [ids[here + o] for o in OFFSETS]
-            h = np.ones((n, units + 1), np.float32)
-            h[:, :units] = np.tanh(sum(e.take(x, axis=0) for e, x in zip(trained.around, near)) + trained.bias)
-            p = h @ out
-            sums = _exponentials(p, ones[:classes])
+            h, p, back, slope = hs[:n], ps[:n], backs[:n], slopes[:n]
+            np.tanh(_added([e.take(x, axis=0) for e, x in zip(trained.around, near)], trained.bias), out=h[:, :units])
+            sums = _exponentials(np.matmul(h, out, out=p), ones[:classes])
             if sums is None:
-                p = h @ out
+                np.matmul(h, out, out=p)
                 p -= p.max(axis=1, keepdims=True)
                 sums = np.exp(p, out=p) @ ones[:classes]
             # Rows are divided by their sums (and n) where they are short.
             share = (1 / (sums * np.float32(n)))[:, None]
-            p[np.arange(n), ids[here]] -= sums
-            back = (p @ out[:units].T) * share * (1 - h[:, :units] ** 2)
-            wide = back.astype(np.float64).ravel()
+            p.ravel()[rows[:n] + here] -= sums
+            np.matmul(p, out[:units].T, out=back)
+            back *= share
+            np.square(h[:, :units], out=slope)
+            back *= np.subtract(np.float32(1), slope, out=slope)
+            wides[:n] = back
+            wide = wides[:n].ravel()
             for d, x in zip(d_around, near):
-                d[:] = np.bincount(places.take(x, axis=0).ravel(), wide, len(d))
-            by_weight.bias[:] = ones[:n] @ back
-            np.matmul((h * share).T, p, out=d_out)
+                d[:] = np.bincount(places.take(x, axis=0, out=ats[:n], mode="clip").ravel(), wide, len(d))
+            np.matmul(ones[:n], back, out=by_weight.bias)
+            np.matmul(np.multiply(h, share, out=shared[:n]).T, p, out=d_out)
             step += 1
             np.multiply(gradient, np.float32(0.1), out=spare)
             first *= np.float32(0.9)
@@ -208,22 +224,43 @@ def _unflat(flat: np.ndarray, like: WindowNetwork) -> WindowNetwork:
 
 
 def _train_groups(shared, epochs: int):
-    """Words of one group, and the network's weights after its documents, times its words."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "ids"])
-        docs = [np.frombuffer(x, np.int16) for x in group["ids"]]
+    """For the rows of a task, ``group, order, ids`` in that order: their words, and the sum over their groups of the
+    network's weights after a group's documents, times its words. One group at a time is held."""
+    def trained(docs: list[bytes]) -> tuple[int, np.ndarray]:
         network = shared.value
-        words, none = sum(map(len, docs)), len(network.out_bias)
-        firsts = np.cumsum([0, *map(len, docs)])
-        ids = np.full(words + SIDE * len(firsts), none, np.int64)
-        at = np.arange(words) + SIDE * (1 + np.repeat(np.arange(len(docs)), np.diff(firsts)))
-        ids[at] = np.concatenate(docs)
-        trained = _flat(train(network, ids, at, epochs)).astype(np.float64)
-        return pd.DataFrame({"words": [words], "weights": [trained * words]})
+        found, none = np.frombuffer(b"".join(docs), np.int16), len(network.out_bias)
+        words, lengths = len(found), np.array([len(x) for x in docs]) // found.itemsize
+        at = np.arange(words) + SIDE * (1 + np.repeat(np.arange(len(docs)), lengths))
+        ids = np.full(words + SIDE * (len(docs) + 1), none, np.int64)
+        ids[at] = found
+        return words, _flat(train(network, ids, at, epochs)).astype(np.float64) * words
+
+    def run(batches):
+        words, total, group, docs = 0, 0.0, None, []
+        for batch in batches:
+            groups = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if docs and groups[a] != group:
+                    n, weights = trained(docs)
+                    words, total, docs = words + n, total + weights, []
+                group = groups[a]
+                docs += batch.column(2).slice(a, b - a).to_pylist()
+        if docs:
+            n, weights = trained(docs)
+            words, total = words + n, total + weights
+        if words:
+            yield _weighted(words, total)
 
     return run
 
 
+def _weighted(words: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([words]), pa.array([weights], pa.list_(pa.float64()))], ["words", "weights"])
+
+
 def _summed_weights(batches):
     """One row a task: the sums of its rows."""
     words, total = 0, 0.0
@@ -232,8 +269,7 @@ def _summed_weights(batches):
             words += n
             total = total + weights.values.to_numpy()
     if words:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([words]), pa.array([total], pa.list_(pa.float64()))], ["words", "weights"])
+        yield _weighted(words, total)
 
 
 def fit_network(documents: DataFrame, words: DataFrame | None = None) -> WindowNetwork:
@@ -279,9 +315,9 @@ def fit_network(documents: DataFrame, words: DataFrame | None = None) -> WindowN
         shared = spark.sparkContext.broadcast(replace(network, class_of=None))
         sums = "words bigint, weights array<double>"
         found = (
-            classed.filter(F.col("round") == k).drop("round").repartition(tasks, "group")
-            .groupBy("group").applyInPandas(_train_groups(shared, EPOCHS if groups == 1 else 1), sums)
-            .mapInArrow(_summed_weights, sums).repartition(math.isqrt(tasks) + 1).mapInArrow(_summed_weights, sums)
+            classed.filter(F.col("round") == k).select("group", "order", "ids")
+            .repartition(tasks, "group").sortWithinPartitions("group", "order", "ids")
+            .mapInArrow(_train_groups(shared, EPOCHS if groups == 1 else 1), sums).repartition(math.isqrt(tasks) + 1).mapInArrow(_summed_weights, sums)
         )
         n, total = 0, 0.0
         for row in found.collect():
@@ -300,15 +336,24 @@ class Vocabulary:
     words: np.ndarray  # sorted hashes
     log_n: np.ndarray  # of them
     log_total: np.ndarray  # of each class
-    rare: DataFrame | None = None  # word, n of the others
+    rare: DataFrame | None = None  # word, n of the others that were seen more than once
+    firsts: np.ndarray | None = None  # of the words of each bucket, made where it is needed
 
     def of(self, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log p(word | class), without log n for words that are not here, and which are not."""
         if not len(self.words):
             return -self.log_total[classes], np.ones(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        here = self.words[at] == hashes
-        return np.where(here, self.log_n[at], 0.0) - self.log_total[classes], ~here
+        if self.firsts is None:
+            self.firsts = np.cumsum(np.bincount(_buckets(self.words) + 1, minlength=(1 << BUCKET_BITS) + 1)).astype(np.int32)
+        buckets = _buckets(hashes)
+        at, ends = self.firsts.take(buckets), self.firsts.take(buckets + 1)
+        here = self.words.take(at, mode="clip") == hashes
+        others = np.flatnonzero(~here & (at + 1 < ends))  # few: a bucket seldom has more than one word
+        while len(others):
+            at[others] += 1
+            here[others] = self.words[at[others]] == hashes[others]
+            others = others[~here[others] & (at[others] + 1 < ends[others])]
+        return np.where(here, self.log_n.take(at, mode="clip"), 0.0) - self.log_total[classes], ~here
 
 
 def vocabulary(words: DataFrame, network: WindowNetwork, most: int = MOST_WORDS) -> Vocabulary:
@@ -327,7 +372,7 @@ def vocabulary(words: DataFrame, network: WindowNetwork, most: int = MOST_WORDS)
     return Vocabulary(
         hashes[order], np.log(top["n"].to_numpy(np.float64))[order].astype(np.float32),
         np.log(_class_totals(words, frequent) + 1),
-        words.filter(F.col("n") < least) if least > 1 else None)
+        words.filter((F.col("n") < least) & (F.col("n") > 1)) if least > 1 else None)
 
 
 def pseudo_likelihoods(

@@ -114,3 +114,41 @@ def test_large_and_small_logits(network, monkeypatch, scale):
     logits -= logits.max(axis=1, keepdims=True)
     expected = logits[np.arange(len(at)), ids[at]] - np.log(np.exp(logits).sum(axis=1))
     assert np.allclose(found, expected, atol=1e-2 if scale > 1 else 1e-4)
+
+
+def test_a_task_trains_its_groups_one_by_one_and_adds_them_up(network):
+    """Also where a group's rows come in several batches; only one row leaves a task."""
+    class Shared:
+        value = network
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    rows = [(g, i, rng.integers(0, 192, 30 + 7 * i, np.int16)) for g in (3, 8, 9) for i in range(4)]
+    expected, words = 0, 0
+    for g in (3, 8, 9):
+        docs = [c for h, _, c in rows if h == g]
+        firsts = np.cumsum([0, *map(len, docs)])
+        ids = np.full(firsts[-1] + M.SIDE * (len(docs) + 1), 192)
+        at = np.concatenate([np.arange(a, b) + M.SIDE * (i + 1) for i, (a, b) in enumerate(zip(firsts[:-1], firsts[1:]))])
+        ids[at] = np.concatenate(docs)
+        expected = expected + M._flat(M.train(network, ids, at, 1)).astype(float) * firsts[-1]
+        words += firsts[-1]
+    table = pa.RecordBatch.from_pylist([{"group": g, "order": i, "ids": c.tobytes()} for g, i, c in rows])
+    for size in (1, 3, 5, 12):
+        [found] = M._train_groups(Shared, 1)([table.slice(0, 0), *(table.slice(s, size) for s in range(0, 12, size))])
+        assert found.column("words").to_pylist() == [words]
+        assert np.array_equal(found.column("weights")[0].values.to_numpy(), expected)
+    assert list(M._train_groups(Shared, 1)([table.slice(0, 0)])) == []
+
+
+def test_words_that_share_a_bucket_and_words_that_occur_once(spark, network):
+    top = np.uint64(1 << (64 - M.BUCKET_BITS))
+    words = np.array([0, 5, 6, 7, top, 3 * top - np.uint64(1), 3 * top, np.uint64(2**64 - 2), np.uint64(2**64 - 1)], np.uint64)
+    known = M.Vocabulary(words, np.arange(1, 10, dtype=np.float32), np.zeros(192))
+    asked = np.concatenate([words, words[:-1] + np.uint64(1), words[1:] - np.uint64(1), np.array([2 * top], np.uint64)])
+    found, missing = known.of(asked, np.zeros(len(asked), int))
+    at = {int(w): i + 1 for i, w in enumerate(words)}
+    assert found.tolist() == [at.get(int(w), 0) for w in asked] and missing.tolist() == [int(w) not in at for w in asked]
+    # log 1 is 0: what occurs once needs no join.
+    counts = M.written(spark.createDataFrame([(i, 1 + i % 3) for i in range(30)], "word bigint, n bigint"), "words")
+    hashed = M.replace(network, class_of=np.full(1 << M.BUCKET_BITS, M.FREQUENT, np.int16))
+    assert sorted(r.n for r in M.vocabulary(counts, hashed, 0).rare.collect()) == [2] * 10 + [3] * 10

@@ -50,3 +50,18 @@ def test_slices_and_letters():
 def test_mixed_is_one_to_one_on_many_numbers():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(T.mixed(x))) == len(x)
+
+
+def test_hashes_are_sums_of_bytes_by_place():
+    """Whatever is before a word, and for words longer than the table of places."""
+    value, place = T._tables(False)[1], 0x9E3779B97F4A7C15
+    def plain(word):
+        total = sum(int(value[b]) * pow(place, i, 1 << 64) for i, b in enumerate(word.encode())) % (1 << 64)
+        return int(T.mixed(np.array([total], np.uint64))[0])
+
+    rows = ["  ab cd\n" + "e" * 300 + " \x1c f", "é ü", None, "\t", "g h " * 900]
+    for row, got in zip(rows, hashes(rows, lower=False)):
+        assert got == [plain(w) for w in WORD.findall(row or "")]
+    long = "x" * ((1 << 18) - 4) + " y"
+    assert hashes([long + " z"], 1 << 20)[0] == [*hashes([long], 1 << 20)[0], plain("z")]
+    assert hashes([long])[0][1] == plain("y")
